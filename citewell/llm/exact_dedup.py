@@ -11,10 +11,10 @@ digest, so a digest alone never decides:
 
 Each document then finds its group by the digest, which is exact where all
 texts of the digest were seen to be equal.  Where two texts share a digest, the
-rows of that digest alone are matched by digest and full text; a scalar
-subquery empties that branch before it reads any text when there are none.
-The last join only ever has one row a digest on its small side, so adaptive
-execution may split a hot digest freely.
+rows of that digest alone are matched by digest and full text.  The table of
+digests is narrow and written to the shared folder, so texts are shuffled
+twice and no more.  The last join has one row a digest on that side, so
+adaptive execution may split a hot digest freely.
 
 Cases: null text counts as empty; empty texts are copies of each other; ties go
 to the smallest id, and rows that repeat that id all stay; null ids never win
@@ -29,6 +29,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citewell.llm.common import table, written
+
 #: A run that one blank replaces: two or more of any white space, or one that isn't the blank.
 _RUN = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 
@@ -53,23 +55,27 @@ def exact_groups(
     return salted.groupBy("digest", "content").agg(F.min("first").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
+def digest_table(groups: DataFrame) -> DataFrame:
+    """One narrow row for each digest, written once: ``digest, contents, keep_id, group_size``; ``contents`` counts its different texts."""
+    made = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    return written(made, "digests")
+
+
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest: Callable[[Column], Column] = sha256_hex
 ) -> DataFrame:
     """One row per document: ``id_col, keep_id, group_size, kept, digest``."""
     groups = exact_groups(docs, id_col, text_col, salts, digest)
-    by_digest = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    digests = digest_table(groups)
     content = normalised(F.col(text_col))
-    left = docs.select(F.col(id_col).alias("id"), digest(content).alias("digest"))
-    plain = left.join(by_digest.filter("contents = 1").drop("contents"), "digest").select("id", "keep_id", "group_size", "digest")
-    shared = by_digest.filter("contents > 1")
-    some = shared.agg(F.count(F.lit(1)).alias("n")).scalar() > 0
-    again = docs.filter(some).select(F.col(id_col).alias("id"), content.alias("content"), digest(content).alias("digest"))
-    rivals = groups.filter(some).join(shared.select("digest"), "digest", "left_semi")
-    told_apart = again.join(rivals, ["digest", "content"]).select("id", "keep_id", "group_size", "digest")
-    return plain.unionByName(told_apart).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"
-    )
+    rows = docs.select(F.col(id_col).alias("id"), digest(content).alias("digest"))
+    out = rows.join(digests.filter("contents = 1"), "digest").select("id", "keep_id", "group_size", "digest")
+    shared = digests.filter("contents > 1").select("digest")
+    if shared.head(1):
+        again = docs.select(F.col(id_col).alias("id"), content.alias("content"), digest(content).alias("digest"))
+        rivals = groups.join(shared, "digest", "left_semi")
+        out = out.unionByName(again.join(rivals, ["digest", "content"]).select("id", "keep_id", "group_size", "digest"))
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
@@ -79,8 +85,6 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    from citewell.llm.common import table
-
     return exact_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
