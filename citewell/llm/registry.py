@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from citewell.llm import exact_dedup, packing
+from citewell.llm import exact_dedup, ngram_join, packing
 
 
 def queries() -> dict:
-    return {"op3_exact_dedup": exact_dedup.op3_exact_dedup, "op10_packing": packing.op10_packing}
+    return {"op3_exact_dedup": exact_dedup.op3_exact_dedup, "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard, "op10_packing": packing.op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
