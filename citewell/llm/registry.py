@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from citewell.llm import exact_dedup, ngram_join, packing
+from citewell.llm import exact_dedup, ngram_join, packing, quality_rules
 
 
 def queries() -> dict:
-    return {"op3_exact_dedup": exact_dedup.op3_exact_dedup, "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard, "op10_packing": packing.op10_packing}
+    return {
+        "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
+        "op10_packing": packing.op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL}
+    return {"op2_quality_rules": quality_rules.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
