@@ -35,18 +35,59 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _PACKED = _PIECES + ", sequence_id long, offset long"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: visible ones stand for themselves, the rest follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class TokenIds(dict):
+    """Ids, as little-endian bytes, of the pre-tokens met so far, by the tokenizer's own model."""
+
+    def __init__(self, tokenizer, limit: int):
+        super().__init__()
+        self.tokenize, self.limit = tokenizer.model.tokenize, limit
+        self.letters = _byte_letters()
+
+    def of_letters(self, token: str) -> bytes:
+        return b"".join(x.id.to_bytes(4, "little") for x in self.tokenize(token))
+
+    def __missing__(self, token: str) -> bytes:
+        made = self.of_letters(token.encode().decode("latin-1").translate(self.letters))
+        if len(self) >= self.limit:
+            self.clear()
+        if len(token) <= 64:
+            self[token] = made
+        return made
+
+
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_SIGNS = r"!-/:-@\[-`{-~"
+
+
 class ChunkIds(dict):
-    """Ids, as little-endian bytes, of the chunks met so far; emptied when ``limit`` chunks are held."""
+    """Ids of the chunks met so far, each the ids of its pre-tokens in a row; emptied when ``limit`` chunks are held.
+
+    The standard library's expressions find the pre-tokens of chunks of Latin
+    letters, ASCII digits, signs and white space; the tokenizer's own rule
+    splits any other chunk.
+    """
+
+    plain = re.compile(rf"[{_LATIN}{_SIGNS}0-9 \t\n\r\f\v]*")
+    parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[{_SIGNS}]+|\s+(?!\S)|\s+")
 
-    def __init__(self, tokenizer, lead: str, limit: int):
+    def __init__(self, tokenizer, tokens: TokenIds, lead: str, limit: int):
         super().__init__()
-        self.tokenizer, self.lead, self.limit = tokenizer, lead, limit
+        self.split, self.tokens, self.lead, self.limit = tokenizer.pre_tokenizer.pre_tokenize_str, tokens, lead, limit
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([self.lead + chunk], add_special_tokens=False)[0].ids
+        if self.plain.fullmatch(chunk):
+            made = b"".join(map(self.tokens.__getitem__, self.parts.findall(self.lead + chunk)))
+        else:
+            made = b"".join(self.tokens.of_letters(token) for token, _ in self.split(self.lead + chunk))
         if len(self) >= self.limit:
             self.clear()
-        made = b"".join(i.to_bytes(4, "little") for i in ids)
         if len(chunk) <= 64:
             self[chunk] = made
         return made
@@ -55,12 +96,15 @@ class ChunkIds(dict):
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, tokenizer_file: str, limit: int = 400_000):
+    def __init__(self, tokenizer_file: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.after_blank = ChunkIds(self.tokenizer, " ", limit)
-        self.first = ChunkIds(self.tokenizer, "", limit // 10)
+        if self.tokenizer.normalizer is not None:
+            raise ValueError("a normaliser could join what blanks separate; this encoder has none")
+        tokens = TokenIds(self.tokenizer, limit)
+        self.after_blank = ChunkIds(self.tokenizer, tokens, " ", limit)
+        self.first = ChunkIds(self.tokenizer, tokens, "", limit // 10)
         special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.odd_blank = re.compile(r" (?:\s|$)")

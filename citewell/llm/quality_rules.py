@@ -53,7 +53,7 @@ RULES = (
 )
 
 
-def _fold(items: Column, bind) -> Column:
+def fold(items: Column, bind) -> Column:
     """``bind`` of a computed value, so that lambdas below see it computed once."""
     return F.element_at(F.transform(F.array(items), bind), 1)
 
@@ -66,19 +66,19 @@ def _repeat_words(words: Column) -> Column:
             F.sequence(F.lit(1), F.size(w) - 2),
             lambda i: F.struct(F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)).alias("k"), i.alias("p")),
         )
-        return _fold(F.array_sort(windows), marked)
+        return fold(F.array_sort(windows), marked)
 
     def marked(s: Column) -> Column:
         same = lambda a, b: F.coalesce(F.get(s, a)["k"] == F.get(s, b)["k"], F.lit(False))
         twice = F.filter(s, lambda x, i: same(i - 1, i) | same(i, i + 1))
-        return _fold(F.array_sort(F.transform(twice, lambda x: x["p"])), covered)
+        return fold(F.array_sort(F.transform(twice, lambda x: x["p"])), covered)
 
     def covered(p: Column) -> Column:
         return F.aggregate(
             F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x
         )
 
-    return F.when(F.size(words) >= 4, _fold(words, count)).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(words) >= 4, fold(words, count)).otherwise(F.lit(0).cast("long"))
 
 
 def measures(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
