@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from citewell.llm import exact_dedup, language_id, ngram_join, packing, quality_model, quality_rules
+from citewell.llm import exact_dedup, html_text, language_id, ngram_join, packing, quality_model, quality_rules, warc
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_warc": warc.op4_warc,
+        "op5_html_extraction": html_text.op5_html_extraction,
         "op6_language_id": language_id.op6_language_id,
         "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
         "op9_quality_classifier": quality_model.op9_quality_classifier,
