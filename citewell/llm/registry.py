@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citewell.llm import exact_dedup, html_text, language_id, ngram_join, packing, quality_model, quality_rules, warc
+from citewell.llm import exact_dedup, html_text, language_id, ngram_join, packing, quality_model, quality_rules, sentence_pieces, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_warc": warc.op4_warc,
         "op5_html_extraction": html_text.op5_html_extraction,
         "op6_language_id": language_id.op6_language_id,
+        "op7_sentence_pieces": sentence_pieces.op7_sentence_pieces,
         "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
         "op9_quality_classifier": quality_model.op9_quality_classifier,
         "op10_packing": packing.op10_packing,
