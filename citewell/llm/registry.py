@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from citewell.llm import exact_dedup, html_text, language_id, ngram_join, packing, quality_model, quality_rules, sentence_pieces, warc
+from citewell.llm import exact_dedup, html_text, language_id, ngram_join, packing, ppm, quality_model, quality_rules, sentence_pieces, warc
 
 
 def queries() -> dict:
     return {
+        "op1_ppm": ppm.op1_ppm,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_warc": warc.op4_warc,
