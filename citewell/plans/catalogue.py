@@ -1,15 +1,44 @@
-"""All queries of the indicator engine by name, each with its SQL twin where SQL can express it."""
+"""All queries of the indicator engine by name, each with its SQL twin where SQL can express it.
+
+Names begin with the operator's id in the survey.
+"""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query and its SQL."""
+
+    def put(build: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"two queries are named {name}")
+        _QUERIES[name] = build
+        if sql:
+            _SQL[name] = sql
+        return build
+
+    return put
+
+
+def _load() -> None:
+    for part in ("cube_queries", "topic_queries", "frame_queries", "scalar_queries", "source_queries"):
+        importlib.import_module(f"citewell.plans.{part}")
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
