@@ -15,7 +15,7 @@ from citewell.plans.indicators import LANGUAGES, STATUSES
 FIRST, LAST = RECENT
 
 
-def suite_sql(nulls: str = "zero", languages=LANGUAGES, statuses=STATUSES, digits: int | None = 6) -> str:
+def suite_sql(nulls: str = "zero", languages=LANGUAGES, statuses=STATUSES, digits: int | None = 9) -> str:
     """The indicator suite as SQL select items over the rows of a group."""
     r = (lambda x: f"round({x}, {digits})") if digits is not None else (lambda x: x)
     pct = lambda p: r(f"CASE WHEN count(*) = 0 THEN 0.0 ELSE 100.0 * count(*) FILTER (WHERE {p}) / count(*) END")
@@ -41,7 +41,7 @@ def ag01(spark, d):
     return rounded(cubes.annual(works(spark, d), ["journal_id"]))
 
 
-@query("ag02_counts_to_shares", f"WITH {WORKS_SQL} SELECT region, count(*) AS num_documents, round(100.0 * count(*) FILTER (WHERE oa_status = 'gold') / count(*), 6) AS pct_gold FROM works GROUP BY ALL")
+@query("ag02_counts_to_shares", f"WITH {WORKS_SQL} SELECT region, count(*) AS num_documents, round(100.0 * count(*) FILTER (WHERE oa_status = 'gold') / count(*), 9) AS pct_gold FROM works GROUP BY ALL")
 def ag02(spark, d):
     counted = works(spark, d).groupBy("region").agg(F.count(F.lit(1)).alias("num_documents"), F.count_if(F.col("oa_status") == "gold").alias("gold_count"))
     return rounded(indicators.shares(counted))
@@ -59,7 +59,7 @@ def ag04(spark, d):
 
 @query(
     "ag05_top_share_fallback",
-    f"WITH {WORKS_SQL} SELECT region, round(100.0 * avg(CAST(coalesce(CASE WHEN language IS NULL THEN NULL ELSE percentile >= 0.9 END, oa_status = 'gold') AS INT)), 6) AS pct_top_10 FROM works GROUP BY ALL",
+    f"WITH {WORKS_SQL} SELECT region, round(100.0 * avg(CAST(coalesce(CASE WHEN language IS NULL THEN NULL ELSE percentile >= 0.9 END, oa_status = 'gold') AS INT)), 9) AS pct_top_10 FROM works GROUP BY ALL",
 )
 def ag05(spark, d):
     known = F.when(F.col("language").isNotNull(), F.col("percentile") >= 0.9)
@@ -72,7 +72,7 @@ def ag06(spark, d):
     return works(spark, d).groupBy("year").agg(F.count_if(F.coalesce(F.col("language") == "es", F.lit(False))).alias("n_es"), F.count_if(F.col("percentile") >= 0.9).alias("n_top"))
 
 
-@query("ag07_conditional_avg", f"WITH {WORKS_SQL} SELECT journal_id, round(coalesce(avg(fwci) FILTER (WHERE year >= {FIRST} AND language = 'it'), 0), 6) AS fwci_recent_it FROM works GROUP BY ALL")
+@query("ag07_conditional_avg", f"WITH {WORKS_SQL} SELECT journal_id, round(coalesce(avg(fwci) FILTER (WHERE year >= {FIRST} AND language = 'it'), 0), 9) AS fwci_recent_it FROM works GROUP BY ALL")
 def ag07(spark, d):
     p = (F.col("year") >= FIRST) & F.coalesce(F.col("language") == "it", F.lit(False))
     return rounded(works(spark, d).groupBy("journal_id").agg(F.coalesce(F.avg(F.when(p, F.col("fwci"))), F.lit(0.0)).alias("fwci_recent_it")))
@@ -80,8 +80,8 @@ def ag07(spark, d):
 
 @query(
     "ag08_dual_period",
-    f"WITH {WORKS_SQL} SELECT journal_id, count(*) AS documents_full, round(avg(coalesce(fwci, 0)), 6) AS fwci_full, count(*) FILTER (WHERE year BETWEEN {FIRST} AND {LAST}) AS documents_recent, "
-    f"round(coalesce(avg(coalesce(fwci, 0)) FILTER (WHERE year BETWEEN {FIRST} AND {LAST}), 0), 6) AS fwci_recent FROM works GROUP BY ALL",
+    f"WITH {WORKS_SQL} SELECT journal_id, count(*) AS documents_full, round(avg(coalesce(fwci, 0)), 9) AS fwci_full, count(*) FILTER (WHERE year BETWEEN {FIRST} AND {LAST}) AS documents_recent, "
+    f"round(coalesce(avg(coalesce(fwci, 0)) FILTER (WHERE year BETWEEN {FIRST} AND {LAST}), 0), 9) AS fwci_recent FROM works GROUP BY ALL",
 )
 def ag08(spark, d):
     recent = F.col("year").between(FIRST, LAST)
@@ -93,7 +93,7 @@ def ag08(spark, d):
 
 _GOLD = f"few AS (SELECT * FROM works WHERE oa_status = 'gold' AND field IN ('Brand#11', 'Brand#12')), cube AS (SELECT journal_id, year, {RAW} FROM few GROUP BY ALL)"
 _DENSE = ", ".join(
-    f"round(c.{x}, 6) AS {x}" if x.startswith("pct_lang_") else f"coalesce(c.{x}, 0) AS {x}" if x in ("num_documents", "total_citations") else f"round(coalesce(c.{x}, 0), 6) AS {x}" for x in FIGURES
+    f"round(c.{x}, 9) AS {x}" if x.startswith("pct_lang_") else f"coalesce(c.{x}, 0) AS {x}" if x in ("num_documents", "total_citations") else f"round(coalesce(c.{x}, 0), 9) AS {x}" for x in FIGURES
 )
 
 
@@ -130,7 +130,7 @@ def ag12(spark, d):
 
 
 _CUBE = f"cube AS (SELECT journal_id, country_code, region, year, {RAW} FROM works GROUP BY ALL)"
-_MEANS = ", ".join(f"CAST(sum({x}) AS BIGINT) AS {x}" if x in ("num_documents", "total_citations") else f"round(avg({x}), 6) AS {x}" for x in FIGURES)
+_MEANS = ", ".join(f"CAST(sum({x}) AS BIGINT) AS {x}" if x in ("num_documents", "total_citations") else f"round(avg({x}), 9) AS {x}" for x in FIGURES)
 
 
 @query("ag13_mean_of_ratios", f"WITH {WORKS_SQL}, {_CUBE} SELECT region, year, {_MEANS}, count(DISTINCT journal_id) AS num_journals FROM cube GROUP BY region, year")
@@ -144,7 +144,7 @@ def ag14(spark, d):
     return works(spark, d).groupBy("country_code", "year").agg(F.count_distinct("journal_id").alias("num_journals"))
 
 
-@query("ag15_coverage", f"WITH {JOURNALS_SQL} SELECT country_code, round(100 * avg(CASE WHEN is_oa THEN 1.0 ELSE 0.0 END), 6) AS pct_oa FROM journals GROUP BY ALL")
+@query("ag15_coverage", f"WITH {JOURNALS_SQL} SELECT country_code, round(100 * avg(CASE WHEN is_oa THEN 1.0 ELSE 0.0 END), 9) AS pct_oa FROM journals GROUP BY ALL")
 def ag15(spark, d):
     return rounded(indicators.coverage(journals(spark, d), ["country_code"], ["is_oa"]))
 
@@ -163,7 +163,7 @@ def ag16(spark, d):
 
 @query(
     "ag17_kpis",
-    f"WITH {JOURNALS_SQL} SELECT count(*) AS total_journals, CAST(sum(works_count) AS BIGINT) AS total_articles, CAST(sum(cited_by_count) AS BIGINT) AS total_citations, round(100.0 * count(*) FILTER (WHERE is_oa) / count(*), 6) AS percent_oa, round(avg(citedness), 6) AS avg_impact FROM journals",
+    f"WITH {JOURNALS_SQL} SELECT count(*) AS total_journals, CAST(sum(works_count) AS BIGINT) AS total_articles, CAST(sum(cited_by_count) AS BIGINT) AS total_citations, round(100.0 * count(*) FILTER (WHERE is_oa) / count(*), 9) AS percent_oa, round(avg(citedness), 9) AS avg_impact FROM journals",
 )
 def ag17(spark, d):
     return rounded(slices.key_figures(journals(spark, d)))
@@ -171,7 +171,7 @@ def ag17(spark, d):
 
 @query(
     "ag18_country_stats",
-    f"WITH {JOURNALS_SQL} SELECT country_code, count(*) AS num_journals, CAST(sum(works_count) AS BIGINT) AS works_count, CAST(sum(cited_by_count) AS BIGINT) AS cited_by_count, round(avg(citedness), 6) AS avg_impact_factor, round(100.0 * count(*) FILTER (WHERE is_oa) / count(*), 6) AS percent_oa FROM journals GROUP BY country_code",
+    f"WITH {JOURNALS_SQL} SELECT country_code, count(*) AS num_journals, CAST(sum(works_count) AS BIGINT) AS works_count, CAST(sum(cited_by_count) AS BIGINT) AS cited_by_count, round(avg(citedness), 9) AS avg_impact_factor, round(100.0 * count(*) FILTER (WHERE is_oa) / count(*), 9) AS percent_oa FROM journals GROUP BY country_code",
 )
 def ag18(spark, d):
     return rounded(slices.country_figures(journals(spark, d)))
@@ -190,22 +190,22 @@ def ag28(spark, d):
 _JC = f"jc AS (SELECT journal_id, {RAW} FROM works GROUP BY journal_id)"
 
 
-@query("ag30_summary", f"WITH {WORKS_SQL}, {_JC} SELECT count(fwci_avg) AS n, round(avg(fwci_avg), 6) AS mean, round(stddev_samp(fwci_avg), 6) AS std, round(min(fwci_avg), 6) AS min, round(quantile_cont(fwci_avg, 0.25), 6) AS q1, round(quantile_cont(fwci_avg, 0.5), 6) AS q2, round(quantile_cont(fwci_avg, 0.75), 6) AS q3, round(max(fwci_avg), 6) AS max FROM jc")
+@query("ag30_summary", f"WITH {WORKS_SQL}, {_JC} SELECT count(fwci_avg) AS n, round(avg(fwci_avg), 9) AS mean, round(stddev_samp(fwci_avg), 9) AS std, round(min(fwci_avg), 9) AS min, round(quantile_cont(fwci_avg, 0.25), 9) AS q1, round(quantile_cont(fwci_avg, 0.5), 9) AS q2, round(quantile_cont(fwci_avg, 0.75), 9) AS q3, round(max(fwci_avg), 9) AS max FROM jc")
 def ag30(spark, d):
     return rounded(slices.summary(indicators.indicator_cube(works(spark, d), ["journal_id"]), "fwci_avg"))
 
 
-@query("ag31_stats", f"WITH {WORKS_SQL}, {_JC} SELECT count(pct_oa_gold) AS n, round(avg(pct_oa_gold), 6) AS mean, round(median(pct_oa_gold), 6) AS median, round(stddev_samp(pct_oa_gold), 6) AS std, round(min(pct_oa_gold), 6) AS min, round(max(pct_oa_gold), 6) AS max FROM jc")
+@query("ag31_stats", f"WITH {WORKS_SQL}, {_JC} SELECT count(pct_oa_gold) AS n, round(avg(pct_oa_gold), 9) AS mean, round(median(pct_oa_gold), 9) AS median, round(stddev_samp(pct_oa_gold), 9) AS std, round(min(pct_oa_gold), 9) AS min, round(max(pct_oa_gold), 9) AS max FROM jc")
 def ag31(spark, d):
     return rounded(slices.statistics(indicators.indicator_cube(works(spark, d), ["journal_id"]), "pct_oa_gold"))
 
 
-@query("ag32_corr", f"WITH {WORKS_SQL}, {_JC} SELECT count(*) AS n, round(corr(fwci_avg, avg_percentile), 6) AS r FROM jc")
+@query("ag32_corr", f"WITH {WORKS_SQL}, {_JC} SELECT count(*) AS n, round(corr(fwci_avg, avg_percentile), 9) AS r FROM jc")
 def ag32(spark, d):
     return rounded(slices.correlation(indicators.indicator_cube(works(spark, d), ["journal_id"]), "fwci_avg", "avg_percentile"))
 
 
-@query("ag33_boolean_share", f"WITH {JOURNALS_SQL} SELECT count(*) FILTER (WHERE is_oa) AS n_oa, round(100.0 * count(*) FILTER (WHERE is_oa) / count(*), 6) AS pct_oa FROM journals")
+@query("ag33_boolean_share", f"WITH {JOURNALS_SQL} SELECT count(*) FILTER (WHERE is_oa) AS n_oa, round(100.0 * count(*) FILTER (WHERE is_oa) / count(*), 9) AS pct_oa FROM journals")
 def ag33(spark, d):
     return rounded(journals(spark, d).agg(F.count_if("is_oa").alias("n_oa"), (100.0 * F.count_if("is_oa") / F.count(F.lit(1))).alias("pct_oa")))
 
@@ -229,14 +229,14 @@ def ag36(spark, d):
 @query(
     "ag37_detect_scale",
     f"WITH {WORKS_SQL}, m AS (SELECT journal_id, CASE WHEN journal_id % 2 = 0 THEN percentile * 100 ELSE percentile END AS p FROM works) SELECT journal_id, CASE WHEN max(p) > 1 THEN 100 ELSE 1 END AS scale, "
-    "round(100.0 * count(*) FILTER (WHERE p >= CASE WHEN m2 > 1 THEN 90 ELSE 0.9 END) / count(*), 6) AS pct_top_10 FROM (SELECT *, max(p) OVER (PARTITION BY journal_id) AS m2 FROM m) GROUP BY journal_id",
+    "round(100.0 * count(*) FILTER (WHERE p >= CASE WHEN m2 > 1 THEN 90 ELSE 0.9 END) / count(*), 9) AS pct_top_10 FROM (SELECT *, max(p) OVER (PARTITION BY journal_id) AS m2 FROM m) GROUP BY journal_id",
 )
 def ag37(spark, d):
     mixed = works(spark, d).withColumn("percentile", F.when(F.col("journal_id") % 2 == 0, F.col("percentile") * 100).otherwise(F.col("percentile")))
     return rounded(indicators.percentile_scale(mixed, keys=["journal_id"]))
 
 
-@query("xf10_journal_profile", f"WITH {WORKS_SQL} SELECT journal_id, year, count(*) AS num_documents, round(avg(fwci), 6) AS fwci_avg, round(100.0 * count(*) FILTER (WHERE percentile >= 0.9) / count(*), 6) AS pct_top_10, round(avg(percentile), 6) AS avg_percentile FROM works GROUP BY ALL")
+@query("xf10_journal_profile", f"WITH {WORKS_SQL} SELECT journal_id, year, count(*) AS num_documents, round(avg(fwci), 9) AS fwci_avg, round(100.0 * count(*) FILTER (WHERE percentile >= 0.9) / count(*), 9) AS pct_top_10, round(avg(percentile), 9) AS avg_percentile FROM works GROUP BY ALL")
 def xf10(spark, d):
     return rounded(normalise.journal_profile(works(spark, d).withColumn("is_top_10", F.col("percentile") >= 0.9)))
 
@@ -261,7 +261,7 @@ def _ema_sql(window: int) -> str:
     term = lambda k: f"{'lag' if k < 0 else 'lead'}(fwci_avg, {abs(k)}) OVER w" if k else "fwci_avg"
     top = " + ".join(f"coalesce({term(k)} * {math.exp(-abs(k))!r}, 0)" for k in range(-half, half + 1))
     low = " + ".join(f"CASE WHEN {term(k)} IS NULL THEN 0 ELSE {math.exp(-abs(k))!r} END" for k in range(-half, half + 1))
-    return f"WITH {WORKS_SQL}, {_CY} SELECT country_code, year, round(({top}) / nullif({low}, 0), 6) AS fwci_avg, num_documents FROM cy WINDOW w AS (PARTITION BY country_code ORDER BY year)"
+    return f"WITH {WORKS_SQL}, {_CY} SELECT country_code, year, round(({top}) / nullif({low}, 0), 9) AS fwci_avg, num_documents FROM cy WINDOW w AS (PARTITION BY country_code ORDER BY year)"
 
 
 @query("wn01_ema3", _ema_sql(3))
@@ -274,12 +274,12 @@ def wn01_5(spark, d):
     return rounded(series.smoothed(country_years(spark, d), ["country_code"], ["fwci_avg"], 5))
 
 
-@query("wn02_centered", f"WITH {WORKS_SQL}, {_CY} SELECT country_code, year, round(avg(fwci_avg) OVER (PARTITION BY country_code ORDER BY year ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS fwci_avg, num_documents FROM cy")
+@query("wn02_centered", f"WITH {WORKS_SQL}, {_CY} SELECT country_code, year, round(avg(fwci_avg) OVER (PARTITION BY country_code ORDER BY year ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 9) AS fwci_avg, num_documents FROM cy")
 def wn02(spark, d):
     return rounded(series.centred_mean(country_years(spark, d), ["country_code"], ["fwci_avg"], 3))
 
 
-@query("wn03_trailing", f"WITH {WORKS_SQL}, {_CY} SELECT country_code, year, round(avg(fwci_avg) OVER (PARTITION BY country_code ORDER BY year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS fwci_avg, num_documents FROM cy")
+@query("wn03_trailing", f"WITH {WORKS_SQL}, {_CY} SELECT country_code, year, round(avg(fwci_avg) OVER (PARTITION BY country_code ORDER BY year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) AS fwci_avg, num_documents FROM cy")
 def wn03(spark, d):
     return rounded(series.trailing_mean(country_years(spark, d), ["country_code"], ["fwci_avg"], 3))
 
@@ -292,7 +292,7 @@ def wn04(spark, d):
     return country_years(spark, d).select("country_code", "year", "num_documents", F.sum("num_documents").over(w).alias("total"), F.count(F.lit(1)).over(w).alias("years"))
 
 
-@query("wn07_max_norm", f"WITH {WORKS_SQL}, {_JC} SELECT journal_id, round(fwci_avg / max(fwci_avg) OVER (), 6) AS fwci_avg, round(CASE WHEN max(pct_lang_zh) OVER () > 0 THEN pct_lang_zh / max(pct_lang_zh) OVER () ELSE 0 END, 6) AS pct_lang_zh FROM jc")
+@query("wn07_max_norm", f"WITH {WORKS_SQL}, {_JC} SELECT journal_id, round(fwci_avg / max(fwci_avg) OVER (), 9) AS fwci_avg, round(CASE WHEN max(pct_lang_zh) OVER () > 0 THEN pct_lang_zh / max(pct_lang_zh) OVER () ELSE 0 END, 9) AS pct_lang_zh FROM jc")
 def wn07(spark, d):
     cube = indicators.indicator_cube(works(spark, d), ["journal_id"]).select("journal_id", "fwci_avg", "pct_lang_zh")
     return rounded(series.max_normalised(cube, ["fwci_avg", "pct_lang_zh"]))
@@ -325,7 +325,7 @@ def xf06(spark, d):
     return rounded(cubes.refreshed(build(w.filter("journal_id % 2 = 0")), w, "journal_id", build))
 
 
-@query("xf09_with_originals", f"WITH {WORKS_SQL}, {_CY} SELECT country_code, year, round(avg(fwci_avg) OVER (PARTITION BY country_code ORDER BY year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS fwci_avg, round(fwci_avg, 6) AS fwci_avg_orig FROM cy")
+@query("xf09_with_originals", f"WITH {WORKS_SQL}, {_CY} SELECT country_code, year, round(avg(fwci_avg) OVER (PARTITION BY country_code ORDER BY year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) AS fwci_avg, round(fwci_avg, 9) AS fwci_avg_orig FROM cy")
 def xf09(spark, d):
     base = country_years(spark, d)
     smooth = series.trailing_mean(base, ["country_code"], ["fwci_avg"], 3).select("country_code", "year", "fwci_avg")

@@ -63,6 +63,6 @@ journals AS (
   LEFT JOIN (SELECT journal_id, count(*) AS works_count, CAST(sum(cited_by_count) AS BIGINT) AS cited_by_count FROM works GROUP BY 1) c ON c.journal_id = s_suppkey)"""
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Figures in double precision rounded, as the order of summation differs between engines."""
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

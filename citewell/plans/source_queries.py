@@ -1 +1,173 @@
-"""Placeholder."""
+"""Sources and sinks: files are written and read again in the shared folder, so results equal the tables they began as."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from citewell.plans import normalise, slices
+from citewell.plans.catalogue import query
+from citewell.plans.fixture import RECENT, WORKS_SQL, rounded, table, works
+from citewell.plans.indicators import indicator_cube
+from citewell.sources import snapshot
+
+
+def folder(spark, label: str) -> str:
+    """A new path in the folder that executors share; a local one where none is configured, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citewell-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def raw_works(spark, d):
+    """The test works as snapshot JSON lines."""
+    w = works(spark, d).withColumn("id", F.concat(F.lit("W"), F.monotonically_increasing_id().cast("string")))
+    name = lambda c: F.struct(F.col(c).alias("display_name"))
+    return w.select(F.to_json(F.struct(
+        "id", F.col("year").alias("publication_year"), "cited_by_count", "fwci", "language",
+        F.struct(F.col("percentile").alias("value")).alias("citation_normalized_percentile"),
+        F.struct("is_oa", "oa_status").alias("open_access"),
+        F.struct(F.struct(F.col("journal_id").cast("string").alias("id")).alias("source")).alias("primary_location"),
+        F.struct(F.col("topic").alias("display_name"), name("subfield").alias("subfield"), name("field").alias("field"), name("domain").alias("domain")).alias("primary_topic"),
+    )).alias("value"))
+
+
+_SUITE_SMALL = "journal_id, year, count(*) AS num_documents, CAST(sum(cited_by_count) AS BIGINT) AS total_citations, round(avg(coalesce(fwci, 0)), 9) AS fwci_avg, round(100.0 * count(*) FILTER (WHERE percentile >= 0.9) / count(*), 9) AS pct_top_10"
+
+
+@query("src02_snapshot_cube", f"WITH {WORKS_SQL} SELECT CAST(journal_id AS VARCHAR) AS {_SUITE_SMALL} FROM works GROUP BY journal_id, year")
+def src02(spark, d):
+    path = folder(spark, "snapshot")
+    raw_works(spark, d).write.option("compression", "gzip").text(f"{path}/works")
+    parsed = normalise.parsed(snapshot.raw_documents(spark, f"{path}/works"))
+    cube = indicator_cube(normalise.cube_works(parsed), ["journal_id", "year"])
+    return rounded(cube.select("journal_id", "year", "num_documents", "total_citations", "fwci_avg", "pct_top_10"))
+
+
+@query("src01_entities", "SELECT * FROM (VALUES ('sources'), ('works')) t(entity)")
+def src01(spark, d):
+    path = folder(spark, "snapshot")
+    for name in ("works", "sources"):
+        table(spark, d, "nation").select("n_name").write.option("compression", "gzip").text(f"{path}/{name}/updated_date=2024-01-01")
+    table(spark, d, "nation").select("n_name").write.text(f"{path}/plain")
+    return spark.createDataFrame([(e,) for e in snapshot.entities(spark, path)], "entity string")
+
+
+@query("src03_inferred_json", "SELECT n_nationkey, n_name FROM nation")
+def src03(spark, d):
+    path = folder(spark, "json")
+    table(spark, d, "nation").select(F.to_json(F.struct("n_nationkey", "n_name")).alias("value")).union(spark.createDataFrame([("{broken",)], "value string")).write.text(path)
+    return snapshot.inferred_json(spark, path).select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+
+
+@query("src04_described", "SELECT * FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) t(\"column\", type)")
+def src04(spark, d):
+    return snapshot.described(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@query("src05_full_scan", "SELECT * FROM supplier")
+def src05(spark, d):
+    return table(spark, d, "supplier")
+
+
+@query("src06_column_scan", "SELECT l_orderkey, l_quantity FROM lineitem")
+def src06(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_quantity")
+
+
+@query("src07_pushed_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey = 5")
+def src07(spark, d):
+    return table(spark, d, "lineitem").filter(F.col("l_suppkey") == 5).select("l_orderkey", "l_linenumber")
+
+
+@query("src09_row_count", "SELECT count(*) AS n FROM orders")
+def src09(spark, d):
+    return spark.createDataFrame([(snapshot.row_count(spark, f"{d}/orders.parquet"),)], "n long")
+
+
+@query("src16_csv", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def src16(spark, d):
+    path = folder(spark, "csv")
+    snapshot.write_csv(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path, ";")
+    return snapshot.read_csv(spark, path, "s_suppkey long, s_name string, s_acctbal double", ";")
+
+
+@query("src17_find_source", "SELECT s_suppkey AS id FROM supplier WHERE contains(lower(s_name), '00003') OR s_nationkey = 7")
+def src17(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("display_name"), F.col("s_nationkey").cast("string").alias("issn_l"))
+    return slices.find_source(s, name="00003", issn="7").select(F.col("id").cast("long").alias("id"))
+
+
+@query("src18_catalogue", "SELECT 'citewell_nation' AS \"table\", 'n_name' AS \"column\", 'string' AS type")
+def src18(spark, d):
+    table(spark, d, "nation").select("n_name").createOrReplaceTempView("citewell_nation")
+    return snapshot.catalogue(spark).filter(F.col("table") == "citewell_nation")
+
+
+@query("snk01_ledger_ingest", "SELECT count(*) AS n, 0 AS again FROM nation")
+def snk01(spark, d):
+    path = folder(spark, "ingest")
+    table(spark, d, "nation").select(F.to_json(F.struct(F.col("n_nationkey").cast("string").alias("id"), "n_name")).alias("value")).write.option("compression", "gzip").text(f"{path}/in/works")
+    snapshot.ingest(spark, f"{path}/in", f"{path}/raw", f"{path}/ledger", "works")
+    again = snapshot.ingest(spark, f"{path}/in", f"{path}/raw", f"{path}/ledger", "works")
+    return snapshot.latest_documents(spark.read.parquet(f"{path}/raw")).agg(F.count(F.lit(1)).alias("n")).withColumn("again", F.lit(again))
+
+
+@query("snk02_cube_file", f"WITH {WORKS_SQL} SELECT journal_id, count(*) AS num_documents FROM works GROUP BY 1")
+def snk02(spark, d):
+    from citewell.plans import cubes
+
+    path = folder(spark, "cube")
+    cubes.save_cube(indicator_cube(works(spark, d), ["journal_id"]).select("journal_id", "num_documents"), path, ["journal_id"])
+    return cubes.load_cube(spark, path)
+
+
+@query("snk07_copy_text", "SELECT n_nationkey, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_name END, '\\N') AS t FROM nation")
+def snk07(spark, d):
+    from citewell.functions.scalars import copy_text
+
+    return table(spark, d, "nation").select("n_nationkey", copy_text(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))).alias("t"))
+
+
+@query("snk11_add_columns", "SELECT n_nationkey, CAST(NULL AS DOUBLE) AS fwci FROM nation")
+def snk11(spark, d):
+    return table(spark, d, "nation").select("n_nationkey").withColumn("fwci", F.lit(None).cast("double"))
+
+
+def _source_json(spark, d):
+    s = table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    topic = F.struct(F.lit("T1").alias("id"), F.lit("t").alias("display_name"), F.lit(0).alias("count"), k.alias("works_count"), F.lit(0.0).alias("share"), (k * 1.0).alias("percentage"))
+    return s.select(F.to_json(F.struct(
+        k.cast("string").alias("id"), F.when(k % 3 == 0, F.concat(F.lit("SciELO "), F.col("s_name"))).otherwise(F.col("s_name")).alias("display_name"),
+        F.struct(k.alias("h_index"), (k / 10).alias("2yr_mean_citedness")).alias("summary_stats"),
+        F.struct(F.when(k % 2 == 0, "x").alias("scopus")).alias("ids"), (k % 5 == 0).alias("is_oa"), F.array(topic).alias("topics"),
+    )).alias("raw_data"))
+
+
+@query("xf02_source_metadata", "SELECT CAST(s_suppkey AS VARCHAR) AS id, CAST(s_suppkey AS INT) AS h_index, round(s_suppkey / 10, 9) AS citedness_2yr, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS in_scopus, CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS in_scielo, 0 AS in_core, s_suppkey % 5 = 0 AS is_oa FROM supplier")
+def xf02(spark, d):
+    made = normalise.source_metadata(normalise.parsed(_source_json(spark, d), "source"))
+    return rounded(made.select("id", "h_index", "citedness_2yr", "in_scopus", "in_scielo", "in_core", "is_oa"))
+
+
+@query("xf07_topic_fallbacks", "SELECT CAST(s_suppkey AS VARCHAR) AS journal_id, s_suppkey AS count, round(s_suppkey / 100.0, 9) AS share, 'Unknown' AS domain FROM supplier")
+def xf07(spark, d):
+    return rounded(normalise.source_topics(normalise.parsed(_source_json(spark, d), "source")).select("journal_id", "count", "share", "domain"))
+
+
+@query("xf01_work_tables", f"WITH {WORKS_SQL} SELECT 'works' AS name, count(*) AS n FROM works WHERE journal_id % 2 = 0 UNION ALL SELECT 'works_open_access', count(*) FROM works WHERE journal_id % 2 = 0 UNION ALL SELECT 'works_primary_location', count(*) FROM works WHERE journal_id % 2 = 0")
+def xf01(spark, d):
+    parsed = normalise.parsed(raw_works(spark, d).withColumnRenamed("value", "raw_data"))
+    ids = table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").cast("string").alias("id"))
+    tables = normalise.work_tables(parsed, ids)
+    made = [tables[t].agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t in ("works", "works_open_access", "works_primary_location")]
+    return made[0].union(made[1]).union(made[2])
+
+
+@query("ext01_tumbling_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def ext01(spark, d):
+    from citewell.streaming.ingest import windowed_counts
+
+    return rounded(windowed_counts(table(spark, d, "events"), "ts", "1 hour", "event_type"), 6)
