@@ -11,12 +11,12 @@ class MissingColumns(ValueError):
 
 
 def struct(ddl: str) -> T.StructType:
+    """A schema from its text; needs a running session, so texts are what modules keep."""
     return T.StructType.fromDDL(ddl)
 
 
-#: A work as it stands in a snapshot's JSON.
-WORK_JSON = struct(
-    """id string, doi string, title string, display_name string, publication_year int, publication_date string, type string, language string,
+#: A work as it stands in a snapshot's JSON, as schema text.
+WORK_JSON = """id string, doi string, title string, display_name string, publication_year int, publication_date string, type string, language string,
     cited_by_count int, fwci double, is_retracted boolean, is_paratext boolean, cited_by_api_url string,
     citation_normalized_percentile struct<value: double, is_in_top_1_percent: boolean, is_in_top_10_percent: boolean>,
     open_access struct<is_oa: boolean, oa_status: string, oa_url: string, any_repository_has_fulltext: boolean>,
@@ -26,17 +26,14 @@ WORK_JSON = struct(
     topics array<struct<id: string, display_name: string, score: double, field: struct<display_name: string>, domain: struct<display_name: string>>>,
     authorships array<struct<author: struct<id: string>, author_position: string, raw_affiliation_string: string, institutions: array<struct<id: string>>>>,
     abstract_inverted_index map<string, array<int>>"""
-)
 
-#: A source (journal) as it stands in a snapshot's JSON.
-SOURCE_JSON = struct(
-    """id string, display_name string, issn_l string, issn array<string>, publisher string, host_organization_name string, country_code string, type string,
+#: A source (journal) as it stands in a snapshot's JSON, as schema text.
+SOURCE_JSON = """id string, display_name string, issn_l string, issn array<string>, publisher string, host_organization_name string, country_code string, type string,
     is_oa boolean, is_in_doaj boolean, is_core boolean, is_ojs boolean, is_in_scielo boolean, works_count int, cited_by_count int, updated_date string,
     summary_stats struct<h_index: int, i10_index: int, `2yr_mean_citedness`: double>, ids struct<scopus: string, mag: string, fatcat: string>,
     topics array<struct<id: string, display_name: string, count: bigint, works_count: bigint, share: double, percentage: double,
       subfield: struct<display_name: string>, field: struct<display_name: string>, domain: struct<display_name: string>>>,
     counts_by_year array<struct<year: int, works_count: bigint, cited_by_count: bigint>>"""
-)
 
 #: What the indicator cubes read of a work, one row each.
 WORK_COLUMNS = (
