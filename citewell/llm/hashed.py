@@ -44,6 +44,14 @@ class WordRows(dict):
 
 
 def hash_sample(df: DataFrame, by: str, each: int, id_col: str) -> DataFrame:
-    """At most ``each`` rows of every value of ``by``, those whose hashed ids are smallest; tasks cut to that number before the shuffle."""
+    """Rows of at most ``each`` ids of every value of ``by``, those whose hashed ids are smallest.
+
+    Ids alone are ranked, and every task cuts its own to ``each`` a value before
+    the shuffle; the ids chosen, at most ``each`` times the number of values,
+    are broadcast to the rows, so no text is shuffled.
+    """
     order = Window.partitionBy(by).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col))
-    return df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each).drop("_n")
+    ranked = df.select(by, id_col).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each)
+    chosen = ranked.select(F.col(by).alias("_by"), F.col(id_col).alias("_id"))
+    same = df[by].eqNullSafe(chosen["_by"]) & df[id_col].eqNullSafe(chosen["_id"])
+    return df.join(F.broadcast(chosen), same, "left_semi")

@@ -27,9 +27,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import table
+from citewell.llm.common import table, written
 from citewell.llm.hashed import WordRows, bucket, hash_sample
-from citewell.llm.quality_rules import fold, measures
+from citewell.llm.quality_rules import measures
 
 #: Measure, bound for good, bound for bad, and the smallest number of words it votes on.
 #: Good where the value is on the first bound's side, bad beyond the second, no vote between.
@@ -44,27 +44,17 @@ LABELLERS = (
 GOOD, BAD, NONE = 1, 0, 2
 
 
-def _echoes(words: Column) -> Column:
-    """Words equal to one of the three before them."""
-    return F.size(F.filter(words, lambda w, i: F.coalesce((w == F.get(words, i - 1)) | (w == F.get(words, i - 2)) | (w == F.get(words, i - 3)), F.lit(False))))
-
-
-def votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``text`` and the ``pattern`` of votes, one digit a labeller."""
+def votes(docs: DataFrame, id_col: str, text_col: str, most_chars: int) -> DataFrame:
+    """``id, pattern, usable``: a digit for each labeller's vote, and whether the text may serve as a training row."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    m = measures(source, "text", ("id", "text"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    size, signs = F.length("text"), F.length(F.regexp_replace("text", r"[^|!#$%&*]+", ""))
+    source = source.select("id", "text", (size <= most_chars).alias("usable"), signs.alias("signs"))
     n = F.col("n_words")
-    m = m.withColumns(
-        {
-            "echo_ratio": share(fold(words, _echoes), n),
-            "mark_ratio": share(F.length(F.regexp_replace("text", r"[^|!#$%&*]+", "")), n * 6),
-            "rare_ratio": 1.0 - F.col("stop_word_ratio"),
-        }
+    m = measures(source, "text", ("id", "usable", "signs")).withColumns(
+        {"mark_ratio": F.coalesce(F.try_divide(F.col("signs").cast("double"), n * 6), F.lit(0.0)), "rare_ratio": 1.0 - F.col("stop_word_ratio")}
     )
     cast = [F.when(n < least, NONE).when(F.col(c) <= good, GOOD).when(F.col(c) >= bad, BAD).otherwise(NONE).cast("string") for c, good, bad, least in LABELLERS]
-    return m.select("id", "text", F.concat(*cast).alias("pattern"))
+    return m.select("id", F.concat(*cast).alias("pattern"), (F.col("usable") & (n > 0)).alias("usable"))
 
 
 def estimate(counts: dict[str, int], rounds: int = 200, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
@@ -170,11 +160,13 @@ def train(texts: list[str], targets: list[float], buckets: int = 1 << 16, epochs
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_pattern: int = 120, most_chars: int = 20_000, **options) -> QualityModel:
     """EM over the votes of all documents, then a scorer from at most ``per_pattern`` documents of each vote pattern, of at most ``most_chars`` characters."""
-    cast = votes(docs, id_col, text_col)
+    cast = written(votes(docs, id_col, text_col, most_chars), "votes")
     counts = {r["pattern"]: r["n"] for r in cast.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior, likely, posterior = estimate(counts)
-    sample = hash_sample(cast.filter((F.length("text") <= most_chars) & F.col("text").rlike(r"[^\x20\x09-\x0D]")), "pattern", per_pattern, "id").collect()
-    rows = sorted((r["id"] or 0, r["text"], posterior[r["pattern"]]) for r in sample)
+    chosen = hash_sample(cast.filter("usable"), "pattern", per_pattern, "id").select("id", "pattern").distinct()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    sample = texts.join(F.broadcast(chosen), texts["_id"].eqNullSafe(chosen["id"])).select("id", "text", "pattern").collect()
+    rows = sorted((r["id"] or 0, r["text"] or "", posterior[r["pattern"]]) for r in sample if r["text"])
     weights, bias = train([t for _, t, _ in rows], [p for _, _, p in rows], **options)
     return QualityModel(weights, bias, prior, likely, posterior)
 

@@ -81,6 +81,12 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) >= 4, fold(words, count)).otherwise(F.lit(0).cast("long"))
 
 
+def _echo_words(words: Column) -> Column:
+    """Words equal to one of the three before them."""
+    near = lambda a, i: F.coalesce((F.get(a, i) == F.get(a, i - 1)) | (F.get(a, i) == F.get(a, i - 2)) | (F.get(a, i) == F.get(a, i - 3)), F.lit(False))
+    return fold(words, lambda a: F.size(F.filter(a, lambda w, i: near(a, i))))
+
+
 def measures(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns beside the counts and ratios that rules may name."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -94,6 +100,7 @@ def measures(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("
         F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("_w")).alias("n_repeat_words"),
+        _echo_words(F.col("_w")).cast("long").alias("n_echo_words"),
         F.length(F.regexp_replace("_t", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
         F.length(F.regexp_replace("_t", r"[^\p{Lu}]+", "")).cast("long").alias("n_capitals"),
         F.size(F.filter("_w", lambda w: F.lower(w).isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
@@ -105,6 +112,7 @@ def measures(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("
             "symbol_ratio": ratio("n_symbols", "word_chars"),
             "capital_ratio": ratio("n_capitals", "n_letters"),
             "stop_word_ratio": ratio("n_stop_words", "n_words"),
+            "echo_ratio": ratio("n_echo_words", "n_words"),
             "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
             "words_per_line": ratio("n_words", "n_lines"),
         }
