@@ -218,6 +218,8 @@ def rows_of(blocks: list[Block]) -> Iterator[tuple]:
     """The features of each block; an article counts before ``main``, and that where there is no article."""
     articles = any(b.article for b in blocks)
     has = articles or any(b.main for b in blocks)
+    if not blocks:
+        return
     edge = Block("", 0, 0.0, False, False, False)
     for before, b, after in zip([edge, *blocks[:-1]], blocks, [*blocks[1:], edge], strict=True):
         inside = b.article if articles else b.main
