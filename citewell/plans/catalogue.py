@@ -15,15 +15,19 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query and its SQL."""
+def query(name: str, sql: str | None = None, nudge: bool = True) -> Callable[[Query], Query]:
+    """Registers a query and its SQL.
+
+    With ``nudge`` the SQL rounds as ``fixture.rounded`` does: a hair is added
+    first, so exact ties don't hang on the order of summation.
+    """
 
     def put(build: Query) -> Query:
         if name in _QUERIES:
             raise ValueError(f"two queries are named {name}")
         _QUERIES[name] = build
         if sql:
-            _SQL[name] = sql
+            _SQL[name] = sql.replace("round(", "round(1e-12 + ") if nudge else sql
         return build
 
     return put

@@ -64,5 +64,5 @@ journals AS (
 
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
-    """Figures in double precision rounded, as the order of summation differs between engines."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Figures in double precision rounded, as the order of summation differs between engines; a hair is added so that exact ties go one way."""
+    return df.select(*[F.round(F.col(c) + 1e-12, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

@@ -34,10 +34,10 @@ def jn04(spark, d):
     return table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"), "left").select(F.col("s_suppkey").alias("journal_id"), F.col("s_name").alias("name"), F.col("n_name").alias("country_code"))
 
 
-@query("jn05_composite_left", "WITH a AS (SELECT o_custkey AS id, CAST(year(o_orderdate) AS INT) AS year, count(*) AS n FROM orders GROUP BY 1, 2) SELECT a.id AS id, a.year AS year, a.n AS n, b.n AS n_orig FROM a LEFT JOIN (SELECT * FROM a WHERE n > 1) b ON b.id = a.id AND b.year = a.year")
+@query("jn05_composite_left", "WITH a AS (SELECT o_custkey AS id, CAST(year(o_orderdate) AS INT) AS year, count(*) AS n FROM orders GROUP BY 1, 2) SELECT a.id AS id, a.year AS year, a.n AS n, coalesce(b.n, 0) AS n_orig FROM a LEFT JOIN (SELECT * FROM a WHERE n > 1) b ON b.id = a.id AND b.year = a.year")
 def jn05(spark, d):
     a = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
-    return a.join(a.filter("n > 1").select("id", "year", F.col("n").alias("n_orig")), ["id", "year"], "left")
+    return a.join(a.filter("n > 1").select("id", "year", F.col("n").alias("n_orig")), ["id", "year"], "left").na.fill(0, ["n_orig"])
 
 
 @query("jn08_semi", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')")
@@ -279,12 +279,12 @@ def ag26(spark, d):
     return made.select("conv_id", F.size(F.from_json("items", "array<struct<turn: bigint, role: string>>")).cast("long").alias("n"))
 
 
-@query("rs06_explode_outer", "SELECT conv_id, turn, role FROM conversations UNION ALL SELECT -conv_id - 1, NULL, NULL FROM (SELECT DISTINCT conv_id FROM conversations)")
+@query("rs06_explode_outer", "SELECT conv_id, turn, role FROM conversations UNION ALL SELECT -conv_id - 1, -1, NULL FROM (SELECT DISTINCT conv_id FROM conversations)")
 def rs06(spark, d):
     c = table(spark, d, "conversations")
     full = c.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("a"))
     empty = full.select((-F.col("conv_id") - 1).alias("conv_id"), F.slice("a", 1, 0).alias("a"))
-    return full.union(empty).select("conv_id", F.explode_outer("a").alias("x")).select("conv_id", "x.turn", "x.role")
+    return full.union(empty).select("conv_id", F.explode_outer("a").alias("x")).select("conv_id", F.coalesce("x.turn", F.lit(-1)).alias("turn"), "x.role")
 
 
 @query("rs07_slice", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn FROM conversations) WHERE rn <= 3")

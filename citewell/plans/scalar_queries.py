@@ -59,7 +59,7 @@ def nm01(spark, d):
     return table(spark, d, "events").select("event_id", S.or_zero(F.col("props")).alias("a"), S.or_zero(F.get_json_object("props", "$.k")).alias("b"))
 
 
-@query("nm03_rounding", "SELECT p_partkey, round(p_retailprice / 7, 1) AS r FROM part")
+@query("nm03_rounding", "SELECT p_partkey, round(p_retailprice / 7, 1) AS r FROM part", nudge=False)
 def nm03(spark, d):
     return table(spark, d, "part").select("p_partkey", S.rounded(F.col("p_retailprice") / 7, 1).alias("r"))
 

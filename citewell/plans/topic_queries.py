@@ -15,7 +15,7 @@ YEARS = list(range(1995, 2002))
 _FINE = f"fine AS (SELECT country_code, domain, field, subfield, topic, count(*) AS n, avg(coalesce(fwci, 0)) AS f, count(*) FILTER (WHERE year >= {FIRST}) AS nr, coalesce(avg(coalesce(fwci, 0)) FILTER (WHERE year >= {FIRST}), 0) AS fr FROM works GROUP BY country_code, domain, field, subfield, topic)"
 
 
-@query("ag19_weighted", f"WITH {WORKS_SQL}, {_FINE} SELECT domain, CAST(sum(n) AS BIGINT) AS documents_full, round(sum(f * n) / sum(n), 3) AS fwci_full FROM fine GROUP BY domain")
+@query("ag19_weighted", f"WITH {WORKS_SQL}, {_FINE} SELECT domain, CAST(sum(n) AS BIGINT) AS documents_full, round(sum(f * n) / sum(n), 3) AS fwci_full FROM fine GROUP BY domain", nudge=False)
 def ag19(spark, d):
     fine = topics.fine_grain(works(spark, d), ["country_code"], FIRST)
     return indicators.weighted(fine, ["domain"], ["fwci_full"], weight="documents_full", digits=3)
