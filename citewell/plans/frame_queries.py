@@ -340,3 +340,47 @@ def dq06(spark, d):
     from citewell.plans.fixture import rounded
 
     return rounded(checks.zero_share(jn03(spark, d), "n_orders"))
+
+
+@query("flt09_both_axes", "SELECT c_custkey, a, b FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS a, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS b FROM customer) WHERE a IS NOT NULL AND b IS NOT NULL")
+def flt09(spark, d):
+    k = F.col("c_custkey")
+    axes = table(spark, d, "customer").select("c_custkey", F.when(k % 2 == 0, F.col("c_acctbal")).alias("a"), F.when(k % 3 == 0, F.col("c_nationkey")).alias("b"))
+    return axes.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+
+
+@query("prj03_labels", "SELECT n_nationkey, 'country' AS type, '1995-2001' AS period FROM nation")
+def prj03(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", F.lit("country").alias("type"), F.lit("1995-2001").alias("period"))
+
+
+@query("prj05_no_double_names", "SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def prj05(spark, d):
+    s = table(spark, d, "supplier").withColumn("n_name", F.lit("clash"))
+    n = table(spark, d, "nation")
+    return s.drop("n_name").join(n, s["s_nationkey"] == n["n_nationkey"]).select("s_suppkey", "s_name", "n_name")
+
+
+@query("nm02_to_numeric", "SELECT c_custkey, coalesce(TRY_CAST(CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE 'x1' END AS DOUBLE), 0.0) AS v FROM customer")
+def nm02(spark, d):
+    from citewell.functions.scalars import or_zero
+
+    text = F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).otherwise("x1")
+    return table(spark, d, "customer").select("c_custkey", or_zero(text).alias("v"))
+
+
+@query("js04_json_operator", "SELECT event_id, props ->> '$.k' AS k FROM events")
+def js04(spark, d):
+    return table(spark, d, "events").select("event_id", F.expr("cast(try_variant_get(try_parse_json(props), '$.k', 'string') as string)").alias("k"))
+
+
+@query("js05_safe_nested", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'Unknown' END AS name FROM supplier")
+def js05(spark, d):
+    host = F.when(F.col("s_suppkey") % 2 == 0, F.struct(F.struct(F.col("s_name").alias("name")).alias("host")))
+    return table(spark, d, "supplier").withColumn("o", host).select("s_suppkey", F.coalesce("o.host.name", F.lit("Unknown")).alias("name"))
+
+
+@query("dq02_missing_columns", "SELECT * FROM (VALUES ('fwci'), ('percentile')) t(\"column\")")
+def dq02(spark, d):
+    lacking = checks.missing_columns(table(spark, d, "supplier"), ["s_suppkey", "fwci", "percentile"])
+    return spark.createDataFrame([(c,) for c in lacking], "column string")

@@ -171,3 +171,49 @@ def ext01(spark, d):
     from citewell.streaming.ingest import windowed_counts
 
     return rounded(windowed_counts(table(spark, d, "events"), "ts", "1 hour", "event_type"), 6)
+
+
+@query("snk09_create_as", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'")
+def snk09(spark, d):
+    from citewell.sources import tables
+
+    path = folder(spark, "table")
+    name = f"citewell_{path.rpartition('-')[2]}"
+    made = tables.create_as(table(spark, d, "orders").filter("o_orderstatus = 'O'").select("o_orderkey", "o_totalprice"), name, path, row_group_bytes=1 << 20)
+    tables.measure(spark, name)
+    rows = made.select("*")
+    tables.drop(spark, name)
+    return spark.read.parquet(path).select(*rows.columns)
+
+
+@query("snk10_truncate", "SELECT 0 AS n")
+def snk10(spark, d):
+    from citewell.sources import tables
+
+    path = folder(spark, "table")
+    name = f"citewell_{path.rpartition('-')[2]}"
+    tables.create_as(table(spark, d, "nation"), name, path)
+    tables.truncate(spark, name)
+    left = spark.table(name).count()
+    tables.drop(spark, name)
+    return spark.createDataFrame([(left,)], "n int")
+
+
+@query("snk06_matrix", "SELECT CAST(i AS INT) AS row, CAST(j AS INT) AS col, CAST(i * 10 + j AS DOUBLE) AS value FROM range(3) a(i), range(2) b(j)")
+def snk06(spark, d):
+    from citewell.sources import tables
+
+    return tables.matrix_rows(spark, [[10 * i + j for j in range(2)] for i in range(3)])
+
+
+@query("dq07_presence", "SELECT 'nation' AS name, true AS present, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'nothing', false, 0")
+def dq07(spark, d):
+    from citewell.sources import tables
+
+    return tables.presence(spark, {"nation": f"{d}/nation.parquet", "nothing": f"{d}/nothing.parquet"})
+
+
+@query("js08_stats_default", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS INT) ELSE 0 END AS h_index FROM supplier")
+def js08(spark, d):
+    stats = F.when(F.col("s_suppkey") % 2 == 0, F.to_json(F.struct(F.col("s_suppkey").alias("h_index")))).otherwise("broken")
+    return table(spark, d, "supplier").select("s_suppkey", F.coalesce(F.from_json(stats, "h_index int")["h_index"], F.lit(0)).alias("h_index"))
