@@ -25,7 +25,6 @@ ignored; null ids are left out of classes and come back with no links.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
