@@ -48,7 +48,7 @@ _BOILER_TAGS = frozenset(("nav", "footer", "aside", "form", "menu", "dialog", "f
 _BOILER_WORDS = re.compile(
     r"(?:ads?|adv|advert\w*|adsense|banner\w*|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter\w*|subscri\w*|"
     r"signup|signin|login|register|share|sharing|social\w*|sidebar\w*|menus?|menubar|nav\w*|breadcrumbs?|footer\w*|masthead|topbar|toolbar|comment\w*|disqus\w*|"
-    r"respond|reply|replies|related\w*|recommend\w*|widgets?|pagination|pager|search|copyright|disclaimer|complementary|contentinfo|form)"
+    r"toc|respond|reply|replies|related\w*|recommend\w*|widgets?|pagination|pager|search|copyright|disclaimer|complementary|contentinfo|form)"
 )
 
 
@@ -62,16 +62,21 @@ class Block:
     main: bool
 
 
-def _marks(attrs: str) -> tuple[bool, bool]:
-    """Whether the attributes name boilerplate, and whether they hide the element."""
-    boiler = hidden = False
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+
+
+def _marks(attrs: str) -> tuple[bool, bool, bool]:
+    """Whether the attributes name boilerplate, name a header, and hide the element."""
+    boiler = header = hidden = False
     for name, a, b, c in _ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), (a or b or c).lower()
+        name, value = name.lower(), _HUMP.sub("-", a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
         elif name in ("class", "id", "role"):
-            boiler |= any(_BOILER_WORDS.fullmatch(x) for x in re.split(r"[^a-z0-9]+", value) if x)
-    return boiler, hidden
+            words = [x for x in re.split(r"[^a-z0-9]+", value) if x]
+            boiler |= any(map(_BOILER_WORDS.fullmatch, words))
+            header |= "header" in words
+    return boiler, header, hidden
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -125,8 +130,8 @@ def blocks_of(html: str) -> list[Block]:
                 if name in _VOID:
                     continue
                 _, boiler, hidden, article, main = stack[-1]
-                own, gone = _marks(m["attrs"]) if m["attrs"] else (False, False)
-                boiler |= own or name in _BOILER_TAGS or name == "header" and not article
+                own, header, gone = _marks(m["attrs"]) if m["attrs"] else (False, False, False)
+                boiler |= own or name in _BOILER_TAGS or (header or name == "header") and not article
                 stack.append((name, boiler, hidden or gone or name == "head", article or name == "article" and not boiler, main or name == "main"))
     add(html[at:])
     flush()

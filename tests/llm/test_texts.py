@@ -191,6 +191,8 @@ def test_main_text():
     assert html_text.main_text(PAGE, tree) == want
     bare = "<div><a href=1>One</a> <a href=2>Two</a></div><div>" + "Plain words of a page without an article. " * 5 + "</div><div class=footer>Foot words " * 3
     assert html_text.main_text(bare, tree).startswith("Plain words") and "Foot" not in html_text.main_text(bare, tree)
+    marked = '<div class="siteHeader">Name of the site and a claim</div><div id="mainText">' + "Words of the text that count here. " * 9 + '</div><div class="userComments">A reader says this and that, at some length.</div>'
+    assert html_text.main_text(marked, tree) == ("Words of the text that count here. " * 9).strip()
     for odd in (None, "", "<", "<p", "<!-- open", "<script>open", "a < b & c", "<p title='x>y'>t"):
         assert isinstance(html_text.main_text(odd, tree), str)
 
