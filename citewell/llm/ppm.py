@@ -46,7 +46,7 @@ from pyspark.sql.window import Window
 
 from citewell.llm.common import crc32_of_id, groups_for, table, text_or_empty, written
 
-DEPTH = 5
+DEPTH = 6
 _START, _END_WORD, _END_TEXT = b" ", b" ", b"\n"
 
 

@@ -89,3 +89,12 @@ def test_held_out_text_is_far_shorter_than_its_bytes(spark):
     size = {r.doc_id: sum(len(t) - 1 for t in tokens(r.text)) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > -0.45 * math.log10(256) * sum(size[r.doc_id] for r in held)
+
+
+def test_sixth_byte_of_context_counts(spark):
+    rows = [(1, "xbcdefg ybcdefh"), (2, "xbcdefg ybcdefh"), (3, "xbcdefg")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ppm_scores(docs, F.col("doc_id") < 3).collect()}
+    want = brute(rows, lambda i: i < 3, depth=6)
+    assert got == pytest.approx({i: w[4] for i, w in want.items()}, rel=1e-9)
+    assert want[3][4] > brute(rows, lambda i: i < 3, depth=5)[3][4] + 0.1
