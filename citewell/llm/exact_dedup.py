@@ -79,9 +79,17 @@ def exact_dedup(
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """``docs`` without the rows that repeat the text of a row with a smaller id; all columns stay."""
-    stay = exact_groups(docs, id_col, text_col, salts).select(F.col("keep_id").alias(id_col))
-    return docs.join(stay, id_col, "left_semi").select(docs.columns)
+    """``docs`` without the rows that repeat the text of a row with a smaller id; all columns stay.
+
+    As in ``exact_dedup``, a null id never wins against another id, and where a
+    text has null ids only, its rows all stay, as rows that repeat an id do.
+    """
+    groups = exact_groups(docs, id_col, text_col, salts)
+    # the text is a key of null ids only: it tells them apart and spreads them
+    stay = groups.select(F.col("keep_id").alias("_keep"), F.when(F.col("keep_id").isNull(), F.col("content")).alias("_content"))
+    content = F.when(docs[id_col].isNull(), normalised(docs[text_col]))
+    same = docs[id_col].eqNullSafe(stay["_keep"]) & content.eqNullSafe(stay["_content"])
+    return docs.join(stay, same, "left_semi").select(docs.columns)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

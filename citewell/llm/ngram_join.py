@@ -264,9 +264,13 @@ def near_duplicates(
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without those whose class has a document with a smaller id; all columns stay."""
-    stay = near_duplicates(docs, id_col, text_col, **options).filter(F.col("class_id").eqNullSafe(F.col(id_col)))
-    return docs.join(stay.select(id_col).distinct(), id_col, "left_semi").select(docs.columns)
+    """``docs`` without those whose class has a document with a smaller id; all columns stay.
+
+    Rows with a null id belong to no class and all stay.
+    """
+    stay = near_duplicates(docs, id_col, text_col, **options).filter(F.col("class_id") == F.col(id_col)).select(F.col(id_col).alias("_keep")).distinct()
+    named = docs.filter(docs[id_col].isNotNull())
+    return named.join(stay, named[id_col] == stay["_keep"], "left_semi").select(docs.columns).unionByName(docs.filter(docs[id_col].isNull()))
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

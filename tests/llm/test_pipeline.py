@@ -59,3 +59,15 @@ def test_stages_keep_the_columns_of_documents(spark):
     docs = table(spark, SF, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_null_ids_stay(spark):
+    from citewell.llm import exact_dedup, ngram_join
+
+    rows = [(1, "a b"), (None, "a  b"), (None, "only here"), (None, "only  here"), (None, "another text"), (2, "c"), (3, "c"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    left = [r for r in rows if r not in [(None, "a  b"), (3, "c")]]
+    assert plain(exact_dedup.keep_first_copies(docs)) == sorted(left, key=repr)
+    assert len(left) == exact_dedup.exact_dedup(docs).filter("kept").count()
+    assert plain(ngram_join.keep_one_per_class(docs)) == sorted([r for r in rows if r != (3, "c")], key=repr)
