@@ -5,7 +5,12 @@ word and its character 2- and 3-grams, hashed to ``buckets``).  Embeddings and
 softmax are trained together by stochastic gradient descent in numpy on at most
 ``per_label`` labelled rows of each language, chosen by hashed id.  A fifth of
 that sample trains nothing: it sets the temperature that makes scores honest
-probabilities and the score below which a prediction is rejected.
+probabilities among the learned languages, and two bounds below which a
+prediction is rejected.  One is on the score.  The other is on the share of
+familiar subwords, those in at least ``usual`` of the training texts, as a text
+of no learned language can still have a score near 1; it lies halfway between
+the shares of held-out texts and those of the same texts where their own
+language, each in turn, is left out of the training texts.
 
 As the classifier is linear, a word's share of the logits is one row computed
 once, so prediction adds up rows and runs in one pass over whole texts.
@@ -50,18 +55,20 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     least_score: float
+    familiar: np.ndarray  # 1 for buckets that are usual in training texts
+    least_familiar: float
 
     def predict(self, text: str | None, rows: WordRows) -> tuple[str, float, bool]:
         if not text or not any(map(str.isalpha, text)) or not (words := words_of(text)):
             return UNKNOWN, 0.0, True
         total = rows.total(words)
-        p = softmax((total[:-1] / total[-1] + self.bias) / self.temperature)
+        p = softmax((total[:-2] / total[-1] + self.bias) / self.temperature)
         best = int(p.argmax())
-        return self.labels[best], float(p[best]), bool(p[best] < self.least_score)
+        return self.labels[best], float(p[best]), bool(p[best] < self.least_score or total[-2] / total[-1] < self.least_familiar)
 
     def rows(self) -> WordRows:
         buckets = len(self.logits)
-        return WordRows(self.logits, lambda word: subwords(word, buckets))
+        return WordRows(np.column_stack([self.logits, self.familiar]).astype(np.float32), lambda word: subwords(word, buckets))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -69,9 +76,35 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
+def familiarity(bags: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rows: np.ndarray, check: np.ndarray, buckets: int, usual: float, most_rejected: float) -> tuple[np.ndarray, float]:
+    """Which buckets at least ``usual`` of the texts ``rows`` have, and the least share of them in a text of a learned language, from the texts ``check``."""
+    seen = np.zeros((int(target.max()) + 1, buckets))
+    for i in rows:
+        seen[target[i], bags[i][0]] += 1
+    texts = np.bincount(target[rows], minlength=len(seen))
+    check = [i for i in check if len(bags[i][0])]
+
+    def known(without: int | None = None) -> np.ndarray:
+        left = np.arange(len(seen)) != without
+        return seen[left].sum(0) >= max(1.0, usual * texts[left].sum())
+
+    full = known()
+    if not check:
+        return full, 0.0
+    own = float(np.quantile([bags[i][1] @ full[bags[i][0]] for i in check], most_rejected))
+    if len(seen) < 2:
+        return full, own
+    foreign = []
+    for label in range(len(seen)):
+        rest = known(label)
+        foreign += [bags[i][1] @ rest[bags[i][0]] for i in check if target[i] == label]
+    return full, min(own, (own + float(np.quantile(foreign, 0.95))) / 2)
+
+
 def train(
-    texts: list[str], labels: list[str], buckets: int = 1 << 16, size: int = 16, epochs: int = 4, rate: float = 0.5, seed: int = 3, most_rejected: float = 0.002
-) -> LanguageModel:
+    texts: list[str], labels: list[str], buckets: int = 1 << 16, size: int = 16, epochs: int = 4, rate: float = 0.5, seed: int = 3, most_rejected: float = 0.002,
+    usual: float = 0.005,
+) -> LanguageModel:
     """Embeddings and softmax by SGD; temperature and rejection from every fifth row, which is not trained on."""
     names = sorted(set(labels))
     target = np.array([names.index(x) for x in labels])
@@ -109,14 +142,19 @@ def train(
         e = np.exp((z - z.max(1, keepdims=True)) / t)
         return e / e.sum(1, keepdims=True)
 
-    grid = np.geomspace(0.2, 5, 40)
-    loss = [-np.log(confidence(t)[np.arange(len(check)), target[check]] + 1e-12).mean() for t in grid] if len(check) else [0.0]
+    grid = np.geomspace(0.01, 20, 96)
+    # Platt's targets: right answers on all held-out texts are no proof of certainty
+    doubt = 1 / (len(check) + 2)
+    wanted = np.full((len(check), len(names)), doubt / max(1, len(names) - 1))
+    wanted[np.arange(len(check)), target[check]] = 1 - doubt
+    loss = [-(wanted * np.log(confidence(t) + 1e-300)).sum(1).mean() for t in grid] if len(check) else [0.0]
     temperature = float(grid[int(np.argmin(loss))])
     p = confidence(temperature)
     right = p.max(1)[p.argmax(1) == target[check]] if len(check) else np.ones(1)
-    # at most this share of right predictions may be rejected; chance level is always rejected
-    least = max(1.0 / len(names) + 1e-9 if len(names) > 1 else 0.0, min(0.4, float(np.quantile(right, most_rejected)) if len(right) else 0.0))
-    return LanguageModel(names, logits, bias.astype(np.float64), temperature, least)
+    # at most this share of right predictions may be rejected for their score; chance level is always rejected
+    least = max(1.0 / len(names) + 1e-9 if len(names) > 1 else 0.0, float(np.quantile(right, most_rejected)) if len(right) else 0.0)
+    familiar, least_familiar = familiarity(bags, target, rows, check, buckets, usual, most_rejected)
+    return LanguageModel(names, logits, bias.astype(np.float64), temperature, least, familiar, least_familiar)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 600, most_chars: int = 20_000, **options) -> LanguageModel:

@@ -148,6 +148,29 @@ def test_language_cases(spark):
         language_id.fit(spark.createDataFrame([], DOC + ", lang string"))
 
 
+FOREIGN = {
+    "ru": "Съешь же ещё этих мягких французских булок да выпей чаю. Это предложение написано по-русски.",
+    "zh": "这是一个用中文写的句子 没有别的意思",
+    "fi": "Tämä on suomenkielinen lause jossa on paljon pitkiä sanoja ja outoja kirjaimia",
+    "it": "Questa è una frase scritta in italiano per vedere se viene riconosciuta come lingua straniera",
+    "nl": "Dit is een zin die in het Nederlands is geschreven om te zien of deze wordt herkend",
+    "letters": "xqzvk wjfpq zzkxv qjwhg vbnxk qpwzj kkzxq",
+}
+
+
+def test_texts_of_no_learned_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(language_id.learnable(docs))
+    rows = model.rows()
+    assert {k for k, text in FOREIGN.items() if not model.predict(text, rows)[2]} == set()
+    held = [r for r in docs.filter("crc32(cast(doc_id as string)) % 3 = 1").collect() if r.text and language_id.words_of(r.text)]
+    assert sum(model.predict(r.text, rows)[2] for r in held) <= 0.02 * len(held)
+    other = language_id.fit(language_id.learnable(docs.filter("lang != 'fr'")))
+    rows = other.rows()
+    french = [r.text for r in held if r.lang == "fr"]
+    assert len(french) > 20 and sum(other.predict(t, rows)[2] for t in french) > 0.9 * len(french)
+
+
 def test_weak_labels_find_the_faulty(spark):
     sf = "/root/testdata/sf0.01"
     rows = quality_model.op9_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
