@@ -16,8 +16,10 @@ As the classifier is linear, a word's share of the logits is one row computed
 once, so prediction adds up rows and runs in one pass over whole texts.
 
 Cases: null text and text without a letter give ``und``, score 0, rejected;
-an empty table gives an empty result; repeated rows get equal predictions; a
-model needs at least one labelled row; further columns are ignored.
+an empty table gives an empty result; repeated rows get equal predictions;
+without labelled rows ``fit`` raises ``Unlabelled``, and ``fit_or_unknown``, as
+the query and the pipeline use it, gives a model that takes every text for
+``und``, score 0, rejected; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,12 @@ from citewell.llm.common import crc32_of_id, table
 from citewell.llm.hashed import WordRows, bucket, hash_sample
 
 UNKNOWN = "und"
+
+
+class Unlabelled(ValueError):
+    """No labelled text to learn from."""
+
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -59,7 +67,7 @@ class LanguageModel:
     least_familiar: float
 
     def predict(self, text: str | None, rows: WordRows) -> tuple[str, float, bool]:
-        if not text or not any(map(str.isalpha, text)) or not (words := words_of(text)):
+        if not self.labels or not text or not any(map(str.isalpha, text)) or not (words := words_of(text)):
             return UNKNOWN, 0.0, True
         total = rows.total(words)
         p = softmax((total[:-2] / total[-1] + self.bias) / self.temperature)
@@ -163,12 +171,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= most_chars))
     got = sorted((r.id or 0, r.text, r.lang) for r in hash_sample(rows, "lang", per_label, "id").collect())
     if not got:
-        raise ValueError("no labelled text to learn from")
+        raise Unlabelled("no labelled text to learn from")
     rng = np.random.Generator(np.random.PCG64(1))
     got = [got[i] for i in rng.permutation(len(got))]
     return train([t for _, t, _ in got], [x for _, _, x in got], **options)
 
 
+def fit_or_unknown(docs: DataFrame, **options) -> LanguageModel:
+    """As ``fit``; without labelled texts a model that knows no language."""
+    try:
+        return fit(docs, **options)
+    except Unlabelled:
+        return LanguageModel([], np.zeros((1, 0), np.float32), np.zeros(0), 1.0, 0.0, np.zeros(1, bool), 0.0)
+
+
 def prediction(model: LanguageModel, text_col: str = "text") -> Column:
     """A struct ``lang_pred, score, rejected`` for a text column."""
 
@@ -199,5 +215,5 @@ def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs, fit(learnable(docs)))
+    found = identify(docs, fit_or_unknown(learnable(docs)))
     return found.select("doc_id", (crc32_of_id() % 3 == 1).alias("held_out"), "lang_pred", "score", "rejected")

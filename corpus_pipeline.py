@@ -14,7 +14,7 @@ from citewell.llm.common import table, written
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model accepts; it learns from the labelled rows among them."""
-    return language_id.keep_identified(docs, language_id.fit(language_id.learnable(docs)))
+    return language_id.keep_identified(docs, language_id.fit_or_unknown(language_id.learnable(docs)))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,13 @@ def test_null_ids_stay(spark):
     assert plain(exact_dedup.keep_first_copies(docs)) == sorted(left, key=repr)
     assert len(left) == exact_dedup.exact_dedup(docs).filter("kept").count()
     assert plain(ngram_join.keep_one_per_class(docs)) == sorted([r for r in rows if r != (3, "c")], key=repr)
+
+
+def test_nothing_labelled(spark, tmp_path):
+    docs = table(spark, SF, "documents")
+    unlabelled = docs.limit(5).withColumn("lang", language_id.F.lit(None).cast("string"))
+    for name, df, n in (("empty", docs.limit(0), 0), ("unlabelled", unlabelled, 5)):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = language_id.op6_language_id(spark, f"{tmp_path}/{name}").collect()
+        assert len(got) == n and all((r.lang_pred, r.score, r.rejected) == ("und", 0.0, True) for r in got)
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() == 0
