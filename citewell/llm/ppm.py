@@ -1,32 +1,37 @@
 """Language-model scores by prediction by partial matching (PPM), pretrained on the corpus itself.
 
-Model.  A token is its bytes after a start mark, and one end byte.  Each byte
-is predicted from the longest of its contexts, up to ``depth`` bytes back and
-never beyond the token's start, that training has seen.  A context with total
+Model.  A document is a stream of bytes: a start mark, its words joined by one
+blank, an end mark.  Each byte after the start mark is predicted from the
+longest of its contexts, up to ``depth`` bytes back, over word ends and never
+beyond the document's start, that training has seen.  A context with total
 count T and d different next bytes gives a byte seen n times n / (T + d) and
 keeps d / (T + d) for escape (method C).  After an escape the next shorter
 context counts only bytes the longer one had not seen (symbol exclusion); below
 the empty context, all bytes not seen at all are equally likely.  The sets of
 next bytes grow as contexts shorten, so what a context excludes from the next
-shorter one is a property of the context, stored with it.
-
-As contexts stay within a token, its code length is the same wherever it
-stands: each different token is coded once and documents add up lengths.
-
-Distribution.  Vocabulary and trie grow with the corpus, so neither is ever
-broadcast or collected; the driver gets two totals.
-
-1. One pass cuts documents into blocks, writes each document as a bag of
-   block-local token numbers, and each block's different tokens with training counts.
-2. Tokens are summed over blocks.  Blocks of tokens yield byte n-grams of every
-   context length, summed into the trie, a table of (context, byte) counts.
-3. Joins add totals and exclusions to each context, and give a probability to
-   every (longest context, byte) that occurs; those never seen in training are
-   followed down the contexts, all levels in one join.
-4. Token blocks meet the n-grams they need, then document blocks meet the
-   tokens they need, and bags are added up.
-
-Cases: null text is empty and scores its end token; null ids count as training;
+shorter one is a property of the context, stored with it.  A document's score
+adds up the code length of all its bytes.
+
+Distribution.  Vocabulary and trie grow with the corpus and are only joined.
+
+1. One pass over the training documents gives the byte n-grams with longest
+   contexts and the tokens, counted within a task and summed by a shuffle.
+   Shortened step by step, the n-grams give the trie, a table of (context,
+   byte) counts; joins add totals and exclusions to each context.
+2. At most ``hot_grams`` of the most frequent n-grams and ``hot_tokens`` of the
+   most frequent short tokens are broadcast, 16 bytes an n-gram, 32 a token at
+   most.  They only save traffic: all others take step 3, whatever their number.
+3. A second pass over all documents adds up what the broadcast tables know, and
+   writes for each block of ``block_bytes`` its other n-grams and tokens, once
+   each and numbered, with each document's numbers.
+4. These n-grams and tokens meet the trie and the vocabulary by joins; n-grams
+   that training has not seen are followed down the contexts, all levels in one
+   join.  The answers go back to their blocks and are added up.
+
+A text of more than ``block_bytes`` is worked on in parts cut at white space,
+so memory is bounded for every text but a single word of that size.
+
+Cases: null text is empty and scores its end mark; null ids count as training;
 a corpus without training rows scores by the uniform byte model; empty tables
 give an empty result; repeated rows count as often as they occur; further
 columns are ignored.
@@ -34,7 +39,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,121 +51,131 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citewell.llm.common import crc32_of_id, groups_for, table, text_or_empty, written
+from citewell.llm.common import crc32_of_id, table, text_or_empty, written
 
 DEPTH = 6
-_START, _END_WORD, _END_TEXT = b" ", b" ", b"\n"
+_MARK = b"\n"
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def streams(text: bytes, most: int, depth: int) -> Iterator[tuple[list[bytes], bytes, bytes]]:
+    """A document in parts of about ``most`` bytes: tokens, the bytes before the part that contexts see, the part's bytes."""
+    tail, begun, at = _MARK, False, 0
+    while True:
+        cut = _SPACE.search(text, at + most) if len(text) - at > most else None
+        words = text[at : cut.start() if cut else len(text)].split()
+        body = (b" " if begun and words else b"") + b" ".join(words)
+        begun |= bool(words)
+        if not cut:
+            yield [*words, _MARK], tail, body + _MARK
+            return
+        yield words, tail, body
+        tail, at = (tail + body)[-depth:], cut.end()
+
+
+def coded_grams(leads: list[bytes], bodies: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of ``bodies``: its n-gram (a leading 1, the longest context, the byte) and the index of its body."""
+    flat = np.frombuffer(b"".join(x for pair in zip(leads, bodies, strict=True) for x in pair), np.uint8).astype(np.int64)
+    lead = np.fromiter(map(len, leads), np.int64, len(leads))
+    size = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    ends = np.cumsum(lead + size)
+    gram = flat.copy()
+    for back in range(1, depth + 1):
+        gram[back:] |= flat[:-back] << 8 * back
+    gram |= 1 << 8 * (depth + 1)
+    place = np.arange(depth)
+    early = (ends - lead - size)[:, None] + place
+    inside = early < ends[:, None]
+    one = np.broadcast_to(1 << 8 * (place + 1), early.shape)[inside]
+    gram[early[inside]] = gram[early[inside]] & (one - 1) | one
+    coded = np.ones(len(flat), bool)
+    coded[early[place < lead[:, None]]] = False
+    return gram[coded], np.repeat(np.arange(len(bodies)), size)
 
 
-class Numbers(dict):
-    """Numbers for tokens in the order met."""
-
-    def __missing__(self, token: bytes) -> int:
-        self[token] = n = len(self)
-        return n
-
-
-def grown(counts: np.ndarray, size: int) -> np.ndarray:
-    """``counts``, doubled until it has room for ``size``."""
-    while len(counts) < size:
-        counts = np.concatenate([counts, np.zeros_like(counts)])
-    return counts
+def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, weights = keys[order], weights[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[starts], np.add.reduceat(weights, starts) if len(starts) else weights
 
 
-def pack_bag(numbers: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted different numbers as differences, and how often each occurs, both deflated."""
-    different, times = np.unique(numbers, return_counts=True)
-    return zlib.compress(np.diff(different, prepend=0).astype("<u4").tobytes(), 1), zlib.compress(times.astype("<u4").tobytes(), 1)
+class Tally:
+    """Counts of n-grams, merged whenever what is new outgrows what is held."""
 
+    def __init__(self):
+        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
 
-def unpack_bag(different: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(np.frombuffer(zlib.decompress(different), "<u4").astype(np.int64)), np.frombuffer(zlib.decompress(times), "<u4").astype(np.int64)
+    def add(self, grams: np.ndarray) -> None:
+        grams.sort()
+        at = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+        self.new.append((grams[at], np.diff(at, append=len(grams))))
+        self.waiting += len(at)
+        if self.waiting > max(1 << 20, len(self.keys)):
+            self.merge()
 
+    def merge(self) -> None:
+        self.keys, self.counts = summed(np.concatenate([self.keys, *(k for k, _ in self.new)]), np.concatenate([self.counts, *(c for _, c in self.new)]))
+        self.new, self.waiting = [], 0
 
-_BAGS = "block long, doc_id long, learn boolean, n_tokens long, number int, token binary, n long, different binary, times binary"
-_BAG_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-_BAG_NAMES = [x.split()[0] for x in _BAGS.split(", ")]
 
+def counts(docs: DataFrame, text_col: str, depth: int, chunk_bytes: int, held_grams: int, held_tokens: int) -> DataFrame:
+    """``gram, token, n``: how often each n-gram with its longest context and each token occurs; one of the first two is set.
 
-def bags(docs: DataFrame, learn: Column, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """Rows of documents (``different`` set) and of blocks' tokens (``token`` set); blocks never span tasks."""
+    A row of a token has a negative hash in place of the n-gram, so one shuffle spreads both.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        numbers, counts, held = Numbers(), np.zeros(1 << 16, np.int64), 0
-
-        def tokens() -> pa.RecordBatch:
-            m = len(numbers)
-            blank = [pa.nulls(m, t) for t in _BAG_TYPES]
-            blank[0] = pa.array(np.full(m, block))
-            blank[4], blank[5], blank[6] = pa.array(np.arange(m, dtype=np.int32)), pa.array(list(numbers), pa.binary()), pa.array(counts[:m])
-            return pa.RecordBatch.from_arrays(blank, _BAG_NAMES)
+        tally, tokens = Tally(), Counter()
+        leads: list[bytes] = []
+        bodies: list[bytes] = []
+        held = 0
+
+        def rows(gram: np.ndarray, token: list | None, n) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(gram), 1 << 16):
+                part = slice(a, a + (1 << 16))
+                words = pa.nulls(len(gram[part]), pa.binary()) if token is None else pa.array(token[part], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(gram[part]), words, pa.array(n[part], pa.int64())], ["gram", "token", "n"])
+
+        def count() -> None:
+            if leads:
+                tally.add(coded_grams(leads, bodies, depth)[0])
+            leads.clear()
+            bodies.clear()
+
+        def grams_out() -> Iterator[pa.RecordBatch]:
+            tally.merge()
+            yield from rows(tally.keys, None, tally.counts)
+            tally.__init__()
+
+        def tokens_out() -> Iterator[pa.RecordBatch]:
+            words = list(tokens)
+            yield from rows(np.array([-1 - zlib.crc32(t) for t in words], np.int64), words, list(tokens.values()))
+            tokens.clear()
 
         for batch in batches:
-            rows: list[tuple] = []
-
-            def documents() -> pa.RecordBatch:
-                columns = zip(*rows, strict=True)
-                made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _BAG_TYPES, strict=True)], _BAG_NAMES)
-                rows.clear()
-                return made
-
-            for key, text, learns in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = text.as_py().encode("utf-8", "surrogatepass").lower()
-                held += len(data)
-                found = data.split()
-                found.append(_END_TEXT)
-                at = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
-                counts = grown(counts, len(numbers))
-                if learns:
-                    np.add.at(counts, at, 1)
-                rows.append((block, key, learns, len(found), None, None, None, *pack_bag(at)))
-                if held >= block_bytes:
-                    yield documents()
-                    yield tokens()
-                    block, numbers, counts, held = block + 1, Numbers(), np.zeros(1 << 16, np.int64), 0
-            if rows:
-                yield documents()
-        if numbers:
-            yield tokens()
-
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), learn.alias("learn"))
-    return source.mapInArrow(run, _BAGS)
-
-
-def full_grams(tokens: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte to code: its n-gram (a leading 1, the longest context, the byte), the context's length, and the token's place in the list."""
-    padded = [_START + t + (b"" if t == _END_TEXT else _END_WORD) for t in tokens]
-    flat = np.frombuffer(b"".join(padded), np.uint8).astype(np.int64)
-    sizes = np.array([len(p) for p in padded], np.int64)
-    owner = np.repeat(np.arange(len(tokens)), sizes)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = np.flatnonzero(place > 0)
-    length = np.minimum(place[at], depth)
-    gram = np.ones(len(at), np.int64)
-    for back in range(depth, -1, -1):
-        gram = np.where(back <= length, gram << 8 | flat[np.maximum(at - back, 0)], gram)
-    return gram, length, owner[at]
-
-
-def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, weights = keys[order], weights[order]
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return keys[starts], np.add.reduceat(weights, starts) if len(starts) else weights
-
-
-def all_grams(tokens: list[bytes], counts: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Context length, n-grams and their counts, from the longest context to the empty one."""
-    gram, length, owner = full_grams(tokens, depth)
-    weight = counts[owner]
-    carried, heavy = np.empty(0, np.int64), np.empty(0, np.int64)
-    for k in range(depth, -1, -1):
-        own = length == k
-        carried, heavy = summed(np.concatenate([gram[own], carried]), np.concatenate([weight[own], heavy]))
-        yield k, carried, heavy
-        # without its first byte the gram is one of the next shorter context
-        carried = carried & ((1 << 8 * k) - 1) | 1 << 8 * k if k else carried
+            for text in batch.column(0):
+                for words, lead, body in streams(text.as_py().encode("utf-8", "surrogatepass").lower(), chunk_bytes, depth):
+                    tokens.update(words)
+                    leads.append(lead)
+                    bodies.append(body)
+                    held += len(body)
+                    if held >= chunk_bytes:
+                        count()
+                        held = 0
+                    if len(tally.keys) > held_grams:
+                        yield from grams_out()
+                    if len(tokens) > held_tokens:
+                        yield from tokens_out()
+        count()
+        yield from grams_out()
+        yield from tokens_out()
+
+    found = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "gram long, token binary, n long")
+    # counts come summed from the tasks: one shuffle first, so that nothing is hashed twice
+    return found.repartition("gram").groupBy("gram", "token").agg(F.sum("n").alias("n"))
 
 
 def _shorter(gram: str, k: str) -> str:
@@ -167,16 +184,40 @@ def _shorter(gram: str, k: str) -> str:
     return f"(({gram} & ({one} - 1)) | {one})"
 
 
-def trie(tokens: DataFrame, depth: int) -> DataFrame:
-    """``gram, k, n``: how often a byte followed a context of k bytes, from ``token, c`` rows."""
+def trie(grams: DataFrame, depth: int, held: int = 1 << 20) -> DataFrame:
+    """``gram, k, n``: how often a byte followed a context of k bytes, from ``gram, n`` rows with longest contexts.
+
+    N-grams with equal last bytes meet in a task first, where most shorter ones become complete.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        n: list[np.ndarray] = []
+
+        def levels() -> Iterator[pa.RecordBatch]:
+            gram, weight = np.concatenate(keys), np.concatenate(n)
+            keys.clear()
+            n.clear()
+            carried, heavy = np.empty(0, np.int64), np.empty(0, np.int64)
+            for k in range(depth, -1, -1):
+                own = gram >> 8 * (k + 1) == 1
+                carried, heavy = summed(np.concatenate([gram[own], carried]), np.concatenate([weight[own], heavy]))
+                for a in range(0, len(carried), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(carried[a : a + (1 << 16)]), pa.array(heavy[a : a + (1 << 16)])], ["gram", "n"])
+                # without its first byte the gram is one of the next shorter context
+                carried = carried & ((1 << 8 * k) - 1) | 1 << 8 * k if k else carried
+
         for batch in batches:
-            for k, gram, n in all_grams(batch.column(0).to_pylist(), batch.column(1).to_numpy(), depth):
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.full(len(gram), k, np.int32)), pa.array(n)], ["gram", "k", "n"])
+            keys.append(batch.column(0).to_numpy())
+            n.append(batch.column(1).to_numpy())
+            if sum(map(len, keys)) >= held:
+                yield from levels()
+        if keys:
+            yield from levels()
 
-    found = tokens.filter("c > 0").select("token", "c").mapInArrow(run, "gram long, k int, n long")
-    return found.groupBy("gram", "k").agg(F.sum("n").alias("n"))
+    found = grams.select("gram", "n").repartition(F.expr("gram & 4294967295")).mapInArrow(run, "gram long, n long")
+    size = sum((F.col("gram") >= 1 << 8 * (k + 1)).cast("int") for k in range(1, depth + 1))
+    return found.groupBy("gram").agg(F.sum("n").alias("n")).select("gram", size.alias("k"), "n")
 
 
 def contexts(grams: DataFrame) -> DataFrame:
@@ -194,17 +235,25 @@ def contexts(grams: DataFrame) -> DataFrame:
     return own.join(shorter, "short", "left").select("ctx", "k", "t", "d", (F.col("ts") - F.col("s")).alias("t2"), (F.col("ds") - F.col("d")).alias("d2"))
 
 
-def probabilities(grams: DataFrame, stats: DataFrame, needed: DataFrame, depth: int) -> DataFrame:
-    """``gram, lp``: log10 probability of the last byte of every n-gram that ``needed`` or training has with its longest context."""
+def seen_grams(grams: DataFrame, stats: DataFrame, depth: int) -> DataFrame:
+    """``gram, n, lp``: count and log10 probability of the last byte of every n-gram that training has with its longest context."""
     first = F.expr("shiftright(gram, 8 * k) & 255")
-    longest = grams.filter((F.col("k") == depth) | ((F.col("k") > 0) & (first == _START[0]))).withColumn("ctx", F.shiftright("gram", 8))
-    seen = longest.join(stats.select("ctx", "t", "d"), "ctx").select("gram", F.log10(F.col("n") / (F.col("t") + F.col("d"))).alias("lp"))
+    longest = grams.filter((F.col("k") == depth) | ((F.col("k") > 0) & (first == _MARK[0]))).withColumn("ctx", F.shiftright("gram", 8))
+    return longest.join(stats.select("ctx", "t", "d"), "ctx").select("gram", "n", F.log10(F.col("n") / (F.col("t") + F.col("d"))).alias("lp"))
 
-    unseen = needed.join(grams.select("gram"), "gram", "left_anti").distinct()
-    levels = unseen.select("gram", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("m"))
+
+def unseen_grams(grams: DataFrame, stats: DataFrame, needed: DataFrame) -> DataFrame:
+    """``gram, lp`` of the different n-grams of ``needed (gram, k)``, none of which training has with its longest context."""
+    levels = needed.distinct().select("gram", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("m"))
     one = "shiftleft(cast(1 as bigint), 8 * (m + 1))"
     levels = levels.withColumn("part", F.expr(f"(gram & ({one} - 1)) | {one}")).withColumn("ctx", F.shiftright("part", 8))
-    levels = levels.join(grams.select(F.col("gram").alias("part"), "n"), "part", "left").join(stats.drop("k"), "ctx", "left")
+
+    def counted(rows: DataFrame, of: str, hint=lambda df: df) -> DataFrame:
+        part = hint(grams.filter(f"k {of}").select(F.col("gram").alias("part"), "n"))
+        return rows.filter(f"m {of}").join(part, "part", "left").join(hint(stats.filter(f"k {of}").drop("k")), "ctx", "left")
+
+    # every n-gram asks for contexts of no and of one byte: these tables have at most 65,792 rows
+    levels = counted(levels, "<= 1", F.broadcast).unionByName(counted(levels, "> 1"))
     w = Window.partitionBy("gram")
     levels = levels.withColumns(
         {
@@ -222,82 +271,182 @@ def probabilities(grams: DataFrame, stats: DataFrame, needed: DataFrame, depth:
         .otherwise(F.coalesce(F.log10(F.try_divide(d2, t2 + d2)), F.lit(0.0)))
     )
     nothing = F.when(e.isNull() & (m == 0), -F.log10(F.lit(256.0))).otherwise(0.0)
-    down = levels.select("gram", F.when(e.isNull(), nothing).otherwise(enter + step).alias("x")).groupBy("gram").agg(F.sum("x").alias("lp"))
-    return seen.unionByName(down)
+    return levels.select("gram", F.when(e.isNull(), nothing).otherwise(enter + step).alias("x")).groupBy("gram").agg(F.sum("x").alias("lp"))
+
+
+def frequent(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of largest ``n``, at most ``most``, by a bound on ``n`` that all rows on its side meet."""
+    step = F.floor(F.log2("n") * 8)
+    sizes = rows.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    least, total = 1 << 20, 0
+    for r in sorted(sizes, reverse=True):
+        if total + r["rows"] > most:
+            break
+        least, total = r["step"], total + r["rows"]
+    return rows.filter(step >= least)
+
+
+class Numbers(dict):
+    """Numbers for tokens in the order met."""
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = n = len(self)
+        return n
 
 
-def token_scores(tokens: DataFrame, grams: DataFrame, depth: int, groups: int) -> DataFrame:
-    """``token, c, lp`` for ``token, c`` rows."""
-    spread = tokens.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(groups)))
+_BLOCKS = (
+    "block long, row long, doc_id long, learn boolean, n_tokens long, n_known long, logs double, score double, cold_tokens binary, cold_grams binary, "
+    "number long, gram long, token binary"
+)
+_TYPES = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+_BLOCK_TYPES = {name: _TYPES[kind] for name, kind in (x.split() for x in _BLOCKS.split(", "))}
 
-    def need(data: pa.Table) -> pa.Table:
-        gram, length, _ = full_grams(data.column("token").to_pylist(), depth)
-        gram, at = np.unique(gram, return_index=True)
-        part = data.column("part")[0].as_py()
-        return pa.table({"part": np.full(len(gram), part), "gram": gram, "k": length[at].astype(np.int32)})
 
-    needed = written(spread.groupBy("part").applyInArrow(need, "part long, gram long, k int"), "grams-needed")
-    lp = probabilities(grams, written(contexts(grams), "contexts"), needed.select("gram", "k"), depth)
+def _filled(size: int, **columns) -> pa.RecordBatch:
+    """A batch of ``_BLOCKS`` with nulls in all columns but those given."""
+    arrays = [pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in _BLOCK_TYPES.items()]
+    return pa.RecordBatch.from_arrays(arrays, list(_BLOCK_TYPES))
 
-    def add(words: pa.Table, known: pa.Table) -> pa.Table:
-        found = words.column("token").to_pylist()
-        if not found:
-            return pa.table({"token": pa.array([], pa.binary()), "c": pa.array([], pa.int64()), "lp": pa.array([], pa.float64())})
-        gram, _, owner = full_grams(found, depth)
-        keys = known.column("gram").to_numpy()
-        order = np.argsort(keys)
-        values = known.column("lp").to_numpy()[order]
-        total = np.bincount(owner, values[np.searchsorted(keys[order], gram)], len(found))
-        return pa.table({"token": words.column("token"), "c": words.column("c"), "lp": total})
 
-    known = needed.join(lp, "gram").select(F.col("part").alias("part"), "gram", "lp")
-    return spread.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(add, "token binary, c long, lp double")
+def _parts(values: np.ndarray, owner: np.ndarray, owners: int) -> list[bytes]:
+    """The values of each owner as little-endian unsigned 32-bit integers; owners come in order."""
+    cuts = np.cumsum(np.bincount(owner, minlength=owners))[:-1]
+    return [x.tobytes() for x in np.split(values.astype("<u4"), cuts)]
 
 
-_SUMS = "doc_id long, learn boolean, n_tokens long, n_known long, logs double, score double"
+def blocks(docs: DataFrame, learn: Column, hot, id_col: str, text_col: str, depth: int, block_bytes: int) -> DataFrame:
+    """Rows of document parts (``row`` set), with sums over hot n-grams and tokens and the numbers of others, and rows of these (``number`` set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_gram, hot_lp, hot_token = hot.value
+        block = row = TaskContext.get().partitionId() << 32
+        parts: list[tuple] = []
+        leads: list[bytes] = []
+        bodies: list[bytes] = []
+        numbers, at = Numbers(), []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            m = len(parts)
+            gram, owner = coded_grams(leads, bodies, depth)
+            different, inverse = np.unique(gram, return_inverse=True)
+            place = np.minimum(np.searchsorted(hot_gram, different), max(0, len(hot_gram) - 1))
+            known = hot_gram[place] == different if len(hot_gram) else np.zeros(len(different), bool)
+            lp = np.where(known, hot_lp[place], 0.0) if len(hot_gram) else np.zeros(len(different))
+            score = np.bincount(owner, lp[inverse], m)
+            cold = ~known[inverse]
+            cold_grams = _parts((np.cumsum(~known) - 1)[inverse[cold]], owner[cold], m)
+            del gram, inverse, lp
+            c = np.array([hot_token.get(t, -1) for t in numbers], np.int64)
+            flat = np.concatenate(at)
+            size = np.fromiter(map(len, at), np.int64, m)
+            owner = np.repeat(np.arange(m), size)
+            logs = np.bincount(owner, np.log10(np.maximum(c, 0) + 1.0)[flat], m)
+            n_known = np.bincount(owner, (c > 0)[flat], m).astype(np.int64)
+            cold = (c < 0)[flat]
+            rows = list(zip(*parts, strict=True))
+            yield _filled(
+                m, block=np.full(m, block), row=rows[0], doc_id=rows[1], learn=rows[2], n_tokens=size, n_known=n_known, logs=logs, score=score,
+                cold_tokens=_parts(flat[cold], owner[cold], m), cold_grams=cold_grams,
+            )
+            rare = different[~known]
+            for a in range(0, len(rare), 1 << 16):
+                part = rare[a : a + (1 << 16)]
+                yield _filled(len(part), block=np.full(len(part), block), number=np.arange(a, a + len(part)), gram=part)
+            words = [(t, i) for i, t in enumerate(numbers) if c[i] < 0]
+            if words:
+                yield _filled(len(words), block=np.full(len(words), block), number=[i for _, i in words], token=[t for t, _ in words])
+
+        for batch in batches:
+            for key, text, learns in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                for words, lead, body in streams(text.as_py().encode("utf-8", "surrogatepass").lower(), block_bytes, depth):
+                    parts.append((row, key, learns))
+                    at.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+                    leads.append(lead)
+                    bodies.append(body)
+                    held += len(body)
+                    if held >= block_bytes:
+                        yield from flush()
+                        for x in (parts, at, leads, bodies, numbers):
+                            x.clear()
+                        block, held = block + 1, 0
+                row += 1
+        if parts:
+            yield from flush()
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), learn.alias("learn"))
+    return source.mapInArrow(run, _BLOCKS)
+
+
+def _looked_up(texts: pa.Table, known: pa.Table) -> pa.Table:
+    """The sums of document parts with those of their cold n-grams and tokens added."""
+    is_gram = known.column("is_gram").to_numpy()
+    number, value = known.column("number").to_numpy(), known.column("value").to_numpy()
+    size = int(number.max()) + 1 if len(number) else 0
+    c, lp = np.zeros(size), np.zeros(size)
+    c[number[~is_gram]] = value[~is_gram]
+    lp[number[is_gram]] = value[is_gram]
+    logs = np.log10(c + 1.0)
+    more: list[list] = [[], [], []]
+    for words, grams in zip(texts.column("cold_tokens"), texts.column("cold_grams"), strict=True):
+        at, below = np.frombuffer(words.as_py(), "<u4"), np.frombuffer(grams.as_py(), "<u4")
+        for column, x in zip(more, (np.count_nonzero(c[at]), logs[at].sum(), lp[below].sum()), strict=True):
+            column.append(x)
+    add = lambda name, x: texts.column(name).to_numpy() + np.array(x, float if name != "n_known" else np.int64)
+    made = {x: texts.column(x) for x in ("row", "doc_id", "learn", "n_tokens")}
+    return pa.table(made | {"n_known": add("n_known", more[0]), "logs": add("logs", more[1]), "score": add("score", more[2])})
 
 
 def ppm_scores(
-    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = 32 << 20, tokens_per_group: int = 250_000
-) -> DataFrame:
+    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = 4 << 20,
+    hot_grams: int = 1 << 21, hot_tokens: int = 1 << 17, held_grams: int = 3 << 20, held_tokens: int = 1 << 19,
+) -> DataFrame:
     """One row per document: ``doc_id, learn, n_tokens, n_known, train_tokens, base_score, score``.
 
     Documents where ``learn`` holds are the training set.  ``score`` is the log10
-    probability of the document's tokens and its end under the PPM model,
-    ``base_score`` under add-one token frequencies.
+    probability of the document's stream under the PPM model, ``base_score``
+    that of its tokens under add-one frequencies.  ``depth`` is 1 to 6: an
+    n-gram and its leading 1 take at most 57 bits.  ``held_grams`` and
+    ``held_tokens`` are how many a task gathers before it sends them on.
     """
-    found = written(bags(docs, learn, id_col, text_col, block_bytes), "bags")
-    blocks = found.filter("token IS NOT NULL").select("block", "number", "token", "n")
-    tokens = written(blocks.groupBy("token").agg(F.sum("n").alias("c")), "tokens")
-    totals = tokens.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count(F.lit(1)).alias("all")).first()
-    train, known = int(totals["n"] or 0), int(totals["v"] or 0)
-    grams = written(trie(tokens, depth), "trie")
-    scored = token_scores(tokens, grams, depth, groups_for(int(totals["all"]), tokens_per_group))
-    local = blocks.select("block", "number", "token").join(scored, "token").select(F.col("block").alias("block"), "number", "c", "lp")
-
-    def add(texts: pa.Table, known: pa.Table) -> pa.Table:
-        number = known.column("number").to_numpy()
-        size = int(number.max()) + 1 if len(number) else 0
-        c, lp = np.zeros(size, np.int64), np.zeros(size)
-        c[number], lp[number] = known.column("c").to_numpy(), known.column("lp").to_numpy()
-        logs = np.log10(c + 1.0)
-        rows: list[list] = [[], [], []]
-        for a, b in zip(texts.column("different"), texts.column("times"), strict=True):
-            at, n = unpack_bag(a.as_py(), b.as_py())
-            rows[0].append(int(n[c[at] > 0].sum()))
-            rows[1].append(float(logs[at] @ n))
-            rows[2].append(float(lp[at] @ n))
-        return pa.table(
-            {
-                "doc_id": texts.column("doc_id"), "learn": texts.column("learn"), "n_tokens": texts.column("n_tokens"),
-                "n_known": pa.array(rows[0], pa.int64()), "logs": pa.array(rows[1], pa.float64()), "score": pa.array(rows[2], pa.float64()),
-            }
-        )
-
-    texts = found.filter("different IS NOT NULL").select("block", "doc_id", "learn", "n_tokens", "different", "times")
-    sums = texts.groupBy("block").cogroup(local.groupBy("block")).applyInArrow(add, _SUMS)
+    if not 1 <= depth <= 6:
+        raise ValueError(f"depth {depth}: contexts of 1 to 6 bytes fit the key")
+    spark = docs.sparkSession
+    found = written(counts(docs.filter(learn), text_col, depth, min(block_bytes, 2 << 20), held_grams, held_tokens), "counts")
+    tokens = found.filter("token IS NOT NULL").select("token", "n")
+    totals = tokens.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    train, known = int(totals["n"] or 0), int(totals["v"])
+    grams = written(trie(found.filter("token IS NULL"), depth), "trie")
+    stats = written(contexts(grams), "contexts")
+    seen = written(seen_grams(grams, stats, depth), "seen")
+
+    often = frequent(seen, hot_grams).select("gram", "lp").toArrow()
+    gram, lp = often.column("gram").to_numpy(), often.column("lp").to_numpy()
+    order = np.argsort(gram)
+    often_tokens = {bytes(r["token"]): r["n"] for r in frequent(tokens.filter(F.octet_length("token") <= 32), hot_tokens).collect()}
+    hot = spark.sparkContext.broadcast((gram[order], lp[order], often_tokens))
+
+    cut = written(blocks(docs, learn, hot, id_col, text_col, depth, block_bytes), "blocks")
+    needed = cut.filter("gram IS NOT NULL").select("block", "number", "gram")
+    size = sum((F.col("gram") >= 1 << 8 * (k + 1)).cast("int") for k in range(1, depth + 1))
+    answered = written(needed.join(seen.select("gram", "lp"), "gram", "left"), "needed")
+    unseen = answered.filter("lp IS NULL").select("block", "number", "gram")
+    unseen = unseen.join(unseen_grams(grams, stats, unseen.select("gram", size.alias("k"))), "gram")
+    values = [
+        answered.filter("lp IS NOT NULL").select("block", F.lit(True).alias("is_gram"), "number", F.col("lp").alias("value")),
+        unseen.select("block", F.lit(True).alias("is_gram"), "number", F.col("lp").alias("value")),
+        cut.filter("token IS NOT NULL").select("block", "number", "token").join(tokens, "token", "left").select("block", F.lit(False).alias("is_gram"), "number", F.coalesce("n", F.lit(0)).cast("double").alias("value")),
+    ]
+    known_values = values[0].unionByName(values[1]).unionByName(values[2])
+    texts = cut.filter("row IS NOT NULL").select("block", "row", "doc_id", "learn", "n_tokens", "n_known", "logs", "score", "cold_tokens", "cold_grams")
+    sums = texts.groupBy("block").cogroup(known_values.groupBy("block")).applyInArrow(
+        _looked_up, "row long, doc_id long, learn boolean, n_tokens long, n_known long, logs double, score double"
+    )
+    whole = sums.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("learn").alias("learn"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score"))
+    )
     base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(train + known + 1)))
-    return sums.select("doc_id", "learn", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return whole.select("doc_id", "learn", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op1_ppm(spark, sf_dir: str) -> DataFrame:
