@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset (tests), one is made and set."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a local session gets one of its own and a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="citewell-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -39,10 +41,12 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def total_bytes(df: DataFrame, column: str) -> int:
-    """Bytes of a text column, exactly; the one figure that decides how many groups the work is cut into."""
-    got = df.agg(F.sum(F.octet_length(F.col(column)).cast("long")).alias("n")).first()
-    return int(got["n"] or 0)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def groups_for(amount: int, each: int) -> int:

@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,12 +15,12 @@ def bucket(feature: str, buckets: int) -> int:
 
 
 class WordRows(dict):
-    """Word to row number of ``rows``; a row holds the sum of the word's feature rows in ``table``, then their number.
+    """Word to row number of ``rows``, different for different words of a text; a row holds the sum of the word's feature rows in ``table``, then their number.
 
-    At ``limit`` words the dictionary starts anew, so memory is bounded.
+    With ``limit`` words the dictionary starts anew before the next text, so memory is bounded by these and one text.
     """
 
-    def __init__(self, table: np.ndarray, features: Callable[[str], list[int]], limit: int = 400_000):
+    def __init__(self, table: np.ndarray, features: Callable[[str], list[int]], limit: int = 100_000):
         super().__init__()
         self.table, self.features, self.limit = table, features, limit
         self.rows = np.zeros((4096, table.shape[1] + 1), np.float32)
@@ -35,23 +35,48 @@ class WordRows(dict):
         self[word] = at
         return at
 
-    def total(self, words: list[str]) -> np.ndarray:
-        """The sum of the words' rows, in double precision."""
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The row number of each word of a text."""
         if len(self) >= self.limit:
             self.clear()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.rows[at].sum(0, dtype=np.float64)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+    def total(self, numbers: np.ndarray) -> np.ndarray:
+        """The sum of the rows of these numbers, in double precision."""
+        return self.rows[numbers].sum(0, dtype=np.float64)
 
-def hash_sample(df: DataFrame, by: str, each: int, id_col: str) -> DataFrame:
-    """Rows of at most ``each`` ids of every value of ``by``, those whose hashed ids are smallest.
 
-    Ids alone are ranked, and every task cuts its own to ``each`` a value before
-    the shuffle; the ids chosen, at most ``each`` times the number of values,
-    are broadcast to the rows, so no text is shuffled.
+def content_hash(id_col: Column, text_col: Column) -> Column:
+    """What a sample goes by: equal rows are one, and every partitioning gives the same choice."""
+    return F.xxhash64(id_col, text_col)
+
+
+def hash_sample(marks: DataFrame, each: int, most_rows: int, most_chars: int) -> DataFrame:
+    """``by, h`` of at most ``each`` of the smallest hashes of every value of ``by``, from ``by, h, chars`` rows.
+
+    All values together have at most ``most_rows`` hashes (one a value at least)
+    and about ``most_chars`` characters.  Counts by value come first; they give
+    each value a bound on its hashes below which half again as many as wanted
+    are expected, so tasks send on only these, however many rows a value has.
+    """
+    counts = marks.groupBy("by").agg(F.count(F.lit(1)).alias("n"))
+    values = max(1, counts.count())
+    each = max(1, min(each, most_rows // values))
+    # hashes are spread evenly over 64 bits
+    share = (F.lit(1.5) * each + 50) / F.col("n")
+    near = counts.select("by", (share * 2.0**64 - 2.0**63).alias("bound")).withColumnRenamed("by", "_by")
+    some = marks.join(near, marks["by"].eqNullSafe(near["_by"])).filter(F.col("h").cast("double") < F.col("bound"))
+    some = some.groupBy("by", "h").agg(F.max("chars").alias("chars"))
+    order = Window.partitionBy("by").orderBy("h")
+    ranked = some.withColumns({"rank": F.row_number().over(order), "upto": F.sum("chars").over(order)})
+    return ranked.filter((F.col("rank") == 1) | (F.col("rank") <= each) & (F.col("upto") <= most_chars // values)).select("by", "h")
+
+
+def sampled_texts(rows: DataFrame, chosen: DataFrame) -> list:
+    """``h, text, by`` of the chosen hashes, once each in the order of ``h`` and ``by``; ``rows`` has ``h, text``.
+
+    ``chosen`` is as small as ``hash_sample`` makes it, so it is broadcast and no text is shuffled but those chosen.
     """
-    order = Window.partitionBy(by).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col))
-    ranked = df.select(by, id_col).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each)
-    chosen = ranked.select(F.col(by).alias("_by"), F.col(id_col).alias("_id"))
-    same = df[by].eqNullSafe(chosen["_by"]) & df[id_col].eqNullSafe(chosen["_id"])
-    return df.join(F.broadcast(chosen), same, "left_semi")
+    hashes = chosen.select("h").distinct()
+    texts = rows.join(F.broadcast(hashes), "h", "left_semi").groupBy("h").agg(F.max("text").alias("text"))
+    return sorted(texts.join(chosen, "h").select("h", "text", "by").collect())

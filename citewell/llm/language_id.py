@@ -33,8 +33,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import crc32_of_id, table
-from citewell.llm.hashed import WordRows, bucket, hash_sample
+from citewell.llm.common import crc32_of_id, free_name, table
+from citewell.llm.hashed import WordRows, bucket, content_hash, hash_sample, sampled_texts
 
 UNKNOWN = "und"
 
@@ -69,7 +69,7 @@ class LanguageModel:
     def predict(self, text: str | None, rows: WordRows) -> tuple[str, float, bool]:
         if not self.labels or not text or not any(map(str.isalpha, text)) or not (words := words_of(text)):
             return UNKNOWN, 0.0, True
-        total = rows.total(words)
+        total = rows.total(rows.numbers(words))
         p = softmax((total[:-2] / total[-1] + self.bias) / self.temperature)
         best = int(p.argmax())
         return self.labels[best], float(p[best]), bool(p[best] < self.least_score or total[-2] / total[-1] < self.least_familiar)
@@ -165,16 +165,20 @@ def train(
     return LanguageModel(names, logits, bias.astype(np.float64), temperature, least, familiar, least_familiar)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 600, most_chars: int = 20_000, **options) -> LanguageModel:
-    """A model from at most ``per_label`` rows a language whose texts have at most ``most_chars`` characters."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= most_chars))
-    got = sorted((r.id or 0, r.text, r.lang) for r in hash_sample(rows, "lang", per_label, "id").collect())
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 600, most_chars: int = 20_000, most_rows: int = 20_000, most_total: int = 64_000_000, **options) -> LanguageModel:
+    """A model from at most ``per_label`` different rows a language whose texts have at most ``most_chars`` characters.
+
+    All languages together have at most ``most_rows`` rows and about ``most_total`` characters; the driver holds no more.
+    """
+    rows = docs.select(content_hash(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("by"))
+    rows = rows.filter(F.col("by").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= most_chars))
+    marks = rows.select("by", "h", F.length("text").alias("chars"))
+    got = sampled_texts(rows.select("h", "text"), hash_sample(marks, per_label, most_rows, most_total))
     if not got:
         raise Unlabelled("no labelled text to learn from")
     rng = np.random.Generator(np.random.PCG64(1))
     got = [got[i] for i in rng.permutation(len(got))]
-    return train([t for _, t, _ in got], [x for _, _, x in got], **options)
+    return train([r["text"] for r in got], [r["by"] for r in got], **options)
 
 
 def fit_or_unknown(docs: DataFrame, **options) -> LanguageModel:
@@ -200,20 +204,22 @@ def prediction(model: LanguageModel, text_col: str = "text") -> Column:
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col, lang_pred, score, rejected``."""
-    return docs.select(F.col(id_col), prediction(model, text_col).alias("_p")).select(id_col, "_p.lang_pred", "_p.score", "_p.rejected")
+    made = docs.select(F.col(id_col).alias("id"), prediction(model, text_col).alias("p"))
+    return made.select(F.col("id").alias(id_col), "p.lang_pred", "p.score", "p.rejected")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` without those whose language the model rejects; all columns stay."""
-    return docs.withColumn("_p", prediction(model, text_col)).filter(~F.col("_p.rejected")).select(docs.columns)
+    p = free_name(docs, "_p")
+    return docs.withColumn(p, prediction(model, text_col)).filter(~F.col(p)["rejected"]).drop(p)
 
 
 def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows a model may learn from: CRC-32 of the id modulo 3 isn't 1."""
-    return docs.filter(crc32_of_id(id_col) % 3 != 1)
+    """The rows a model may learn from: CRC-32 of the id modulo 3 isn't 1, or the id is null."""
+    return docs.filter(F.coalesce(crc32_of_id(id_col) % 3 != 1, F.lit(True)))
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit_or_unknown(learnable(docs)))
-    return found.select("doc_id", (crc32_of_id() % 3 == 1).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(crc32_of_id() % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

@@ -1,16 +1,17 @@
 """Packing documents into fixed token windows: first-fit decreasing with a tournament tree.
 
 Each document becomes token ids and one end id, cut into windows of
-``capacity`` ids and a rest.  Pieces go to randomised groups (a hash of
-document and position, so long documents and hot sources spread evenly) and
+``capacity`` ids and a rest.  Pieces go to randomised groups (a hash of the
+row's number and the position, so long documents, hot sources and repeated rows
+spread evenly) and
 each group is packed by itself: pieces by falling length, each into the first
 bin with room, which a tournament tree over the bins' free room finds in
 logarithmic time.  Groups hold about ``pieces_per_group`` pieces at any input
 size; only piece records, never texts, are shuffled.
 
 Byte-level BPE splits a text before every blank that precedes a visible
-character, so ids are looked up chunk by chunk in a bounded dictionary and the
-tokenizer runs once for each chunk it has not met; texts that hold a special
+character, so ids are looked up chunk by chunk in a dictionary that a task keeps, bounded
+and dropped with it, and the tokenizer runs once for each chunk it has not met; texts that hold a special
 token's string go to the tokenizer whole.
 
 Cases: null text is empty and yields the end id alone; empty tables give an
@@ -25,13 +26,16 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import groups_for, table, text_or_empty, total_bytes
+from citewell.llm.common import groups_for, table, text_or_empty, written
 
 CAPACITY = 1024
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_CUT = _PIECES + ", row long"
+_CUT_NAMES = [x.split()[0] for x in _CUT.split(", ")]
 _PACKED = _PIECES + ", sequence_id long, offset long"
 
 
@@ -42,26 +46,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class TokenIds(dict):
-    """Ids, as little-endian bytes, of the pre-tokens met so far, by the tokenizer's own model."""
-
-    def __init__(self, tokenizer, limit: int):
-        super().__init__()
-        self.tokenize, self.limit = tokenizer.model.tokenize, limit
-        self.letters = _byte_letters()
-
-    def of_letters(self, token: str) -> bytes:
-        return b"".join(x.id.to_bytes(4, "little") for x in self.tokenize(token))
-
-    def __missing__(self, token: str) -> bytes:
-        made = self.of_letters(token.encode().decode("latin-1").translate(self.letters))
-        if len(self) >= self.limit:
-            self.clear()
-        if len(token) <= 64:
-            self[token] = made
-        return made
-
-
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _SIGNS = r"!-/:-@\[-`{-~"
 
@@ -77,15 +61,19 @@ class ChunkIds(dict):
     plain = re.compile(rf"[{_LATIN}{_SIGNS}0-9 \t\n\r\f\v]*")
     parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[{_SIGNS}]+|\s+(?!\S)|\s+")
 
-    def __init__(self, tokenizer, tokens: TokenIds, lead: str, limit: int):
+    def __init__(self, tokenizer, lead: str, limit: int):
         super().__init__()
-        self.split, self.tokens, self.lead, self.limit = tokenizer.pre_tokenizer.pre_tokenize_str, tokens, lead, limit
+        self.split, self.tokenize = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+        self.lead, self.limit, self.letters = lead, limit, _byte_letters()
+
+    def of_letters(self, token: str) -> bytes:
+        return b"".join(x.id.to_bytes(4, "little") for x in self.tokenize(token))
 
     def __missing__(self, chunk: str) -> bytes:
         if self.plain.fullmatch(chunk):
-            made = b"".join(map(self.tokens.__getitem__, self.parts.findall(self.lead + chunk)))
+            made = b"".join(self.of_letters(x.encode().decode("latin-1").translate(self.letters)) for x in self.parts.findall(self.lead + chunk))
         else:
-            made = b"".join(self.tokens.of_letters(token) for token, _ in self.split(self.lead + chunk))
+            made = b"".join(self.of_letters(token) for token, _ in self.split(self.lead + chunk))
         if len(self) >= self.limit:
             self.clear()
         if len(chunk) <= 64:
@@ -94,17 +82,16 @@ class ChunkIds(dict):
 
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit integers in bytes."""
+    """Texts to ids as little-endian unsigned 32-bit integers in bytes; made for one task and dropped with it."""
 
-    def __init__(self, tokenizer_file: str, limit: int = 800_000):
+    def __init__(self, tokenizer_file: str, limit: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         if self.tokenizer.normalizer is not None:
             raise ValueError("a normaliser could join what blanks separate; this encoder has none")
-        tokens = TokenIds(self.tokenizer, limit)
-        self.after_blank = ChunkIds(self.tokenizer, tokens, " ", limit)
-        self.first = ChunkIds(self.tokenizer, tokens, "", limit // 10)
+        self.after_blank = ChunkIds(self.tokenizer, " ", limit)
+        self.first = ChunkIds(self.tokenizer, "", limit // 10)
         special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.odd_blank = re.compile(r" (?:\s|$)")
@@ -120,16 +107,6 @@ class Encoder:
         return self.first[chunks[0]] + b"".join(map(self.after_blank.__getitem__, chunks[1:]))
 
 
-def worker_encoder(tokenizer_file: str) -> Encoder:
-    """The encoder that a Python worker keeps for all its tasks."""
-    import pyspark
-
-    kept = pyspark.__dict__.setdefault("_citewell_encoders", {})
-    if tokenizer_file not in kept:
-        kept[tokenizer_file] = Encoder(tokenizer_file)
-    return kept[tokenizer_file]
-
-
 def pieces_of(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
     """Start, length and CRC-32 of each window of ``capacity`` ids."""
     for at in range(0, len(ids), 4 * capacity):
@@ -167,21 +144,22 @@ def first_fit(lengths: Iterable[int], capacity: int) -> list[tuple[int, int]]:
 
 
 def cut_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """Pieces of every document, each id in exactly one: ``doc_id, start, length, ids_crc32, doc_tokens``."""
+    """Pieces of every document, each id in exactly one: ``doc_id, start, length, ids_crc32, doc_tokens, row``; ``row`` numbers the documents."""
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = worker_encoder(tokenizer_file)
+        encode, row = Encoder(tokenizer_file), TaskContext.get().partitionId() << 32
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], []]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py()) + end
                 for start, length, crc in pieces_of(ids, capacity):
-                    for column, value in zip(rows, (key, start, length, crc, len(ids) // 4), strict=True):
+                    for column, value in zip(rows, (key, start, length, crc, len(ids) // 4, row), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                row += 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], _CUT_NAMES)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(cut, _PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(cut, _CUT)
 
 
 def pack_pieces(pieces: DataFrame, groups: int, capacity: int = CAPACITY, seed: int = 7) -> DataFrame:
@@ -191,24 +169,25 @@ def pack_pieces(pieces: DataFrame, groups: int, capacity: int = CAPACITY, seed:
         group = data.column("group")[0].as_py()
         data = data.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         placed = first_fit(data.column("length").to_pylist(), capacity)
-        data = data.drop_columns(["group"])
+        data = data.drop_columns(["group", "row"])
         data = data.append_column("sequence_id", pa.array([(group << 32) + at for at, _ in placed], pa.int64()))
         return data.append_column("offset", pa.array([at for _, at in placed], pa.int64()))
 
-    grouped = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)))
+    grouped = pieces.withColumn("group", F.pmod(F.xxhash64("row", "start", F.lit(seed)), F.lit(groups)))
     return grouped.groupBy("group").applyInArrow(pack, _PACKED)
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, bytes_per_group: int = 16 << 20
+    docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, pieces_per_group: int = 15_000
 ) -> DataFrame:
     """All documents in sequences of at most ``capacity`` ids.
 
-    ``bytes_per_group`` of text go to a group, about 15,000 pieces, so groups
-    grow in number and not in size with the input.
+    The narrow table of pieces is written once and counted; about
+    ``pieces_per_group`` go to a group, so groups grow in number and not in size
+    with the input.
     """
-    groups = groups_for(total_bytes(docs, text_col), bytes_per_group)
-    return pack_pieces(cut_documents(docs, tokenizer_file, id_col, text_col, capacity, end_id), groups, capacity)
+    pieces = written(cut_documents(docs, tokenizer_file, id_col, text_col, capacity, end_id), "pieces")
+    return pack_pieces(pieces, groups_for(pieces.count(), pieces_per_group), capacity)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

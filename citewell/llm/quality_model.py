@@ -27,8 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import table, written
-from citewell.llm.hashed import WordRows, bucket, hash_sample
+from citewell.llm.common import free_name, table, written
+from citewell.llm.hashed import WordRows, bucket, content_hash, hash_sample, sampled_texts
 from citewell.llm.quality_rules import measures
 
 #: Measure, bound for good, bound for bad, and the smallest number of words it votes on.
@@ -45,16 +45,16 @@ GOOD, BAD, NONE = 1, 0, 2
 
 
 def votes(docs: DataFrame, id_col: str, text_col: str, most_chars: int) -> DataFrame:
-    """``id, pattern, usable``: a digit for each labeller's vote, and whether the text may serve as a training row."""
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """``h, by, chars, usable``: the row's hash, a digit for each labeller's vote, the length, and whether the text may serve as a training row."""
+    source = docs.select(content_hash(F.col(id_col), F.col(text_col)).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size, signs = F.length("text"), F.length(F.regexp_replace("text", r"[^|!#$%&*]+", ""))
-    source = source.select("id", "text", (size <= most_chars).alias("usable"), signs.alias("signs"))
+    source = source.select("h", "text", size.alias("chars"), signs.alias("signs"))
     n = F.col("n_words")
-    m = measures(source, "text", ("id", "usable", "signs")).withColumns(
+    m = measures(source, "text", ("h", "chars", "signs")).withColumns(
         {"mark_ratio": F.coalesce(F.try_divide(F.col("signs").cast("double"), n * 6), F.lit(0.0)), "rare_ratio": 1.0 - F.col("stop_word_ratio")}
     )
     cast = [F.when(n < least, NONE).when(F.col(c) <= good, GOOD).when(F.col(c) >= bad, BAD).otherwise(NONE).cast("string") for c, good, bad, least in LABELLERS]
-    return m.select("id", F.concat(*cast).alias("pattern"), (F.col("usable") & (n > 0)).alias("usable"))
+    return m.select("h", F.concat(*cast).alias("by"), "chars", ((F.col("chars") <= most_chars) & (n > 0)).alias("usable"))
 
 
 def estimate(counts: dict[str, int], rounds: int = 200, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
@@ -103,11 +103,11 @@ def word_features(word: str, buckets: int) -> list[int]:
     return [bucket("s" + shape(word), buckets), bucket("w" + word.strip(".,;:!?").lower()[:24], buckets)]
 
 
-def text_features(words: list[str], lines: list[str], buckets: int) -> list[int]:
-    """In steps of a tenth: words equal to the one, two or three places before, and different lines."""
+def text_features(words: np.ndarray, lines: list[str], buckets: int) -> list[int]:
+    """In steps of a tenth: words, given as numbers, equal to the one, two or three places before, and different lines."""
     n = max(1, len(words))
     full = [x for x in lines if x and not x.isspace()]
-    shares = {f"r{k}": sum(map(str.__eq__, words, words[k:])) / n for k in (1, 2, 3)}
+    shares = {f"r{k}": np.count_nonzero(words[k:] == words[:-k]) / n for k in (1, 2, 3)}
     shares["l"] = len(set(full)) / len(full) if len(full) >= 3 else 2
     return [bucket(f"{k}:{int(10 * v)}", buckets) for k, v in shares.items()]
 
@@ -129,8 +129,9 @@ class QualityModel:
         words = (text or "").split()
         if not words:
             return float(self.prior[0])
-        total = rows.total(words)
-        z = self.bias + total[0] / total[1] + self.weights[text_features(words, text.split("\n"), len(self.weights))].sum()
+        at = rows.numbers(words)
+        total = rows.total(at)
+        z = self.bias + total[0] / total[1] + self.weights[text_features(at, text.split("\n"), len(self.weights))].sum()
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
@@ -143,7 +144,8 @@ def train(texts: list[str], targets: list[float], buckets: int = 1 << 16, epochs
         for w in words:
             for i in word_features(w, buckets):
                 ids[i] = ids.get(i, 0.0) + 0.5 / len(words)
-        for i in text_features(words, text.split("\n"), buckets):
+        number = {w: i for i, w in enumerate(set(words))}
+        for i in text_features(np.array([number[w] for w in words]), text.split("\n"), buckets):
             ids[i] = ids.get(i, 0.0) + 1.0
         bags.append((np.fromiter(ids.keys(), np.int64, len(ids)), np.fromiter(ids.values(), float, len(ids))))
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -158,16 +160,18 @@ def train(texts: list[str], targets: list[float], buckets: int = 1 << 16, epochs
     return weights.astype(np.float32), bias
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_pattern: int = 120, most_chars: int = 20_000, **options) -> QualityModel:
-    """EM over the votes of all documents, then a scorer from at most ``per_pattern`` documents of each vote pattern, of at most ``most_chars`` characters."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_pattern: int = 120, most_chars: int = 20_000, most_rows: int = 20_000, most_total: int = 64_000_000, **options) -> QualityModel:
+    """EM over the votes of all documents, then a scorer from at most ``per_pattern`` different documents of each vote pattern, of at most ``most_chars`` characters.
+
+    All patterns together have at most ``most_rows`` documents and about ``most_total`` characters; the driver holds no more.
+    """
     cast = written(votes(docs, id_col, text_col, most_chars), "votes")
-    counts = {r["pattern"]: r["n"] for r in cast.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["by"]: r["n"] for r in cast.groupBy("by").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior, likely, posterior = estimate(counts)
-    chosen = hash_sample(cast.filter("usable"), "pattern", per_pattern, "id").select("id", "pattern").distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(chosen), texts["_id"].eqNullSafe(chosen["id"])).select("id", "text", "pattern").collect()
-    rows = sorted((r["id"] or 0, r["text"] or "", posterior[r["pattern"]]) for r in sample if r["text"])
-    weights, bias = train([t for _, t, _ in rows], [p for _, _, p in rows], **options)
+    chosen = hash_sample(cast.filter("usable").select("by", "h", "chars"), per_pattern, most_rows, most_total)
+    texts = docs.select(content_hash(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    rows = sampled_texts(texts, chosen)
+    weights, bias = train([r["text"] for r in rows], [posterior[r["by"]] for r in rows], **options)
     return QualityModel(weights, bias, prior, likely, posterior)
 
 
@@ -183,12 +187,13 @@ def score_column(model: QualityModel, text_col: str = "text") -> Column:
 
 def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col, score, kept``."""
-    return docs.select(F.col(id_col), score_column(model, text_col).alias("score")).withColumn("kept", F.col("score") >= model.least_score)
+    return docs.select(F.col(id_col).alias("id"), score_column(model, text_col).alias("score")).select(F.col("id").alias(id_col), "score", (F.col("score") >= model.least_score).alias("kept"))
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
     """``docs`` without those the scorer rejects; all columns stay."""
-    return docs.withColumn("_s", score_column(model, text_col)).filter(F.col("_s") >= model.least_score).select(docs.columns)
+    s = free_name(docs, "_s")
+    return docs.withColumn(s, score_column(model, text_col)).filter(F.col(s) >= model.least_score).drop(s)
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

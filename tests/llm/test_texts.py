@@ -113,7 +113,7 @@ def test_packing_keeps_every_id_once(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
     rows = [(i, "word " * (i * 37 % 700)) for i in range(40)] + [(99, None), (98, "z" * 9000)]
-    got = packing.pack_documents(docs(spark, rows), path, bytes_per_group=20_000).collect()
+    got = packing.pack_documents(docs(spark, rows), path, pieces_per_group=12).collect()
     ids = {i: [*plain.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
     pieces, bins = {}, {}
     for r in got:
