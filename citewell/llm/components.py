@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Every step is an aggregate (the smallest neighbour, combined before the
-shuffle) and a join back, so a node with very many links is split like any hot
-join key.  After each round the edges are written to the shared folder.
+shuffle) and a join back.  The aggregate is shuffled on its own, so both sides
+of the join are plain shuffles and adaptive execution may split a node with
+very many links.  After each round the edges are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from citewell.llm.common import written
 
 def _nearest(edges: DataFrame) -> DataFrame:
     """``u, m``: the smaller of each node and its smallest neighbour."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -7,19 +7,25 @@
 2. Representatives meet on band keys.  A bucket gives one edge from each member
    to its smallest member, never all pairs; the components of these edges
    contain every candidate pair.
-3. Components are dealt out as blocks of bounded size.  A larger component is
-   cut into chunks, and each pair of chunks is a block of its own, so no block
-   grows with a component and no pair is lost.  Within a block the pairs that
-   share a band are verified on their full n-gram sets; the block returns, for
-   each member, its number of links and its root by union-find: as many rows as
+3. Components are dealt out as blocks of bounded size.  A component too large
+   for one block goes whichever way copies its texts less: cut into chunks, each
+   pair of chunks a block of its own, or by its buckets, so that a text goes
+   only where it may meet another and chains of chance meetings cost each text
+   its own buckets at most.  A bucket too large is cut into chunks likewise, and
+   a pair is verified in the first band it shares alone.  No block grows with a
+   component or bucket and no pair is lost.  Within a block the pairs that share
+   a band are verified on their full n-gram sets; the block returns, for each
+   member, its number of links and its root by union-find: as many rows as
    members, never the pairs.
 4. Roots of components that lie in several blocks are joined up by the same
    component search, on verified links alone.
 
 Cases: null and empty texts have no n-grams, no links and a class of their own;
 texts of fewer than n words have one n-gram of all their words; repeated rows
-count as copies; an empty table gives an empty result; further columns are
-ignored; null ids are left out of classes and come back with no links.
+count as copies; an id that repeats with different texts stands, in links, for
+the one whose set has the least key; an empty table gives an empty result;
+further columns are ignored; null ids are left out of classes and come back
+with no links.
 """
 
 from __future__ import annotations
@@ -141,9 +147,8 @@ def shared_bands(bands: np.ndarray) -> np.ndarray:
     return near
 
 
-def verified_links(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """Each member i of ``left`` with the members j > i or of ``right`` that reach the threshold, on full sets."""
-    near = shared_bands(bands)
+def verified_links(sets: list[np.ndarray], near: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member i of ``left`` with the members j > i or of ``right`` that are ``near`` and reach the threshold, on full sets."""
     sizes = np.array([len(x) for x in sets])
     starts = np.concatenate(([0], np.cumsum(sizes)))
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.empty(0, np.int64)
@@ -172,15 +177,21 @@ _FOUND = "rep long, root long, links long"
 def _verify(n: int, threshold: float):
     def verify(data: pa.Table) -> pa.Table:
         data = data.sort_by("rep")
-        reps = data.column("rep").to_numpy()
-        data = data.filter(pa.array(np.concatenate(([True], reps[1:] != reps[:-1]))))
+        hashes, sets, at = WordHashes(), [], {}
+        # an id may repeat with other texts: its set's key tells which is meant
+        for i, (rep, key, text) in enumerate(zip(data.column("rep").to_pylist(), data.column("set_key"), data.column("text"), strict=True)):
+            if rep not in at:
+                grams = ngram_set(text.as_py(), n, hashes)
+                if hashlib.sha256(grams.tobytes()).digest() == key.as_py():
+                    at[rep] = i
+                    sets.append(grams)
+        data = data.take(pa.array(list(at.values()), pa.int64()))
         reps = data.column("rep").to_numpy()
         copies = data.column("copies").to_numpy()
         chunk = data.column("chunk").to_numpy()
-        a, b = data.column("a")[0].as_py(), data.column("b")[0].as_py()
+        a, b, band = (data.column(x)[0].as_py() for x in ("a", "b", "band"))
         bands = np.array(data.column("bands").to_pylist(), np.int64)
-        hashes = WordHashes()
-        sets = [ngram_set(x.as_py(), n, hashes) for x in data.column("text")]
+        near = shared_bands(bands) if band < 0 else ~shared_bands(bands[:, :band])
         root = list(range(len(reps)))
         links = np.zeros(len(reps), np.int64)
 
@@ -190,7 +201,7 @@ def _verify(n: int, threshold: float):
                 x = root[x]
             return x
 
-        for i, js in verified_links(sets, bands, chunk == a, chunk == b, threshold):
+        for i, js in verified_links(sets, near, chunk == a, chunk == b, threshold):
             links[i] += copies[js].sum()
             links[js] += copies[i]
             for j in js:
@@ -201,6 +212,35 @@ def _verify(n: int, threshold: float):
     return verify
 
 
+#: What names a block: a component or a bucket's band and key, and two of its chunks; the band is -1 for components.
+_BLOCK = ("root", "band", "key", "a", "b")
+
+
+def dealt_out(members: DataFrame, block_docs: int, block_grams: int) -> DataFrame:
+    """Members of candidate components, once for each block they take part in, with ``_BLOCK`` and their ``chunk``."""
+
+    def cut(rows: DataFrame, *by: str) -> DataFrame:
+        chunks = F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n_grams") / block_grams)).cast("int")
+        return rows.groupBy(*by).agg(chunks.alias("chunks"), F.count(F.lit(1)).alias("m"))
+
+    whole = written(cut(members, "root"), "component-sizes")
+    large = members.join(whole.filter("chunks > 1").select("root"), "root", "left_semi")
+    placed = large.select("root", "rep", "n_grams", F.posexplode("bands").alias("band", "key"))
+    buckets = cut(placed, "root", "band", "key").filter("m > 1")
+    by_bucket = whole.join(buckets.groupBy("root").agg(F.sum(F.col("m") * F.col("chunks")).alias("cost")), "root").filter(F.col("cost") < F.col("m") * F.col("chunks")).select("root")
+    by_bucket = written(by_bucket, "by-bucket")
+
+    def paired(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        return rows.select(*_BLOCK[:3], F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "rep", "copies", "chunk", "bands", "set_key")
+
+    one_way = members.join(by_bucket, "root", "left_anti").join(whole, "root").withColumns({"band": F.lit(-1), "key": F.lit(0).cast("long")})
+    kept = members.join(by_bucket, "root", "left_semi").withColumn("place", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("bands") - 1).alias("band"), F.col("bands").alias("key"))))
+    other_way = kept.select("*", "place.band", "place.key").join(buckets, ["root", "band", "key"])
+    return paired(one_way).unionByName(paired(other_way))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -223,7 +263,10 @@ def near_duplicates(
     signed = written(signatures(docs, id_col, text_col, n, bands, rows), "signatures")
     classes = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = written(
-        signed.join(classes, (signed.doc_id == classes.rep) & (signed.set_key == classes.set_key)).select("rep", "copies", "n_grams", "bands").dropDuplicates(["rep"]),
+        signed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"])
+        .groupBy(F.col("doc_id").alias("rep"))
+        .agg(F.min_by(F.struct("copies", "n_grams", "bands", "set_key"), "set_key").alias("x"))
+        .select("rep", "x.*"),
         "representatives",
     )
 
@@ -232,34 +275,29 @@ def near_duplicates(
     edges = placed.join(buckets, ["band", "key"]).filter("rep != v").select(F.col("rep").alias("u"), "v")
     blocks = written(connected_components(edges), "blocks")
 
-    members = blocks.withColumnRenamed("node", "rep").join(reps, "rep")
-    cut = members.groupBy("root").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n_grams") / block_grams)).cast("int").alias("chunks")
-    )
-    members = members.join(cut, "root").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    dealt = (
-        members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .withColumn("a", F.least("chunk", "other"))
-        .withColumn("b", F.greatest("chunk", "other"))
-        .drop("other")
-    )
+    dealt = dealt_out(blocks.withColumnRenamed("node", "rep").join(reps, "rep"), block_docs, block_grams)
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_or_empty(text_col).alias("text"))
     found = written(
-        texts.join(dealt, "rep").select("root", "a", "b", "rep", "copies", "chunk", "bands", "text").groupBy("root", "a", "b").applyInArrow(_verify(n, threshold), _FOUND), "verified"
+        texts.join(dealt, "rep")
+        .select(*_BLOCK, "rep", "copies", "chunk", "bands", "set_key", "text")
+        .groupBy(*_BLOCK)
+        .applyInArrow(_verify(n, threshold), _FOUND),
+        "verified",
     )
     linked = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_set = (
+    by_set = written(
         classes.join(counts, "rep", "left")
         .join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("set_key", "rep", "copies", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("set_key", "rep", "copies", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
+        "classes",
     )
-    return signed.join(by_set, "set_key", "left").select(
-        F.col("doc_id").alias(id_col),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("rep", "doc_id").alias("set_id"),
-        F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
+    # texts without words or ids would all meet at one null key
+    has_class = F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()
+    alone = signed.filter(~has_class).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).alias("n_links"), F.col("doc_id").alias("rep"), F.lit(1).alias("copies"))
+    joined = signed.filter(has_class).select("doc_id", "set_key").join(by_set, "set_key").select("doc_id", "class_id", "n_links", "rep", "copies")
+    return joined.unionByName(alone).select(
+        F.col("doc_id").alias(id_col), "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("rep").alias("set_id"), F.col("copies").cast("long").alias("copies")
     )
 
 

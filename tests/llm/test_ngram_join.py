@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from citewell.llm import ngram_join
 from citewell.llm.components import connected_components
 from citewell.llm.ngram_join import bands_and_rows, near_duplicates
 
@@ -56,6 +57,36 @@ def test_equals_brute_force(spark, block_docs):
     assert got == brute(rows)
 
 
+def test_chains_go_by_buckets(spark):
+    """A chain of near copies, each like its neighbours alone, is one component that is cheaper by its buckets."""
+    words = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 60])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bands, per = bands_and_rows(0.8, 0.9999, 128)
+    signed = ngram_join.signatures(docs, "doc_id", "text", 5, bands, per).withColumns({"rep": F.col("doc_id"), "root": F.lit(0), "copies": F.lit(1)})
+    dealt = ngram_join.dealt_out(signed.drop("doc_id"), 3, 1 << 20)
+    assert dealt.filter("band >= 0").count() and not dealt.filter("band < 0").count()
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(docs, block_docs=3).collect()}
+    assert got == brute(rows)
+
+
+def test_many_different_near_copies(spark):
+    """One component of 1,500 texts: what is shuffled for each text grows with the number of chunks it is cut into, and all links count."""
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base[: i % 290] + [f"x{i}"] + base[i % 290 + 1 :])) for i in range(1500)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 1500 and {r.class_id for r in got} == {0} and all(r.n_links == 1499 for r in got)
+
+
+def test_null_and_repeated_ids(spark):
+    same, near = " ".join(map(str, range(40))), " ".join(map(str, range(41)))
+    rows = [(None, same), (3, same), (3, same), (5, near), (7, None), (None, None), (9, "x"), (9, "a text of its own and then some")]
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert [r for r in got if r[0] is None] == [(None, None, 0, None, 1)] * 2
+    assert [r[:3] for r in got if r[0] in (3, 5, 7)] == [(3, 3, 2), (3, 3, 2), (5, 3, 2), (7, 7, 0)]
+    assert [r[:3] for r in got if r[0] == 9] == [(9, 9, 0)] * 2
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
