@@ -1,10 +1,17 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A page is cut into flat blocks at block-level tags.  Each block has its word
-count and link density, those of the blocks before and after it, and where it
-stands: in an article, in a part named or marked as boilerplate, on a page that
-has an article at all.  A decision tree, grown from the small labelled table
-below by Gini impurity, says which blocks are main text.
+A page is cut into flat blocks at block-level tags.  A block's features are its
+word count and link density, those of the blocks before and after it, the
+longest plain block nearby, its own kind of element (paragraph, heading, item
+of a list), and two signs of place: whether an element around it is named or
+tagged like a part beside the article, and whether it lies in an article or
+outside, where articles hold a fair share of the page's words.  A decision tree,
+grown by Gini impurity from the labelled pages below, says which blocks are
+main text.  Each labelled page also stands in the table without its signs of
+place, so the tree must do with words, links and neighbours where there are none.
+
+A sign on an element says nothing where that element holds an unmarked article
+or most of the page's words, as with classes of ``body`` or of a wrapper.
 
 Scripts, styles, comments, forms' controls and hidden parts never become
 blocks.  Character references are decoded, white space inside a block becomes
@@ -19,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from html import unescape
 
 import numpy as np
@@ -31,7 +38,7 @@ from citewell.llm.common import table
 
 _TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*\Z)"""
-    r"""|<(?P<raw>script|style|noscript|template|iframe|svg|math|select|textarea|button|object|canvas|audio|video|title)\b(?:[^>"']*+(?:"[^"]*+"|'[^']*+')?+)*+>(?:.*?</(?P=raw)\s*>|.*\Z)"""
+    r"""|<(?P<raw>script|style|template|iframe|svg|annotation|annotation-xml|select|textarea|button|audio|video|title)\b(?:[^>"']*+(?:"[^"]*+"|'[^']*+')?+)*+>(?:.*?</(?P=raw)\s*>|.*\Z)"""
     r"""|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>"""
     r"""|<[/!?a-z][^>]*>?""",
     re.IGNORECASE | re.DOTALL,
@@ -39,7 +46,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
-    "hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "hgroup hr html legend li main menu nav noscript ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -52,48 +59,63 @@ _BOILER_WORDS = re.compile(
 )
 
 
+#: Words before or after such a word in a name that turn it into a remark about the page.
+_REMARKS = frozenset("no has have with without hide show is open closed enabled disabled off on".split())
+_KINDS = {"p": "p", "pre": "p", "blockquote": "p", "li": "i", "dt": "i", "dd": "i"} | {f"h{n}": "h" for n in range(1, 7)}
+
+
 @dataclass
 class Block:
     text: str
     words: int
     links: float
-    boiler: bool
-    article: bool
-    main: bool
+    kind: str = "o"  # p, h, i as in _KINDS, or o
+    marks: tuple[int, ...] = ()  # elements around it that are named or tagged like boilerplate
+    articles: tuple[int, ...] = ()  # article elements around it
+    main: bool = False
+
+
+@dataclass
+class Page:
+    blocks: list[Block] = field(default_factory=list)
+    over: dict[int, set[int]] = field(default_factory=dict)  # each marked element, with the articles inside it
+    article_marks: dict[int, tuple[int, ...]] = field(default_factory=dict)  # each article, with the marks on it and around it
 
 
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def _marks(attrs: str) -> tuple[bool, bool, bool]:
-    """Whether the attributes name boilerplate, name a header, and hide the element."""
-    boiler = header = hidden = False
+def _attributes(attrs: str) -> tuple[bool, bool]:
+    """Whether the attributes name a part beside the article, and hide the element."""
+    mark = hidden = False
     for name, a, b, c in _ATTRIBUTE.findall(attrs):
         name, value = name.lower(), _HUMP.sub("-", a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
         elif name in ("class", "id", "role"):
-            words = [x for x in re.split(r"[^a-z0-9]+", value) if x]
-            boiler |= any(map(_BOILER_WORDS.fullmatch, words))
-            header |= "header" in words
-    return boiler, header, hidden
-
-
-def blocks_of(html: str) -> list[Block]:
-    """The flat text blocks of a page, in order."""
-    found: list[Block] = []
-    # open elements: name, boilerplate, hidden, article, main
-    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+            for one in value.split():
+                words = [x for x in re.split(r"[^a-z0-9]+", one) if x]
+                if not _REMARKS.intersection(words):
+                    mark |= any(w == "header" or _BOILER_WORDS.fullmatch(w) for w in words)
+    return mark, hidden
+
+
+def page_of(html: str) -> Page:
+    """The flat text blocks of a page, in order, and what is marked around them."""
+    page = Page()
+    # open elements: name, hidden, kind, marks, articles, main
+    stack: list[tuple] = [("", False, "o", (), (), False)]
     parts: list[str] = []
     linked: list[str] = []
     in_link = False
+    elements = 0
 
     def flush() -> None:
         nonlocal in_link
-        _, boiler, hidden, article, main = stack[-1]
+        _, hidden, kind, marks, articles, main = stack[-1]
         words = "".join(parts).split()
         if words and not hidden:
-            found.append(Block(" ".join(words), len(words), len("".join(linked).split()) / len(words), boiler, article, main))
+            page.blocks.append(Block(" ".join(words), len(words), len("".join(linked).split()) / len(words), kind, marks, articles, main))
         parts.clear()
         linked.clear()
         in_link = False
@@ -129,48 +151,73 @@ def blocks_of(html: str) -> list[Block]:
                     stack.pop()
                 if name in _VOID:
                     continue
-                _, boiler, hidden, article, main = stack[-1]
-                own, header, gone = _marks(m["attrs"]) if m["attrs"] else (False, False, False)
-                boiler |= own or name in _BOILER_TAGS or (header or name == "header") and not article
-                stack.append((name, boiler, hidden or gone or name == "head", article or name == "article" and not boiler, main or name == "main"))
+                _, hidden, _, marks, articles, main = stack[-1]
+                mark, gone = _attributes(m["attrs"]) if m["attrs"] else (False, False)
+                elements += 1
+                if (mark and name not in ("html", "body")) or name in _BOILER_TAGS or name == "header" and not articles:
+                    marks = (*marks, elements)
+                    page.over[elements] = set()
+                if name == "article":
+                    articles = (*articles, elements)
+                    page.article_marks[elements] = marks
+                    for x in marks[: -1 if marks and marks[-1] == elements else None]:
+                        page.over[x].add(elements)
+                stack.append((name, hidden or gone or name == "head", _KINDS.get(name, "o"), marks, articles, main or name == "main"))
     add(html[at:])
     flush()
-    return found
+    return page
 
 
 #: What the tree looks at, in the order of the table's columns.
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boiler", "article", "page_has_article")
-#: Sizes that blocks come in: words and link density.
-SIZES = ((1, 0.0), (1, 1.0), (4, 0.0), (7, 0.6), (12, 0.0), (30, 0.1), (60, 0.0), (200, 0.0))
-#: Places that settle the label at any size: boilerplate, in the article, page has an article; then 1 for main text.
-PLACES = ((0, 1, 1, 1), (1, 0, 1, 0), (1, 1, 1, 0), (1, 0, 0, 0), (0, 0, 1, 0))
-#: Labelled blocks of pages without an article: words, links, the same before and after, then 1 for main text.
+FEATURES = (
+    "words", "links", "words_before", "links_before", "words_after", "links_after", "plain_nearby", "paragraph", "heading", "item", "marked", "place",
+)
+#: Labelled pages, a line each, then ``=``.  A block is its kind (p, h, i, o), words, percent of them in links, signs of place
+#: (a in an article, x marked), and + for main text or - for other.  Pages of the first group also serve with the signs of one kind
+#: and with none, those of the second also without marks; blank lines part the groups.
 LABELLED = """
-60 0.0 55 0.0 70 0.0 1
-30 0.05 40 0.0 90 0.0 1
-18 0.0 8 0.0 40 0.0 1
-6 0.0 70 0.0 60 0.0 1
-3 0.0 45 0.0 80 0.0 1
-9 0.0 35 0.1 50 0.0 1
-150 0.1 2 1.0 60 0.0 1
-22 0.2 60 0.0 30 0.0 1
-50 0.0 1 1.0 0 0.0 1
-16 0.0 0 0.0 0 0.0 1
-7 0.0 2 1.0 60 0.0 1
-80 0.0 60 0.0 2 1.0 1
-200 0.2 1 1.0 1 1.0 1
-2 1.0 2 1.0 2 1.0 0
-4 0.9 3 1.0 1 1.0 0
-1 0.0 2 1.0 3 1.0 0
-5 0.0 1 1.0 2 0.9 0
-12 0.9 3 1.0 4 0.8 0
-30 0.8 20 0.9 25 0.7 0
-3 0.0 4 1.0 0 0.0 0
-8 0.6 60 0.0 2 1.0 0
-2 1.0 50 0.0 3 1.0 0
-1 1.0 0 0.0 90 0.0 0
-60 0.7 30 0.0 40 0.0 0
+news = i1,100x- i1,100x- i2,100x- o9,0x- h8,0a+ p45,0a+ p3,0a+ p80,5a+ p1,0a+ p30,0a+ p2,0a+ o8,20x-
+notes = i2,100x- i1,100x- i3,100x- o6,0x- h4,0a+ p1,0a+ p2,0a+ p60,0a+ p2,0a+ o12,10x-
+report = o2,100x- o2,100x- o3,0x- h9,0a+ p25,0a+ h3,0a+ p120,2a+ i8,0a+ i12,0a+ i6,0a+ p40,0a+ h2,0a+ p90,0a+ o5,80x- o4,0x-
+guide = i1,100x- i2,100x- h6,0a+ p35,10a+ i15,0a+ i20,30a+ i9,0a+ p50,0a+ p16,40a+ p70,0a+ i3,100x- i4,100x- i2,100x- o10,30x-
+blog = o1,100x- o1,100x- o5,0x- h7,0a+ o60,3a+ o45,0a+ o14,0a+ o90,5a+ o70,0a+ o3,100x- o2,100x- o6,0x-
+column = o2,100x- o1,100x- h10,0a+ o110,0a+ o8,0a+ o75,0a+ o40,10a+ o2,100x- o4,100x- o9,60x-
+table = i1,100x- i1,100x- h5,0a+ p55,0a+ o12,0a+ o18,0a+ o40,0a+ p65,0a+ o7,50x-
+index = i2,100x- i2,100x- i3,100x- h2,0x- i6,100x- i8,100x- i7,100x- h3,100x- i5,90x- o4,0x- o6,40x-
+shop = i1,100x- i2,100x- o3,0x- o2,100x- o5,60x- o4,100x- o2,0x- o6,50x- i3,100x- o8,0x-
+bare = h6,0a+ p50,0a+ p20,0a+ p3,0a+
+open = i1,100x- i2,100x- h6,0a+ p50,0a+ p12,0a+ p44,0a+
+flat = o80,0a+ o60,0a+ o30,0a+ o22,0a+ o70,0a+
+first = p18,0a+ p40,0a+ p2,0a+ i7,0a+ i9,0a+ p6,0a+
+short = p4,0a+
+home = o2,100x- o45,0a+ o60,0a+ o40,5a+ o9,0x-
+promo = i1,100x- i1,100x- o7,0x- h10,0a+ p25,0a+ p60,0a+ p2,0a+ o11,0x-
+spot = o1,100x- o11,0x- h6,0a+ p30,0a+ p30,0a+ o8,0x-
+line = i2,100x- i1,100x- o5,0x- h12,0a+ p3,0a+ p16,0a+ p28,0a+ o13,0x-
+pair = i1,100x- o13,0x- h8,0a+ o50,0a+ o20,0a+ o44,0a+ o6,0x-
+page = o2,100x- o50,0a+ o4,0x-
+poem = o1,100x- o2,100x- o5,0x- h4,0a+ p6,0a+ p7,0a+ p5,0a+ p8,0a+ o7,0x-
+letter = o3,100x- o1,100x- p30,0a+ p12,0a+ p60,0a+ o14,0x-
+plain = i1,100x- i1,100x- h5,0a+ p9,0a+ p15,0a+ p7,0a+ p11,0a+ o12,0x-
+story = o4,100x- o12,0x- h7,0a+ p90,0a+ p33,0a+ p140,0a+ p8,0a+ o16,0x-
+wire = o1,100x- o1,100x- h9,0a+ p21,0a+ p17,0a+ o5,0x-
+long = h3,0a+ p5,0a+ p7,0a+ p240,5a+ p11,0a+ h4,0a+ p8,0a+ p6,0a+ p190,0a+
+
+talk = i1,100x- h8,0a+ p60,0a+ p20,0a+ p90,0a+ h2,0x- p25,0x- p60,0x- p8,0x- p40,10x- o2,0x- o8,20x-
+teaser = i1,100x- h7,0+ p80,5+ p45,0+ p15,0+ p120,0+ h4,100a- p12,0a- o2,100a- o9,0x-
+cards = h6,0+ o70,0+ p60,0+ p9,0+ p85,5+ p30,0+ h3,100a- p10,50a- h4,100a- p14,40a- o8,30x-
+faq = i2,100x- h3,0a+ h6,0a+ p30,0a+ h7,0a+ p22,0a+ i5,0a+ i4,0a+ h5,0a+ p9,0a+ p18,0x- o5,0x- p12,0x- o11,0x-
+notice = p22,5x- o20,0x- p14,0x- h9,0a+ p65,0a+ p33,0a+ p7,0a+ p48,0a+ p16,0x- o3,100x- h3,0x- p28,0x- p9,0x-
+last = i1,100x- h6,0a+ p50,0a+ o6,0a+
+ends = i2,100x- h3,0a+ o30,0a+ p70,0a+ i9,0a+ o2,0a+
+side = h2,0x- o9,0x- h6,0a+ o40,0a+ o3,0a+ p50,0a+ o4,0a+ p2,0a+ o5,0x- h2,0x- p11,0x- o30,0x- i4,0x- i6,0x-
+
+inside = i1,100x- h8,0a+ p50,0a+ o25,0ax- p70,0a+ p12,0ax- p4,0a+ o2,0ax- h2,0ax- p30,0ax- p55,0ax- o7,0x-
+stand = o12,0x- h5,0a+ p40,0a+ o6,0a+ p80,0a+ o15,0ax- p5,0a+ o9,0a+ h3,0a+ p20,0a+ h2,0ax- i7,100ax- i6,100ax- i8,100ax- p20,0x-
+cells = i1,100x- h4,0a+ o2,0a+ o3,0a+ o1,0a+ o4,0a+ p35,0a+ p6,100a+ p50,60a+ h3,100a+ p40,0a+ i6,100a- i3,100a- o9,0x-
+marked = p20,0x- p60,0x- h4,0x- p15,0x- o80,0x- h6,0+ p50,0+ o30,0+ p9,0+ p44,0x- i6,0x- i20,0x- o150,0x-
 """
+_ENTRY = re.compile(r"([phio])(\d+),(\d+)(a?)(x?)([+-])")
 
 
 @dataclass
@@ -184,19 +231,25 @@ class Node:
     right: Node | None = None
 
 
-def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels: each place with blocks and neighbours of every size, and the blocks labelled by hand."""
-    near = [*SIZES[::2], (0, 0.0)]
-    rows = [(*own, *before, *after, *place) for place in PLACES for own in SIZES for before in near for after in near]
-    for line in LABELLED.strip().splitlines():
-        *sizes, label = map(float, line.split())
-        rows.append((*sizes, 0, 0, 0, label))
-    made = np.array(rows, float)
-    return made[:, :-1], made[:, -1]
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Node:
-    """A binary tree by the split of least Gini impurity; ties go to the first feature and bound."""
+def labelled_table(scales: tuple[float, ...] = (0.5, 0.75, 1.0, 1.4, 2.0)) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the labelled pages, at several lengths of their blocks, with and without signs of place."""
+    rows, labels = [], []
+    every, outside, signed = LABELLED.strip().split("\n\n")
+    for group, signs in ((every, "ax"), (every, "a"), (every, "x"), (every, ""), (outside, "ax"), (outside, "a"), (signed, "ax")):
+        for line in group.splitlines():
+            found = _ENTRY.findall(line.partition(" = ")[2])
+            for scale in scales:
+                page = Page(article_marks={0: ()})
+                for i, (kind, words, links, a, x, _) in enumerate(found):
+                    n = int(words) if int(words) < 4 else round(int(words) * scale)
+                    page.blocks.append(Block("", n, int(links) / 100, kind, (i + 1,) if x and "x" in signs else (), (0,) if a and "a" in signs else ()))
+                rows += rows_of(page)
+                labels += [float(x[-1] == "+") for x in found]
+    return np.array(rows, float), np.array(labels)
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 3) -> Node:
+    """A binary tree by the split of least Gini impurity; ties go to the first feature and bound; leaves have ``least`` rows or more."""
     share = float(y.mean()) if len(y) else 0.0
     best = (2 * share * (1 - share) * len(y) - 1e-9, -1, 0.0)
     if depth and 0 < share < 1:
@@ -204,13 +257,15 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Node:
             values = np.unique(x[:, f])
             for bound in (values[1:] + values[:-1]) / 2:
                 parts = [y[x[:, f] <= bound], y[x[:, f] > bound]]
+                if min(map(len, parts)) < least:
+                    continue
                 impurity = sum(2 * p.mean() * (1 - p.mean()) * len(p) for p in parts)
                 if impurity < best[0] - 1e-12:
                     best = (impurity, f, float(bound))
     if best[1] < 0:
         return Node(share)
     low = x[:, best[1]] <= best[2]
-    return Node(share, best[1], best[2], grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
+    return Node(share, best[1], best[2], grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least))
 
 
 def is_main(node: Node, row: tuple) -> bool:
@@ -219,21 +274,46 @@ def is_main(node: Node, row: tuple) -> bool:
     return node.share >= 0.5
 
 
-def rows_of(blocks: list[Block]) -> Iterator[tuple]:
+def standing_marks(page: Page, most: float = 0.5) -> set[int]:
+    """The marked elements that hold neither an unmarked article nor more than ``most`` of the page's words."""
+    total = sum(b.words for b in page.blocks)
+    held: dict[int, int] = {}
+    for b in page.blocks:
+        for x in b.marks:
+            held[x] = held.get(x, 0) + b.words
+    stand = {x for x, n in held.items() if n <= most * total or x in page.article_marks and n < total}
+    # from the inside out: an article is unmarked once no standing mark lies on it or between it and the element
+    for x in sorted(stand, reverse=True):
+        if any(not (stand & {y for y in page.article_marks[a] if y > x}) for a in page.over.get(x, ())):
+            stand.discard(x)
+    return stand
+
+
+def rows_of(page: Page) -> Iterator[tuple]:
     """The features of each block; an article counts before ``main``, and that where there is no article."""
-    articles = any(b.article for b in blocks)
-    has = articles or any(b.main for b in blocks)
+    blocks = page.blocks
     if not blocks:
         return
-    edge = Block("", 0, 0.0, False, False, False)
-    for before, b, after in zip([edge, *blocks[:-1]], blocks, [*blocks[1:], edge], strict=True):
-        inside = b.article if articles else b.main
-        yield b.words, b.links, before.words, before.links, after.words, after.links, int(b.boiler), int(inside), int(has)
+    stand = standing_marks(page)
+    marked = [not stand.isdisjoint(b.marks) for b in blocks]
+    inside = [bool(b.articles) and not m for b, m in zip(blocks, marked, strict=True)]
+    if not any(inside):
+        inside = [b.main and not m for b, m in zip(blocks, marked, strict=True)]
+    plain = [b.words if b.links < 0.34 and not m else 0 for b, m in zip(blocks, marked, strict=True)]
+    share = sum(n for n, i in zip(plain, inside, strict=True) if i) / max(1, sum(plain))
+    telling = share >= 0.4  # teasers alone tell nothing
+    edge = Block("", 0, 0.0)
+    for i, (before, b, after) in enumerate(zip([edge, *blocks[:-1]], blocks, [*blocks[1:], edge], strict=True)):
+        near = max(max(plain[max(0, i - 3) : i], default=0), max(plain[i + 1 : i + 4], default=0))
+        yield (
+            b.words, b.links, before.words, before.links, after.words, after.links, near, b.kind == "p", b.kind == "h", b.kind == "i",
+            marked[i], (1 if inside[i] else -1) if telling else 0,
+        )
 
 
 def main_text(html: str | None, tree: Node) -> str:
-    blocks = blocks_of(html or "")
-    return "\n\n".join(b.text for b, row in zip(blocks, rows_of(blocks), strict=True) if is_main(tree, row))
+    page = page_of(html or "")
+    return "\n\n".join(b.text for b, row in zip(page.blocks, rows_of(page), strict=True) if is_main(tree, row))
 
 
 def main_text_column(html_col: str = "html", tree: Node | None = None) -> Column:

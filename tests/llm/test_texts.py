@@ -1,7 +1,9 @@
 """Exact copies, quality rules, packing, languages, quality model, pages and pieces on small tables."""
 
 import random
+import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -220,6 +222,108 @@ def test_main_text():
         assert isinstance(html_text.main_text(odd, tree), str)
 
 
+def test_names_of_wrappers_and_contents_of_the_article_count_for_nothing():
+    tree = html_text.grow(*html_text.labelled_table())
+    article = "<nav><a href=1>A</a></nav><article><h1>Title of it</h1>" + "".join(f"<p>{'Some words in a sentence. ' * n}</p>" for n in (9, 1, 14))
+    article += "<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be given and <object>shown</object>.</p></article><footer>foot of page</footer>"
+    want = html_text.main_text(f"<body>{article}</body>", tree)
+    assert want.startswith("Title of it") and want.endswith("Let x=1 be given and shown.")
+    for name in ("right-sidebar", "home page no-sidebar", "single comments-open", "modal"):
+        assert html_text.main_text(f'<body class="{name}"><div id="page" class="{name}">{article}</div></body>', tree) == want
+
+
+def test_teaser_article_beside_the_text():
+    tree = html_text.grow(*html_text.labelled_table())
+    text = ["Head of the page", *("Words of the text that runs on for a while here. " * n for n in (4, 2, 6))]
+    page = "<h1>" + "</p><p>".join(text).replace("</p>", "</h1>", 1) + "</p><article><h3><a href=1>Another story to read</a></h3></article><footer>foot</footer>"
+    assert html_text.main_text(page, tree) == "\n\n".join(x.strip() for x in text)
+
+
+class PlainPage(HTMLParser):
+    """Blocks by the standard library's parser: words, linked words, kind, marked, in an article."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.open, self.text, self.linked, self.link = [], [], "", "", False
+        self.feed(html)
+        self.close()
+        self.cut()
+
+    def cut(self):
+        words = self.text.split()
+        names = [n for n, _ in self.open]
+        if words and "head" not in names:
+            kind = names[-1] if names else ""
+            marked = any(c == "ad" or n in ("nav", "footer") for n, c in self.open)
+            self.blocks.append((len(words), len(self.linked.split()) / len(words), kind, marked, "article" in names, " ".join(words)))
+        self.text = self.linked = ""
+        self.link = False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.link = True
+        elif tag == "br":
+            self.text += " "
+        elif tag in html_text._BLOCKS or tag in ("script", "style", "title"):
+            self.cut()
+            if self.open and self.open[-1][0] in ("p", tag if tag == "li" else "p"):
+                self.open.pop()
+            self.open.append((tag, dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.link = False
+        elif tag in [n for n, _ in self.open]:
+            self.cut()
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.text += data
+        self.linked += data + " " if self.link else ""
+
+
+def plain_main_text(html, tree):
+    b = PlainPage(html).blocks
+    plain = [n if links < 0.34 and not marked else 0 for n, links, _, marked, _, _ in b]
+    share = sum(n for n, x in zip(plain, b) if x[4]) / max(1, sum(plain))
+    kept = []
+    for i, (n, links, kind, marked, inside, text) in enumerate(b):
+        row = {"words": n, "links": links, "paragraph": kind == "p", "heading": kind == "h1", "item": kind == "li", "marked": marked}
+        row["words_before"], row["links_before"] = b[i - 1][:2] if i else (0, 0)
+        row["words_after"], row["links_after"] = b[i + 1][:2] if i + 1 < len(b) else (0, 0)
+        row["plain_nearby"] = max([0, *(plain[j] for j in range(len(b)) if j != i and abs(i - j) <= 3)])
+        row["place"] = (1 if inside else -1) if share >= 0.4 else 0
+        node = tree
+        while node.feature >= 0:
+            node = node.right if row[html_text.FEATURES[node.feature]] > node.bound else node.left
+        kept += [text] * (node.share >= 0.5)
+    return "\n\n".join(kept)
+
+
+def test_equals_a_plain_reading_of_the_pages(spark):
+    tree = html_text.grow(*html_text.labelled_table())
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r.page_id: r.text for r in html_text.op5_html_extraction(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(pages) and all(got[r.page_id] == plain_main_text(r.html or "", tree) for r in pages)
+
+
+@pytest.mark.parametrize("div", [False, True])
+def test_without_names_and_without_sectioning_tags(spark, div):
+    """The truth is what lies in the article; words, links and neighbours have to find it."""
+    tree = html_text.grow(*html_text.labelled_table())
+    wrong = total = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        html = re.sub(r'\s(class|id|role)="[^"]*"', "", r.html or "")
+        if div:
+            html = re.sub(r"<(/?)(nav|aside|header|footer|form|article|main)\b", r"<\1div", html)
+        truth = [bool(b.articles) for b in html_text.page_of(r.html or "").blocks]
+        got = [html_text.is_main(tree, row) for row in html_text.rows_of(html_text.page_of(html))]
+        total += len(truth)
+        wrong += sum(a != b for a, b in zip(truth, got, strict=True))
+    assert wrong <= 0.03 * total
+
+
 def test_page_cases(spark):
     df = spark.createDataFrame([(1, "u", None), (2, "v", PAGE), (2, "v", PAGE)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html_text.extract_text(df).orderBy("page_id").collect()
