@@ -3,11 +3,12 @@
 Writing: each task writes gzip archives, one member a record.  Members carry
 the ``sl`` extra field of the WARC standard's annex D, the member's compressed
 and full length, so that a reader can step over a record without decoding it.
-A manifest, written on commit, lists finished files and member boundaries every
-few megabytes; files of failed or repeated attempts are in no manifest.
+Each commit adds a manifest of its own, moved into place when complete, that
+lists its files and member boundaries every few megabytes; files of failed or
+repeated attempts are in no manifest and are passed over.
 
-Reading: partitions are spans of files from the manifest (or whole files where
-there is none), gathered to about ``span`` bytes.  Predicates on record type
+Reading: partitions are spans of files from the manifests, and whole files of
+other writers, gathered to about ``span`` bytes.  Predicates on record type
 and other header columns are pushed down.  A record's headers are decoded
 first; where a predicate fails, or payloads aren't wanted, the rest is skipped.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from citewell.llm.common import shared_folder, table
+from citewell.llm.common import shared_folder, table, written
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, warc_date string, refers_to string, content_length long, "
@@ -45,7 +47,8 @@ _HEADERS = {
     "record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "warc_date": "warc-date", "refers_to": "warc-refers-to",
 }
 _COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
-_MANIFEST = "_manifest.json"
+_MANIFESTS = "_manifests"
+_OWN_FILE = re.compile(r"own-[0-9a-f]{32}-[0-9a-f]{32}\.warc\.gz")
 
 
 def _open_fs(path: str) -> tuple[fs.FileSystem, str]:
@@ -62,16 +65,20 @@ def _clean(value: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record_bytes(record_id: str | None, record_type: str, target_uri: str | None, warc_date: str, refers_to: str | None, payload: bytes) -> bytes:
-    """One record; a revisit has the HTTP headers alone, with the payload's full length and digest."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record_bytes(
+    record_id: str | None, record_type: str, target_uri: str | None, warc_date: str, refers_to: str | None, payload: bytes | None, length: int | None = None, sha1: str | None = None
+) -> bytes:
+    """One record; a revisit has the HTTP headers alone, with its payload's full length and digest (``sha1``, hexadecimal), and needs no payload."""
+    length = len(payload) if length is None else length
+    told = sha1_base32(payload) if sha1 is None else base64.b32encode(bytes.fromhex(sha1)).decode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http + payload if record_type == "response" else http
     head = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Date: {warc_date}"]
     if record_id is not None:
         head.append(f"WARC-Record-ID: <{_clean(record_id)}>")
     if target_uri is not None:
         head.append(f"WARC-Target-URI: {_clean(target_uri)}")
-    head += [f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    head += [f"WARC-Payload-Digest: sha1:{told}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if record_type == "revisit":
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         if refers_to is not None:
@@ -101,6 +108,7 @@ class WarcWriter(DataSourceWriter):
         self.path = path
         self.file_bytes = int(options.get("fileBytes", 256 << 20))
         self.span = int(options.get("span", 8 << 20))
+        self.job = uuid.uuid4().hex
 
     def write(self, rows: Iterator) -> Written:
         system, root = _open_fs(self.path)
@@ -108,14 +116,14 @@ class WarcWriter(DataSourceWriter):
         files: list = []
         out, at = None, 0
         for row in rows:
-            record = record_bytes(row.record_id, row.record_type, row.target_uri, row.warc_date, row.refers_to, bytes(row.payload or b""))
+            record = record_bytes(row.record_id, row.record_type, row.target_uri, row.warc_date, row.refers_to, bytes(row.payload or b""), row.payload_length, row.payload_sha1)
             data = member(record)
             if out is not None and at >= self.file_bytes:
                 files[-1][1].append(at)
                 out.close()
                 out = None
             if out is None:
-                name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                name, at = f"own-{self.job}-{uuid.uuid4().hex}.warc.gz", 0
                 out = system.open_output_stream(f"{root}/{name}", compression=None)
                 files.append((name, [0]))
             elif at - files[-1][1][-1] >= self.span:
@@ -129,15 +137,12 @@ class WarcWriter(DataSourceWriter):
 
     def commit(self, messages: list) -> None:
         system, root = _open_fs(self.path)
-        system.create_dir(root, recursive=True)
+        system.create_dir(f"{root}/{_MANIFESTS}", recursive=True)
         names = [x for m in messages if m for x in m.files]
-        try:
-            with system.open_input_stream(f"{root}/{_MANIFEST}", compression=None) as old:
-                names = json.loads(old.read()) + names
-        except FileNotFoundError:
-            pass
-        with system.open_output_stream(f"{root}/{_MANIFEST}", compression=None) as out:
+        place = f"{root}/{_MANIFESTS}/{self.job}"
+        with system.open_output_stream(f"{place}.part", compression=None) as out:
             out.write(json.dumps(names).encode())
+        system.move(f"{place}.part", f"{place}.json")
 
     def abort(self, messages: list) -> None:
         system, root = _open_fs(self.path)
@@ -266,12 +271,13 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Spans]:
         system, root = _open_fs(self.path)
-        try:
-            with system.open_input_stream(f"{root}/{_MANIFEST}", compression=None) as f:
-                spans = [(f"{root}/{name}", a, b) for name, cuts in json.loads(f.read()) for a, b in zip(cuts, cuts[1:], strict=False)]
-        except FileNotFoundError:
-            found = system.get_file_info(fs.FileSelector(root, recursive=True))
-            spans = [(x.path, 0, x.size) for x in found if x.is_file and x.path.endswith((".warc", ".warc.gz"))]
+        spans = []
+        for x in system.get_file_info(fs.FileSelector(root, recursive=True)):
+            if x.is_file and x.path.endswith(f"{_MANIFESTS}/{x.base_name}") and x.extension == "json":
+                with system.open_input_stream(x.path, compression=None) as f:
+                    spans += [(f"{root}/{name}", a, b) for name, cuts in json.loads(f.read()) for a, b in zip(cuts, cuts[1:], strict=False)]
+            elif x.is_file and x.path.endswith((".warc", ".warc.gz")) and not _OWN_FILE.fullmatch(x.base_name):
+                spans.append((x.path, 0, x.size))
         most = int(self.options.get("span", 8 << 20))
         bins: list[list] = []
         size = most
@@ -355,29 +361,43 @@ def read_warc(spark: SparkSession, path: str, payload: str = "full", span: int =
 
 
 def write_warc(rows: DataFrame, path: str) -> None:
-    """Writes ``record_id, record_type, target_uri, warc_date, refers_to, payload`` rows; adds to what ``path`` has."""
+    """Writes ``record_id, record_type, target_uri, warc_date, refers_to, payload, payload_length, payload_sha1`` rows; adds to what ``path`` has.
+
+    Length and digest may be null where the payload is there.
+    """
     register(rows.sparkSession)
-    columns = ["record_id", "record_type", "target_uri", "warc_date", "refers_to", "payload"]
-    rows.select(*columns).write.format("warc").mode("append").save(path)
+    rows.select("record_id", "record_type", "target_uri", "warc_date", "refers_to", "payload", "payload_length", "payload_sha1").write.format("warc").mode("append").save(path)
 
 
-def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", hot_share: int = 10_000) -> DataFrame:
     """Records of pages: of equal payloads of at least ``least_bytes`` the smallest id is the response that others revisit.
 
-    Rows that repeat the smallest id are all responses.
+    Rows that repeat the smallest id are all responses.  Digests are counted on
+    narrow rows.  Those that more than one row in ``hot_share`` has, fewer than
+    ``hot_share`` of them, are broadcast, so a frequent payload is never moved;
+    the others that repeat meet their rows by a join no key of which is hot.  A
+    revisit goes on with its length and digest alone.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("target_uri"), payload.alias("payload")).withColumn("key", F.sha2("payload", 256))
-    first = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("key").agg(F.min("id").alias("first"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("target_uri"), payload.alias("payload"))
+    rows = rows.select("*", F.unhex(F.sha2("payload", 256)).alias("key"), F.octet_length("payload").cast("long").alias("payload_length"))
+    counted = rows.filter(F.col("payload_length") >= least_bytes).groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    shared = written(counted.filter("n > 1"), "shared-payloads")
+    bound = max(1, pages.count() // hot_share)
+    hot = F.broadcast(shared.filter(F.col("n") > bound).select("key", "first"))
+    rest = rows.join(hot.select("key"), "key", "left_anti").join(shared.filter(F.col("n") <= bound).select("key", "first"), "key", "left")
+    decided = rows.join(hot, "key").unionByName(rest)
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("urn:x-page:"), F.col(c).cast("string"))
-    return rows.join(first, "key", "left").select(
+    return decided.select(
         name("id").alias("record_id"),
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         "target_uri",
         F.lit(date).alias("warc_date"),
         F.when(again, name("first")).alias("refers_to"),
-        "payload",
+        F.when(~again, F.col("payload")).alias("payload"),
+        "payload_length",
+        F.sha1("payload").alias("payload_sha1"),
     )
 
 
@@ -386,9 +406,10 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = f"{folder or shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(with_revisits(pages), path)
-    back = read_warc(spark, path, payload="check")
     number = lambda c: F.regexp_extract(c, r"^urn:x-page:(-?\d+)$", 1).try_cast("long")
-    return back.select(
+    # revisits step over the payloads of responses, undecoded; responses are decoded and their digests taken anew
+    back = [read_warc(spark, path, payload="check").filter(F.col("record_type") == kind) for kind in ("revisit", "response")]
+    return back[0].unionByName(back[1]).select(
         number("record_id").alias("page_id"),
         F.coalesce("payload_length", "http_length").alias("payload_bytes"),
         F.coalesce("payload_digest", "header_digest").alias("payload_digest"),

@@ -34,6 +34,30 @@ def test_round_trip(spark, tmp_path):
     assert warc.round_trip(pages(spark, []), str(tmp_path)).count() == 0
 
 
+def test_query_pushes_its_predicates(spark, tmp_path):
+    """Neither half of the query filters after its scan: the record type is tested on headers, before a payload is decoded."""
+    plan = warc.round_trip(pages(spark), str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 2 and "Filter" not in plan.replace("RuntimeFilters", "")
+
+
+def test_frequent_and_rare_payloads(spark):
+    rows = [(i, "u", "often" if i % 2 else f"p{i // 4}") for i in range(200)]
+    for share in (2, 10_000):
+        made = warc.with_revisits(pages(spark, rows), hot_share=share).collect()
+        assert len(made) == 200 and sum(r.record_type == "response" for r in made) == 51
+        assert all((r.payload is None) == (r.record_type == "revisit") and (r.refers_to is None) == (r.record_type == "response") for r in made)
+
+
+def test_appended_foreign_and_unfinished_files(spark, tmp_path):
+    path = str(tmp_path / "w")
+    for rows in (PAGES[:1], PAGES[1:3]):
+        warc.write_warc(warc.with_revisits(pages(spark, rows)), path)
+    record = warc.member(warc.record_bytes("urn:x-page:9", "response", "u", "d", None, b"x"))
+    (tmp_path / "w" / f"own-{'0' * 32}-{'1' * 32}.warc.gz").write_bytes(record)  # as a failed attempt leaves it
+    (tmp_path / "w" / "other.warc.gz").write_bytes(record)
+    assert sorted(r.record_id for r in warc.read_warc(spark, path).collect()) == [f"urn:x-page:{i}" for i in (1, 2, 3, 9)]
+
+
 def test_least_bytes(spark):
     kinds = {(r.record_id, r.record_type) for r in warc.with_revisits(pages(spark), least_bytes=100).collect()}
     assert {k for _, k in kinds} == {"response"}
