@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -14,32 +15,36 @@ def bucket(feature: str, buckets: int) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % buckets
 
 
-class WordRows(dict):
-    """Word to row number of ``rows``, different for different words of a text; a row holds the sum of the word's feature rows in ``table``, then their number.
+class WordRows:
+    """``at``: word to row number of ``rows``, different for different words of a text; a row holds the sum of the word's feature rows in ``table``, then their number.
 
     With ``limit`` words the dictionary starts anew before the next text, so memory is bounded by these and one text.
     """
 
-    def __init__(self, table: np.ndarray, features: Callable[[str], list[int]], limit: int = 100_000):
-        super().__init__()
+    def __init__(self, table: np.ndarray, features: Callable[[str], list[int]], limit: int = 300_000):
+        self.at: dict[str, int] = {}
         self.table, self.features, self.limit = table, features, limit
         self.rows = np.zeros((4096, table.shape[1] + 1), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at >= len(self.rows):
+    def _learn(self, words: set[str]) -> None:
+        """Rows for all new words of a text at once; each word has a feature or more."""
+        found = [self.features(w) for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+        at = len(self.at)
+        while at + len(found) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        ids = self.features(word)
-        self.rows[at, :-1] = self.table[ids].sum(0)
-        self.rows[at, -1] = len(ids)
-        self[word] = at
-        return at
+        self.rows[at : at + len(found), :-1] = np.add.reduceat(self.table[ids], np.cumsum(sizes) - sizes)
+        self.rows[at : at + len(found), -1] = sizes
+        self.at.update(zip(words, range(at, at + len(found)), strict=True))
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """The row number of each word of a text."""
-        if len(self) >= self.limit:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self.at) >= self.limit:
+            self.at.clear()
+        if new := set(words).difference(self.at):
+            self._learn(new)
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
     def total(self, numbers: np.ndarray) -> np.ndarray:
         """The sum of the rows of these numbers, in double precision."""

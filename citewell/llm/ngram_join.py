@@ -59,7 +59,7 @@ def bands_and_rows(threshold: float, recall: float, hashes: int) -> tuple[int, i
 class WordHashes(dict):
     """64-bit hashes of the words met so far, emptied when ``limit`` are held."""
 
-    def __init__(self, limit: int = 100_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 

@@ -94,13 +94,24 @@ _CLASSES = [(re.compile(p), r) for p, r in ((r"[A-ZÀ-ÖØ-Þ]+", "A"), (r"[a-z
 
 
 def shape(word: str) -> str:
+    """Runs of capitals, small letters and digits as one sign each; plain ASCII words need no expression."""
+    if word.isascii() and word.isalpha():
+        if word.islower():
+            return "a"
+        if word.isupper():
+            return "A"
+        if word[1:].islower():
+            return "Aa"
     for pattern, sign in _CLASSES:
         word = pattern.sub(sign, word)
     return word[:12]
 
 
 def word_features(word: str, buckets: int) -> list[int]:
-    return [bucket("s" + shape(word), buckets), bucket("w" + word.strip(".,;:!?").lower()[:24], buckets)]
+    core = word.rstrip(".,;:!?")
+    end = word[len(core) :]
+    # the signs at the end are no letters, so the shape of the whole is that of its parts
+    return [bucket("s" + (shape(core) + end)[:12], buckets), bucket("w" + core.lstrip(".,;:!?").lower()[:24], buckets)]
 
 
 def text_features(words: np.ndarray, lines: list[str], buckets: int) -> list[int]:

@@ -1,5 +1,6 @@
 """Exact copies, quality rules, packing, languages, quality model, pages and pieces on small tables."""
 
+import math
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citewell.llm import exact_dedup, html_text, language_id, packing, quality_model, quality_rules, sentence_pieces
+from citewell.llm import exact_dedup, hashed, html_text, language_id, packing, quality_model, quality_rules, sentence_pieces
 
 DOC = "doc_id long, text string"
 ODD = [(1, "a  b"), (2, "a b"), (3, None), (4, ""), (5, " a\tb\n"), (6, "a\x0bb"), (7, " a b "), (2, "a b"), (9, "x" * 50_000)]
@@ -193,6 +194,61 @@ def test_estimates_recover_accuracies():
     assert quality_model.estimate({})[2] == {}
 
 
+def test_scores_equal_a_plain_reading(spark):
+    """Votes and scores of the quality model, and predictions of the language model, word by word."""
+    texts = ["The cat, sat on THE mat.\nThe cat, sat on the mat.\n\nx1 Été?", "spam spam spam $$$ |||" * 5, "ok " * 30, "Ähnlich  wie McDonald's 2nd\tplace!!"]
+    rng = np.random.Generator(np.random.PCG64(3))
+    model = quality_model.QualityModel(rng.normal(size=1 << 10).astype(np.float32), 0.3, np.array([0.6]), None, {})
+    expressions = [(r"[A-ZÀ-ÖØ-Þ]+", "A"), (r"[a-zß-öø-ÿ]+", "a"), (r"[0-9]+", "0")]
+
+    def features(word):
+        form = word
+        for pattern, sign in expressions:
+            form = re.sub(pattern, sign, form)
+        return [zlib.crc32(("s" + form[:12]).encode()) % 1024, zlib.crc32(("w" + word.strip(".,;:!?").lower()[:24]).encode()) % 1024]
+
+    got = {r.doc_id: r.score for r in quality_model.classify(docs(spark, list(enumerate(texts))), model).collect()}
+    for i, text in enumerate(texts):
+        words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+        z = 0.3 + np.mean([model.weights[f] for w in words for f in features(w)])
+        shares = {f"r{k}": sum(a == b for a, b in zip(words, words[k:])) / len(words) for k in (1, 2, 3)}
+        shares["l"] = len(set(lines)) / len(lines) if len(lines) >= 3 else 2
+        z += sum(model.weights[zlib.crc32(f"{k}:{int(10 * v)}".encode()) % 1024] for k, v in shares.items())
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-5)
+
+    lang = language_id.train(["the cat and the dog"] * 5 + ["der Hund und die Katze"] * 5, ["en"] * 5 + ["de"] * 5, buckets=1 << 10)
+    for text in ("The dog, und 12 cats", "Katze"):
+        grams = [g for w in re.findall(r"[^\W\d_]+", text.lower()) for g in {f"<{w}>", *(f"<{w}>"[i : i + n] for n in (2, 3) for i in range(len(w) + 3 - n))}]
+        z = (np.mean([lang.logits[zlib.crc32(g.encode()) % 1024] for g in grams], axis=0, dtype=float) + lang.bias) / lang.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert lang.predict(text, lang.rows())[:2] == (lang.labels[int(p.argmax())], pytest.approx(p.max(), rel=1e-4))
+
+
+def test_samples_are_bounded_and_the_same_on_every_partitioning(spark):
+    rows = [(i, "word " * (i % 50 + 1), "en" if i % 3 else "de") for i in range(3000)] + [(7, "same", "fr")] * 500 + [(None, "no id", "fr")]
+    df = spark.createDataFrame(rows, DOC + ", lang string")
+    marks = lambda d: d.select(F.col("lang").alias("by"), hashed.content_hash(F.col("doc_id"), F.col("text")).alias("h"), F.length("text").alias("chars"))
+    chosen = [sorted(map(tuple, hashed.hash_sample(marks(d), 40, 10_000, 10**6).collect())) for d in (df, df.repartition(7))]
+    assert chosen[0] == chosen[1] and {x: sum(b == x for b, _ in chosen[0]) for x in ("en", "de", "fr")} == {"en": 40, "de": 40, "fr": 2}
+    assert len(hashed.hash_sample(marks(df), 40, 30, 10**6).collect()) == 22 and len(hashed.hash_sample(marks(df), 40, 10_000, 3).collect()) == 3
+
+
+@pytest.mark.parametrize("stage", ["language", "quality"])
+def test_filters_keep_columns_that_clash(spark, stage):
+    rows = [(1, "the cat and the dog " * 9), (None, "the cat and the dog " * 9), (None, None), (1, "the cat and the dog " * 9), (4, "")]
+    df = spark.createDataFrame(rows, DOC).withColumns({c: F.lit(c) for c in ("_p", "_s", "id", "p", "score", "h")})
+    if stage == "language":
+        model = language_id.train(["the cat and the dog"] * 5 + ["der Hund und die Katze"] * 5, ["en"] * 5 + ["de"] * 5)
+        kept = language_id.keep_identified(df, model)
+        assert language_id.identify(df, model).count() == 5
+    else:
+        model = quality_model.fit(df)
+        kept = quality_model.keep_good(df, model)
+        assert quality_model.classify(df, model).count() == 5
+    got = kept.collect()
+    assert kept.columns == df.columns and all(r["_p"] == "_p" and r["_s"] == "_s" for r in got) and sum(r.text == rows[0][1] for r in got) == 3
+
+
 def test_quality_cases(spark):
     df = docs(spark, [(1, None), (2, ""), (3, "one"), (3, "one")])
     model = quality_model.fit(df)
