@@ -60,11 +60,11 @@ def hash_sample(marks: DataFrame, each: int, most_rows: int, most_chars: int) ->
     """``by, h`` of at most ``each`` of the smallest hashes of every value of ``by``, from ``by, h, chars`` rows.
 
     All values together have at most ``most_rows`` hashes (one a value at least)
-    and about ``most_chars`` characters.  Counts by value come first; they give
-    each value a bound on its hashes below which half again as many as wanted
+    and about ``most_chars`` characters.  The number of different hashes of each
+    value, about right, comes first and gives a bound on them below which half again as many as wanted
     are expected, so tasks send on only these, however many rows a value has.
     """
-    counts = marks.groupBy("by").agg(F.count(F.lit(1)).alias("n"))
+    counts = marks.groupBy("by").agg(F.approx_count_distinct("h").alias("n"))
     values = max(1, counts.count())
     each = max(1, min(each, most_rows // values))
     # hashes are spread evenly over 64 bits
