@@ -22,6 +22,7 @@ null; further columns are ignored.  Ties in length go by id and start.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -46,6 +47,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class TokenIds(dict):
+    """Ids, as little-endian bytes, of the pre-tokens met so far, by the tokenizer's own model; emptied when ``limit`` are held."""
+
+    def __init__(self, tokenizer, limit: int):
+        super().__init__()
+        self.tokenize, self.limit, self.letters = tokenizer.model.tokenize, limit, _byte_letters()
+
+    def of_letters(self, token: str) -> bytes:
+        ids = [x.id for x in self.tokenize(token)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, token: str) -> bytes:
+        made = self.of_letters(token if token.isascii() and token.isalpha() else token.encode().decode("latin-1").translate(self.letters))
+        if len(self) >= self.limit:
+            self.clear()
+        if len(token) <= 64:
+            self[token] = made
+        return made
+
+
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _SIGNS = r"!-/:-@\[-`{-~"
 
@@ -61,19 +82,16 @@ class ChunkIds(dict):
     plain = re.compile(rf"[{_LATIN}{_SIGNS}0-9 \t\n\r\f\v]*")
     parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[{_SIGNS}]+|\s+(?!\S)|\s+")
 
-    def __init__(self, tokenizer, lead: str, limit: int):
+    def __init__(self, tokenizer, tokens: TokenIds, lead: str, limit: int):
         super().__init__()
-        self.split, self.tokenize = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
-        self.lead, self.limit, self.letters = lead, limit, _byte_letters()
-
-    def of_letters(self, token: str) -> bytes:
-        return b"".join(x.id.to_bytes(4, "little") for x in self.tokenize(token))
+        self.split, self.tokens = tokenizer.pre_tokenizer.pre_tokenize_str, tokens
+        self.lead, self.limit = lead, limit
 
     def __missing__(self, chunk: str) -> bytes:
         if self.plain.fullmatch(chunk):
-            made = b"".join(self.of_letters(x.encode().decode("latin-1").translate(self.letters)) for x in self.parts.findall(self.lead + chunk))
+            made = b"".join(map(self.tokens.__getitem__, self.parts.findall(self.lead + chunk)))
         else:
-            made = b"".join(self.of_letters(token) for token, _ in self.split(self.lead + chunk))
+            made = b"".join(self.tokens.of_letters(token) for token, _ in self.split(self.lead + chunk))
         if len(self) >= self.limit:
             self.clear()
         if len(chunk) <= 64:
@@ -84,14 +102,15 @@ class ChunkIds(dict):
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers in bytes; made for one task and dropped with it."""
 
-    def __init__(self, tokenizer_file: str, limit: int = 100_000):
+    def __init__(self, tokenizer_file: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         if self.tokenizer.normalizer is not None:
             raise ValueError("a normaliser could join what blanks separate; this encoder has none")
-        self.after_blank = ChunkIds(self.tokenizer, " ", limit)
-        self.first = ChunkIds(self.tokenizer, "", limit // 10)
+        tokens = TokenIds(self.tokenizer, limit // 2)
+        self.after_blank = ChunkIds(self.tokenizer, tokens, " ", limit)
+        self.first = ChunkIds(self.tokenizer, tokens, "", limit // 10)
         special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.odd_blank = re.compile(r" (?:\s|$)")
