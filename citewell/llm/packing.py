@@ -75,12 +75,11 @@ class ChunkIds(dict):
     """Ids of the chunks met so far, each the ids of its pre-tokens in a row; emptied when ``limit`` chunks are held.
 
     The standard library's expressions find the pre-tokens of chunks of Latin
-    letters, ASCII digits, signs and white space; the tokenizer's own rule
-    splits any other chunk.
+    letters, ASCII digits, signs and white space; a chunk that these do not use
+    up goes by the tokenizer's own rule.  A chunk of ASCII letters is one.
     """
 
-    plain = re.compile(rf"[{_LATIN}{_SIGNS}0-9 \t\n\r\f\v]*")
-    parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[{_SIGNS}]+|\s+(?!\S)|\s+")
+    parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[{_SIGNS}]+|[ \t\n\r\f\v]+(?!\S)|[ \t\n\r\f\v]+")
 
     def __init__(self, tokenizer, tokens: TokenIds, lead: str, limit: int):
         super().__init__()
@@ -88,10 +87,15 @@ class ChunkIds(dict):
         self.lead, self.limit = lead, limit
 
     def __missing__(self, chunk: str) -> bytes:
-        if self.plain.fullmatch(chunk):
-            made = b"".join(map(self.tokens.__getitem__, self.parts.findall(self.lead + chunk)))
+        text = self.lead + chunk
+        if chunk.isascii() and chunk.isalpha():
+            made = self.tokens[text]
         else:
-            made = b"".join(self.tokens.of_letters(token) for token, _ in self.split(self.lead + chunk))
+            parts = self.parts.findall(text)
+            if sum(map(len, parts)) == len(text):
+                made = b"".join(map(self.tokens.__getitem__, parts))
+            else:
+                made = b"".join(self.tokens.of_letters(token) for token, _ in self.split(text))
         if len(self) >= self.limit:
             self.clear()
         if len(chunk) <= 64:
@@ -102,7 +106,7 @@ class ChunkIds(dict):
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers in bytes; made for one task and dropped with it."""
 
-    def __init__(self, tokenizer_file: str, limit: int = 300_000):
+    def __init__(self, tokenizer_file: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
