@@ -59,7 +59,8 @@ class TokenIds(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, token: str) -> bytes:
-        made = self.of_letters(token if token.isascii() and token.isalpha() else token.encode().decode("latin-1").translate(self.letters))
+        plain = token.isascii() and token.isprintable()
+        made = self.of_letters(token.replace(" ", self.letters[32]) if plain else token.encode().decode("latin-1").translate(self.letters))
         if len(self) >= self.limit:
             self.clear()
         if len(token) <= 64:
@@ -76,7 +77,7 @@ class ChunkIds(dict):
 
     The standard library's expressions find the pre-tokens of chunks of Latin
     letters, ASCII digits, signs and white space; a chunk that these do not use
-    up goes by the tokenizer's own rule.  A chunk of ASCII letters is one.
+    up goes by the tokenizer's own rule.  A chunk of Latin letters is one.
     """
 
     parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[{_SIGNS}]+|[ \t\n\r\f\v]+(?!\S)|[ \t\n\r\f\v]+")
@@ -88,7 +89,7 @@ class ChunkIds(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         text = self.lead + chunk
-        if chunk.isascii() and chunk.isalpha():
+        if chunk.isalpha() and max(chunk) < "\u0250":
             made = self.tokens[text]
         else:
             parts = self.parts.findall(text)
