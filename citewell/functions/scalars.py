@@ -98,9 +98,13 @@ def abstract_text(index: Column) -> Column:
     one position the last stays.
     """
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    by_place = F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda x: x["p"])), lambda p: F.struct(p, F.element_at(F.filter(pairs, lambda x: x["p"] == p), -1)["w"])))
-    last = F.array_max(F.transform(pairs, lambda x: x["p"]))
-    return F.when(F.size(pairs) > 0, F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at(by_place, i), F.lit(""))), " ")).otherwise("")
+    once = lambda items, bind: F.element_at(F.transform(F.array(items), bind), 1)
+    sorted_pairs = F.array_sort(F.transform(pairs, lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"), x["w"].alias("w"))))
+    last_of_place = lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["p"] != x["p"], F.lit(True)))
+    # as many blanks as places passed, so a text takes one sort and one pass
+    word = lambda s: lambda x, i: F.concat(F.repeat(F.lit(" "), (x["p"] - F.coalesce(F.get(s, i - 1)["p"], F.lit(0))).cast("int")), x["w"])
+    text = once(sorted_pairs, lambda s: once(last_of_place(s), lambda t: F.array_join(F.transform(t, word(t)), "")))
+    return F.when(F.size(pairs) > 0, text).otherwise("")
 
 
 def hex_center(row: Column, col: Column, size: float = 1.0, orientation: str = "pointy") -> tuple[Column, Column]:

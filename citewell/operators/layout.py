@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,43 +18,84 @@ def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.join(F.broadcast(stats)).select(*[one(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def principal_axes(df: DataFrame, columns: Sequence[str], k: int = 2) -> np.ndarray:
-    """Leading axes from the covariance of the columns, one aggregate row whatever the input."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = df.agg(*[F.covar_pop(a, b) for a, b in pairs]).first()
-    cov = np.zeros((len(columns), len(columns)))
-    for (a, b), v in zip(pairs, row, strict=True):
-        i, j = columns.index(a), columns.index(b)
-        cov[i, j] = cov[j, i] = v or 0.0
-    values, vectors = np.linalg.eigh(cov)
-    axes = vectors[:, np.argsort(-values)[:k]]
-    return axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1, 1)
+def _point(columns: Sequence[str]) -> Column:
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
 
 
-def layout_2d(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """``x, y`` by principal components of the standardised columns: the deterministic layout of the engine."""
-    z = standardised(df.na.fill(0, list(columns)), columns)
-    axes = principal_axes(z, list(columns))
-    at = lambda d: sum((F.col(c) * float(axes[i, d]) for i, c in enumerate(columns)), F.lit(0.0))
-    return z.select(*ids, at(0).alias("x"), at(1).alias("y"))
+def moments(df: DataFrame, columns: Sequence[str], by: str, held: int = 1000) -> DataFrame:
+    """``by, m``: number of rows, sums and sums of products of the columns for each value of ``by``; missing figures count as 0.
 
+    A task gives a row for each value it meets, at most ``held`` at a time, and
+    these are summed, so a value that most rows have is spread like any other.
+    """
+    k = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(found), kind), pa.array([m.tolist() for m in found.values()], pa.list_(pa.float64()))], ["by", "m"])
+            found.clear()
+            return made
+
+        kind = pa.null()
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            keys = batch.column(0).to_pylist()
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            rows: dict = {}
+            for i, key in enumerate(keys):
+                rows.setdefault(key, []).append(i)
+            for key, at in rows.items():
+                part = x[at]
+                found[key] = found.get(key, 0) + np.concatenate([[len(at)], part.sum(0), (part.T @ part).ravel()])
+                if len(found) >= held:
+                    yield out()
+        if found:
+            yield out()
+
+    kind = df.schema[by].dataType.simpleString()
+    parts = df.select(F.col(by).alias("by"), _point(columns).alias("x")).mapInArrow(run, f"by {kind}, m array<double>")
+    sums = parts.select("by", F.posexplode("m").alias("at", "v")).groupBy("by", "at").agg(F.sum("v").alias("v"))
+    return sums.groupBy("by").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("m"))
+
+
+def axes_of(m: Sequence[float], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights ``[2, k]`` and shifts ``[2]`` that place a row on the two leading axes of the standardised columns, from their moments."""
+    n, s, p = m[0], np.array(m[1 : k + 1]), np.array(m[k + 1 :]).reshape(k, k)
+    mean = s / n
+    cov = p / n - np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(cov), 0))
+    scale[scale < 1e-12 * (1 + np.abs(mean))] = 1.0
+    values, vectors = np.linalg.eigh(cov / np.outer(scale, scale))
+    axes = vectors[:, np.argsort(-values)[:2]]
+    axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1, 1)
+    weights = np.zeros((2, k))
+    weights[: axes.shape[1]] = (axes / scale[:, None]).T
+    return weights, weights @ mean
+
+
+def layout_by_context(df: DataFrame, context: str, ids: Sequence[str], columns: Sequence[str], least: int = 10) -> DataFrame:
+    """``x, y`` by principal components of the standardised columns, for each context (the entities of a country) with enough rows.
+
+    Only moments are gathered by context; rows meet their context's axes by a join on a table of one row a context.
+    """
+    k = len(columns)
 
-def layout_by_context(df: DataFrame, context: str, ids: Sequence[str], columns: Sequence[str], least: int = 10, schema: str | None = None) -> DataFrame:
-    """A layout of its own for each context (the entities of a country) with enough rows; contexts are laid out in parallel."""
+    def turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = [axes_of(m, k) for m in frame["m"]]
+            yield pd.DataFrame({"by": frame["by"], "u": [w[0] for w, _ in made], "v": [w[1] for w, _ in made], "a": [c[0] for _, c in made], "b": [c[1] for _, c in made]})
 
-    def lay(data: pd.DataFrame) -> pd.DataFrame:
-        x = data[list(columns)].fillna(0).to_numpy(float)
-        out = data[[context, *ids]].copy()
-        if len(x) < least:
-            return out.iloc[:0].assign(x=0.0, y=0.0)
-        z = (x - x.mean(0)) / np.where(x.std(0) == 0, 1, x.std(0))
-        values, vectors = np.linalg.eigh(np.cov(z.T, bias=True).reshape(len(columns), -1))
-        axes = vectors[:, np.argsort(-values)[:2]]
-        axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1, 1)
-        return out.assign(x=z @ axes[:, 0], y=z @ axes[:, 1] if axes.shape[1] > 1 else 0.0)
+    kind = df.schema[context].dataType.simpleString()
+    axes = moments(df, columns, context).filter(F.col("m")[0] >= least).mapInPandas(turn, f"by {kind}, u array<double>, v array<double>, a double, b double")
+    at = lambda w, c: F.aggregate(F.zip_with(_point(columns), w, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v) - F.col(c)
+    return df.join(axes, df[context].eqNullSafe(axes["by"])).select(context, *ids, at("u", "a").alias("x"), at("v", "b").alias("y"))
 
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.groupBy(context).applyInPandas(lay, schema or ", ".join([*[f"`{c}` {types[c]}" for c in (context, *ids)], "x double", "y double"]))
+
+def layout_2d(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``x, y`` by principal components of the standardised columns: the deterministic layout of the engine."""
+    return layout_by_context(df.withColumn("_all", F.lit(0)), "_all", ids, columns, least=1).drop("_all")
 
 
 def train_map(df: DataFrame, columns: Sequence[str], rows: int = 10, cols: int = 15, epochs: int = 20, seed: int = 42) -> np.ndarray:
@@ -66,6 +108,7 @@ def train_map(df: DataFrame, columns: Sequence[str], rows: int = 10, cols: int =
     book = rng.normal(size=(rows * cols, len(columns)))
     grid = np.array([(np.sqrt(3) * (c + 0.5 * (r % 2)), 1.5 * r) for r in range(rows) for c in range(cols)])
     apart = ((grid[:, None] - grid[None]) ** 2).sum(2)
+    df = df.select(*columns).persist()
     for epoch in range(epochs):
         won = with_bmu(df, columns, book, cols).groupBy("neuron").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns]).collect()
         sums, n = np.zeros_like(book), np.zeros(len(book))
@@ -76,16 +119,19 @@ def train_map(df: DataFrame, columns: Sequence[str], rows: int = 10, cols: int =
         pull = np.exp(-apart / (2 * radius**2))
         weight = pull @ n
         book = np.where(weight[:, None] > 1e-12, (pull @ sums) / np.maximum(weight, 1e-12)[:, None], book)
+    df.unpersist()
     return book
 
 
 def with_bmu(df: DataFrame, columns: Sequence[str], book: np.ndarray, cols: int) -> DataFrame:
-    """Adds the nearest neuron and its place, as an expression over the codebook, ties to the first."""
-    units = F.array(*[F.array(*[F.lit(float(v)) for v in unit]) for unit in book])
-    point = F.array(*[F.col(c).cast("double") for c in columns])
-    far = F.transform(units, lambda u: F.aggregate(F.zip_with(u, point, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    nearest = F.array_position(far, F.array_min(far)).cast("int") - 1
-    return df.withColumn("neuron", nearest).withColumn("bmu_row", (F.col("neuron") / cols).cast("int")).withColumn("bmu_col", F.col("neuron") % cols)
+    """Adds the nearest neuron and its place; ties go to the first."""
+
+    @F.pandas_udf("int")
+    def nearest(points: pd.Series) -> pd.Series:
+        x = np.stack(points.to_numpy()) if len(points) else np.zeros((0, book.shape[1]))
+        return pd.Series(((book**2).sum(1) - 2 * x @ book.T).argmin(1))
+
+    return df.withColumn("neuron", nearest(_point(columns))).withColumn("bmu_row", (F.col("neuron") / cols).cast("int")).withColumn("bmu_col", F.col("neuron") % cols)
 
 
 def u_matrix(spark, book: np.ndarray, rows: int, cols: int) -> DataFrame:

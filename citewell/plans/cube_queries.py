@@ -91,7 +91,7 @@ def ag08(spark, d):
     ))
 
 
-_GOLD = f"few AS (SELECT * FROM works WHERE oa_status = 'gold' AND field IN ('Brand#11', 'Brand#12')), cube AS (SELECT journal_id, year, {RAW} FROM few GROUP BY ALL)"
+_ANNUAL = f"cube AS (SELECT journal_id, year, {RAW} FROM works GROUP BY ALL)"
 _DENSE = ", ".join(
     f"round(c.{x}, 9) AS {x}" if x.startswith("pct_lang_") else f"coalesce(c.{x}, 0) AS {x}" if x in ("num_documents", "total_citations") else f"round(coalesce(c.{x}, 0), 9) AS {x}" for x in FIGURES
 )
@@ -99,11 +99,10 @@ _DENSE = ", ".join(
 
 @query(
     "ag09_dense_years",
-    f"WITH {WORKS_SQL}, {_GOLD} SELECT e.journal_id, CAST(y.year AS INT) AS year, {_DENSE} FROM (SELECT DISTINCT journal_id FROM cube) e CROSS JOIN (SELECT unnest(range(1995, 2002)) AS year) y LEFT JOIN cube c ON c.journal_id = e.journal_id AND c.year = y.year",
+    f"WITH {WORKS_SQL}, {_ANNUAL} SELECT e.journal_id, CAST(y.year AS INT) AS year, {_DENSE} FROM (SELECT DISTINCT journal_id FROM cube) e CROSS JOIN (SELECT unnest(range(1993, 2003)) AS year) y LEFT JOIN cube c ON c.journal_id = e.journal_id AND c.year = y.year",
 )
 def ag09(spark, d):
-    few = works(spark, d).filter((F.col("oa_status") == "gold") & F.col("field").isin("Brand#11", "Brand#12"))
-    return rounded(cubes.dense(cubes.annual(few, ["journal_id"]), ["journal_id"], 1995, 2001))
+    return rounded(cubes.dense(cubes.annual(works(spark, d), ["journal_id"]), ["journal_id"], 1993, 2002))
 
 
 @query("ag10_period", f"WITH {WORKS_SQL} SELECT country_code, {SUITE}, '1995-2001' AS period FROM works WHERE year BETWEEN 1995 AND 2001 GROUP BY country_code")
@@ -311,11 +310,16 @@ def xf03(spark, d):
     return normalise.entity_years(count("journal_id"), count("country_code"), count(), journals(spark, d), ["num_documents"])
 
 
-@query("xf04_trajectories")
+def _trajectories_sql() -> str:
+    parts = [(1, f"WITH {WORKS_SQL}, {_CY} SELECT country_code, year, round(fwci_avg, 9) AS fwci_avg, num_documents FROM cy"), (3, _ema_sql(3)), (5, _ema_sql(5))]
+    return " UNION ALL ".join(f'SELECT country_code, year, fwci_avg, num_documents, {n} AS "window" FROM ({sql})' for n, sql in parts)
+
+
+@query("xf04_trajectories", _trajectories_sql())
 def xf04(spark, d):
     base = country_years(spark, d)
     both = [series.smoothed(base, ["country_code"], ["fwci_avg"], n).withColumn("window", F.lit(n)) for n in (3, 5)]
-    return base.withColumn("window", F.lit(1)).unionByName(both[0]).unionByName(both[1])
+    return rounded(base.withColumn("window", F.lit(1)).unionByName(both[0]).unionByName(both[1]))
 
 
 @query("xf06_incremental", f"WITH {WORKS_SQL} SELECT journal_id, {SUITE} FROM works GROUP BY journal_id")

@@ -145,9 +145,9 @@ def ar01(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 3), "|").alias("s"))
 
 
-@query("ar02_abstract", "SELECT doc_id, text FROM documents WHERE length(text) BETWEEN 1 AND 600")
+@query("ar02_abstract", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def ar02(spark, d):
-    words = table(spark, d, "documents").filter(F.length("text").between(1, 600)).select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
     index = words.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("i"))
     return index.select("doc_id", S.abstract_text(F.col("i")).alias("text"))
 
@@ -167,9 +167,9 @@ def dt02(spark, d):
     return table(spark, d, "orders").select(t.alias("t")).agg(F.count("t").alias("n"), F.min("t").cast("string").alias("first"), F.max("t").cast("string").alias("last"))
 
 
-@query("dt01_timestamp_text")
+@query("dt01_timestamp_text", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS download_date FROM events")
 def dt01(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("download_date"))
+    return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("download_date"))
 
 
 @query("dt03_period_label", "SELECT o_custkey, CAST(min(year(o_orderdate)) AS VARCHAR) || '-' || CAST(max(year(o_orderdate)) AS VARCHAR) AS period FROM orders GROUP BY 1")
@@ -201,36 +201,40 @@ def ml01(spark, d):
     return rounded(layout.standardised(c, ["f", "same"]), 6)
 
 
-def _vectors(spark, d, n=8):
-    return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
+_DIMENSIONS = [f"e{i}" for i in range(64)]
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_DIMENSIONS)])
 
 
 @query("ml02_layout_pca")
 def ml02(spark, d):
-    return layout.layout_2d(_vectors(spark, d), ["vec_id"], [f"e{i}" for i in range(8)])
+    return layout.layout_2d(_vectors(spark, d), ["vec_id"], _DIMENSIONS)
 
 
 @query("xf05_context_layouts")
 def xf05(spark, d):
-    return layout.layout_by_context(_vectors(spark, d, 4), "label", ["vec_id"], [f"e{i}" for i in range(4)])
+    return layout.layout_by_context(_vectors(spark, d), "label", ["vec_id"], _DIMENSIONS)
+
+
+def _trained(spark, d):
+    """Standardised vectors and a map of 10 by 15 neurons trained on them."""
+    z = layout.standardised(_vectors(spark, d), _DIMENSIONS)
+    return z, layout.train_map(z, _DIMENSIONS)
 
 
 @query("ml03_som_umatrix")
 def ml03(spark, d):
-    columns = [f"e{i}" for i in range(4)]
-    book = layout.train_map(layout.standardised(_vectors(spark, d, 4), columns), columns, 4, 5, epochs=5)
-    return layout.u_matrix(spark, book, 4, 5)
+    return layout.u_matrix(spark, _trained(spark, d)[1], 10, 15)
 
 
 @query("ml04_bmu")
 def ml04(spark, d):
-    import numpy as np
-
-    columns = [f"e{i}" for i in range(4)]
-    book = np.random.Generator(np.random.PCG64(0)).normal(size=(20, 4))
-    return layout.with_bmu(_vectors(spark, d, 4), columns, book, 5).select("vec_id", "bmu_row", "bmu_col")
+    z, book = _trained(spark, d)
+    return layout.with_bmu(z, _DIMENSIONS, book, 15).select("vec_id", "bmu_row", "bmu_col")
 
 
 @query("ml06_map_usage")
 def ml06(spark, d):
-    return layout.map_usage(ml04(spark, d), 4, 5)
+    return layout.map_usage(ml04(spark, d), 10, 15)

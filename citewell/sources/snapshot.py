@@ -85,8 +85,9 @@ def ingest(spark: SparkSession, root: str, table: str, ledger: str, entity: str)
 
 
 def latest_documents(documents: DataFrame) -> DataFrame:
-    """The last loaded document of each id."""
-    return last_writer(documents, "id", "loaded_at")
+    """The last loaded document of each id; within a batch the later ``updated_date`` wins, then the greater text, so no order of rows matters."""
+    order = F.struct("loaded_at", F.coalesce(F.get_json_object("raw_data", "$.updated_date"), F.lit("")).alias("updated"), "raw_data")
+    return last_writer(documents.withColumn("_order", order), "id", "_order").drop("_order")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, separator: str = ",") -> DataFrame:
