@@ -86,8 +86,8 @@ def pivot_top(df: DataFrame, rows: str, member: str, amount: str, k: int) -> Dat
 
 
 def sample_rows(df: DataFrame, n: int, by: Sequence[str], seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows, the same on every run: those with the smallest seeded hash."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *by), *by).limit(n)
+    """Exactly ``n`` rows, the same on every run and partitioning where ``by`` is a key: those with the smallest seeded MD5."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by])), *by).limit(n)
 
 
 def pinned_last(df: DataFrame, column: str, value) -> DataFrame:

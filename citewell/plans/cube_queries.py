@@ -120,12 +120,10 @@ def ag11(spark, d):
     f"WITH {WORKS_SQL} SELECT 'world' AS level, 'ALL' AS id, {SUITE} FROM works UNION ALL SELECT 'country', country_code, {SUITE} FROM works GROUP BY country_code UNION ALL SELECT 'journal', CAST(journal_id AS VARCHAR), {SUITE} FROM works GROUP BY journal_id",
 )
 def ag12(spark, d):
-    w = works(spark, d)
-    named = lambda cube, level, c: cube.select(F.lit(level).alias("level"), c.cast("string").alias("id"), *[x for x in cube.columns if x not in ("country_code", "journal_id")])
-    world = named(indicators.indicator_cube(w, []), "world", F.lit("ALL"))
-    country = named(indicators.indicator_cube(w, ["country_code"]), "country", F.col("country_code"))
-    journal = named(indicators.indicator_cube(w, ["journal_id"]), "journal", F.col("journal_id"))
-    return rounded(world.unionByName(country).unionByName(journal))
+    cube = indicators.grouped_cubes(works(spark, d), [[], ["country_code"], ["journal_id"]])
+    level = F.element_at(F.array(*map(F.lit, cubes.LEVELS)), F.col("grouping") + 1)
+    entity = F.coalesce(F.col("country_code"), F.col("journal_id").cast("string"), F.lit("ALL"))
+    return rounded(cube.select(level.alias("level"), entity.alias("id"), *FIGURES))
 
 
 _CUBE = f"cube AS (SELECT journal_id, country_code, region, year, {RAW} FROM works GROUP BY ALL)"
@@ -324,9 +322,12 @@ def xf04(spark, d):
 
 @query("xf06_incremental", f"WITH {WORKS_SQL} SELECT journal_id, {SUITE} FROM works GROUP BY journal_id")
 def xf06(spark, d):
-    w = works(spark, d)
-    build = lambda x: indicators.indicator_cube(x, ["journal_id"])
-    return rounded(cubes.refreshed(build(w.filter("journal_id % 2 = 0")), w, "journal_id", build))
+    from citewell.plans.source_queries import folder
+
+    w, path = works(spark, d), folder(spark, "cubes")
+    cubes.build_cubes(w.filter("journal_id % 2 = 0"), path, RECENT, years=cubes.year_range(w))
+    made = cubes.build_cubes(w, path, RECENT, incremental=True)
+    return rounded(made.filter("level = 'journal' and kind = 'period'").select(F.col("entity").cast("long").alias("journal_id"), *FIGURES))
 
 
 @query("xf09_with_originals", f"WITH {WORKS_SQL}, {_CY} SELECT country_code, year, round(avg(fwci_avg) OVER (PARTITION BY country_code ORDER BY year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) AS fwci_avg, round(fwci_avg, 9) AS fwci_avg_orig FROM cy")

@@ -46,9 +46,12 @@ def jn08(spark, d):
     return table(spark, d, "orders").join(some, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("o_orderkey")
 
 
-@query("jn09_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+_RARE = "o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1997 AND month(o_orderdate) < 4"
+
+
+@query("jn09_anti", f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND {_RARE})")
 def jn09(spark, d):
-    return frames.without(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return frames.without(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").filter(_RARE).select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("jn10_three_way", "SELECT DISTINCT l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3")
@@ -258,9 +261,9 @@ def sl01(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_size").orderBy(F.desc("p_size"), "p_partkey")
 
 
-@query("sl06_sample")
+@query("sl06_sample", "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('42|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100")
 def sl06(spark, d):
-    return frames.sample_rows(table(spark, d, "orders"), 100, ["o_orderkey"])
+    return frames.sample_rows(table(spark, d, "orders").select("o_orderkey", "o_custkey"), 100, ["o_orderkey"])
 
 
 @query("sl07_pinned_last", "SELECT n_nationkey, n_name FROM nation")
@@ -317,9 +320,9 @@ def dq01(spark, d):
     return flt18(spark, d).agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_rows"))
 
 
-@query("dq03_lacking_ids", "SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') ORDER BY 1 LIMIT 10")
+@query("dq03_lacking_ids", f"SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE {_RARE}) ORDER BY 1 LIMIT 10")
 def dq03(spark, d):
-    return checks.lacking_ids(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")), "k")
+    return checks.lacking_ids(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").filter(_RARE).select(F.col("o_custkey").alias("k")), "k")
 
 
 @query("dq04_tolerance", "SELECT s_suppkey, 's_acctbal' AS \"column\", s_acctbal + 1 AS actual, s_acctbal AS expected FROM supplier WHERE s_suppkey % 5 = 0")

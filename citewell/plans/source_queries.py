@@ -15,8 +15,12 @@ from citewell.sources import snapshot
 
 
 def folder(spark, label: str) -> str:
-    """A new path in the folder that executors share; a local one where none is configured, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citewell-")
+    """A new path in the folder that executors share; where none is configured, a local session gets one of its own and a cluster an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="citewell-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -134,15 +138,21 @@ def snk07(spark, d):
     return table(spark, d, "nation").select("n_nationkey", copy_text(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))).alias("t"))
 
 
-@query("snk11_add_columns", "SELECT n_nationkey, CAST(NULL AS DOUBLE) AS fwci FROM nation")
+@query("snk11_add_columns", "SELECT n_nationkey, n_name, CAST(0.5 AS DOUBLE) AS fwci FROM nation")
 def snk11(spark, d):
-    return table(spark, d, "nation").select("n_nationkey").withColumn("fwci", F.lit(None).cast("double"))
+    from citewell.operators.frames import with_defaults
+
+    return with_defaults(table(spark, d, "nation").select("n_nationkey", "n_name"), {"fwci": 0.5, "n_name": "already there"})
 
 
 def _source_json(spark, d):
     s = table(spark, d, "supplier")
     k = F.col("s_suppkey")
-    topic = F.struct(F.lit("T1").alias("id"), F.lit("t").alias("display_name"), F.lit(0).alias("count"), k.alias("works_count"), F.lit(0.0).alias("share"), (k * 1.0).alias("percentage"))
+    odd = k % 2 == 1
+    topic = F.struct(
+        F.lit("T1").alias("id"), F.lit("t").alias("display_name"), F.when(odd, k + 1).otherwise(0).alias("count"), k.alias("works_count"),
+        F.when(odd, 0.5).otherwise(0.0).alias("share"), (k * 1.0).alias("percentage"), F.when(k % 3 == 0, F.struct(F.lit("D").alias("display_name"))).alias("domain"),
+    )
     return s.select(F.to_json(F.struct(
         k.cast("string").alias("id"), F.when(k % 3 == 0, F.concat(F.lit("SciELO "), F.col("s_name"))).otherwise(F.col("s_name")).alias("display_name"),
         F.struct(k.alias("h_index"), (k / 10).alias("2yr_mean_citedness")).alias("summary_stats"),
@@ -156,7 +166,7 @@ def xf02(spark, d):
     return rounded(made.select("id", "h_index", "citedness_2yr", "in_scopus", "in_scielo", "in_core", "is_oa"))
 
 
-@query("xf07_topic_fallbacks", "SELECT CAST(s_suppkey AS VARCHAR) AS journal_id, s_suppkey AS count, round(s_suppkey / 100.0, 9) AS share, 'Unknown' AS domain FROM supplier")
+@query("xf07_topic_fallbacks", "SELECT CAST(s_suppkey AS VARCHAR) AS journal_id, CASE WHEN s_suppkey % 2 = 1 THEN s_suppkey + 1 ELSE s_suppkey END AS count, round(CASE WHEN s_suppkey % 2 = 1 THEN 0.5 ELSE s_suppkey / 100.0 END, 9) AS share, CASE WHEN s_suppkey % 3 = 0 THEN 'D' ELSE 'Unknown' END AS domain FROM supplier")
 def xf07(spark, d):
     return rounded(normalise.source_topics(normalise.parsed(_source_json(spark, d), "source")).select("journal_id", "count", "share", "domain"))
 

@@ -160,9 +160,11 @@ def sl04(spark, d):
     return counts.join(F.broadcast(frames.top_members(counts, "field", "n", 5).select("field")), "field", "left_semi").select("country_code", "field", "n")
 
 
-@query("sl04b_pivot_top")
+@query("sl04b_pivot_top", f"WITH {WORKS_SQL}, top AS (SELECT field, count(*) AS n FROM works GROUP BY field ORDER BY n DESC, field LIMIT 5), chosen AS (SELECT country_code, field, count(*) AS n FROM works WHERE field IN (SELECT field FROM top) GROUP BY country_code, field) SELECT c.country_code AS country_code, t.field AS field, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT country_code FROM chosen) c CROSS JOIN (SELECT field FROM top) t LEFT JOIN chosen s ON s.country_code = c.country_code AND s.field = t.field")
 def sl04b(spark, d):
-    return frames.pivot_top(_counts(spark, d, "country_code", "field"), "country_code", "field", "n", 5)
+    """The matrix, told cell by cell as its columns depend on the data."""
+    made = frames.pivot_top(_counts(spark, d, "country_code", "field"), "country_code", "field", "n", 5)
+    return made.unpivot(["country_code"], [f"`{c}`" for c in made.columns if c != "country_code"], "field", "n")
 
 
 @query("sl05_distinct_values", f"WITH {WORKS_SQL} SELECT DISTINCT domain, field FROM works ORDER BY 1, 2")

@@ -61,6 +61,33 @@ def test_incremental_equals_full(spark):
     assert sorted(cubes.refreshed(part, w, "journal_id", build).collect()) == sorted(build(w).collect())
 
 
+def test_all_cubes_equal_their_parts(spark, tmp_path):
+    rows = [(*work(j=j, y=y, c=1, p=p, oa="gold"), n) for j, y, p, n in [(1, 2000, 0.95, "x"), (1, 2001, 0.1, "x"), (2, 2001, 0.99, "y"), (3, 2002, 0.2, None), (None, 2002, 0.3, "y")]]
+    w = spark.createDataFrame(rows, WORK + ", country_code string")
+    path, recent = str(tmp_path / "cubes"), (2001, 2002)
+    plain = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+
+    def agrees(made):
+        figures = [c for c in made.columns if c not in ("level", "kind", "entity", "year", "period")]
+        for level, key in cubes.LEVELS.items():
+            keys, entity = ([key], F.col(key).cast("string")) if key else ([], F.lit("ALL"))
+            wanted = {
+                "annual": cubes.annual(w, keys).withColumn("period", F.lit(None).cast("string")),
+                "period": cubes.period(w, keys, 2000, 2002).withColumn("year", F.lit(None).cast("int")),
+                "recent": cubes.period(w, keys, *recent).withColumn("year", F.lit(None).cast("int")),
+            }
+            for kind, want in wanted.items():
+                columns = ["year", "period", *figures]
+                assert plain(made.filter(f"level = '{level}' and kind = '{kind}'").select("entity", *columns)) == plain(want.select(entity.alias("entity"), *columns)), (level, kind)
+
+    agrees(cubes.build_cubes(w, path, recent))
+    other = str(tmp_path / "more")
+    cubes.build_cubes(w.filter("journal_id = 1"), other, recent, levels=["journal", "country"], years=(2000, 2002))
+    made = cubes.build_cubes(w, other, recent, incremental=True)
+    agrees(made)
+    assert cubes.build_cubes(w, other, recent, incremental=True).count() == made.count()
+
+
 @pytest.mark.parametrize(
     "make, want",
     [

@@ -36,6 +36,24 @@ def test_snapshot_ledger_and_stream(spark, tmp_path):
     assert spark.read.parquet(out).count() == 5
 
 
+def test_database_tables(spark):
+    """An embedded database in memory: written, read in parallel by key, with a column that it lacks."""
+    url = "jdbc:derby:memory:citewell;create=true"
+    snapshot.write_database(spark.createDataFrame([(i, i % 3, f"t{i}") for i in range(40)], "K int, YEAR_ int, TITLE string"), url, "WORKS")
+    got = snapshot.read_database(spark, url, "SELECT * FROM WORKS WHERE YEAR_ = 1", ["K", "TITLE", "FWCI"], key="K", bounds=(0, 40), parts=4)
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, got.collect())) == [(i, f"t{i}", None) for i in range(1, 40, 3)]
+
+
+def test_declared_tables_stay(spark):
+    spark.sql("DROP TABLE IF EXISTS citewell_declared")
+    snapshot.declare_table(spark, "citewell_declared", "id STRING, n INT")
+    spark.sql("INSERT INTO citewell_declared VALUES ('a', 1)")
+    snapshot.declare_table(spark, "citewell_declared", "id STRING, n INT")
+    assert [tuple(r) for r in spark.table("citewell_declared").collect()] == [("a", 1)]
+    spark.sql("DROP TABLE citewell_declared")
+
+
 def test_csv_round_trip_and_catalogue(spark, tmp_path):
     df = spark.createDataFrame([(1, "a;b"), (2, None)], "k long, t string")
     snapshot.write_csv(df, str(tmp_path / "c"), ";")
