@@ -1,5 +1,6 @@
 """Exact copies, quality rules, packing, languages, quality model, pages and pieces on small tables."""
 
+import functools
 import math
 import random
 import re
@@ -110,6 +111,25 @@ def test_ids_equal_the_tokenizer():
         assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+ODD_CHARACTERS = "ab Zé\u00d7\u00aa\u024f\u0250ﬁ'sdtlvrem09½²_-!.<|> \t\n\r\x0b\x1c\u0085\u00a0\u3000\u200b日☃\U0001f600\u0301"
+
+
+@given(st.lists(st.one_of(st.text(alphabet=ODD_CHARACTERS, max_size=12), st.text(max_size=8), st.sampled_from(["don't", "  ", " 's", "<|endoftext|>"])), max_size=12))
+@settings(max_examples=400, deadline=None)
+def test_ids_of_any_text_equal_the_tokenizer(parts):
+    encode, plain = encoders()
+    for text in ("".join(parts), " ".join(parts)):
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+@functools.cache
+def encoders():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.Encoder(path, 200), Tokenizer.from_file(path)
+
+
 def test_packing_keeps_every_id_once(spark):
     from tokenizers import Tokenizer
 
