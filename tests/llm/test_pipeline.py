@@ -81,3 +81,22 @@ def test_nothing_labelled(spark, tmp_path):
         got = language_id.op6_language_id(spark, f"{tmp_path}/{name}").collect()
         assert len(got) == n and all((r.lang_pred, r.score, r.rejected) == ("und", 0.0, True) for r in got)
         assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Null texts and ids, repeated rows, a very long text, and columns with names that stages use themselves."""
+    docs = table(spark, SF, "documents")
+    null = lambda c: language_id.F.lit(None).cast(docs.schema[c].dataType)
+    few = docs.orderBy("doc_id").limit(4)
+    long = few.limit(1).withColumn("doc_id", language_id.F.lit(-7).cast(docs.schema["doc_id"].dataType)).withColumn("text", language_id.F.repeat("text", 300))
+    odd = docs.union(few).union(few.withColumn("text", null("text"))).union(few.withColumn("doc_id", null("doc_id"))).union(long)
+    odd = odd.withColumns({c: language_id.F.lit("x") for c in ("_p", "_s", "h", "id", "row", "group", "keep_id", "rep", "start", "length", "sequence_id")})
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    odd = table(spark, str(tmp_path), "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, odd, str(tmp_path))
+        assert left.columns == odd.columns and left.exceptAll(odd).count() == 0
+    total = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        total.setdefault((r.doc_id, r.doc_tokens), []).append(r.length)
+    assert total and all(sum(x) % tokens == 0 for (_, tokens), x in total.items())
