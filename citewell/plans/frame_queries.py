@@ -261,6 +261,11 @@ def sl01(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_size").orderBy(F.desc("p_size"), "p_partkey")
 
 
+@query("sl02_mixed_sort", "SELECT n_nationkey % 3 AS code, n_nationkey AS year FROM nation ORDER BY 1, 2 DESC")
+def sl02(spark, d):
+    return table(spark, d, "nation").select((F.col("n_nationkey") % 3).alias("code"), F.col("n_nationkey").alias("year")).orderBy(F.asc("code"), F.desc("year"))
+
+
 @query("sl06_sample", "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('42|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100")
 def sl06(spark, d):
     return frames.sample_rows(table(spark, d, "orders").select("o_orderkey", "o_custkey"), 100, ["o_orderkey"])

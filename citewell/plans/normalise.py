@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citewell.functions.scalars import contains_flag, filled, ratio, scrubbed
-from citewell.schemas import SOURCE_JSON, WORK_JSON
+from citewell.schemas import INSTITUTION_JSON, SOURCE_JSON, WORK_JSON
+
+_JSON = {"work": WORK_JSON, "source": SOURCE_JSON, "institution": INSTITUTION_JSON}
 
 
 def parsed(raw: DataFrame, kind: str = "work") -> DataFrame:
     """Typed columns of ``id, raw_data`` rows: each document is parsed once, and only for the fields used."""
-    schema = WORK_JSON if kind == "work" else SOURCE_JSON
-    return raw.select(F.from_json("raw_data", schema).alias("d")).select("d.*")
+    return raw.select(F.from_json("raw_data", _JSON[kind]).alias("d")).select("d.*")
 
 
 def cube_works(works: DataFrame) -> DataFrame:
@@ -102,6 +103,29 @@ def source_metadata(sources: DataFrame) -> DataFrame:
     )
 
 
+def _loaded(rows: DataFrame, countries: Sequence[str] | None, plain: Sequence[str], as_json: Sequence[str], **more: Column) -> DataFrame:
+    """Rows of the countries, or all: text scrubbed, nested columns as JSON, counts zero where there are none, the date as a timestamp."""
+    if countries is not None:
+        rows = rows.filter(F.col("country_code").isin(list(countries)))
+    kept = [scrubbed(F.col(c)).alias(c) if dict(rows.dtypes)[c] == "string" else F.col(c) for c in plain]
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("works_count", "cited_by_count")]
+    nested = [F.to_json(c).alias(c) for c in as_json]
+    return rows.select(*kept, *nested, *counts, F.try_to_timestamp("updated_date").alias("updated_date"), *[v.alias(k) for k, v in more.items()])
+
+
+def source_table(sources: DataFrame, countries: Sequence[str] | None = None) -> DataFrame:
+    """The relational table of sources in the countries given (all by default); a source without a country is in none."""
+    no = lambda c: F.coalesce(c, F.lit(False))
+    plain = "id issn_l display_name publisher homepage_url works_api_url country_code".split()
+    return _loaded(sources, countries, plain, ["issn", "summary_stats"], is_oa=no("is_oa"), is_in_doaj=no("is_in_doaj"), is_scopus=filled(F.col("ids.scopus")))
+
+
+def institution_table(institutions: DataFrame, countries: Sequence[str] | None = None) -> DataFrame:
+    """The relational table of institutions, by the same rules."""
+    plain = "id ror display_name country_code type homepage_url image_url image_thumbnail_url works_api_url".split()
+    return _loaded(institutions, countries, plain, ["display_name_acronyms", "display_name_alternatives"])
+
+
 def counts_by_year(sources: DataFrame) -> DataFrame:
     return sources.select("id", F.inline("counts_by_year"))
 

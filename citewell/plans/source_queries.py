@@ -231,3 +231,112 @@ def dq07(spark, d):
 def js08(spark, d):
     stats = F.when(F.col("s_suppkey") % 2 == 0, F.to_json(F.struct(F.col("s_suppkey").alias("h_index")))).otherwise("broken")
     return table(spark, d, "supplier").select("s_suppkey", F.coalesce(F.from_json(stats, "h_index int")["h_index"], F.lit(0)).alias("h_index"))
+
+
+@query("snk03_codec_row_groups", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def snk03(spark, d):
+    from citewell.sources import tables
+
+    path = folder(spark, "table")
+    name = f"citewell_{path.rpartition('-')[2]}"
+    tables.create_as(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), name, path, codec="zstd", row_group_bytes=1 << 18)
+    tables.drop(spark, name)
+    return spark.read.parquet(path)
+
+
+@query("snk04_part_files", "SELECT l_suppkey, 1 AS n_batches, count(*) AS n FROM lineitem GROUP BY 1")
+def snk04(spark, d):
+    from citewell.sources import tables
+
+    path = folder(spark, "parts")
+    tables.write_parts(table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), path, "l_suppkey", 8)
+    return spark.read.parquet(path).groupBy("l_suppkey").agg(F.count_distinct("batch").alias("n_batches"), F.count(F.lit(1)).alias("n"))
+
+
+@query("snk05_csv_export", "SELECT c_custkey, c_name || ', \"' || c_mktsegment || '\"; ' AS label FROM customer")
+def snk05(spark, d):
+    path = folder(spark, "csv")
+    label = F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"; ')).alias("label")
+    snapshot.write_csv(table(spark, d, "customer").select("c_custkey", label), path)
+    return snapshot.read_csv(spark, path, "c_custkey long, label string")
+
+
+@query("snk08_declared_table", "SELECT n_nationkey, n_name FROM nation")
+def snk08(spark, d):
+    from citewell.sources import tables
+
+    name = f"citewell_{uuid.uuid4().hex}"
+    ddl = "n_nationkey INT, n_name STRING"
+    snapshot.declare_table(spark, name, ddl)
+    table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name").write.insertInto(name)
+    snapshot.declare_table(spark, name, ddl)
+    rows, path = spark.table(name), folder(spark, "declared")
+    rows.write.parquet(path)
+    tables.drop(spark, name)
+    return spark.read.parquet(path)
+
+
+_KEYED = "count(*) = count(DISTINCT {0}) AND count(*) = count({0})"
+
+
+@query("snk14_guarded_keys", f"SELECT 'o_orderkey' AS key, {_KEYED.format('o_orderkey')} AS keyed FROM orders UNION ALL SELECT 'o_custkey', {_KEYED.format('o_custkey')} FROM orders")
+def snk14(spark, d):
+    from citewell.sources import tables
+
+    path = folder(spark, "table")
+    name = f"citewell_{path.rpartition('-')[2]}"
+    tables.create_as(table(spark, d, "orders").select("o_orderkey", "o_custkey"), name, path)
+    rows = [(c, tables.keyed(spark, name, c)) for c in ("o_custkey", "o_orderkey")]
+    tables.drop(spark, name)
+    return spark.createDataFrame(rows, "key string, keyed boolean")
+
+
+@query("st05_append", f"WITH {WORKS_SQL} SELECT journal_id, count(*) AS num_documents FROM works GROUP BY 1")
+def st05(spark, d):
+    from citewell.plans import cubes
+
+    path, w = folder(spark, "cube"), works(spark, d)
+    counts = lambda rows: indicator_cube(rows, ["journal_id"]).select("journal_id", "num_documents")
+    cubes.save_cube(counts(w.filter("region = 'ASIA'")), path)
+    cubes.save_cube(counts(cubes.pending(w, cubes.load_cube(spark, path), "journal_id")), path, mode="append")
+    return cubes.load_cube(spark, path)
+
+
+@query("rs08_location_access", f"WITH {WORKS_SQL} SELECT CAST(journal_id AS VARCHAR) AS source_id, oa_status, is_oa, count(*) AS n FROM works GROUP BY ALL")
+def rs08(spark, d):
+    path = folder(spark, "works")
+    raw_works(spark, d).withColumnRenamed("value", "raw_data").write.parquet(path)
+    tables = normalise.work_tables(normalise.parsed(spark.read.parquet(path)))
+    access = tables["works_open_access"].select("work_id", "is_oa", "oa_status")
+    both = tables["works_primary_location"].select("work_id", "source_id").join(access, "work_id")
+    return both.groupBy("source_id", "oa_status", "is_oa").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("rs10_topic_paths", "SELECT CAST(s_suppkey AS VARCHAR) AS journal_id, 't' AS topic_name, 'Unknown' AS subfield, 'Unknown' AS field, CASE WHEN s_suppkey % 3 = 0 THEN 'D' ELSE 'Unknown' END AS domain FROM supplier")
+def rs10(spark, d):
+    return normalise.source_topics(normalise.parsed(_source_json(spark, d), "source")).select("journal_id", "topic_name", "subfield", "field", "domain")
+
+
+def _entity_json(spark, d, *more):
+    """Suppliers with a country's code, as JSON lines; every third lacks its counts."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    k = F.col("s_suppkey")
+    fields = [k.cast("string").alias("id"), F.col("s_name").alias("display_name"), F.substring("n_name", 1, 2).alias("country_code"), F.when(k % 3 != 0, k).alias("works_count"), F.lit("2024-02-01").alias("updated_date")]
+    return s.select(F.to_json(F.struct(*fields, *more)).alias("raw_data"))
+
+
+_ENTITY_SQL = "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS display_name, substr(n_name, 1, 2) AS country_code, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_suppkey END AS INT) AS works_count, 0 AS cited_by_count, '2024-02-01' AS updated"
+_IN_COUNTRIES = "FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE substr(n_name, 1, 2) IN ('BR', 'AR', 'PE')"
+
+
+@query("xf01_source_table", f"{_ENTITY_SQL}, s_suppkey % 2 = 0 AS is_scopus, '[\"' || s_name || '\"]' AS issn {_IN_COUNTRIES}")
+def xf01_sources(spark, d):
+    more = [F.struct(F.when(F.col("s_suppkey") % 2 == 0, "x").alias("scopus")).alias("ids"), F.array("s_name").alias("issn")]
+    made = normalise.source_table(normalise.parsed(_entity_json(spark, d, *more), "source"), ["BR", "AR", "PE"])
+    return made.select("id", "display_name", "country_code", "works_count", "cited_by_count", F.date_format("updated_date", "yyyy-MM-dd").alias("updated"), "is_scopus", "issn")
+
+
+@query("xf01_institution_table", f"{_ENTITY_SQL}, '[\"' || s_name || '\"]' AS display_name_acronyms {_IN_COUNTRIES}")
+def xf01_institutions(spark, d):
+    made = normalise.institution_table(normalise.parsed(_entity_json(spark, d, F.array("s_name").alias("display_name_acronyms")), "institution"), ["BR", "AR", "PE"])
+    return made.select("id", "display_name", "country_code", "works_count", "cited_by_count", F.date_format("updated_date", "yyyy-MM-dd").alias("updated"), "display_name_acronyms")

@@ -29,12 +29,16 @@ WORK_JSON = """id string, doi string, title string, display_name string, publica
 
 #: A source (journal) as it stands in a snapshot's JSON, as schema text.
 SOURCE_JSON = """id string, display_name string, issn_l string, issn array<string>, publisher string, host_organization_name string, country_code string, type string,
-    is_oa boolean, is_in_doaj boolean, is_core boolean, is_ojs boolean, is_in_scielo boolean, works_count int, cited_by_count int, updated_date string,
+    is_oa boolean, is_in_doaj boolean, is_core boolean, is_ojs boolean, is_in_scielo boolean, works_count int, cited_by_count int, homepage_url string, works_api_url string, updated_date string,
     summary_stats struct<h_index: int, i10_index: int, `2yr_mean_citedness`: double>, ids struct<scopus: string, mag: string, fatcat: string>,
     topics array<struct<id: string, display_name: string, count: bigint, works_count: bigint, share: double, percentage: double,
       subfield: struct<display_name: string>, field: struct<display_name: string>, domain: struct<display_name: string>>>,
     counts_by_year array<struct<year: int, works_count: bigint, cited_by_count: bigint>>"""
 
+#: An institution as it stands in a snapshot's JSON, as schema text.
+INSTITUTION_JSON = """id string, ror string, display_name string, country_code string, type string, homepage_url string, image_url string, image_thumbnail_url string,
+    display_name_acronyms array<string>, display_name_alternatives array<string>, works_count int, cited_by_count int, works_api_url string, updated_date string"""
+
 #: What the indicator cubes read of a work, one row each.
 WORK_COLUMNS = (
     "journal_id year cited_by_count fwci percentile is_oa oa_status language domain field subfield topic".split()

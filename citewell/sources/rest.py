@@ -8,10 +8,12 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
-from urllib.parse import urlencode
+from urllib.parse import quote, urlencode
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,7 +41,7 @@ class PagedReader(DataSourceReader):
         self.keys = json.loads(options.get("keys", "[null]"))
         self.per_page, self.most = int(options.get("perpage", 200)), int(options.get("mostrows", 0))
         self.pace, self.wait = float(options.get("pace", 0.15)), float(options.get("retrywait", 1.0))
-        self.mail = options.get("mail", "")
+        self.mail, self.search = options.get("mail", ""), options.get("search", "")
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(k) for k in self.keys]
@@ -51,6 +53,8 @@ class PagedReader(DataSourceReader):
             query = {"per-page": self.per_page, "cursor": cursor}
             if self.filter:
                 query["filter"] = self.filter.replace("{key}", str(key))
+            if self.search:
+                query["search"] = self.search.replace("{key}", str(key))
             if self.mail:
                 query["mailto"] = self.mail
             page = fetch(f"{self.url}?{urlencode(query)}", wait=self.wait)
@@ -77,11 +81,37 @@ class PagedRest(DataSource):
         return PagedReader(dict(self.options))
 
 
-def read_rest(spark: SparkSession, url: str, keys: list[str] | None = None, filter: str = "", most_rows: int = 0, per_page: int = 200, pace: float = 0.15, mail: str = "", retry_wait: float = 1.0) -> DataFrame:
+def read_rest(spark: SparkSession, url: str, keys: list[str] | None = None, filter: str = "", most_rows: int = 0, per_page: int = 200, pace: float = 0.15, mail: str = "", retry_wait: float = 1.0, search: str = "") -> DataFrame:
     """``key, raw_data`` of a collection, for each key (a country code, a source id) in a task of its own.
 
-    Parse ``raw_data`` with the JSON schemas; ``filter`` may name ``{key}``.
+    Parse ``raw_data`` with the JSON schemas; ``filter`` and ``search`` may name ``{key}``.
     """
     spark.dataSource.register(PagedRest)
-    options = {"url": url, "filter": filter, "keys": json.dumps(keys or [None]), "mostRows": most_rows, "perPage": per_page, "pace": pace, "mail": mail, "retryWait": retry_wait}
+    options = {"url": url, "filter": filter, "keys": json.dumps(keys or [None]), "mostRows": most_rows, "perPage": per_page, "pace": pace, "mail": mail, "retryWait": retry_wait, "search": search}
     return spark.read.format("paged_rest").options(**{k: str(v) for k, v in options.items()}).load()
+
+
+def fetch_each(ids: DataFrame, id_col: str, url: str, tasks: int = 4, pace: float = 0.15, mail: str = "", retry_wait: float = 1.0) -> DataFrame:
+    """``key, raw_data``: the object at ``url``, which names ``{key}``, for every different id; ids that the server doesn't know give no row.
+
+    Ids are a table of any size; ``tasks`` fetch side by side and each waits
+    ``pace`` seconds between two requests, which bounds the rate.
+    """
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query = "?" + urlencode({"mailto": mail}) if mail else ""
+        for batch in batches:
+            for start in range(0, batch.num_rows, 100):
+                keys, found = [], []
+                for key in batch.column(0).slice(start, 100).to_pylist():
+                    try:
+                        found.append(json.dumps(fetch(url.replace("{key}", quote(key, safe="")) + query, wait=retry_wait), ensure_ascii=False))
+                        keys.append(key)
+                    except urllib.error.HTTPError as e:
+                        if e.code not in (404, 410):
+                            raise
+                    time.sleep(pace)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.string())], ["key", "raw_data"])
+
+    keys = ids.select(F.col(id_col).cast("string").alias("key")).filter("key IS NOT NULL").distinct()
+    return keys.repartition(tasks).mapInArrow(get, "key string, raw_data string")

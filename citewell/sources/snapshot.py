@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,21 +92,48 @@ def latest_documents(documents: DataFrame) -> DataFrame:
     return last_writer(documents.withColumn("_order", order), "id", "_order").drop("_order")
 
 
+#: White space at the ends of a value is part of it, and a quote within one is doubled.
+_CSV = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "escape": '"'}
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, separator: str = ",") -> DataFrame:
-    return spark.read.schema(schema).option("header", "true").option("sep", separator).csv(path)
+    return spark.read.schema(schema).options(**_CSV).option("sep", separator).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, separator: str = ",") -> None:
-    df.write.mode("overwrite").option("header", "true").option("sep", separator).csv(path)
+    df.write.mode("overwrite").options(**_CSV).option("sep", separator).csv(path)
+
+
+def with_columns(df: DataFrame, wanted: Sequence[str], defaults: dict[str, object] | None = None) -> DataFrame:
+    """Exactly the wanted columns: those that the table lacks get their default, or null as text."""
+    lacking = lambda c: F.lit((defaults or {}).get(c)) if c in (defaults or {}) else F.lit(None).cast("string")
+    there = {c.lower() for c in df.columns}
+    return df.select(*[F.col(c) if c.lower() in there else lacking(c).alias(c) for c in wanted])
+
 
+def read_database(
+    spark: SparkSession, url: str, query: str, wanted: list[str], key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16,
+    defaults: dict[str, object] | None = None, **options: str,
+) -> DataFrame:
+    """A query's rows over JDBC, in parallel over a numeric key; wanted columns that it lacks get their default, or null.
 
-def read_database(spark: SparkSession, url: str, query: str, wanted: list[str], key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16, **options: str) -> DataFrame:
-    """A query's rows over JDBC, in parallel over a numeric key; wanted columns that it lacks are null."""
+    The database is asked for its columns once, so an older schema is no error.
+    """
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"({query}) q").options(**options)
     if key and bounds:
         reader = reader.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
-    df = reader.load()
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in wanted])
+    return with_columns(reader.load(), wanted, defaults)
+
+
+def read_by_key(spark: SparkSession, url: str, name: str, key: str, values: Sequence[str], wanted: list[str], defaults: dict[str, object] | None = None, per_task: int = 20, **options: str) -> DataFrame:
+    """Rows of a database's table whose key is one of ``values``, ``per_task`` of them a task and statement.
+
+    The values are a list of the caller's, such as the journals of a report; for
+    very many read the whole table by a numeric key and join.
+    """
+    quoted = ["'" + str(v).replace("'", "''") + "'" for v in values]
+    predicates = [f"{key} IN ({', '.join(quoted[i : i + per_task])})" for i in range(0, len(quoted), per_task)] or ["1 = 0"]
+    return with_columns(spark.read.jdbc(url, name, predicates=predicates, properties=options), wanted, defaults)
 
 
 def write_database(df: DataFrame, url: str, name: str, **options: str) -> None:

@@ -30,6 +30,34 @@ def measure(spark: SparkSession, name: str, columns: bool = True) -> None:
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS" + (" FOR ALL COLUMNS" if columns else ""))
 
 
+def keyed(spark: SparkSession, name: str, *key: str) -> bool:
+    """Marks the columns as the table's key, after a test that no row lacks one and no two rows agree in all; otherwise leaves the table alone.
+
+    Spark enforces no keys: the mark is a table property that tells later runs
+    that the test was passed, and statistics go with it.
+    """
+    marked = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    if marked.get("citewell.key") == ",".join(key):
+        return True
+    rows = spark.table(name)
+    lacking = F.lit(False)
+    for c in key:
+        lacking = lacking | F.col(c).isNull()
+    broken = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | lacking)
+    if not broken.isEmpty():
+        return False
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('citewell.key' = '{','.join(key)}')")
+    measure(spark, name)
+    return True
+
+
+def write_parts(df: DataFrame, path: str, key: str, batches: int, tasks_each: int = 4, mode: str = "overwrite") -> None:
+    """Part files by batches of a key's values, as folders ``batch=n``; a batch goes to a few tasks by row, so no value that has most of the rows meets one of them."""
+    batch = df.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int"))
+    spread = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t]), F.lit(tasks_each))
+    batch.repartition(batches * tasks_each, "batch", spread).write.mode(mode).partitionBy("batch").parquet(path)
+
+
 def presence(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """``name, present, n``: whether each file is there, and its rows from the footers."""
     from citewell.sources.snapshot import row_count

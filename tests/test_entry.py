@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 SAMPLE = "ag01_journal_year ag09_dense_years ag13_mean_of_ratios ag20_topic_levels ag21_rollup wn01_ema3 wn08_keep_last rs01_pivot_year rs04_unpivot_oa jn13_year_diff ar02_abstract src02_snapshot_cube".split()
+SAMPLE += "snk03_codec_row_groups snk04_part_files snk05_csv_export snk08_declared_table snk14_guarded_keys st05_append rs08_location_access rs10_topic_paths xf01_source_table xf01_institution_table sl02_mixed_sort".split()
 
 
 def plain(rows):

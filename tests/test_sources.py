@@ -3,7 +3,7 @@
 import gzip
 import json
 
-from citewell.sources import snapshot
+from citewell.sources import snapshot, tables
 from citewell.streaming import ingest
 
 
@@ -45,6 +45,38 @@ def test_database_tables(spark):
     assert sorted(map(tuple, got.collect())) == [(i, f"t{i}", None) for i in range(1, 40, 3)]
 
 
+def test_database_without_some_columns(spark):
+    """Columns that the database lacks get the defaults given; rows of a list of keys come by a statement for each few of them."""
+    url = "jdbc:derby:memory:citewell2;create=true"
+    snapshot.write_database(spark.createDataFrame([(f"S{i}", f"it's {i}") for i in range(9)] * 2, "ID string, TITLE string"), url, "SOURCES", createTableColumnTypes="ID VARCHAR(64), TITLE VARCHAR(64)")
+    got = snapshot.read_database(spark, url, "SELECT * FROM SOURCES", ["ID", "COUNTRY_CODE", "IS_SCOPUS"], defaults={"COUNTRY_CODE": "UNKNOWN", "IS_SCOPUS": False})
+    assert {tuple(r) for r in got.collect()} == {(f"S{i}", "UNKNOWN", False) for i in range(9)} and got.count() == 18
+    some = snapshot.read_by_key(spark, url, "SOURCES", "TITLE", ["it's 1", "it's 4", "it's 8", "none"], ["ID"], per_task=2)
+    assert some.rdd.getNumPartitions() == 2
+    assert sorted(r.ID for r in some.collect()) == ["S1", "S1", "S4", "S4", "S8", "S8"]
+    assert snapshot.read_by_key(spark, url, "SOURCES", "ID", [], ["ID"]).count() == 0
+
+
+def test_guarded_keys(spark):
+    spark.sql("DROP TABLE IF EXISTS citewell_keyed")
+    spark.sql("CREATE TABLE citewell_keyed (a INT, b STRING) USING parquet")
+    spark.sql("INSERT INTO citewell_keyed VALUES (1, 'x'), (2, 'x'), (3, NULL)")
+    assert not tables.keyed(spark, "citewell_keyed", "b")
+    assert tables.keyed(spark, "citewell_keyed", "a", "b") is False
+    assert tables.keyed(spark, "citewell_keyed", "a") and tables.keyed(spark, "citewell_keyed", "a")
+    spark.sql("DROP TABLE citewell_keyed")
+
+
+def test_part_files(spark, tmp_path):
+    """Every row once, a key in one batch, maps and a key with most rows included."""
+    rows = [("hot", i, {"a": i}) for i in range(500)] + [(f"k{i}", i, None) for i in range(50)] + [(None, 1, None)]
+    tables.write_parts(spark.createDataFrame(rows, "k string, n int, m map<string, int>"), str(tmp_path / "p"), "k", 4)
+    back = spark.read.parquet(str(tmp_path / "p"))
+    assert back.count() == 551 and back.filter("k = 'hot'").count() == 500
+    assert back.groupBy("k").agg({"batch": "min"}).join(back.groupBy("k").agg({"batch": "max"}), "k").filter("`min(batch)` != `max(batch)`").count() == 0
+    assert len(list((tmp_path / "p").glob("batch=*/*.parquet"))) > 4
+
+
 def test_declared_tables_stay(spark):
     spark.sql("DROP TABLE IF EXISTS citewell_declared")
     snapshot.declare_table(spark, "citewell_declared", "id STRING, n INT")
