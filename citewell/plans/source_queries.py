@@ -321,22 +321,22 @@ def _entity_json(spark, d, *more):
     """Suppliers with a country's code, as JSON lines; every third lacks its counts."""
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     k = F.col("s_suppkey")
-    fields = [k.cast("string").alias("id"), F.col("s_name").alias("display_name"), F.substring("n_name", 1, 2).alias("country_code"), F.when(k % 3 != 0, k).alias("works_count"), F.lit("2024-02-01").alias("updated_date")]
+    fields = [k.cast("string").alias("id"), F.col("s_name").alias("display_name"), F.concat(F.lit("N"), F.col("n_regionkey").cast("string")).alias("country_code"), F.when(k % 3 != 0, k).alias("works_count"), F.lit("2024-02-01").alias("updated_date")]
     return s.select(F.to_json(F.struct(*fields, *more)).alias("raw_data"))
 
 
-_ENTITY_SQL = "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS display_name, substr(n_name, 1, 2) AS country_code, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_suppkey END AS INT) AS works_count, 0 AS cited_by_count, '2024-02-01' AS updated"
-_IN_COUNTRIES = "FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE substr(n_name, 1, 2) IN ('BR', 'AR', 'PE')"
+_ENTITY_SQL = "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS display_name, 'N' || n_regionkey AS country_code, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_suppkey END AS INT) AS works_count, 0 AS cited_by_count, '2024-02-01' AS updated"
+_IN_COUNTRIES = "FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE 'N' || n_regionkey IN ('N1', 'N2')"
 
 
 @query("xf01_source_table", f"{_ENTITY_SQL}, s_suppkey % 2 = 0 AS is_scopus, '[\"' || s_name || '\"]' AS issn {_IN_COUNTRIES}")
 def xf01_sources(spark, d):
     more = [F.struct(F.when(F.col("s_suppkey") % 2 == 0, "x").alias("scopus")).alias("ids"), F.array("s_name").alias("issn")]
-    made = normalise.source_table(normalise.parsed(_entity_json(spark, d, *more), "source"), ["BR", "AR", "PE"])
+    made = normalise.source_table(normalise.parsed(_entity_json(spark, d, *more), "source"), ["N1", "N2"])
     return made.select("id", "display_name", "country_code", "works_count", "cited_by_count", F.date_format("updated_date", "yyyy-MM-dd").alias("updated"), "is_scopus", "issn")
 
 
 @query("xf01_institution_table", f"{_ENTITY_SQL}, '[\"' || s_name || '\"]' AS display_name_acronyms {_IN_COUNTRIES}")
 def xf01_institutions(spark, d):
-    made = normalise.institution_table(normalise.parsed(_entity_json(spark, d, F.array("s_name").alias("display_name_acronyms")), "institution"), ["BR", "AR", "PE"])
+    made = normalise.institution_table(normalise.parsed(_entity_json(spark, d, F.array("s_name").alias("display_name_acronyms")), "institution"), ["N1", "N2"])
     return made.select("id", "display_name", "country_code", "works_count", "cited_by_count", F.date_format("updated_date", "yyyy-MM-dd").alias("updated"), "display_name_acronyms")
