@@ -22,6 +22,7 @@ null; further columns are ignored.  Ties in length go by id and start.
 from __future__ import annotations
 
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -58,9 +59,12 @@ class TokenIds(dict):
         ids = [x.id for x in self.tokenize(token)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __missing__(self, token: str) -> bytes:
+    def of_text(self, token: str) -> bytes:
         plain = token.isascii() and token.isprintable()
-        made = self.of_letters(token.replace(" ", self.letters[32]) if plain else token.encode().decode("latin-1").translate(self.letters))
+        return self.of_letters(token.replace(" ", self.letters[32]) if plain else token.encode().decode("latin-1").translate(self.letters))
+
+    def __missing__(self, token: str) -> bytes:
+        made = self.of_text(token)
         if len(self) >= self.limit:
             self.clear()
         if len(token) <= 64:
@@ -75,28 +79,40 @@ _SIGNS = r"!-/:-@\[-`{-~"
 class ChunkIds(dict):
     """Ids of the chunks met so far, each the ids of its pre-tokens in a row; emptied when ``limit`` chunks are held.
 
-    The standard library's expressions find the pre-tokens of chunks of Latin
-    letters, ASCII digits, signs and white space; a chunk that these do not use
-    up goes by the tokenizer's own rule.  A chunk of Latin letters is one.
+    A chunk of ASCII letters is one pre-token, and signs at its end are another;
+    words are held here alone, as chunks, and other pre-tokens in ``tokens``.
+    The standard library's expressions find the pre-tokens of further chunks of
+    Latin letters, ASCII digits, signs and white space; a chunk that these do not
+    use up goes by the tokenizer's own rule.
     """
 
     parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[{_SIGNS}]+|[ \t\n\r\f\v]+(?!\S)|[ \t\n\r\f\v]+")
+    signs = string.punctuation
 
     def __init__(self, tokenizer, tokens: TokenIds, lead: str, limit: int):
         super().__init__()
         self.split, self.tokens = tokenizer.pre_tokenizer.pre_tokenize_str, tokens
         self.lead, self.limit = lead, limit
+        self.lead_letter = lead and tokens.letters[32]
+
+    def made(self, chunk: str) -> bytes:
+        ascii_only = chunk.isascii()
+        if chunk.isalpha():
+            if ascii_only:
+                return self.tokens.of_letters(self.lead_letter + chunk)
+            if max(chunk) < "\u0250":
+                return self.tokens.of_text(self.lead + chunk)
+        word = chunk.rstrip(self.signs)
+        if ascii_only and word.isalpha():
+            return self[word] + self.tokens[chunk[len(word) :]]
+        text = self.lead + chunk
+        parts = self.parts.findall(text)
+        if sum(map(len, parts)) == len(text):
+            return b"".join(map(self.tokens.__getitem__, parts))
+        return b"".join(self.tokens.of_letters(token) for token, _ in self.split(text))
 
     def __missing__(self, chunk: str) -> bytes:
-        text = self.lead + chunk
-        if chunk.isalpha() and max(chunk) < "\u0250":
-            made = self.tokens[text]
-        else:
-            parts = self.parts.findall(text)
-            if sum(map(len, parts)) == len(text):
-                made = b"".join(map(self.tokens.__getitem__, parts))
-            else:
-                made = b"".join(self.tokens.of_letters(token) for token, _ in self.split(text))
+        made = self.made(chunk)
         if len(self) >= self.limit:
             self.clear()
         if len(chunk) <= 64:
