@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citewell.llm import exact_dedup, html_text, language_id, lexical_search, ngram_join, packing, ppm, quality_model, quality_rules, sentence_pieces, warc
+from citewell.llm import exact_dedup, html_text, language_id, lexical_search, merkle, ngram_join, packing, ppm, quality_model, quality_rules, sentence_pieces, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
         "op9_quality_classifier": quality_model.op9_quality_classifier,
         "op10_packing": packing.op10_packing,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
         "op13_lexical_search": lexical_search.op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL, "op13_lexical_search": lexical_search.OP13_SQL}
+    return {"op2_quality_rules": quality_rules.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL, "op11_merkle_manifest": merkle.OP11_SQL, "op13_lexical_search": lexical_search.OP13_SQL}
