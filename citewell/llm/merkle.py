@@ -238,7 +238,10 @@ def _tree(leaves: DataFrame, order: list[str], keep: list[str], arity: int, each
     asked = spark.sparkContext.parallelize(known.open, max(1, min(parts, len(known.open)))).flatMap(_wanted(arity))
     there = nodes.rdd.map(lambda r: ((r.grp, r.size, r.level, r["at"]), r.digest))
     answers = asked.join(there).map(lambda x: (x[1][0], (x[0], x[1][1]))).partitionBy(parts, int).values()
-    whole = rows.mapPartitionsWithIndex(lambda p, own: [(p, list(own))]).zip(answers.glom())
+    whole = rows.mapPartitionsWithIndex(lambda p, own: [(p, list(own))])
+    if more := answers.getNumPartitions() - parts:  # where the session deals keys to more partitions than asked for
+        whole = whole.union(spark.sparkContext.parallelize([(parts + i, []) for i in range(more)], more))
+    whole = whole.zip(answers.glom())
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in leaves.select(*keep).schema)
     paths = spark.createDataFrame(whole.flatMap(_with_paths(places, arity)), f"grp string, leaf string, {kinds}{', ' if kinds else ''}path {_PATH}", verifySchema=False)
     return paths, nodes.filter("is_root").select("grp", "digest")
