@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citewell.llm import exact_dedup, html_text, language_id, lexical_search, merkle, ngram_join, packing, ppm, quality_model, quality_rules, sentence_pieces, warc
+from citewell.llm import exact_dedup, html_text, language_id, lexical_search, merkle, ngram_join, packing, ppm, quality_model, quality_rules, sentence_pieces, suffix_dedup, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_quality_classifier": quality_model.op9_quality_classifier,
         "op10_packing": packing.op10_packing,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_suffix_array_dedup": suffix_dedup.op12_suffix_array_dedup,
         "op13_lexical_search": lexical_search.op13_lexical_search,
     }
 
