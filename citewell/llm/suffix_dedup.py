@@ -168,14 +168,17 @@ def repeated_starts(segments: list[bytes], counts: list[int], span: int) -> np.n
     symbols = joined.astype(np.uint16) + 1
     ends = np.cumsum(sizes)
     symbols[ends - 1] = 0
-    left = np.repeat(ends - 1, sizes) - np.arange(len(symbols))
+    left = (np.repeat(ends - 1, sizes) - np.arange(len(symbols))).astype(np.int32)
     sa = suffix_array(symbols, 257)
     shared = permuted_common_prefixes(symbols, sa, left)[sa]
-    interval = np.cumsum(shared < span)
-    weight = np.where(left >= span, np.repeat(np.array(counts, np.int64), sizes), 0)[sa]
-    total = np.bincount(interval, weights=weight)[interval]
+    # only suffixes with a whole string count; those that share it stand side by side
+    interval = np.cumsum(shared < span, dtype=np.int32)
+    del shared
+    sa, interval = sa[left[sa] >= span], interval[left[sa] >= span]
+    weight = np.repeat(np.array(counts, np.int64), sizes)[sa]
+    total = np.bincount(interval, weights=weight)
     found = np.zeros(len(symbols), bool)
-    found[sa] = (total >= 2) & (weight > 0)
+    found[sa] = total[interval] >= 2
     return found
 
 

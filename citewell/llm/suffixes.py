@@ -12,30 +12,31 @@ import numpy as np
 
 
 class _Buckets:
-    """A suffix array under construction."""
+    """A suffix array under construction; 0 stands where nothing is placed yet, as nothing is longer than suffix 0."""
 
     def __init__(self, s: np.ndarray, k: int, is_s: np.ndarray):
-        self.s, self.k, self.is_s, self.is_l = s, k, is_s, ~is_s
+        self.s, self.k = s, k
+        #: The symbol and the type at each place, read together.
+        self.marks = s * s.dtype.type(2) + is_s
         counts = np.bincount(s, minlength=k)
         self.ends = np.cumsum(counts)
         self.starts = self.ends - counts
-        self.sa = np.full(len(s), -1, np.int64 if len(s) >= 1 << 31 else np.int32)
-        self.numbers = np.arange(len(s))
+        self.sa = np.zeros(len(s), np.int64 if len(s) >= 1 << 31 else np.int32)
+        self.numbers = np.arange(len(s), dtype=self.sa.dtype)
 
-    def _ahead(self, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffixes one longer than these, where they are of this type, their buckets, and where in ``at`` the shorter ones stand."""
-        where = np.flatnonzero(at > 0)
-        longer = at[where] - 1
-        fit = kind[longer]
-        longer = longer[fit]
-        return longer, self.s[longer], where[fit]
+    def _ahead(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes one longer than these, where they are of the pass's type, their buckets, and where in ``at`` the shorter ones stand."""
+        longer = at - 1
+        marks = self.marks.take(longer)
+        where = np.flatnonzero((marks & 1) == self.kind)
+        return longer.take(where), marks.take(where) >> 1, where
 
     def _ranked(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A stable order by key, the keys so ordered, and each one's rank among its equals."""
         order = keys.argsort(kind="stable")
         ordered = keys[order]
         at = self.numbers[: len(keys)]
-        first = np.zeros(len(keys), np.int64)
+        first = np.zeros(len(keys), at.dtype)
         np.multiply(at[1:], ordered[1:] != ordered[:-1], out=first[1:])
         np.maximum.accumulate(first, out=first)
         return order, ordered, at - first
@@ -56,15 +57,18 @@ class _Buckets:
 
     def induce(self, lms: np.ndarray) -> np.ndarray:
         """The array that follows from the leftmost smaller suffixes in this order within their buckets."""
-        self.sa.fill(-1)
+        self.sa.fill(0)
         order, ordered, rank = self._ranked(self.s[lms])
         first_lms = self.ends - np.bincount(ordered, minlength=self.k)
         self.sa[first_lms[ordered] + rank] = lms[order]
         self.heads = self.starts.copy()
+        # what stands before suffix 0 is of the other type in either pass
+        self.kind, self.marks[-1] = 0, 1
         self._larger(first_lms)
-        self.sa[self.numbers >= np.repeat(self.heads, self.ends - self.starts)] = -1
+        self.sa[self.numbers >= np.repeat(self.heads, self.ends - self.starts)] = 0
         self.sa[0] = len(self.s) - 1
         self.tails = self.ends.copy()
+        self.kind, self.marks[-1] = 1, 0
         self._smaller()
         return self.sa
 
@@ -73,7 +77,7 @@ class _Buckets:
         while c < self.k:
             begin = int(self.starts[c])
             stop = max(c + 1, int(self.ends.searchsorted(begin + size, "right")))
-            longer, keys, where = self._ahead(self.sa[begin : self.ends[stop - 1]], self.is_l)
+            longer, keys, where = self._ahead(self.sa[begin : self.ends[stop - 1]])
             least = int(keys.min()) if len(keys) else stop
             if c < least < stop:
                 known = where.searchsorted(self.starts[least] - begin)
@@ -81,9 +85,9 @@ class _Buckets:
             elif least == c:
                 done = begin
                 while done < (head := int(self.heads[c])):
-                    self._to_heads(*self._ahead(self.sa[done:head], self.is_l)[:2])
+                    self._to_heads(*self._ahead(self.sa[done:head])[:2])
                     done = head
-                longer, keys, _ = self._ahead(self.sa[first_lms[c] : self.ends[c]], self.is_l)
+                longer, keys, _ = self._ahead(self.sa[first_lms[c] : self.ends[c]])
                 stop = c + 1
             else:
                 size = min(2 * size, 1 << 18)
@@ -95,7 +99,7 @@ class _Buckets:
         while c > 1:
             end = int(self.ends[c - 1])
             start = min(c - 1, max(1, int(self.starts.searchsorted(end - size, "left"))))
-            longer, keys, where = self._ahead(self.sa[self.starts[start] : end][::-1], self.is_s)
+            longer, keys, where = self._ahead(self.sa[self.starts[start] : end][::-1])
             most = int(keys.max()) if len(keys) else start - 1
             if start <= most < c - 1:
                 known = where.searchsorted(end - self.ends[most])
@@ -103,9 +107,9 @@ class _Buckets:
             elif most == c - 1:
                 start, done = c - 1, end
                 while done > (tail := int(self.tails[start])):
-                    self._to_tails(*self._ahead(self.sa[tail:done][::-1], self.is_s)[:2])
+                    self._to_tails(*self._ahead(self.sa[tail:done][::-1])[:2])
                     done = tail
-                longer, keys, _ = self._ahead(self.sa[self.starts[start] : self.heads[start]][::-1], self.is_s)
+                longer, keys, _ = self._ahead(self.sa[self.starts[start] : self.heads[start]][::-1])
             else:
                 size = min(2 * size, 1 << 18)
             self._to_tails(longer, keys)
@@ -120,15 +124,16 @@ def _sorted_suffixes(s: np.ndarray, k: int) -> np.ndarray:
     turns = np.flatnonzero(s[1:] != s[:-1])
     less = np.append(s[turns] < s[turns + 1], True)
     is_s = np.repeat(less, np.diff(np.concatenate(([-1], turns, [n - 1]))))
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int64 if n >= 1 << 31 else np.int32)
     buckets = _Buckets(s, k, is_s)
+    del turns, less, is_s
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     found = buckets.induce(lms)
-    found = found[is_lms[found]].astype(np.int64)
+    found = found[is_lms[found]]
     # equal neighbours among the sorted substrings from one leftmost smaller suffix to the next get one name
-    length = np.zeros(n, np.int64)
-    length[lms] = np.diff(lms, append=lms[-1])
+    length = np.zeros(n, lms.dtype)
+    length[lms] = np.diff(lms, append=lms[-1:])
     own = length[found]
     same = own[1:] == own[:-1]
     live = np.flatnonzero(same)
@@ -139,6 +144,7 @@ def _sorted_suffixes(s: np.ndarray, k: int) -> np.ndarray:
         live = live[equal]
         live = live[own[live] > step]
         step += 1
+    del length, own, live, is_lms
     name = np.empty(n, np.int32)
     name[found] = np.concatenate(([0], np.cumsum(~same)))
     names = int(name[found[-1]]) + 1
@@ -162,32 +168,36 @@ def permuted_common_prefixes(symbols: np.ndarray, sa: np.ndarray, left: np.ndarr
     begins.  Only where the symbols before two neighbours differ, or a part
     begins, is a prefix compared; after that it is one shorter at each step.
     """
-    n = len(symbols)
-    before = np.full(n, -1, np.int64)
+    n, kind = len(symbols), sa.dtype
+    before = np.full(n, -1, kind)
     before[sa[1:]] = sa[:-1]
     head = np.ones(n, bool)
     inner = np.flatnonzero((before[1:] > 0) & (left[1:] < left[:-1])) + 1
     head[inner] = symbols[inner - 1] != symbols[before[inner] - 1]
-    at = np.flatnonzero(head)
-    shared = np.zeros(len(at), np.int64)
+    del inner
+    at = np.flatnonzero(head).astype(kind)
+    before, own = before[at], left[at]
+    shared = np.zeros(len(at), kind)
     wide = np.concatenate([symbols.astype("<u2"), np.full(4, 0xFFFF, "<u2")])
     words = np.ndarray(n + 1, "<u8", wide.data, strides=(2,))
-    live = np.flatnonzero(before[at] >= 0)
+    live = np.flatnonzero(before >= 0)
     while len(live):
-        here, there = at[live] + shared[live], before[at[live]] + shared[live]
-        going = (here + 4 <= n) & (there + 4 <= n) & (shared[live] < left[at[live]])
+        here, there = at[live] + shared[live], before[live] + shared[live]
+        going = (here + 4 <= n) & (there + 4 <= n) & (shared[live] < own[live])
         live, here, there = live[going], here[going], there[going]
-        equal = words[here] == words[there]
-        shared[live[equal]] += 4
-        live = live[equal]
+        live = live[words[here] == words[there]]
+        shared[live] += 4
     # what is left of a comparison that ended within four symbols
-    live = np.flatnonzero(before[at] >= 0)
+    live = np.flatnonzero(before >= 0)
     for _ in range(4):
-        here, there = at[live] + shared[live], before[at[live]] + shared[live]
+        here, there = at[live] + shared[live], before[live] + shared[live]
         going = (here < n) & (there < n)
         live, here, there = live[going], here[going], there[going]
-        equal = symbols[here] == symbols[there]
-        live = live[equal]
+        live = live[symbols[here] == symbols[there]]
         shared[live] += 1
-    last = np.cumsum(head) - 1
-    return np.minimum(np.maximum(shared[last] - (np.arange(n) - at[last]), 0), left)
+    del before, own, live
+    ends = at + shared  # a prefix that is one shorter at each step ends where it began to end
+    whole = np.repeat(ends, np.diff(at, append=n))
+    whole -= np.arange(n, dtype=kind)
+    np.maximum(whole, 0, out=whole)
+    return np.minimum(whole, left.astype(kind))
