@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None, nudge: bool = True) -> Callable[[Qu
 
 
 def _load() -> None:
-    for part in ("cube_queries", "topic_queries", "frame_queries", "scalar_queries", "source_queries"):
+    for part in ("cube_queries", "topic_queries", "frame_queries", "scalar_queries", "source_queries", "time_queries"):
         importlib.import_module(f"citewell.plans.{part}")
 
 

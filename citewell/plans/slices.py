@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citewell.functions.scalars import ratio
 from citewell.operators.frames import contains_text
+from citewell.operators.quantiles import exact_quantiles
 
 
 def key_figures(journals: DataFrame) -> DataFrame:
@@ -32,18 +35,24 @@ def country_figures(journals: DataFrame) -> DataFrame:
 
 def statistics(df: DataFrame, column: str) -> DataFrame:
     """Mean, exact median, sample deviation and range."""
-    x = F.col(column)
-    return df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    x, half = F.col(column), exact_quantiles(df, column, [0.5])
+    made = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return made.join(F.broadcast(half)).select("n", "mean", F.col("quantiles")[0].alias("median"), "std", "min", "max")
 
 
 def summary(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, deviation, quartiles with interpolation, and range."""
-    x = F.col(column)
-    quartile = lambda p: F.percentile(x, F.lit(p))
-    return df.agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-        quartile(0.25).alias("q1"), quartile(0.5).alias("q2"), quartile(0.75).alias("q3"), F.max(x).alias("max"),
-    )
+    x, quartiles = F.col(column), exact_quantiles(df, column, [0.25, 0.5, 0.75])
+    made = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return made.join(F.broadcast(quartiles)).select("n", "mean", "std", "min", *[F.col("quantiles")[i].alias(f"q{i + 1}") for i in range(3)], "max")
+
+
+def summary_by(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+    """The summary of each group that has values."""
+    x, quartiles = F.col(column), exact_quantiles(df, column, [0.25, 0.5, 0.75], by)
+    made = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    same = [made[c].eqNullSafe(quartiles[c]) for c in by]
+    return made.join(quartiles, same).select(*[made[c] for c in by], "n", "mean", "std", "min", *[F.col("quantiles")[i].alias(f"q{i + 1}") for i in range(3)], "max")
 
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
