@@ -330,6 +330,54 @@ def xf06(spark, d):
     return rounded(made.filter("level = 'journal' and kind = 'period'").select(F.col("entity").cast("long").alias("journal_id"), *FIGURES))
 
 
+def _levels_sql(suite: str) -> str:
+    """All levels and kinds over ``works``."""
+    made = []
+    for level, key in (("world", "'ALL'"), ("country", "country_code"), ("journal", "CAST(journal_id AS VARCHAR)")):
+        by = "" if level == "world" else f", {key}"
+        made.append(f"SELECT '{level}' AS level, 'annual' AS kind, {key} AS entity, year, NULL AS period, {suite} FROM works GROUP BY year{by}")
+        made.append(f"SELECT '{level}', 'period', {key}, NULL, min(lo) || '-' || min(hi), {suite} FROM works, span GROUP BY ALL")
+        made.append(f"SELECT '{level}', 'recent', {key}, NULL, '{FIRST}-{LAST}', {suite} FROM works WHERE year BETWEEN {FIRST} AND {LAST} GROUP BY ALL")
+    return " UNION ALL ".join(made)
+
+
+def _dated(spark, d):
+    """Works with a number and a date of their last update."""
+    line = table(spark, d, "lineitem")
+    keys = line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    return works(spark, d, more=[F.xxhash64(*keys.columns).alias("work_id"), F.col("l_shipdate").alias("updated")])
+
+
+@query("xf06_state_refresh", f"WITH {WORKS_SQL}, span AS (SELECT min(year) AS lo, max(year) AS hi FROM works) {_levels_sql(SUITE)}")
+def xf06_state(spark, d):
+    """A state of an earlier day, with works missing, other and since removed, brought up to date."""
+    from citewell.plans.cube_state import CubeState
+    from citewell.shared import shared_path
+
+    now = _dated(spark, d)
+    k = F.pmod(F.col("work_id"), F.lit(11))
+    early = F.col("updated") - F.expr("INTERVAL 1 DAY")
+    other = now.filter((k != 0) | (F.col("journal_id") % 3 == 0))
+    other = other.withColumns({c: F.when((k == 1) & (F.col("journal_id") % 3 == 1), x).otherwise(F.col(c)) for c, x in (("cited_by_count", F.lit(0).cast("long")), ("updated", early))})
+    removed = now.filter("journal_id % 5 = 4").withColumns({"work_id": F.col("work_id") + 1, "journal_id": F.col("journal_id") + 1_000_000})
+    state = CubeState(shared_path(spark, "state"))
+    state.build(other.unionByName(removed))
+    state.refresh(now)
+    return rounded(state.cubes(spark, RECENT).select("level", "kind", "entity", "year", "period", *FIGURES))
+
+
+@query("s14_sketches")
+def s14_sketches(spark, d):
+    """Distinct topics and quartiles of impact of all levels, merged up from one pass over the works."""
+    from citewell.plans.cube_state import CubeState
+    from citewell.shared import shared_path
+
+    state = CubeState(shared_path(spark, "state"), distinct=["topic"], quantiles=["fwci"])
+    state.build(_dated(spark, d))
+    made = state.cubes(spark, RECENT).filter("kind != 'annual'")
+    return made.select("level", "kind", "entity", "num_documents", "distinct_topic", *[F.col("fwci_quantiles")[i].alias(f"fwci_q{i + 1}") for i in range(3)])
+
+
 @query("xf09_with_originals", f"WITH {WORKS_SQL}, {_CY} SELECT country_code, year, round(avg(fwci_avg) OVER (PARTITION BY country_code ORDER BY year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) AS fwci_avg, round(fwci_avg, 9) AS fwci_avg_orig FROM cy")
 def xf09(spark, d):
     base = country_years(spark, d)

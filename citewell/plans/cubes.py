@@ -53,16 +53,17 @@ def refreshed(cube: DataFrame, works: DataFrame, entity: str, build, force: bool
     return cube.unionByName(build(pending(works, cube, entity)))
 
 
-def level_cubes(works: DataFrame, levels: Sequence[str], years: tuple[int, int], recent: tuple[int, int], **suite) -> DataFrame:
+def level_cubes(works: DataFrame, levels: Sequence[str], years: tuple[int, int], recent: tuple[int, int], grouped=grouped_cubes, **suite) -> DataFrame:
     """Annual, period and recent figures of every entity of the levels: ``level, kind, entity, year, period`` and the suite.
 
-    Two passes over the works, one for annual and period figures of all levels and one for the recent period.
+    Two passes over the works, one for annual and period figures of all levels and one for the recent period;
+    ``grouped`` makes the figures of several sets of keys.
     """
     keys = {x: [LEVELS[x]] if LEVELS[x] else [] for x in levels}
 
     def one_pass(span: tuple[int, int], kinds: dict[str, list[str]]) -> DataFrame:
         sets = [(x, kind, [*keys[x], *more]) for x in levels for kind, more in kinds.items()]
-        cube = grouped_cubes(works.filter(F.col("year").between(*span)), [s for _, _, s in sets], **suite)
+        cube = grouped(works.filter(F.col("year").between(*span)), [s for _, _, s in sets], **suite)
         named = lambda at: F.element_at(F.array(*[F.lit(s[at]) for s in sets]), F.col("grouping") + 1)
         there = [k for x in levels for k in keys[x]]
         year = F.col("year").cast("int") if "year" in cube.columns else F.lit(None).cast("int")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECENT = (1999, 2001)
@@ -12,8 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a work.  Suppliers, parts, nations and regions join by size: Spark broadcasts those under its threshold."""
+def works(spark: SparkSession, sf_dir: str, more: Sequence[Column] = ()) -> DataFrame:
+    """One row a work, with further columns of line items.  Suppliers, parts, nations and regions join by size: Spark broadcasts those under its threshold."""
     t = lambda name: table(spark, sf_dir, name)
     line, n = t("lineitem"), F.col("l_linenumber")
     status = F.concat("l_returnflag", "l_linestatus")
@@ -30,7 +32,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n != 7, F.col("l_extendedprice") / 50000.0).alias("fwci"), (F.col("l_quantity") / 50.0).alias("percentile"),
         state.otherwise("closed").alias("oa_status"), language.alias("language"),
         F.col("p_type").alias("domain"), F.col("p_brand").alias("field"), F.col("p_size").cast("string").alias("subfield"), F.col("p_name").alias("topic"),
-        F.col("n_name").alias("country_code"), F.col("r_name").alias("region"),
+        F.col("n_name").alias("country_code"), F.col("r_name").alias("region"), *more,
     )
     return made.withColumn("is_oa", F.col("oa_status") != "closed")
 

@@ -59,21 +59,26 @@ def indicator_cube(works: DataFrame, keys: Sequence[str], nulls: str = "zero", s
 
 
 def grouped_cubes(works: DataFrame, sets: Sequence[Sequence[str]], nulls: str = "zero", statuses: Sequence[str] = STATUSES, languages: Sequence[str] = LANGUAGES) -> DataFrame:
-    """The suite for several sets of keys in one pass: ``grouping`` is the number of the set, keys outside it are null.
+    """The suite for several sets of keys in one pass over the works."""
+    require(works, "cited_by_count", "fwci", "percentile", "is_oa", "oa_status", "language")
+    return shares(grouped_sets(works, sets, count_exprs(nulls, statuses, languages)))
 
-    Rows with a null key of their set are left out of that set only; works are read, and partial sums shuffled, once.
+
+def grouped_sets(works: DataFrame, sets: Sequence[Sequence[str]], counts: Sequence[Column]) -> DataFrame:
+    """Aggregates for several sets of keys: ``grouping`` is the number of the set, keys outside it are null.
+
+    Rows with a null key of their set are left out of that set only; rows are read, and partial sums shuffled, once.
     """
     keys = list(dict.fromkeys(k for s in sets for k in s))
-    require(works, *keys, "cited_by_count", "fwci", "percentile", "is_oa", "oa_status", "language")
-    counts = count_exprs(nulls, statuses, languages)
+    require(works, *keys)
     if not keys:
-        return shares(works.agg(*counts).filter("num_documents > 0")).withColumn("grouping", F.lit(0))
+        return works.agg(*counts).filter("num_documents > 0").withColumn("grouping", F.lit(0))
     # a key outside a set has its bit in the grouping id, the first key the highest
     bits = [sum(1 << i for i, k in enumerate(reversed(keys)) if k not in s) for s in sets]
     made = works.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(F.grouping_id(*keys).alias("_g"), *counts)
     number = F.coalesce(*[F.when(F.col("_g") == b, i) for i, b in enumerate(bits)])
     whole = F.coalesce(*[F.when(F.col("_g") == b, reduce(Column.__and__, [F.col(k).isNotNull() for k in s], F.lit(True))) for b, s in zip(bits, sets, strict=True)])
-    return shares(made.filter(whole).withColumn("grouping", number).drop("_g"))
+    return made.filter(whole).withColumn("grouping", number).drop("_g")
 
 
 def mean_of_ratios(cube: DataFrame, keys: Sequence[str], skip: Sequence[str] = (), distinct: str | None = None) -> DataFrame:
