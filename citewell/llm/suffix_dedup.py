@@ -234,7 +234,9 @@ def _repeated(texts: DataFrame, span: int, pieces: tuple[int, ...], most: int, b
             found = _repeated(written(again, "segments"), span, tuple(longer), most, block_bytes)
             verdicts = written(found.select(F.col("a").alias("key"), F.col("b").alias("content"), "ranges"), "verdicts")
     cut = texts.join(_by_text(cold, "at", "windows", "key", "content"), ["a", "b"])
-    cut = cut.select("text", "n", "runs").mapInArrow(_cut(span), _SEGMENTS).repartition("key").sortWithinPartitions("key", "content")
+    # all columns of the texts, so that this shuffle of them is that of the last join too
+    whole = [c for c in texts.columns if c not in ("a", "b")]
+    cut = cut.select(*whole, "runs").mapInArrow(_cut(span), _SEGMENTS).repartition("key").sortWithinPartitions("key", "content")
     judged = cut.mapInArrow(_judged(span, block_bytes), _VERDICTS)
     if verdicts is not None:
         judged = judged.unionByName(verdicts)
@@ -248,7 +250,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     What isn't read from files is written to the shared folder first.
     """
     columns = [F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")]
-    place = [F.xxhash64("_metadata.file_path").alias("a"), F.col("_metadata.row_index").alias("b")]
+    place = [F.xxhash64("_metadata.file_path").alias("a"), F.coalesce("_metadata.row_index", F.lit(-1)).alias("b")]
     try:
         return docs.select(*place, *columns, F.lit(1).cast("long").alias("n"))
     except AnalysisException:
@@ -292,7 +294,7 @@ def remove_repeated(
     texts = _numbered(docs, id_col, text_col)
     found = _repeated(texts, span, (*pieces, span), most, block_bytes)
     id_type = texts.schema["id"].dataType
-    both = texts.join(found, ["a", "b"], "left").select("id", "text", "ranges")
+    both = texts.join(found, ["a", "b"], "left").select("id", "text", "n", "ranges")
     from pyspark.sql.pandas.types import to_arrow_type
 
     out = both.mapInArrow(_cleaned(span, to_arrow_type(id_type)), f"id {id_type.simpleString()}, removed array<struct<start: long, end: long>>, kept binary, n_bytes long")
