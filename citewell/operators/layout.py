@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citewell.shared import stored
+
 
 def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - mean) / population deviation; a constant column becomes 0.  Means and deviations are one broadcast row."""
@@ -102,13 +104,14 @@ def train_map(df: DataFrame, columns: Sequence[str], rows: int = 10, cols: int =
     """A batch self-organising map: a codebook of ``rows * cols`` neurons.
 
     Each epoch sums, per neuron, the rows it wins: neurons are at most some
-    thousands, so an epoch's result is small whatever the table.
+    thousands, so an epoch's result is small whatever the table.  The columns are
+    written once, so a lost executor costs an epoch its own tasks alone.
     """
     rng = np.random.Generator(np.random.PCG64(seed))
     book = rng.normal(size=(rows * cols, len(columns)))
     grid = np.array([(np.sqrt(3) * (c + 0.5 * (r % 2)), 1.5 * r) for r in range(rows) for c in range(cols)])
     apart = ((grid[:, None] - grid[None]) ** 2).sum(2)
-    df = df.select(*columns).persist()
+    df = stored(df.select(*columns), "standardised")
     for epoch in range(epochs):
         won = with_bmu(df, columns, book, cols).groupBy("neuron").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns]).collect()
         sums, n = np.zeros_like(book), np.zeros(len(book))
@@ -119,7 +122,6 @@ def train_map(df: DataFrame, columns: Sequence[str], rows: int = 10, cols: int =
         pull = np.exp(-apart / (2 * radius**2))
         weight = pull @ n
         book = np.where(weight[:, None] > 1e-12, (pull @ sums) / np.maximum(weight, 1e-12)[:, None], book)
-    df.unpersist()
     return book
 
 
@@ -134,6 +136,18 @@ def with_bmu(df: DataFrame, columns: Sequence[str], book: np.ndarray, cols: int)
     return df.withColumn("neuron", nearest(_point(columns))).withColumn("bmu_row", (F.col("neuron") / cols).cast("int")).withColumn("bmu_col", F.col("neuron") % cols)
 
 
+def map_error(df: DataFrame, columns: Sequence[str], book: np.ndarray) -> float:
+    """The mean distance of a row to its nearest neuron."""
+    bound = df.sparkSession.sparkContext.broadcast(book)
+
+    @F.pandas_udf("double")
+    def apart(points: pd.Series) -> pd.Series:
+        x, b = np.stack(points.to_numpy()), bound.value
+        return pd.Series(np.sqrt(np.maximum(((x**2).sum(1)[:, None] - 2 * x @ b.T + (b**2).sum(1)).min(1), 0)))
+
+    return df.agg(F.avg(apart(_point(columns))).alias("e")).first()["e"] or 0.0
+
+
 def u_matrix(spark, book: np.ndarray, rows: int, cols: int) -> DataFrame:
     """``row, col, u``: the mean distance of each neuron to its neighbours on the grid."""
     made = []

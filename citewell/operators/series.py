@@ -55,9 +55,10 @@ def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: str = "year") -> DataFrame:
-    """The row with the largest ``order`` of each key, by an aggregate that combines before the shuffle."""
+    """The row with the largest ``order`` of each key, a null one only where there is no other, by an aggregate that combines before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    # a struct is never null, and its nulls come first
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def last_writer(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from citewell.functions import scalars as S
-from citewell.operators import layout
+from citewell.operators import layout, umap
 from citewell.plans import indicators
 from citewell.plans.catalogue import query
 from citewell.plans.fixture import WORKS_SQL, rounded, table, works
@@ -152,13 +152,13 @@ def ar02(spark, d):
     return index.select("doc_id", S.abstract_text(F.col("i")).alias("text"))
 
 
-@query("ar03_country_codes", "SELECT count(*) AS n FROM (SELECT unnest(range(0, 99)) AS i)")
+@query("ar03_country_codes", "SELECT CAST(row_number() OVER (ORDER BY n_name) - 1 AS INT) AS at, n_name AS code FROM (SELECT DISTINCT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey)")
 def ar03(spark, d):
-    from citewell.dims import REGIONS, country_codes
-
-    assert len(country_codes()) == sum(len(x.split()) for x in REGIONS.values())
-    by_region = F.create_map(*[x for r, codes in REGIONS.items() for x in (F.lit(r), F.array(*map(F.lit, codes.split())))])
-    return spark.range(1).select(F.size(F.flatten(F.map_values(by_region))).cast("long").alias("n"))
+    """The countries of all regions' suppliers, from one array a region to one array without repeats."""
+    n = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    lists = n.groupBy("n_regionkey").agg(F.collect_set("n_name").alias("codes"))
+    flat = lists.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"))
+    return flat.select(F.posexplode("codes").alias("at", "code"))
 
 
 @query("dt02_parse_time", "SELECT count(t) AS n, CAST(min(t) AS VARCHAR) AS first, CAST(max(t) AS VARCHAR) AS last FROM (SELECT CAST(strftime(o_orderdate, '%Y-%m-%d') AS DATE) AS t FROM orders)")
@@ -213,6 +213,18 @@ def ml02(spark, d):
     return layout.layout_2d(_vectors(spark, d), ["vec_id"], _DIMENSIONS)
 
 
+@query("ml02_umap")
+def ml02_umap(spark, d):
+    """All vectors laid out over their graph of nearest neighbours."""
+    return umap.umap_2d(_vectors(spark, d), ["vec_id"], _DIMENSIONS)
+
+
+@query("xf05_umap_by_context")
+def xf05_umap(spark, d):
+    """The same for each label's vectors by themselves."""
+    return umap.umap_by_context(_vectors(spark, d), "label", ["vec_id"], _DIMENSIONS)
+
+
 @query("xf05_context_layouts")
 def xf05(spark, d):
     return layout.layout_by_context(_vectors(spark, d), "label", ["vec_id"], _DIMENSIONS)
@@ -229,6 +241,14 @@ def ml03(spark, d):
     return layout.u_matrix(spark, _trained(spark, d)[1], 10, 15)
 
 
+@query("ml03_trajectory_map")
+def ml03_large(spark, d):
+    """The map of trajectories: 30 by 50 neurons over the standardised figures of journals and years, with each one's place."""
+    columns = ["num_documents", "total_citations", "fwci_avg", "avg_percentile", "pct_top_10", "pct_oa_gold", "pct_oa_closed"]
+    z = layout.standardised(indicators.indicator_cube(works(spark, d), ["journal_id", "year"]).select("journal_id", "year", *columns), columns)
+    return layout.with_bmu(z, columns, layout.train_map(z, columns, rows=30, cols=50), 50).select("journal_id", "year", "bmu_row", "bmu_col")
+
+
 @query("ml04_bmu")
 def ml04(spark, d):
     z, book = _trained(spark, d)

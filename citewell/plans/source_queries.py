@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citewell.plans import normalise, slices
 from citewell.plans.catalogue import query
 from citewell.plans.fixture import WORKS_SQL, rounded, table, works
 from citewell.plans.indicators import indicator_cube
+from citewell.schemas import WORK_JSON
 from citewell.sources import snapshot
 
 
@@ -44,7 +47,7 @@ _SUITE_SMALL = "journal_id, year, count(*) AS num_documents, CAST(sum(cited_by_c
 def src02(spark, d):
     path = folder(spark, "snapshot")
     raw_works(spark, d).write.option("compression", "gzip").text(f"{path}/works")
-    parsed = normalise.parsed(snapshot.raw_documents(spark, f"{path}/works"))
+    parsed = snapshot.typed_documents(spark, f"{path}/works", WORK_JSON)
     cube = indicator_cube(normalise.cube_works(parsed), ["journal_id", "year"])
     return rounded(cube.select("journal_id", "year", "num_documents", "total_citations", "fwci_avg", "pct_top_10"))
 
@@ -171,13 +174,33 @@ def xf07(spark, d):
     return rounded(normalise.source_topics(normalise.parsed(_source_json(spark, d), "source")).select("journal_id", "count", "share", "domain"))
 
 
-@query("xf01_work_tables", f"WITH {WORKS_SQL} SELECT 'works' AS name, count(*) AS n FROM works UNION ALL SELECT 'works_open_access', count(*) FROM works UNION ALL SELECT 'works_primary_location', count(*) FROM works")
+_WORK_ROWS = """SELECT 'works' AS name, CAST(year AS VARCHAR) AS a, coalesce(language, '-') AS b, count(*) AS n, CAST(sum(cited_by_count) AS BIGINT) AS total FROM works GROUP BY ALL
+  UNION ALL SELECT 'works_open_access', oa_status, CAST(is_oa AS VARCHAR), count(*), 0 FROM works GROUP BY ALL
+  UNION ALL SELECT 'works_primary_location', CAST(journal_id AS VARCHAR), '-', count(*), 0 FROM works GROUP BY ALL
+  UNION ALL SELECT 'works_topics', topic, field, count(*), 0 FROM works GROUP BY ALL
+  UNION ALL SELECT 'works_authorships', country_code, region, count(*), 0 FROM works GROUP BY ALL"""
+
+
+@query("xf01_work_tables", f"WITH {WORKS_SQL} {_WORK_ROWS}")
 def xf01(spark, d):
-    parsed = normalise.parsed(raw_works(spark, d).withColumnRenamed("value", "raw_data"))
+    path = folder(spark, "nested")
+    w = works(spark, d).withColumn("id", F.concat(F.lit("W"), F.monotonically_increasing_id().cast("string")))
+    named = lambda c: F.struct(F.col(c).alias("display_name"))
+    w.select(F.to_json(F.struct(
+        "id", F.col("year").alias("publication_year"), "cited_by_count", "language", F.struct("is_oa", "oa_status").alias("open_access"),
+        F.struct(F.struct(F.col("journal_id").cast("string").alias("id")).alias("source")).alias("primary_location"),
+        F.array(F.struct(F.col("topic").alias("id"), F.col("topic").alias("display_name"), F.lit(0.5).alias("score"), named("field").alias("field"), named("domain").alias("domain"))).alias("topics"),
+        F.array(F.struct(F.struct(F.col("region").alias("id")).alias("author"), F.array(F.struct(F.col("country_code").alias("id"))).alias("institutions"))).alias("authorships"),
+    )).alias("raw_data")).write.parquet(path)
     ids = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"))
-    tables = normalise.work_tables(parsed, ids)
-    made = [tables[t].agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t in ("works", "works_open_access", "works_primary_location")]
-    return made[0].union(made[1]).union(made[2])
+    made = normalise.work_tables(normalise.parsed(spark.read.parquet(path)), ids)
+    none = F.lit(0).cast("long")
+    keys = {
+        "works": (F.col("publication_year").cast("string"), F.coalesce("language", F.lit("-")), F.col("cited_by_count").cast("long")), "works_open_access": (F.col("oa_status"), F.col("is_oa").cast("string"), none),
+        "works_primary_location": (F.col("source_id"), F.lit("-"), none), "works_topics": (F.col("topic_display_name"), F.col("field_display_name"), none), "works_authorships": (F.col("institution_id"), F.col("author_id"), none),
+    }
+    parts = [made[t].groupBy(F.lit(t).alias("name"), a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("total")) for t, (a, b, x) in keys.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("ext01_tumbling_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
@@ -213,11 +236,17 @@ def snk10(spark, d):
     return spark.createDataFrame([(left,)], "n int")
 
 
-@query("snk06_matrix", "SELECT CAST(i AS INT) AS row, CAST(j AS INT) AS col, CAST(i * 10 + j AS DOUBLE) AS value FROM range(3) a(i), range(2) b(j)")
+@query("snk06_matrix", "SELECT CAST(c_nationkey AS INT) AS row, CAST(m AS INT) AS col, round(avg(c_acctbal), 9) AS value FROM (SELECT *, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS m FROM customer) GROUP BY ALL")
 def snk06(spark, d):
     from citewell.sources import tables
 
-    return tables.matrix_rows(spark, [[10 * i + j for j in range(2)] for i in range(3)])
+    c = table(spark, d, "customer")
+    segments = c.groupBy("c_mktsegment").count().orderBy("c_mktsegment")
+    named = F.array(*[F.lit(r["c_mktsegment"]) for r in segments.collect()])
+    cells = c.groupBy(F.col("c_nationkey").alias("row"), (F.array_position(named, F.col("c_mktsegment")) - 1).cast("int").alias("col")).agg(F.avg("c_acctbal").alias("value"))
+    path = folder(spark, "matrix")
+    tables.write_matrix(cells, path)
+    return rounded(tables.read_matrix(spark, path))
 
 
 @query("dq07_presence", "SELECT 'nation' AS name, true AS present, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'nothing', false, 0")

@@ -6,6 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from citewell.functions import table_functions
 from citewell.operators import ranks, timejoins
 from citewell.plans import slices
 from citewell.plans.catalogue import query
@@ -91,3 +92,20 @@ def s14_global_ranks(spark, d):
   round(quantile_cont(fwci, 0.25), 9) AS q1, round(quantile_cont(fwci, 0.5), 9) AS q2, round(quantile_cont(fwci, 0.75), 9) AS q3, round(max(fwci), 9) AS max FROM works GROUP BY ALL HAVING count(fwci) > 0""")
 def s14_quantiles_by_group(spark, d):
     return rounded(slices.summary_by(works(spark, d), "fwci", ["country_code", "year"]).filter("n > 0"))
+
+
+@query("s14_nested_rows", "SELECT conv_id, CAST(rn - 1 AS INT) AS position, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn FROM conversations) WHERE rn <= 3")
+def s14_nested_rows(spark, d):
+    """Rows of nested arrays by one lateral call."""
+    table_functions.register(spark)
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return spark.sql("SELECT c.conv_id, n.position, n.turn, n.role FROM {turns} c, LATERAL nested_rows(c.turns, 3) n", turns=turns)
+
+
+@query("s14_first_rows", "SELECT o_custkey, o_orderkey, CAST(rn AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) WHERE rn <= 2")
+def s14_first_rows(spark, d):
+    """The first rows of each partition of a table by a table function."""
+    table_functions.register(spark)
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    orders.createOrReplaceTempView("citewell_orders")
+    return spark.sql("SELECT o_custkey, o_orderkey, place FROM first_rows(TABLE(citewell_orders), 2, 'o_custkey', 'o_orderkey')")

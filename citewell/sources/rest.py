@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import sys
 import time
@@ -19,19 +20,25 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def fetch(url: str, tries: int = 5, wait: float = 1.0) -> dict:
-    """JSON of a URL; waits longer each time the server asks to slow down or fails for a moment."""
+def fetch(url: str, tries: int = 5, wait: float = 1.0, longest: float = 300.0) -> dict:
+    """JSON of a URL; waits longer each time the server fails for a moment, or as long as it asks for, up to ``longest`` seconds.
+
+    A connection that breaks or stalls while an answer is read, or an answer cut short, is tried again too.
+    """
     for n in range(tries):
+        pause = wait * 2**n
         try:
             with urllib.request.urlopen(url, timeout=60) as answer:
                 return json.load(answer)
         except urllib.error.HTTPError as e:
             if e.code not in (429, 500, 502, 503, 504) or n == tries - 1:
                 raise
-        except urllib.error.URLError:
+            asked = e.headers.get("Retry-After", "") if e.headers else ""
+            pause = max(pause, float(asked)) if asked.isdigit() else pause
+        except (OSError, http.client.HTTPException, json.JSONDecodeError):
             if n == tries - 1:
                 raise
-        time.sleep(wait * 2**n)
+        time.sleep(min(pause, longest))
     raise RuntimeError(url)
 
 
@@ -84,10 +91,11 @@ class PagedRest(DataSource):
 def read_rest(spark: SparkSession, url: str, keys: list[str] | None = None, filter: str = "", most_rows: int = 0, per_page: int = 200, pace: float = 0.15, mail: str = "", retry_wait: float = 1.0, search: str = "") -> DataFrame:
     """``key, raw_data`` of a collection, for each key (a country code, a source id) in a task of its own.
 
+    Without ``keys`` the whole collection is asked for; an empty list asks for nothing.
     Parse ``raw_data`` with the JSON schemas; ``filter`` and ``search`` may name ``{key}``.
     """
     spark.dataSource.register(PagedRest)
-    options = {"url": url, "filter": filter, "keys": json.dumps(keys or [None]), "mostRows": most_rows, "perPage": per_page, "pace": pace, "mail": mail, "retryWait": retry_wait, "search": search}
+    options = {"url": url, "filter": filter, "keys": json.dumps([None] if keys is None else keys), "mostRows": most_rows, "perPage": per_page, "pace": pace, "mail": mail, "retryWait": retry_wait, "search": search}
     return spark.read.format("paged_rest").options(**{k: str(v) for k, v in options.items()}).load()
 
 

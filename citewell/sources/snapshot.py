@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +34,26 @@ def entities(spark: SparkSession, root: str) -> list[str]:
 def raw_documents(spark: SparkSession, path: str) -> DataFrame:
     """``id, raw_data, file`` from JSON lines, one file a task; blank and malformed lines are left out, a missing id is empty."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").text(path)
-    lines = lines.select(F.col("value").alias("raw_data"), F.col("_metadata.file_path").alias("file"))
-    good = lines.filter((F.trim("raw_data") != "") & F.try_parse_json("raw_data").isNotNull())
-    return good.select(F.coalesce(F.get_json_object("raw_data", "$.id"), F.lit("")).alias("id"), "raw_data", "file")
+    return with_ids(lines.select(F.col("value").alias("raw_data"), F.col("_metadata.file_path").alias("file")))
+
+
+def with_ids(lines: DataFrame) -> DataFrame:
+    """``id`` before ``raw_data`` and the other columns, of lines that hold a JSON object; each line is parsed once."""
+    parsed = lines.select(F.from_json("raw_data", "id STRING, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}).alias("_d"), *lines.columns)
+    good = parsed.filter((F.trim("raw_data") != "") & F.col("_d").isNotNull() & F.col("_d._bad").isNull())
+    return good.select(F.coalesce("_d.id", F.lit("")).alias("id"), *lines.columns)
+
+
+def typed_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Columns of ``schema`` from JSON lines in one parse, without raw text; blank and malformed lines are left out.
+
+    A field of another type than the schema's is null and doesn't cost the line its other fields.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").text(path)
+    parsed = lines.select("value", F.from_json("value", f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}).alias("_d"))
+    fields = [f for f in parsed.schema["_d"].dataType.names if f != "_bad"]
+    some = reduce(Column.__or__, [F.col(f"_d.`{f}`").isNotNull() for f in fields])
+    return parsed.filter((F.trim("value") != "") & F.col("_d").isNotNull() & (F.col("_d._bad").isNull() | some)).select("_d.*").drop("_bad")
 
 
 def inferred_json(spark: SparkSession, path: str) -> DataFrame:
@@ -77,10 +95,7 @@ def ingest(spark: SparkSession, root: str, table: str, ledger: str, entity: str)
     names = [r.file for r in there.collect()]  # file names of one batch
     if names:
         raw = spark.read.option("recursiveFileLookup", "true").text(names)
-        documents = raw.filter((F.trim("value") != "") & F.try_parse_json("value").isNotNull()).select(
-            F.coalesce(F.get_json_object("value", "$.id"), F.lit("")).alias("id"), F.col("value").alias("raw_data"),
-            F.lit(entity).alias("entity"), F.current_timestamp().alias("loaded_at"),
-        )
+        documents = with_ids(raw.withColumnRenamed("value", "raw_data")).withColumns({"entity": F.lit(entity), "loaded_at": F.current_timestamp()})
         documents.write.mode("append").partitionBy("entity").parquet(table)
         spark.createDataFrame([(n, entity) for n in names], "file string, entity string").withColumn("processed_at", F.current_timestamp()).write.mode("append").parquet(ledger)
     return len(names)

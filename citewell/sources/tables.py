@@ -74,3 +74,12 @@ def presence(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 def matrix_rows(spark: SparkSession, matrix) -> DataFrame:
     """A small dense matrix in long form: ``row, col, value``."""
     return spark.createDataFrame([(i, j, float(v)) for i, line in enumerate(matrix) for j, v in enumerate(line)], "row int, col int, value double").orderBy(F.col("row"), F.col("col"))
+
+
+def write_matrix(cells: DataFrame, path: str) -> None:
+    """A matrix as a table of ``row, col, value`` cells, sorted by range so that a reader of some rows skips the rest; absent cells are 0."""
+    cells.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("double").alias("value")).repartitionByRange("row", "col").sortWithinPartitions("row", "col").write.parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("row int, col int, value double").parquet(path)

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from citewell.sources.snapshot import with_ids
+
 
 def document_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
     """``id, raw_data, loaded_at`` of files as they appear; the checkpoint is the ledger."""
     lines = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).text(path)
-    good = lines.filter((F.trim("value") != "") & F.try_parse_json("value").isNotNull())
-    return good.select(F.coalesce(F.get_json_object("value", "$.id"), F.lit("")).alias("id"), F.col("value").alias("raw_data"), F.current_timestamp().alias("loaded_at"))
+    return with_ids(lines.withColumnRenamed("value", "raw_data")).withColumn("loaded_at", F.current_timestamp())
 
 
 def run_available(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
