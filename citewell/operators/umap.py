@@ -178,6 +178,9 @@ def umap_by_context(
     k = len(columns)
     kind = df.schema[context].dataType.simpleString()
 
+    def steady(x: np.ndarray) -> np.ndarray:
+        return np.array([float(f"{v:.8g}") for v in x.ravel()]).reshape(x.shape)
+
     def frames(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
@@ -186,6 +189,8 @@ def umap_by_context(
                 n, mean = m[0], np.array(m[1 : k + 1]) / m[0]
                 scale = np.sqrt(np.maximum(np.diag(np.array(m[k + 1 :]).reshape(k, k)) / n - mean**2, 0))
                 scale[scale < 1e-12 * (1 + np.abs(mean))] = 1.0
+                # sums differ in their last digits by partitioning, and gradient steps would carry that on
+                mean, scale, weights, shift = map(steady, (mean, scale, weights, shift))
                 rows.append((by, int(n), mean, scale, weights[0], weights[1], shift[0], shift[1]))
             yield pd.DataFrame(rows, columns=["by", "n", "mean", "scale", "u", "v", "a", "b"])
 
