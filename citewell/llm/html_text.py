@@ -17,8 +17,9 @@ Scripts, styles, comments, forms' controls and hidden parts never become
 blocks.  Character references are decoded, white space inside a block becomes
 one blank, blocks are joined by an empty line.  A line break tag is white space.
 
-Cases: null and empty pages give an empty text; unclosed tags and comments run
-to the end of the page, as in browsers; empty tables give an empty result;
+Cases: null and empty pages give an empty text; a page without any tag is its text; unclosed tags and comments run
+to the end of the page, as in browsers; time and memory grow in proportion to a page's length, however deep its elements are nested, and
+a page is held whole; of equal shares at a leaf main text wins; null ids are like any other; empty tables give an empty result;
 repeated rows give repeated rows; further columns are ignored.
 """
 
@@ -43,7 +44,8 @@ _TOKEN = re.compile(
     r"""|<[/!?a-z][^>]*>?""",
     re.IGNORECASE | re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+#: One attribute: its whole name, and its value if it has one; a match takes a value with its name, so nothing is looked for in values.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav noscript ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -58,6 +60,11 @@ _BOILER_WORDS = re.compile(
     r"toc|respond|reply|replies|related\w*|recommend\w*|widgets?|pagination|pager|search|copyright|disclaimer|complementary|contentinfo|form)"
 )
 
+#: Of these words, those that mark an element inside an article by its id alone; others are names of chapters there.
+_PART_IDS = re.compile(
+    r"(?:ads?|adv|advert\w*|adsense|banner\w*|promo\w*|sponsor\w*|cookies?|consent|newsletter\w*|subscri\w*|share|sharing|sidebar\w*|nav\w*|breadcrumbs?|"
+    r"footer\w*|comment\w*|disqus\w*|respond|replies|related\w*|recommend\w*|pagination|pager)"
+)
 
 #: Words before or after such a word in a name that turn it into a remark about the page.
 _REMARKS = frozenset("no has have with without hide show is open closed enabled disabled off on".split())
@@ -70,33 +77,38 @@ class Block:
     words: int
     links: float
     kind: str = "o"  # p, h, i as in _KINDS, or o
-    marks: tuple[int, ...] = ()  # elements around it that are named or tagged like boilerplate
-    articles: tuple[int, ...] = ()  # article elements around it
+    marks: tuple[int, ...] = ()  # the innermost element around it that is named or tagged like boilerplate
+    articles: tuple[int, ...] = ()  # the innermost article element around it
     main: bool = False
 
 
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
-    over: dict[int, set[int]] = field(default_factory=dict)  # each marked element, with the articles inside it
-    article_marks: dict[int, tuple[int, ...]] = field(default_factory=dict)  # each article, with the marks on it and around it
+    outer: dict[int, int] = field(default_factory=dict)  # each marked element, with the next one around it, 0 if none
+    article_marks: dict[int, int] = field(default_factory=dict)  # each article, with the innermost mark on it or around it, 0 if none
+    tags: int = 0
 
 
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def _attributes(attrs: str) -> tuple[bool, bool]:
-    """Whether the attributes name a part beside the article, and hide the element."""
+def _attributes(attrs: str, inside: bool) -> tuple[bool, bool]:
+    """Whether the attributes name a part beside the article, and hide the element; ``inside`` an article an id may be a chapter's."""
     mark = hidden = False
     for name, a, b, c in _ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), _HUMP.sub("-", a or b or c).lower()
+        name = name.lower()
+        if name not in ("class", "id", "role", "style", "hidden", "aria-hidden"):
+            continue
+        value = _HUMP.sub("-", a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
         elif name in ("class", "id", "role"):
+            parts = _PART_IDS if inside and name == "id" else _BOILER_WORDS
             for one in value.split():
                 words = [x for x in re.split(r"[^a-z0-9]+", one) if x]
                 if not _REMARKS.intersection(words):
-                    mark |= any(w == "header" or _BOILER_WORDS.fullmatch(w) for w in words)
+                    mark |= any(w == "header" and parts is _BOILER_WORDS or parts.fullmatch(w) for w in words)
     return mark, hidden
 
 
@@ -109,6 +121,12 @@ def page_of(html: str) -> Page:
     linked: list[str] = []
     in_link = False
     elements = 0
+    opened: dict[str, int] = {}  # how many elements of a name are open
+
+    def cut(to: int) -> None:
+        for x in stack[to:]:
+            opened[x[0]] -= 1
+        del stack[to:]
 
     def flush() -> None:
         nonlocal in_link
@@ -132,6 +150,7 @@ def page_of(html: str) -> Page:
         add(html[at : m.start()])
         at = m.end()
         name = m["name"]
+        page.tags += 1
         if not name:
             continue
         name = name.lower()
@@ -142,26 +161,23 @@ def page_of(html: str) -> Page:
         elif name in _BLOCKS:
             flush()
             if m["end"]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+                if opened.get(name):
+                    cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
             else:
                 while len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] in _CLOSES_ITSELF.get(name, ())):
-                    stack.pop()
+                    cut(len(stack) - 1)
                 if name in _VOID:
                     continue
                 _, hidden, _, marks, articles, main = stack[-1]
-                mark, gone = _attributes(m["attrs"]) if m["attrs"] else (False, False)
+                mark, gone = _attributes(m["attrs"], bool(articles) or main) if m["attrs"] else (False, False)
                 elements += 1
                 if (mark and name not in ("html", "body")) or name in _BOILER_TAGS or name == "header" and not articles:
-                    marks = (*marks, elements)
-                    page.over[elements] = set()
+                    page.outer[elements] = marks[0] if marks else 0
+                    marks = (elements,)
                 if name == "article":
-                    articles = (*articles, elements)
-                    page.article_marks[elements] = marks
-                    for x in marks[: -1 if marks and marks[-1] == elements else None]:
-                        page.over[x].add(elements)
+                    articles = (elements,)
+                    page.article_marks[elements] = marks[0] if marks else 0
+                opened[name] = opened.get(name, 0) + 1
                 stack.append((name, hidden or gone or name == "head", _KINDS.get(name, "o"), marks, articles, main or name == "main"))
     add(html[at:])
     flush()
@@ -239,7 +255,7 @@ def labelled_table(scales: tuple[float, ...] = (0.5, 0.75, 1.0, 1.4, 2.0)) -> tu
         for line in group.splitlines():
             found = _ENTRY.findall(line.partition(" = ")[2])
             for scale in scales:
-                page = Page(article_marks={0: ()})
+                page = Page()
                 for i, (kind, words, links, a, x, _) in enumerate(found):
                     n = int(words) if int(words) < 4 else round(int(words) * scale)
                     page.blocks.append(Block("", n, int(links) / 100, kind, (i + 1,) if x and "x" in signs else (), (0,) if a and "a" in signs else ()))
@@ -275,17 +291,30 @@ def is_main(node: Node, row: tuple) -> bool:
 
 
 def standing_marks(page: Page, most: float = 0.5) -> set[int]:
-    """The marked elements that hold neither an unmarked article nor more than ``most`` of the page's words."""
+    """The marked elements that hold neither an unmarked article nor more than ``most`` of the page's words, and those within them."""
     total = sum(b.words for b in page.blocks)
-    held: dict[int, int] = {}
+    held = dict.fromkeys(page.outer, 0)
     for b in page.blocks:
         for x in b.marks:
             held[x] = held.get(x, 0) + b.words
+    for x in sorted(page.outer, reverse=True):  # an element's number is greater than those around it
+        if page.outer[x]:
+            held[page.outer[x]] += held[x]
     stand = {x for x, n in held.items() if n <= most * total or x in page.article_marks and n < total}
-    # from the inside out: an article is unmarked once no standing mark lies on it or between it and the element
-    for x in sorted(stand, reverse=True):
-        if any(not (stand & {y for y in page.article_marks[a] if y > x}) for a in page.over.get(x, ())):
+    # from the inside out: no mark stands around an article that has none of its own
+    cleared: set[int] = set()
+    for article, x in sorted(page.article_marks.items(), reverse=True):
+        if x == article:
+            if x in stand:
+                continue
+            x = page.outer[x]
+        while x and x not in cleared:
+            cleared.add(x)
             stand.discard(x)
+            x = page.outer[x]
+    for x in sorted(page.outer):
+        if page.outer[x] in stand:
+            stand.add(x)
     return stand
 
 
@@ -313,6 +342,8 @@ def rows_of(page: Page) -> Iterator[tuple]:
 
 def main_text(html: str | None, tree: Node) -> str:
     page = page_of(html or "")
+    if not page.tags:  # plain text
+        return "\n\n".join(b.text for b in page.blocks)
     return "\n\n".join(b.text for b, row in zip(page.blocks, rows_of(page), strict=True) if is_main(tree, row))
 
 

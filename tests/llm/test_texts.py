@@ -1,5 +1,6 @@
 """Exact copies, quality rules, packing, languages, quality model, pages and pieces on small tables."""
 
+import time
 import functools
 import math
 import random
@@ -439,3 +440,30 @@ def test_pieces_decode_to_the_text(spark):
     assert all(r.exact for r in sentence_pieces.round_trip(docs(spark, rows), path).collect())
     assert sentence_pieces.encode(docs(spark, []), path).count() == 0
     assert isinstance(encoded.schema["ids"].dataType, T.ArrayType)
+
+
+def test_attributes_are_whole_names():
+    """A word in another attribute's value or name says nothing, and an id inside an article may be a chapter's."""
+    tree = html_text.grow(*html_text.labelled_table())
+    body = f"<p>{'Words of the text that count here and there. ' * 4}</p>" * 3
+    page = lambda article, div="": f"<body><nav><a href=x>Home</a></nav><article {article}><div {div}>{body}</div></article></body>"
+    want = html_text.main_text(page(""), tree)
+    assert len(want) > 500
+    for name in ('data-title="The hidden valley"', "title='A life hidden'", 'aria-label="hidden gems"', 'data-hidden="false"', 'onclick="x.hidden=true"', 'data-style="display:none"', 'title="a > b hidden class=ad"'):
+        assert html_text.main_text(page(name), tree) == want and html_text.main_text(page("", name), tree) == want
+    for name in ("hidden", "HIDDEN=x", 'aria-hidden="true"', "style='display: none'"):
+        assert html_text.main_text(page("", name), tree) == ""
+    for name in ("search", "login", "register", "form"):
+        chapter = f"<body><article>{body}<section id='{name}'><h2>A chapter</h2>{body}</section></article></body>"
+        assert html_text.main_text(chapter, tree) == f"{want}\n\nA chapter\n\n{want}"
+    comments = f"<body><article>{body}<div id='comments'><p>A reader says so.</p></div></article></body>"
+    assert html_text.main_text(comments, tree) == want
+    assert html_text.main_text("Just plain\n text", tree) == "Just plain text"
+
+
+@pytest.mark.parametrize("html", ["<div class=ad>" * 100_000 + "x", "<div>" * 50_000 + "</p>" * 50_000, "<article class=ad>" * 100_000 + "x", "a " * 2_000_000])
+def test_long_and_deep_pages(html):
+    tree = html_text.grow(*html_text.labelled_table())
+    began = time.process_time()
+    assert isinstance(html_text.main_text(html, tree), str)
+    assert time.process_time() - began < 20
