@@ -82,13 +82,13 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``docs`` without the rows that repeat the text of a row with a smaller id; all columns stay.
 
     As in ``exact_dedup``, a null id never wins against another id, and where a
-    text has null ids only, its rows all stay, as rows that repeat an id do.
+    text has null ids only, its rows all stay, as rows that repeat an id and its
+    text do.  A row is told by id and digest, so an id that repeats with
+    different texts has each of them stay or go by itself.
     """
     groups = exact_groups(docs, id_col, text_col, salts)
-    # the text is a key of null ids only: it tells them apart and spreads them
-    stay = groups.select(F.col("keep_id").alias("_keep"), F.when(F.col("keep_id").isNull(), F.col("content")).alias("_content"))
-    content = F.when(docs[id_col].isNull(), normalised(docs[text_col]))
-    same = docs[id_col].eqNullSafe(stay["_keep"]) & content.eqNullSafe(stay["_content"])
+    stay = groups.select(F.col("keep_id").alias("_keep"), F.col("digest").alias("_digest")).distinct()
+    same = docs[id_col].eqNullSafe(stay["_keep"]) & (sha256_hex(normalised(docs[text_col])) == stay["_digest"])
     return docs.join(stay, same, "left_semi").select(docs.columns)
 
 

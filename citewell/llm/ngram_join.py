@@ -22,8 +22,9 @@
 
 Cases: null and empty texts have no n-grams, no links and a class of their own;
 texts of fewer than n words have one n-gram of all their words; repeated rows
-count as copies; an id that repeats with different texts stands, in links, for
-the one whose set has the least key; an empty table gives an empty result;
+count as copies; an id that repeats with different texts has each of them in the
+class and with the links of its own set; very long texts are held whole, as their sets are; of equal ids in a class
+the set with the least key leads; an empty table gives an empty result;
 further columns are ignored; null ids are left out of classes and come back
 with no links.
 """
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citewell.llm.common import table, text_or_empty, written
@@ -57,7 +58,7 @@ def bands_and_rows(threshold: float, recall: float, hashes: int) -> tuple[int, i
 
 
 class WordHashes(dict):
-    """64-bit hashes of the words met so far, emptied when ``limit`` are held."""
+    """64-bit hashes of the words of up to 64 characters met so far, emptied when ``limit`` are held."""
 
     def __init__(self, limit: int = 300_000):
         super().__init__()
@@ -65,9 +66,10 @@ class WordHashes(dict):
 
     def __missing__(self, word: str) -> int:
         made = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = made
+        if len(word) <= 64:  # longer ones, as of scripts without blanks, would fill the memory
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = made
         return made
 
 
@@ -111,27 +113,28 @@ class MinHash:
         return key.view(np.int64)
 
 
-_SIGNED = "doc_id long, set_key binary, n_grams long, bands array<long>"
+_SIGNED = "doc_id long, mark string, set_key binary, n_grams long, bands array<long>"
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, set_key, n_grams, bands``; key and bands are null for texts without words."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int, mark: Column | None = None) -> DataFrame:
+    """``doc_id, mark, set_key, n_grams, bands``; key and bands are null for texts without words, and so is ``mark`` unless it is given."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minhash = WordHashes(), MinHash(bands, rows)
         for batch in batches:
             keys, sizes, found = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 grams = ngram_set(text.as_py(), n, hashes)
                 sizes.append(len(grams))
                 keys.append(hashlib.sha256(grams.tobytes()).digest() if len(grams) else None)
                 found.append(minhash.keys(grams).tolist() if len(grams) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-                ["doc_id", "set_key", "n_grams", "bands"],
+                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                ["doc_id", "mark", "set_key", "n_grams", "bands"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(sign, _SIGNED)
+    mark = F.lit(None).cast("string") if mark is None else mark
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), mark.alias("mark"), text_or_empty(text_col).alias("text")).mapInArrow(sign, _SIGNED)
 
 
 def shared_bands(bands: np.ndarray) -> np.ndarray:
@@ -233,7 +236,8 @@ def dealt_out(members: DataFrame, block_docs: int, block_grams: int) -> DataFram
     def paired(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        return rows.select(*_BLOCK[:3], F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "rep", "copies", "chunk", "bands", "set_key")
+        more = [c for c in ("doc",) if c in rows.columns]
+        return rows.select(*_BLOCK[:3], F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "rep", "copies", "chunk", "bands", "set_key", *more)
 
     one_way = members.join(by_bucket, "root", "left_anti").join(whole, "root").withColumns({"band": F.lit(-1), "key": F.lit(0).cast("long")})
     kept = members.join(by_bucket, "root", "left_semi").withColumn("place", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("bands") - 1).alias("band"), F.col("bands").alias("key"))))
@@ -259,13 +263,24 @@ def near_duplicates(
     n-gram set reaches the threshold, copies counted one by one; ``set_id`` the
     smallest id with the same set and ``copies`` how many have it.
     """
+    return _classified(docs, id_col, text_col, n, threshold, recall, hashes, block_docs, block_grams).select(
+        F.col("doc_id").alias(id_col), "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("doc").alias("set_id"), F.col("copies").cast("long").alias("copies")
+    )
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, hashes: int = 128, block_docs: int = 512, block_grams: int = 1 << 20, mark: Column | None = None) -> DataFrame:
+    """``doc_id, mark, class_id, n_links, doc, copies, leads`` of each row; ``leads`` where the row's set gives its class its id.
+
+    Sets have numbers of their own, so an id that repeats with different texts has as many places as sets.
+    """
     bands, rows = bands_and_rows(threshold, recall, hashes)
-    signed = written(signatures(docs, id_col, text_col, n, bands, rows), "signatures")
-    classes = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    signed = written(signatures(docs, id_col, text_col, n, bands, rows, mark), "signatures")
+    classes = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "sets")
     reps = written(
-        signed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"])
-        .groupBy(F.col("doc_id").alias("rep"))
-        .agg(F.min_by(F.struct("copies", "n_grams", "bands", "set_key"), "set_key").alias("x"))
+        signed.join(classes.select(F.col("doc").alias("doc_id"), "set_key", "rep", "copies"), ["doc_id", "set_key"])
+        .groupBy("rep")
+        .agg(F.min_by(F.struct(F.col("doc_id").alias("doc"), "copies", "n_grams", "bands", "set_key"), "set_key").alias("x"))
         .select("rep", "x.*"),
         "representatives",
     )
@@ -276,9 +291,9 @@ def near_duplicates(
     blocks = written(connected_components(edges), "blocks")
 
     dealt = dealt_out(blocks.withColumnRenamed("node", "rep").join(reps, "rep"), block_docs, block_grams)
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_or_empty(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
     found = written(
-        texts.join(dealt, "rep")
+        texts.join(dealt, "doc")
         .select(*_BLOCK, "rep", "copies", "chunk", "bands", "set_key", "text")
         .groupBy(*_BLOCK)
         .applyInArrow(_verify(n, threshold), _FOUND),
@@ -286,29 +301,35 @@ def near_duplicates(
     )
     linked = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_set = written(
+    rooted = written(
         classes.join(counts, "rep", "left")
         .join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("set_key", "rep", "copies", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
+        .select("set_key", "doc", "copies", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
         "classes",
     )
+    # the set with the smallest id names the class; of several sets with that id the one with the least key leads it
+    firsts = rooted.groupBy("root").agg(F.min(F.struct("doc", "set_key")).alias("first"))
+    by_set = rooted.join(firsts, "root").select("set_key", "doc", "copies", F.col("first.doc").alias("class_id"), "n_links", (F.col("set_key") == F.col("first.set_key")).alias("leads"))
     # texts without words or ids would all meet at one null key
     has_class = F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()
-    alone = signed.filter(~has_class).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).alias("n_links"), F.col("doc_id").alias("rep"), F.lit(1).alias("copies"))
-    joined = signed.filter(has_class).select("doc_id", "set_key").join(by_set, "set_key").select("doc_id", "class_id", "n_links", "rep", "copies")
-    return joined.unionByName(alone).select(
-        F.col("doc_id").alias(id_col), "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("rep").alias("set_id"), F.col("copies").cast("long").alias("copies")
-    )
+    alone = signed.filter(~has_class).select("doc_id", "mark", F.col("doc_id").alias("class_id"), F.lit(0).alias("n_links"), F.col("doc_id").alias("doc"), F.lit(1).alias("copies"), F.lit(True).alias("leads"))
+    joined = signed.filter(has_class).select("doc_id", "mark", "set_key").join(by_set, "set_key").select("doc_id", "mark", "class_id", "n_links", "doc", "copies", "leads")
+    return joined.unionByName(alone)
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those whose class has a document with a smaller id; all columns stay.
 
-    Rows with a null id belong to no class and all stay.
+    A row stays where its own set leads its class, so of an id that repeats with
+    different texts each stays or goes by itself; rows that repeat id and text go
+    together.  Rows with a null id belong to no class and all stay.
     """
-    stay = near_duplicates(docs, id_col, text_col, **options).filter(F.col("class_id") == F.col(id_col)).select(F.col(id_col).alias("_keep")).distinct()
+    digest = lambda text: F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    rows = _classified(docs, id_col, text_col, **options, mark=digest(F.col(text_col)))
+    stay = rows.filter("leads AND class_id = doc_id").select(F.col("doc_id").alias("_keep"), F.col("mark").alias("_mark")).distinct()
     named = docs.filter(docs[id_col].isNotNull())
-    return named.join(stay, named[id_col] == stay["_keep"], "left_semi").select(docs.columns).unionByName(docs.filter(docs[id_col].isNull()))
+    same = (named[id_col] == stay["_keep"]) & (digest(named[text_col]) == stay["_mark"])
+    return named.join(stay, same, "left_semi").select(docs.columns).unionByName(docs.filter(docs[id_col].isNull()))
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

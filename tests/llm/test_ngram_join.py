@@ -100,3 +100,50 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)}
+
+
+def brute_sets(rows, threshold=0.8):
+    """Class, links and whether the row stays, where ids repeat: by sets, each under its smallest id."""
+    sets = {}
+    for i, t in rows:
+        g = frozenset(grams(t))
+        if g and i is not None:
+            sets.setdefault(g, []).append(i)
+    names = sorted(sets, key=lambda g: min(sets[g]))
+    root = {g: g for g in names}
+
+    def top(g):
+        while root[g] != g:
+            g = root[g]
+        return g
+
+    links = {g: len(sets[g]) - 1 for g in names}
+    for a, x in enumerate(names):
+        for y in names[:a]:
+            if len(x & y) >= threshold * len(x | y) - 1e-9:
+                links[x] += len(sets[y])
+                links[y] += len(sets[x])
+                root[top(x)] = top(y)
+    class_of = {g: min(min(sets[h]) for h in names if top(h) == top(g)) for g in names}
+    return [(i, class_of[frozenset(grams(t))], links[frozenset(grams(t))]) if grams(t) and i is not None else (i, i, 0) for i, t in rows]
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    """Every text has the class and links of its own set, and unlike texts stay whatever their ids."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near = lambda t, x: t + f" {x}"
+    keep = lambda rows: sorted((r.doc_id, r.text) for r in ngram_join.keep_one_per_class(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert keep([(9, a), (9, b), (5, near(a, "x"))]) == [(5, near(a, "x")), (9, b)]
+    rows = [(9, a), (9, b), (5, near(a, "x")), (6, near(b, "y"))]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(5, 5, 1), (6, 6, 1), (9, 5, 1), (9, 6, 1)]
+    r = random.Random(7)
+    rows = [(r.randrange(25), t) for _, t in corpus(11, groups=8, size=6)] + [(None, a), (None, near(a, "z")), (3, "long " * 40_000 + "end of it all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_duplicates(docs, block_docs=4).collect()
+    assert sorted(((x.doc_id, x.class_id, x.n_links) for x in found), key=str) == sorted(brute_sets(rows), key=str)
+    # each class keeps something under its smallest id, and no text without a link goes unless a copy of it stays
+    kept = [(x.doc_id, x.text) for x in ngram_join.keep_one_per_class(docs).collect()]
+    assert {c for i, c, _ in brute_sets(rows) if i is not None} <= {i for i, _ in kept}
+    stay = {frozenset(grams(t)) for _, t in kept}
+    assert all(frozenset(grams(t)) in stay for (_, t), (_, _, n) in zip(rows, brute_sets(rows), strict=True) if n == 0)

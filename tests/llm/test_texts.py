@@ -467,3 +467,9 @@ def test_long_and_deep_pages(html):
     began = time.process_time()
     assert isinstance(html_text.main_text(html, tree), str)
     assert time.process_time() - began < 20
+
+
+def test_copies_go_whatever_their_ids(spark):
+    docs = spark.createDataFrame([(9, "a"), (9, "b"), (5, "a"), (None, "b"), (None, "c"), (None, "c"), (4, None), (4, " "), (7, "d"), (7, "d")], DOC)
+    got = sorted(((r.doc_id, r.text) for r in exact_dedup.keep_first_copies(docs).collect()), key=str)
+    assert got == sorted([(5, "a"), (9, "b"), (None, "c"), (None, "c"), (4, None), (4, " "), (7, "d"), (7, "d")], key=str)
