@@ -18,12 +18,14 @@ def bucket(feature: str, buckets: int) -> int:
 class WordRows:
     """``at``: word to row number of ``rows``, different for different words of a text; a row holds the sum of the word's feature rows in ``table``, then their number.
 
-    With ``limit`` words the dictionary starts anew before the next text, so memory is bounded by these and one text.
+    With ``limit`` words, ``most_chars`` characters in them or ``most_bytes`` of rows the dictionary
+    starts anew before the next text, so memory is bounded by these and one text, whatever the script and the number of labels.
     """
 
-    def __init__(self, table: np.ndarray, features: Callable[[str], list[int]], limit: int = 300_000):
+    def __init__(self, table: np.ndarray, features: Callable[[str], list[int]], limit: int = 300_000, most_chars: int = 1 << 23, most_bytes: int = 1 << 26):
         self.at: dict[str, int] = {}
-        self.table, self.features, self.limit = table, features, limit
+        self.chars, self.most_chars = 0, most_chars
+        self.table, self.features, self.limit = table, features, max(1, min(limit, most_bytes // (4 * table.shape[1] + 4)))
         self.rows = np.zeros((4096, table.shape[1] + 1), np.float32)
 
     def _learn(self, words: set[str]) -> None:
@@ -37,11 +39,14 @@ class WordRows:
         self.rows[at : at + len(found), :-1] = np.add.reduceat(self.table[ids], np.cumsum(sizes) - sizes)
         self.rows[at : at + len(found), -1] = sizes
         self.at.update(zip(words, range(at, at + len(found)), strict=True))
+        self.chars += sum(map(len, words))
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """The row number of each word of a text."""
-        if len(self.at) >= self.limit:
+        if len(self.at) >= self.limit or self.chars >= self.most_chars:
             self.at.clear()
+            self.chars = 0
+            self.rows = self.rows[: max(4096, self.limit)]  # what one long text took more goes back
         if new := set(words).difference(self.at):
             self._learn(new)
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))

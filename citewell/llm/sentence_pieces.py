@@ -138,13 +138,17 @@ def decode(ids: Iterable[int], pieces: Pieces) -> str:
 
 
 def encode_batch(texts: list[str], pieces: Pieces, known: dict[str, list[int]], limit: int = 200_000) -> list[np.ndarray]:
-    """Ids of each text; ``known`` keeps words for the next batch, emptied when it holds more than ``limit``."""
+    """Ids of each text; ``known`` keeps words of up to 64 characters for the next batch, emptied when it holds more than ``limit``."""
     words = [marked_words(t) for t in texts]
     if len(known) > limit:
         known.clear()
     new = {w for ws in words for w in ws} - known.keys()
     known.update(segment(new, pieces))
-    return [np.array([i for w in ws for i in known[w]], np.int32) for ws in words]
+    ids = [np.array([i for w in ws for i in known[w]], np.int32) for ws in words]
+    for w in new:
+        if len(w) > 64:  # as of scripts without blanks, where they would fill the memory
+            del known[w]
+    return ids
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 4 << 20) -> DataFrame:

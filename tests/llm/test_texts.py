@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citewell.llm import exact_dedup, hashed, html_text, language_id, packing, quality_model, quality_rules, sentence_pieces
+from citewell.llm import exact_dedup, hashed, html_text, language_id, ngram_join, packing, quality_model, quality_rules, sentence_pieces
 
 DOC = "doc_id long, text string"
 ODD = [(1, "a  b"), (2, "a b"), (3, None), (4, ""), (5, " a\tb\n"), (6, "a\x0bb"), (7, " a b "), (2, "a b"), (9, "x" * 50_000)]
@@ -473,3 +473,21 @@ def test_copies_go_whatever_their_ids(spark):
     docs = spark.createDataFrame([(9, "a"), (9, "b"), (5, "a"), (None, "b"), (None, "c"), (None, "c"), (4, None), (4, " "), (7, "d"), (7, "d")], DOC)
     got = sorted(((r.doc_id, r.text) for r in exact_dedup.keep_first_copies(docs).collect()), key=str)
     assert got == sorted([(5, "a"), (9, "b"), (None, "c"), (None, "c"), (4, None), (4, " "), (7, "d"), (7, "d")], key=str)
+
+
+def test_worker_tables_are_bounded():
+    """Paragraphs without blanks aren't held, and rows of many labels make tables of fewer words."""
+    table = np.ones((64, 200), np.float32)
+    held = hashed.WordRows(table, lambda w: [len(w) % 64], most_chars=10_000, most_bytes=1 << 20)
+    assert held.limit == (1 << 20) // 804
+    for i in range(400):
+        assert (held.total(held.numbers([f"{i}" + "語" * 300, "a"]))[-1]) == 2
+        assert held.chars <= 10_000 + 304 and len(held.rows) <= 4096
+    wide = [f"w{i}" for i in range(9000)]
+    assert len(set(held.numbers(wide).tolist())) == 9000 and held.numbers(["a"]).tolist() == [0] and len(held.rows) <= 4096
+    words = ngram_join.WordHashes()
+    texts = [chr(0x4E00 + i % 20_000) * 300 + str(i) for i in range(5000)]
+    assert all(words[t] == words[t] for t in texts[:50]) and not words
+    pieces, known = sentence_pieces.load(public_tokenizers.path("piece_bpe_32k.model")), {}
+    sentence_pieces.encode_batch([*texts[:50], "some words"], pieces, known)
+    assert known and max(map(len, known)) <= 64
