@@ -26,8 +26,8 @@ from citewell.schemas import require
 
 GRAIN = ("journal_id", "country_code", "year")
 _SUMS = ("fwci", "percentile")
-#: A ratio in a sum: twelve places, as many before the point as sums over any table need.
-_EXACT = "decimal(26, 12)"
+#: A ratio in a sum: 18 places, ten before the point, and twenty in sums over all works.
+_EXACT = "decimal(28, 18)"
 #: Standard errors of the sketches: 1.04 / sqrt(2**12) of a distinct count, about 1.3 % of rank for a quantile.
 LOG_K, KLL_K = 12, 200
 

@@ -55,6 +55,8 @@ class PagedReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         """``key, raw_data`` rows of one key, until the last page or ``mostRows``."""
+        if partition is None:  # what Spark reads where there are no partitions
+            return
         key, cursor, given = partition.value, "*", 0
         while cursor:
             query = {"per-page": self.per_page, "cursor": cursor}

@@ -162,3 +162,28 @@ def test_frames(spark):
     assert frames.sample_rows(df, 2, ["r", "c"]).collect() == frames.sample_rows(df, 2, ["r", "c"]).collect()
     assert checks.zero_share(df.withColumn("z", F.lit(0)), "z").first().pct_zero == 100
     assert [r.c for r in frames.latest_year(df, "c").collect()] == [2]
+
+
+def test_latest_keeps_rows_without_an_order(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, 5, "b"), (2, None, "c"), (2, 4, "d"), (None, 1, "e")], "k int, year int, v string")
+    got = sorted(map(tuple, series.latest(df, ["k"]).collect()), key=str)
+    assert got == sorted([(1, None, "a"), (2, 5, "b"), (None, 1, "e")], key=str)
+
+
+def test_table_functions(spark):
+    from citewell.functions import table_functions
+
+    table_functions.register(spark)
+    rows = [(1, [("t1", 0.5, ("f", [1])), None, ("t3", None, None)]), (2, []), (3, None)]
+    df = spark.createDataFrame(rows, "id int, topics array<struct<name: string, share: double, field: struct<a: string, b: array<int>>>>")
+    got = spark.sql("SELECT d.id, n.* FROM {d} d, LATERAL nested_rows(d.topics) n", d=df).collect()
+    want = df.select("id", F.posexplode("topics").alias("position", "t")).select("id", "position", "t.*").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 3
+    assert spark.sql("SELECT * FROM {d} d, LATERAL nested_rows(d.topics, 1) n", d=df).count() == 1
+    with pytest.raises(Exception, match="array of structs"):
+        spark.sql("SELECT * FROM nested_rows(array(1, 2))").collect()
+    spark.createDataFrame([("a", 3, None), ("a", 1, "x"), ("a", 2, "y"), (None, 1, "z")], "k string, n int, v string").createOrReplaceTempView("citewell_rows")
+    first = spark.sql("SELECT * FROM first_rows(TABLE(citewell_rows), 2, 'k', 'n')").collect()
+    assert sorted(map(tuple, first), key=str) == sorted([("a", 1, "x", 1), ("a", 2, "y", 2), (None, 1, "z", 1)], key=str)
+    with pytest.raises(Exception, match="no column"):
+        spark.sql("SELECT * FROM first_rows(TABLE(citewell_rows), 2, 'k', 'nothing')").collect()

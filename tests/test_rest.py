@@ -2,11 +2,12 @@
 
 import json
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
 from citewell.plans import enrichment
-from citewell.sources.rest import read_rest
+from citewell.sources.rest import fetch, read_rest
 
 
 class Pages(BaseHTTPRequestHandler):
@@ -86,3 +87,38 @@ def test_topics_search_and_works(spark):
         assert len(works) == 250 and {r.doi for r in works} == {"primary_location.source.id:S1,publication_year:2021-2025"}
     finally:
         server.shutdown()
+
+
+class Broken(BaseHTTPRequestHandler):
+    asked: list[float] = []
+
+    def do_GET(self):
+        Broken.asked.append(time.monotonic())
+        turn = len(Broken.asked)
+        self.send_response(503 if turn == 1 else 200)
+        if turn == 1:
+            self.send_header("Retry-After", "1")
+        body = b'{"results": [{"id": "a"}]}'
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body[:9] if turn == 2 else body)
+
+    def log_message(self, *args):
+        pass
+
+
+def test_answers_that_break_off_and_servers_that_ask_for_time():
+    server = HTTPServer(("127.0.0.1", 0), Broken)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        assert fetch(f"http://127.0.0.1:{server.server_port}/x", wait=0.01) == {"results": [{"id": "a"}]}
+    finally:
+        server.shutdown()
+    assert len(Broken.asked) == 3 and Broken.asked[1] - Broken.asked[0] >= 1
+
+
+def test_no_keys_ask_for_nothing(spark):
+    """No server listens there, so any request would fail."""
+    assert read_rest(spark, "http://127.0.0.1:9/works", []).collect() == []
+    assert enrichment.first_hits(spark, "http://127.0.0.1:9/sources", []).collect() == []
+    assert enrichment.works_of(spark, "http://127.0.0.1:9/works", []).collect() == []
