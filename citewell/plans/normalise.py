@@ -18,8 +18,8 @@ def parsed(raw: DataFrame, kind: str = "work") -> DataFrame:
     return raw.select(F.from_json("raw_data", _JSON[kind]).alias("d")).select("d.*")
 
 
-def cube_works(works: DataFrame) -> DataFrame:
-    """One row a work with the cube's columns; percentiles on a scale of 0 to 1."""
+def cube_works(works: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """One row a work with the cube's columns and ``more`` of its own; percentiles on a scale of 0 to 1."""
     top = lambda c: F.col(f"primary_topic.{c}display_name")
     p = F.col("citation_normalized_percentile.value")
     return works.select(
@@ -32,7 +32,7 @@ def cube_works(works: DataFrame) -> DataFrame:
         F.coalesce("open_access.is_oa", F.lit(False)).alias("is_oa"),
         F.coalesce("open_access.oa_status", F.lit("closed")).alias("oa_status"),
         F.col("language"),
-        top("domain.").alias("domain"), top("field.").alias("field"), top("subfield.").alias("subfield"), top("").alias("topic"),
+        top("domain.").alias("domain"), top("field.").alias("field"), top("subfield.").alias("subfield"), top("").alias("topic"), *more,
     )
 
 

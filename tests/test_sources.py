@@ -90,3 +90,23 @@ def test_csv_round_trip_and_catalogue(spark, tmp_path):
     df = spark.createDataFrame([(1, "a;b"), (2, None)], "k long, t string")
     snapshot.write_csv(df, str(tmp_path / "c"), ";")
     assert sorted(map(tuple, snapshot.read_csv(spark, str(tmp_path / "c"), df.schema, ";").collect())) == [(1, "a;b"), (2, None)]
+
+
+def test_runner_from_snapshot_to_cubes(spark, tmp_path):
+    """A first run, one with a new file of works, and one with force give the same as all works at once."""
+    from citewell.run import run
+
+    def work(i, source, date, cited=1):
+        return json.dumps({"id": f"W{i}", "updated_date": date, "publication_year": 2020 + i % 3, "cited_by_count": cited, "primary_location": {"source": {"id": source}}, "language": "en", "open_access": {"is_oa": True, "oa_status": "gold"}})
+
+    root, out = tmp_path / "snap", str(tmp_path / "out")
+    write(root / "sources/updated_date=2024-01-01/a.gz", [json.dumps({"id": s, "country_code": c}) for s, c in (("S1", "MX"), ("S2", "BR"))])
+    write(root / "works/updated_date=2024-01-01/a.gz", [work(i, f"S{i % 2 + 1}", "2024-01-01") for i in range(12)])
+    first = {(r.level, r.entity): r.num_documents for r in run(spark, str(root), out, (2021, 2022)).filter("kind = 'period'").collect()}
+    assert first == {("world", "ALL"): 12, ("country", "MX"): 6, ("country", "BR"): 6, ("journal", "S1"): 6, ("journal", "S2"): 6}
+    write(root / "works/updated_date=2024-02-01/b.gz", [work(0, "S2", "2024-02-01", 50), work(40, "S2", "2024-02-01")])
+    plain = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    made = plain(run(spark, str(root), out, (2021, 2022)))
+    assert made == plain(run(spark, str(root), out, (2021, 2022), force=True))
+    world = [r for r in run(spark, str(root), out, (2021, 2022), levels=["world"]).filter("kind = 'period'").collect()]
+    assert [(r.num_documents, r.total_citations) for r in world] == [(13, 62)]
