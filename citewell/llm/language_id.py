@@ -17,6 +17,8 @@ once, so prediction adds up rows and runs in one pass over whole texts.
 
 Cases: null text and text without a letter give ``und``, score 0, rejected;
 an empty table gives an empty result; repeated rows get equal predictions;
+a very long text is predicted whole and left out of training above ``most_chars``; of equal scores the first label in
+order wins; below 50 training texts none is held out, and temperature and rejection come from the texts themselves; null ids may be learnt from;
 without labelled rows ``fit`` raises ``Unlabelled``, and ``fit_or_unknown``, as
 the query and the pipeline use it, gives a model that takes every text for
 ``und``, score 0, rejected; further columns are ignored.

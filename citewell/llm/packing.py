@@ -16,7 +16,7 @@ token's string go to the tokenizer whole.
 
 Cases: null text is empty and yields the end id alone; empty tables give an
 empty result; a repeated row is packed as often as it occurs; null ids stay
-null; further columns are ignored.  Ties in length go by id and start.
+null; a very long text is encoded whole and cut into windows; further columns are ignored.  Ties in length go by id and start.
 """
 
 from __future__ import annotations

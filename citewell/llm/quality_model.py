@@ -12,7 +12,8 @@
    a bounded sample, and scores every document by whole text in one pass.
 
 Cases: null and empty texts have no evidence, get the prior's score and are
-kept or dropped by it; repeated rows get equal scores; an empty table gives an
+kept or dropped by it; a very long text is scored whole; a word's features are its first 24 characters and the shape of its
+first 12, so longer words that agree in these are one; a score at the bound is kept; null ids are like any other; repeated rows get equal scores; an empty table gives an
 empty result; further columns are ignored.
 """
 

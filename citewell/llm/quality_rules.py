@@ -9,7 +9,8 @@ window that begins there; equal neighbours are repeats.  Their positions, in
 order, cover as many words as the sum of min(3, distance to the next).
 
 Cases: null text has no words and fails the base rule; empty text likewise;
-empty tables give an empty result; repeated rows give repeated rows; further
+very long texts are split whole, in memory in proportion to the text; there are no ties to break, as each row
+is judged by itself; null ids are like any other; empty tables give an empty result; repeated rows give repeated rows; further
 columns are ignored, so their names cannot clash.
 """
 

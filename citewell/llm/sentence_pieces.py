@@ -19,7 +19,9 @@ pieces into bytes and takes the marks back.
 
 Cases: null text is empty and has no pieces; empty tables give an empty result;
 repeated rows give repeated rows; a text that holds the mark itself comes back
-with blanks in its place, as with the public library; further columns are ignored.
+with blanks in its place, as with the public library; a very long text is segmented whole, word by word, and a word of any length
+in time in proportion to it; of segmentations with equal scores the one whose last pieces are found first in the walk wins; null ids are like any
+other; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ first; where a predicate fails, or payloads aren't wanted, the rest is skipped.
 
 Cases: null payloads are empty; control characters and blanks in header values
 are percent-encoded; null ids and URIs leave their header out; records of 4 GB
-or more have no ``sl`` field and are read through; plain ``.warc`` files and
+or more have no ``sl`` field and are read through; a very long payload is held whole by the task that writes or reads it; of equal
+payloads with equal ids any one is the response; plain ``.warc`` files and
 members by other writers are read as well; an empty table gives an empty
 archive.
 """
