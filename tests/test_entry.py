@@ -12,6 +12,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = "ag01_journal_year ag09_dense_years ag13_mean_of_ratios ag20_topic_levels ag21_rollup wn01_ema3 wn08_keep_last rs01_pivot_year rs04_unpivot_oa jn13_year_diff ar02_abstract src02_snapshot_cube".split()
 SAMPLE += "snk03_codec_row_groups snk04_part_files snk05_csv_export snk08_declared_table snk14_guarded_keys st05_append rs08_location_access rs10_topic_paths xf01_source_table xf01_institution_table sl02_mixed_sort".split()
 
+SAMPLE += "s14_sessions s14_asof_nearest s14_interval_join s14_global_ranks s14_quantiles_by_group s14_nested_rows s14_first_rows snk06_matrix ar03_country_codes xf01_work_tables xf06_state_refresh ag30_summary".split()
+
 
 def plain(rows):
     value = lambda v: "-" if v is None or isinstance(v, float) and math.isnan(v) else f"{v:.7f}" if isinstance(v, float) else str(v)
