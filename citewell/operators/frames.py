@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citewell.operators.ranks import numbered
+
 
 def any_nonzero(columns: Sequence[str]) -> Column:
     """Whether any of the columns is neither null nor zero."""
@@ -102,10 +104,25 @@ def melted(df: DataFrame, ids: Sequence[str], prefix: str, name: str = "label",
 
 
 def nested(df: DataFrame, key: str, columns: Sequence[str], out: str = "items") -> DataFrame:
-    """The rows of each key as one JSON array, ordered by the columns."""
+    """The rows of each key as one JSON array, ordered by the columns.
+
+    A key's array is one task's: for keys of more rows than a task can hold take ``nested_parts``.
+    """
     return df.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*columns)))).alias(out))
 
 
+def nested_parts(df: DataFrame, key: str, columns: Sequence[str], each: int = 10_000, out: str = "items") -> DataFrame:
+    """The rows of each key as JSON arrays of at most ``each`` items: ``key, part, out``, parts numbered from 0 in the order of the columns.
+
+    Places come from a sort by range, so a key with most of the rows makes many parts, not a long task.
+    """
+    rows = numbered(df.select(F.col(key).alias("_key"), *columns), ["_key", *columns], "_at")
+    firsts = rows.groupBy(F.col("_key").alias("_of")).agg(F.min("_at").alias("_first"))
+    placed = rows.join(firsts, rows["_key"].eqNullSafe(firsts["_of"])).withColumn("part", F.floor((F.col("_at") - F.col("_first")) / each).cast("int"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("_at", F.struct(*columns).alias("x")))), lambda i: i["x"])
+    return placed.groupBy(F.col("_key").alias(key), "part").agg(F.to_json(items).alias(out))
+
+
 def updated(df: DataFrame, news: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """``df`` with the columns' new values where ``news`` has any; one row of ``news`` a key."""
     fresh = news.select(key, *[F.col(c).alias(f"_{c}") for c in columns])

@@ -287,6 +287,15 @@ def ag26(spark, d):
     return made.select("conv_id", F.size(F.from_json("items", "array<struct<turn: bigint, role: string>>")).cast("long").alias("n"))
 
 
+@query("ag26_nested_parts", """SELECT l_suppkey, CAST(pos // 100 AS INT) AS part, count(*) AS n, min(l_orderkey) AS first, max(l_orderkey) AS last
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem) GROUP BY ALL""")
+def ag26_parts(spark, d):
+    made = frames.nested_parts(table(spark, d, "lineitem"), "l_suppkey", ["l_orderkey", "l_linenumber"], each=100)
+    items = F.from_json("items", "array<struct<l_orderkey: bigint, l_linenumber: int>>")
+    orders = F.transform(items, lambda i: i["l_orderkey"])
+    return made.select("l_suppkey", "part", F.size(items).cast("long").alias("n"), F.element_at(orders, 1).alias("first"), F.element_at(orders, -1).alias("last"))
+
+
 @query("rs06_explode_outer", "SELECT conv_id, turn, role FROM conversations UNION ALL SELECT -conv_id - 1, -1, NULL FROM (SELECT DISTINCT conv_id FROM conversations)")
 def rs06(spark, d):
     c = table(spark, d, "conversations")

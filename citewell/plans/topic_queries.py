@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citewell.operators import frames
@@ -34,6 +37,24 @@ def ag20(spark, d):
     return rounded(topics.levels(topics.fine_grain(works(spark, d), ["country_code"], FIRST), ["country_code"]))
 
 
+_PATH_SQL = ("domain", "field", "subfield", "topic")
+_UNION_SQL = " UNION ALL ".join(
+    f"SELECT country_code, {', '.join(c if i <= n else f"'ALL' AS {c}" for i, c in enumerate(_PATH_SQL))}, '{_PATH_SQL[n]}' AS level, count(*) AS documents_full FROM works GROUP BY country_code, {', '.join(_PATH_SQL[: n + 1])}"
+    for n in range(4)
+)
+
+
+@query("st03_level_union", f"WITH {WORKS_SQL} {_UNION_SQL}")
+def st03(spark, d):
+    """Each level by itself from the fine cube, put together by name."""
+    fine = works(spark, d).groupBy("country_code", *topics.PATH).agg(F.count(F.lit(1)).alias("n"))
+    parts = []
+    for n, level in enumerate(topics.PATH):
+        part = fine.groupBy("country_code", *topics.PATH[: n + 1]).agg(F.sum("n").alias("documents_full"))
+        parts.append(part.withColumns({c: F.lit("ALL") for c in topics.PATH[n + 1 :]} | {"level": F.lit(level)}))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "ag21_rollup",
     f"""WITH {WORKS_SQL} SELECT country_code, CASE WHEN grouping(domain) = 1 THEN 'ALL' ELSE domain END AS domain, CASE WHEN grouping(field) = 1 THEN 'ALL' ELSE field END AS field,

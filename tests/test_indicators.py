@@ -187,3 +187,19 @@ def test_table_functions(spark):
     assert sorted(map(tuple, first), key=str) == sorted([("a", 1, "x", 1), ("a", 2, "y", 2), (None, 1, "z", 1)], key=str)
     with pytest.raises(Exception, match="no column"):
         spark.sql("SELECT * FROM first_rows(TABLE(citewell_rows), 2, 'k', 'nothing')").collect()
+
+
+def test_nested_parts(spark):
+    import json
+
+    from citewell.operators import frames
+
+    rows = [("hot", i % 40, None if i % 7 == 0 else f"v{i}") for i in range(90)] + [("b", 1, "x"), (None, 2, None)]
+    made = frames.nested_parts(spark.createDataFrame(rows, "k string, n int, v string"), "k", ["n", "v"], each=25).collect()
+    whole = {}
+    for r in sorted(made, key=lambda r: (str(r.k), r.part)):
+        items = json.loads(r["items"])
+        assert 0 < len(items) <= 25
+        whole.setdefault(r.k, []).extend((i["n"], i.get("v")) for i in items)
+    assert len(made) == 6 and {k: len(v) for k, v in whole.items()} == {"hot": 90, "b": 1, None: 1}
+    assert whole["hot"] == sorted(((n, v) for k, n, v in rows if k == "hot"), key=lambda x: (x[0], x[1] is not None, x[1] or ""))
