@@ -8,6 +8,7 @@ row before they are ranked, so a value that most rows share is one entry.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,9 +38,10 @@ def _ranged(df: DataFrame, order: Sequence[str], parts: int | None) -> DataFrame
 def _before(rows: DataFrame, sums: dict[str, Column]) -> tuple[DataFrame, dict[str, float]]:
     """``_range`` and each sum over the ranges before it, as many rows as ranges, and the sums over all."""
     found = sorted(rows.groupBy("_range").agg(*[x.alias(c) for c, x in sums.items()]).collect())
-    kind = {c: float if any(isinstance(r[c], float) for r in found) else int for c in sums}
+    kind = {c: next((k for k in (float, Decimal) if any(isinstance(r[c], k) for r in found)), int) for c in sums}
     running = {c: list(accumulate((kind[c](r[c] or 0) for r in found), initial=kind[c](0))) for c in sums}
-    kinds = ", ".join(f"{c} {'double' if kind[c] is float else 'long'}" for c in sums)
+    named = {float: "double", Decimal: "decimal(38,0)", int: "long"}
+    kinds = ", ".join(f"{c} {named[kind[c]]}" for c in sums)
     made = [(r["_range"], *(running[c][i] for c in sums)) for i, r in enumerate(found)]
     return rows.sparkSession.createDataFrame(made, f"_range int, {kinds}"), {c: running[c][-1] for c in sums}
 
@@ -78,3 +80,12 @@ def ranked(df: DataFrame, order: Sequence[str], weight: str | None = None, parts
     whole = float(total["_w"] or 0)
     more = [F.col("running"), (F.col("running") / whole if whole else F.lit(None).cast("double")).alias("share")] if weight else []
     return df.join(made, same).select(*[df[c] for c in df.columns], F.col("rank").cast("long").alias("rank"), F.col("dense_rank").cast("long").alias("dense_rank"), *more)
+
+
+def running(df: DataFrame, order: Sequence[str], columns: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``df`` with each of ``columns`` (whole numbers or doubles) as its total over the rows up to and with this one, in a total order."""
+    rows = _ranged(df, order, parts)
+    offsets, _ = _before(rows, {f"_before_{c}": F.sum(c) for c in columns})
+    here = Window.partitionBy("_range").orderBy("_at")
+    made = rows.withColumns({c: F.coalesce(F.sum(c).over(here), F.lit(0)) for c in columns})
+    return made.join(F.broadcast(offsets), "_range").select(*[(F.col(c) + F.col(f"_before_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])

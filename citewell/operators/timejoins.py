@@ -1,4 +1,4 @@
-"""Sessions, as-of joins and interval joins over event times.
+"""Sessions, as-of joins, interval joins and totals of intervals over event times.
 
 Each is keyed by time slices or buckets beside the key, so a key with most of
 the rows has as many tasks as slices; what crosses a slice's edge is carried as
@@ -13,6 +13,8 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citewell.operators import ranks
+
 _LEVELS = 12  # of bucket sizes, each eight times the one before
 
 
@@ -128,3 +130,23 @@ def interval_join(left: DataFrame, right: DataFrame, start: str, end: str, on: S
     later = F.floor(F.greatest("left_s", "right_s") / F.col("size"))
     hit = (F.col("left_own") | F.col("right_own")) & (F.col("left_s") < F.col("right_e")) & (F.col("right_s") < F.col("left_e")) & (later == F.col("bucket"))
     return pairs.filter(hit).select("left", "right")
+
+
+def interval_totals(left: DataFrame, points: DataFrame, start: str, end: str, by: Sequence[str], time: str, value: str) -> DataFrame:
+    """``by, n, total``: how many ``points`` lie from ``start`` up to but without ``end``, and the sum of their whole-number ``value``.
+
+    Rows of ``left`` that agree in ``by`` are added up; those that no point lies
+    in are left out.  No pairs are made: bounds and points are sorted by time
+    once, and an interval has the running totals at its end less those at its
+    start, so work grows with the rows however many intervals a point lies in.
+    """
+    names = [f"_k{i}" for i in range(len(by))]
+    whole = F.col(value).cast("decimal(38,0)")  # running totals of many great values pass 64 bits where an interval's don't
+    at = points.select(_at(time).alias("_t"), whole.alias("_v")).filter("_t IS NOT NULL").groupBy("_t").agg(F.count(F.lit(1)).alias("_n"), F.count("_v").alias("_known"), F.sum("_v").alias("_v"))
+    rows = left.select(*[F.col(c).alias(k) for c, k in zip(by, names, strict=True)], _at(start).alias("s"), _at(end).alias("e")).filter("s < e")
+    bound = lambda c, sign: F.struct(F.col(c).alias("_t"), F.lit(sign).alias("_sign"))
+    bounds = rows.select(*names, F.explode(F.array(bound("s", -1), bound("e", 1))).alias("b")).select(*names, "b.*")
+    both = bounds.unionByName(at, allowMissingColumns=True).withColumn("_point", F.col("_sign").isNull())  # a bound comes before a point at its time
+    sums = ranks.running(both, ["_t", "_point", *names], ["_n", "_known", "_v"]).filter(~F.col("_point"))
+    made = sums.groupBy(*names).agg(*[F.sum(F.col(c) * F.col("_sign")).alias(c) for c in ("_n", "_known", "_v")]).filter("_n > 0")
+    return made.select(*[F.col(k).alias(c) for k, c in zip(names, by, strict=True)], F.col("_n").alias("n"), F.when(F.col("_known") > 0, F.col("_v").cast("long")).alias("total"))

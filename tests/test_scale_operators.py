@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from citewell.operators import timejoins
 from citewell.operators.quantiles import exact_quantiles
 from citewell.operators.ranks import numbered, ranked
 from citewell.operators.timejoins import asof_join, interval_join, sessions
@@ -119,3 +120,36 @@ def test_intervals(spark):
         assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
     # an interval over everything is copied a few times, not once a minute
     assert frames[0].filter("i = 70").count() == 1 and F is not None
+
+
+def test_totals_of_intervals(spark):
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    rng = random.Random(5)
+    left = [(rng.randrange(4), a, a + rng.randrange(40)) for a in (rng.randrange(200) for _ in range(60))]
+    points = [(rng.randrange(220), rng.choice([None, 1, 1 << 62])) for _ in range(150)]
+    intervals = spark.createDataFrame([(u, at(a), at(b)) for u, a, b in left], "u int, a timestamp, b timestamp")
+    known = spark.createDataFrame([(at(t), v) for t, v in points] + [(None, 3)], "t timestamp, v long")
+    small = known.withColumn("v", F.when(F.col("v") > 1, 2).otherwise(F.col("v")))
+    got = {(r.u, r.a): (r.n, r.total) for r in timejoins.interval_totals(intervals, small, "a", "b", ["u", "a"], "t", "v").collect()}
+    want = {}
+    for u, a, b in left:
+        for t, v in points:
+            if a <= t < b:
+                n, vs = want.setdefault((u, at(a)), (0, []))
+                want[u, at(a)] = (n + 1, [*vs, *([] if v is None else [min(v, 2)])])
+    assert got == {k: (n, sum(vs) if vs else None) for k, (n, vs) in want.items()}
+    # totals before an interval may pass 64 bits where its own do not
+    one = spark.createDataFrame([(1, at(300), at(301))], "u int, a timestamp, b timestamp")
+    more = known.union(spark.createDataFrame([(at(300), 7)], "t timestamp, v long"))
+    assert [tuple(r) for r in timejoins.interval_totals(one, more, "a", "b", ["u"], "t", "v").collect()] == [(1, 1, 7)]
+
+
+def test_interval_query_makes_no_pairs(spark, monkeypatch):
+    from citewell.plans import catalogue
+
+    def pairs(*_, **__):
+        raise AssertionError("every session would meet every error of its time")
+
+    queries = catalogue.queries()
+    monkeypatch.setattr(timejoins, "interval_join", pairs)
+    assert queries["s14_interval_join"](spark, "/root/testdata/sf0.001").count() > 0
