@@ -107,6 +107,17 @@ def abstract_text(index: Column) -> Column:
     return F.when(F.size(pairs) > 0, text).otherwise("")
 
 
+def inverted_index(text: Column) -> Column:
+    """The inverted index of a text's tokens between single blanks: token to ascending positions; made row by row, without a shuffle."""
+    once = lambda item, bind: F.element_at(F.transform(F.array(item), bind), 1)
+    tokens = F.array_sort(F.transform(F.split(text, " "), lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
+    # the places in sorted order where a token's run begins, and behind them the end of the last
+    begins = lambda s: F.concat(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["w"] != F.get(s, i - 1)["w"])), F.array(F.size(s)))
+    run = lambda s, b: lambda k: F.struct(F.get(s, F.get(b, k))["w"].alias("w"), F.transform(F.slice(s, F.get(b, k) + 1, F.get(b, k + 1) - F.get(b, k)), lambda x: x["p"]).alias("ps"))
+    runs = lambda s: once(begins(s), lambda b: F.transform(F.sequence(F.lit(0), F.size(b) - 2), run(s, b)))
+    return F.map_from_entries(once(tokens, runs))
+
+
 def hex_center(row: Column, col: Column, size: float = 1.0, orientation: str = "pointy") -> tuple[Column, Column]:
     """Centre of a cell of a hexagonal grid: shifted odd rows (pointy) or odd columns (flat)."""
     long, short = math.sqrt(3.0) * size, 1.5 * size

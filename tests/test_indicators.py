@@ -119,6 +119,19 @@ def test_max_normalisation(spark):
     assert [tuple(r) for r in series.max_normalised(df, ["a", "b"]).collect()] == [(0.5, 0.0), (1.0, 0.0), (0.25, 0.0)]
 
 
+def test_index_and_abstract_without_a_shuffle(spark, tmp_path):
+    from citewell.plans import catalogue
+
+    texts = ["b a b", "", " ", "a  a ", None, "x", "other words", "\U0001f600 é a\u00a0b \U0001f600"]
+    spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.queries()["ar02_abstract"](spark, str(tmp_path))
+    # two rows of one id stay two texts
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted((i // 2, t) for i, t in enumerate(texts) if t is not None)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    index = spark.createDataFrame([("b a b",), ("",)], "t string").select(S.inverted_index(F.col("t")).alias("i")).collect()
+    assert [r.i for r in index] == [{"a": [1], "b": [0, 2]}, {"": [0]}]
+
+
 def test_abstract_keeps_gaps(spark):
     df = spark.sql("SELECT map('the', array(0, 3), 'cat', array(1)) AS i UNION ALL SELECT map()")
     assert [r[0] for r in df.select(S.abstract_text(F.col("i"))).collect()] == ["the cat  the", ""]
