@@ -6,7 +6,7 @@ context, the first number in it, its number of points, and the coordinates.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from citewell.operators.ranks import numbered
 from citewell.shared import stored
 
+_GROUPS = 256  # of members that give one batch of neighbours, however many rows came in one
 _NEAR = "i long, near array<struct<d: double, j: long>>"
 _NEAR_TYPE = pa.list_(pa.struct([("d", pa.float64()), ("j", pa.int64())]))
 
@@ -30,15 +31,28 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(-1))
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[list, list]:
-    """Each point's ``k`` nearest others; of equal distances the smaller number."""
+def _nearest(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points by number, and a row each of the distances and numbers of its ``k`` nearest others; of equal distances the smaller number."""
     order = np.argsort(ids)
     ids, x = ids[order], x[order]
     d = _distances(x, x)
     np.fill_diagonal(d, np.inf)
     at = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
-    near = [[{"d": float(d[r, c]), "j": int(ids[c])} for c in row] for r, row in enumerate(at)]
-    return ids.tolist(), near
+    return ids, np.take_along_axis(d, at, 1), ids[at]
+
+
+def _found(groups: Iterable[tuple[np.ndarray, np.ndarray]], k: int) -> pa.RecordBatch:
+    """``i, near`` of all points of the groups, built from arrays: a Python object for each pair would take twenty times the memory."""
+    ids, sizes, ds, js = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)]
+    for numbers, x in groups:
+        i, d, j = _nearest(numbers, x, k)
+        ids.append(i)
+        sizes.append(np.full(len(i), d.shape[1], np.int64))
+        ds.append(d.ravel())
+        js.append(j.ravel())
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(ds)), pa.array(np.concatenate(js))], fields=list(_NEAR_TYPE.value_type))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.ListArray.from_arrays(pa.array(ends), pairs, type=_NEAR_TYPE)], names=["i", "near"])
 
 
 def _projected(points: DataFrame, width: int, rounds: int, block: int, seed: int) -> DataFrame:
@@ -77,8 +91,7 @@ def nearest_neighbours(points: DataFrame, width: int, k: int, block: int = 256,
     depend on the points and ``seed``, not on partitions.
     """
     def of_block(table: pa.Table) -> pa.Table:
-        ids, near = _nearest(table.column("i").to_numpy(), _matrix(table.column("x"), width), k)
-        return pa.table({"i": pa.array(ids, pa.int64()), "near": pa.array(near, _NEAR_TYPE)})
+        return pa.Table.from_batches([_found([(table.column("i").to_numpy(), _matrix(table.column("x"), width))], k)])
 
     large = points.filter(F.col("n") > block).select("i").head(1)
     rounds = rounds if large else 1
@@ -93,13 +106,10 @@ def nearest_neighbours(points: DataFrame, width: int, k: int, block: int = 256,
 
     def of_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, near = [], []
-            for members in batch.column("members"):
-                m = members.values
-                a, b = _nearest(m.field("j").to_numpy(), _matrix(m.field("x"), width), k)
-                ids += a
-                near += b
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(near, _NEAR_TYPE)], names=["i", "near"])
+            members = batch.column("members")
+            for begin in range(0, len(members), _GROUPS):
+                parts = (m.values for m in members.slice(begin, _GROUPS))
+                yield _found(((m.field("j").to_numpy(), _matrix(m.field("x"), width)) for m in parts), k)
 
     vectors = points.select(F.col("i").alias("j"), "x")
     for _ in range(descents):

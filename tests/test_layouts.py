@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citewell.operators import layout, umap
+from citewell.operators import layout, neighbours, umap
 from citewell.operators.neighbours import nearest_neighbours
 
 COLUMNS = [f"c{i}" for i in range(6)]
@@ -128,3 +128,22 @@ def test_umap_in_blocks(spark):
     assert len(y) == 150 and trustworthiness(scaled(x), y) > 0.85
     assert umap.umap_2d(frame(spark, x).limit(0), ["id"], COLUMNS).collect() == []
     assert F is not None
+
+
+def test_neighbour_lists_are_arrays():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    groups = [(r.permutation(1000)[:29], r.normal(size=(29, 8))) for _ in range(256)]
+    tracemalloc.start()
+    got = neighbours._found(groups, 14)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * got.num_rows * 14 + (1 << 20)  # an object a pair takes some 300 bytes
+    ids, x = groups[7]
+    rows = got.slice(7 * 29, 29).to_pylist()
+    assert [p["i"] for p in rows] == sorted(ids.tolist())
+    one = int(np.argmin(ids))
+    d = np.sqrt(((x - x[one]) ** 2).sum(1))
+    assert [e["j"] for e in rows[0]["near"]] == ids[np.argsort(d)[1:15]].tolist()
+    assert neighbours._found([], 14).num_rows == 0
