@@ -107,6 +107,11 @@ def abstract_text(index: Column) -> Column:
     return F.when(F.size(pairs) > 0, text).otherwise("")
 
 
+def parsed_once(document: Column) -> Column:
+    """A parsed document as the one row of a generator: filters on its fields stay above it, where Spark would otherwise parse anew for each."""
+    return F.explode(F.array(document))
+
+
 def inverted_index(text: Column) -> Column:
     """The inverted index of a text's tokens between single blanks: token to ascending positions; made row by row, without a shuffle."""
     once = lambda item, bind: F.element_at(F.transform(F.array(item), bind), 1)

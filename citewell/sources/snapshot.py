@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citewell.functions.scalars import parsed_once
 from citewell.operators.series import last_writer
 from citewell.schemas import require
 
@@ -39,7 +40,7 @@ def raw_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def with_ids(lines: DataFrame) -> DataFrame:
     """``id`` before ``raw_data`` and the other columns, of lines that hold a JSON object; each line is parsed once."""
-    parsed = lines.select(F.from_json("raw_data", "id STRING, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}).alias("_d"), *lines.columns)
+    parsed = lines.select(parsed_once(F.from_json("raw_data", "id STRING, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})).alias("_d"), *lines.columns)
     good = parsed.filter((F.trim("raw_data") != "") & F.col("_d").isNotNull() & F.col("_d._bad").isNull())
     return good.select(F.coalesce("_d.id", F.lit("")).alias("id"), *lines.columns)
 
@@ -50,7 +51,7 @@ def typed_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     A field of another type than the schema's is null and doesn't cost the line its other fields.
     """
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").text(path)
-    parsed = lines.select("value", F.from_json("value", f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}).alias("_d"))
+    parsed = lines.select("value", parsed_once(F.from_json("value", f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})).alias("_d"))
     fields = [f for f in parsed.schema["_d"].dataType.names if f != "_bad"]
     some = reduce(Column.__or__, [F.col(f"_d.`{f}`").isNotNull() for f in fields])
     return parsed.filter((F.trim("value") != "") & F.col("_d").isNotNull() & (F.col("_d._bad").isNull() | some)).select("_d.*").drop("_bad")
