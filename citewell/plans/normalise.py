@@ -7,15 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewell.functions.scalars import contains_flag, filled, ratio, scrubbed
+from citewell.functions.scalars import contains_flag, filled, parsed_once, ratio, scrubbed
 from citewell.schemas import INSTITUTION_JSON, SOURCE_JSON, WORK_JSON
+from citewell.shared import stored
 
 _JSON = {"work": WORK_JSON, "source": SOURCE_JSON, "institution": INSTITUTION_JSON}
 
 
 def parsed(raw: DataFrame, kind: str = "work") -> DataFrame:
-    """Typed columns of ``id, raw_data`` rows: each document is parsed once, and only for the fields used."""
-    return raw.select(F.from_json("raw_data", _JSON[kind]).alias("d")).select("d.*")
+    """Typed columns of ``id, raw_data`` rows: each document is parsed once, whatever filters follow."""
+    return raw.select(parsed_once(F.from_json("raw_data", _JSON[kind])).alias("d")).select("d.*")
 
 
 def cube_works(works: DataFrame, more: Sequence[str] = ()) -> DataFrame:
@@ -37,10 +38,14 @@ def cube_works(works: DataFrame, more: Sequence[str] = ()) -> DataFrame:
 
 
 def work_tables(works: DataFrame, source_ids: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The work table and its four child tables, of works at the given sources (``id``) or of all."""
+    """The work table and its four child tables, of works at the given sources (``id``) or of all.
+
+    The works are stored once, and each table reads its own columns of them.
+    """
     if source_ids is not None:
         ids = source_ids.select(F.col("id").alias("_s")).distinct()
         works = works.join(ids, works["primary_location.source.id"] == ids["_s"], "left_semi")
+    works = stored(works, "works")
     plain = "id doi title display_name publication_year publication_date type cited_by_count is_retracted is_paratext cited_by_api_url language fwci".split()
     location, access = F.col("primary_location"), F.col("open_access")
     return {

@@ -110,3 +110,22 @@ def test_runner_from_snapshot_to_cubes(spark, tmp_path):
     assert made == plain(run(spark, str(root), out, (2021, 2022), force=True))
     world = [r for r in run(spark, str(root), out, (2021, 2022), levels=["world"]).filter("kind = 'period'").collect()]
     assert [(r.num_documents, r.total_citations) for r in world] == [(13, 62)]
+
+
+def test_documents_are_parsed_once(spark, tmp_path):
+    from citewell.plans import normalise
+    from citewell.schemas import WORK_JSON
+    from citewell.sources import snapshot
+
+    optimised = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    lines = ['{"id": "W1", "open_access": {"is_oa": true, "oa_status": "gold"}, "cited_by_count": "many"}', "{broken", " ", '{"id": "W2", "primary_location": {"source": {"id": "S"}}}']
+    rows = spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)
+    rows.write.option("compression", "gzip").text(f"{tmp_path}/works")
+    typed = snapshot.typed_documents(spark, f"{tmp_path}/works", WORK_JSON)
+    assert optimised(normalise.cube_works(typed).filter("work_id > 'W0'")).count("from_json(") == 1
+    assert sorted((r.id, r.cited_by_count) for r in typed.collect()) == [("W1", None), ("W2", None)]
+    assert optimised(snapshot.raw_documents(spark, f"{tmp_path}/works")).count("from_json(") == 1
+    made = normalise.work_tables(normalise.parsed(rows.withColumnRenamed("value", "raw_data")))
+    assert not any("from_json(" in optimised(t) for t in made.values())
+    assert [tuple(r)[:3] for r in made["works_open_access"].collect()] == [("W1", True, "gold")]
+    assert [tuple(r)[:2] for r in made["works_primary_location"].collect()] == [("W2", "S")]
