@@ -1,6 +1,6 @@
 """Table functions for SQL: rows of nested arrays with columns from the array's own type, and the first rows of each partition of a table.
 
-Both take their columns from their arguments when a query is analysed, and run in Arrow batches.
+Both take their columns from their arguments when a query is analysed, and exchange rows in pickled batches.
 """
 
 from __future__ import annotations
@@ -62,4 +62,4 @@ class FirstRows:
 def register(spark: SparkSession) -> None:
     """``nested_rows`` and ``first_rows`` for the session's SQL."""
     for name, made in (("nested_rows", NestedRows), ("first_rows", FirstRows)):
-        spark.udtf.register(name, udtf(made, useArrow=True))
+        spark.udtf.register(name, udtf(made, useArrow=False))  # with Arrow each call's few rows would be a data frame and a batch of their own

@@ -216,3 +216,19 @@ def test_nested_parts(spark):
         whole.setdefault(r.k, []).extend((i["n"], i.get("v")) for i in items)
     assert len(made) == 6 and {k: len(v) for k, v in whole.items()} == {"hot": 90, "b": 1, None: 1}
     assert whole["hot"] == sorted(((n, v) for k, n, v in rows if k == "hot"), key=lambda x: (x[0], x[1] is not None, x[1] or ""))
+
+
+def test_first_rows_by_batches(spark):
+    from citewell.functions import table_functions
+
+    table_functions.register(spark)
+    rows = [(i % 3000 if i % 7 else None, 2, i, f"t{i}") for i in range(20_000)] + [(-1, 2, i, "much") for i in range(25_000)]
+    df = spark.createDataFrame(rows, "k long, place_of int, n long, t string")
+    df.createOrReplaceTempView("citewell_many")
+    got = spark.sql("SELECT * FROM first_rows(TABLE(citewell_many), 3, 'k', 'n')")
+    want = {}
+    for k, _, n, t in sorted(rows, key=lambda r: r[2]):
+        want.setdefault(k, []).append((n, t))
+    assert sorted((str(r.k), r.place, r.n, r.t) for r in got.collect()) == sorted((str(k), i + 1, *x) for k, v in want.items() for i, x in enumerate(v[:3]))
+    # no Arrow batch for each call
+    assert "ArrowEvalPythonUDTF" not in got._jdf.queryExecution().executedPlan().toString()
