@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +61,25 @@ def groups_for(amount: int, each: int) -> int:
 def crc32_of_id(column: str = "doc_id") -> Column:
     """CRC-32 of the identifier written as decimal text, the source of every train and held-out split."""
     return F.crc32(F.col(column).cast("string"))
+
+
+def give_back() -> None:
+    """Returns to the system what a worker has freed: idle workers outlive their tasks, and the next stage shares the executor with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; its tables end with it, and then their memory is given back."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import crc32_of_id, free_name, table
+from citewell.llm.common import crc32_of_id, free_name, lean, table
 from citewell.llm.hashed import WordRows, bucket, content_hash, hash_sample, sampled_texts
 
 UNKNOWN = "und"
@@ -195,6 +195,7 @@ def prediction(model: LanguageModel, text_col: str = "text") -> Column:
     """A struct ``lang_pred, score, rejected`` for a text column."""
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    @lean
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = model.rows()
         for texts in batches:

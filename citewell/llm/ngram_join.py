@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import table, text_or_empty, written
+from citewell.llm.common import lean, table, text_or_empty, written
 from citewell.llm.components import connected_components
 
 _SPACES = str.maketrans("\t\n\v\f\r", "     ")
@@ -119,6 +119,7 @@ _SIGNED = "doc_id long, mark string, set_key binary, n_grams long, bands array<l
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int, mark: Column | None = None) -> DataFrame:
     """``doc_id, mark, set_key, n_grams, bands``; key and bands are null for texts without words, and so is ``mark`` unless it is given."""
 
+    @lean
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minhash = WordHashes(), MinHash(bands, rows)
         for batch in batches:

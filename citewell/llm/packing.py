@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import groups_for, table, text_or_empty, written
+from citewell.llm.common import groups_for, lean, table, text_or_empty, written
 
 CAPACITY = 1024
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -187,6 +187,7 @@ def cut_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     """Pieces of every document, each id in exactly one: ``doc_id, start, length, ids_crc32, doc_tokens, row``; ``row`` numbers the documents."""
     end = end_id.to_bytes(4, "little")
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, row = Encoder(tokenizer_file), TaskContext.get().partitionId() << 32
         for batch in batches:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import free_name, table, written
+from citewell.llm.common import free_name, lean, table, written
 from citewell.llm.hashed import WordRows, bucket, content_hash, hash_sample, sampled_texts
 from citewell.llm.quality_rules import measures
 
@@ -189,6 +189,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_pat
 
 def score_column(model: QualityModel, text_col: str = "text") -> Column:
     @F.pandas_udf("double")
+    @lean
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rows = model.rows()
         for texts in batches:

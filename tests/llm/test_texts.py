@@ -491,3 +491,26 @@ def test_worker_tables_are_bounded():
     pieces, known = sentence_pieces.load(public_tokenizers.path("piece_bpe_32k.model")), {}
     sentence_pieces.encode_batch([*texts[:50], "some words"], pieces, known)
     assert known and max(map(len, known)) <= 64
+
+
+def test_lean_gives_memory_back_after_the_tables(monkeypatch):
+    import weakref
+
+    from citewell.llm import common
+
+    class Table:
+        pass
+
+    seen, given = [], []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(seen[0]() is None))
+
+    @common.lean
+    def run(batches):
+        table = Table()
+        seen.append(weakref.ref(table))
+        for b in batches:
+            yield b + 1
+
+    assert list(run(iter([1, 2]))) == [2, 3] and given == [True]
+    monkeypatch.undo()
+    common.give_back()
