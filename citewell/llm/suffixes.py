@@ -1,9 +1,10 @@
-"""Suffix arrays by induced sorting and permuted common prefixes, in whole-array steps.
+"""Suffix arrays by prefix doubling, to the whole length or to a depth, and permuted common prefixes, in whole-array steps.
 
-The passes of induced sorting place a suffix by the suffix that follows it.
-Here a pass takes a stretch of buckets at once, up to the first bucket that the
-stretch itself adds to; a bucket that adds to itself (runs of one symbol) is taken
-in as many steps as its longest run.
+Suffixes are ranked by as many first symbols as fit one integer, then again and
+again by two ranks, the second that of the suffix where the first ends, so each
+round doubles the symbols that count.  Only suffixes whose rank others share
+take part in a round.  A group, a second rank and a place are sorted as one
+64-bit number, so no round sorts by an index.
 """
 
 from __future__ import annotations
@@ -11,154 +12,99 @@ from __future__ import annotations
 import numpy as np
 
 
-class _Buckets:
-    """A suffix array under construction; 0 stands where nothing is placed yet, as nothing is longer than suffix 0."""
-
-    def __init__(self, s: np.ndarray, k: int, is_s: np.ndarray):
-        self.s, self.k = s, k
-        #: The symbol and the type at each place, read together.
-        self.marks = s * s.dtype.type(2) + is_s
-        counts = np.bincount(s, minlength=k)
-        self.ends = np.cumsum(counts)
-        self.starts = self.ends - counts
-        self.sa = np.zeros(len(s), np.int64 if len(s) >= 1 << 31 else np.int32)
-        self.numbers = np.arange(len(s), dtype=self.sa.dtype)
-
-    def _ahead(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffixes one longer than these, where they are of the pass's type, their buckets, and where in ``at`` the shorter ones stand."""
-        longer = at - 1
-        marks = self.marks.take(longer)
-        where = np.flatnonzero((marks & 1) == self.kind)
-        return longer.take(where), marks.take(where) >> 1, where
-
-    def _ranked(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A stable order by key, the keys so ordered, and each one's rank among its equals."""
-        order = keys.argsort(kind="stable")
-        ordered = keys[order]
-        at = self.numbers[: len(keys)]
-        first = np.zeros(len(keys), at.dtype)
-        np.multiply(at[1:], ordered[1:] != ordered[:-1], out=first[1:])
-        np.maximum.accumulate(first, out=first)
-        return order, ordered, at - first
-
-    def _to_heads(self, longer: np.ndarray, keys: np.ndarray) -> None:
-        if len(longer):
-            order, ordered, rank = self._ranked(keys)
-            at = self.heads[ordered] + rank
-            self.sa[at] = longer[order]
-            self.heads[ordered] = at + 1  # of equal keys the last one counts
-
-    def _to_tails(self, longer: np.ndarray, keys: np.ndarray) -> None:
-        if len(longer):
-            order, ordered, rank = self._ranked(keys)
-            at = self.tails[ordered] - 1 - rank
-            self.sa[at] = longer[order]
-            self.tails[ordered] = at
-
-    def induce(self, lms: np.ndarray) -> np.ndarray:
-        """The array that follows from the leftmost smaller suffixes in this order within their buckets."""
-        self.sa.fill(0)
-        order, ordered, rank = self._ranked(self.s[lms])
-        first_lms = self.ends - np.bincount(ordered, minlength=self.k)
-        self.sa[first_lms[ordered] + rank] = lms[order]
-        self.heads = self.starts.copy()
-        # what stands before suffix 0 is of the other type in either pass
-        self.kind, self.marks[-1] = 0, 1
-        self._larger(first_lms)
-        self.sa[self.numbers >= np.repeat(self.heads, self.ends - self.starts)] = 0
-        self.sa[0] = len(self.s) - 1
-        self.tails = self.ends.copy()
-        self.kind, self.marks[-1] = 1, 0
-        self._smaller()
-        return self.sa
-
-    def _larger(self, first_lms: np.ndarray) -> None:
-        c, size = 0, 2048
-        while c < self.k:
-            begin = int(self.starts[c])
-            stop = max(c + 1, int(self.ends.searchsorted(begin + size, "right")))
-            longer, keys, where = self._ahead(self.sa[begin : self.ends[stop - 1]])
-            least = int(keys.min()) if len(keys) else stop
-            if c < least < stop:
-                known = where.searchsorted(self.starts[least] - begin)
-                longer, keys, stop, size = longer[:known], keys[:known], least, max(64, size // 2)
-            elif least == c:
-                done = begin
-                while done < (head := int(self.heads[c])):
-                    self._to_heads(*self._ahead(self.sa[done:head])[:2])
-                    done = head
-                longer, keys, _ = self._ahead(self.sa[first_lms[c] : self.ends[c]])
-                stop = c + 1
-            else:
-                size = min(2 * size, 1 << 18)
-            self._to_heads(longer, keys)
-            c = stop
-
-    def _smaller(self) -> None:
-        c, size = self.k, 2048
-        while c > 1:
-            end = int(self.ends[c - 1])
-            start = min(c - 1, max(1, int(self.starts.searchsorted(end - size, "left"))))
-            longer, keys, where = self._ahead(self.sa[self.starts[start] : end][::-1])
-            most = int(keys.max()) if len(keys) else start - 1
-            if start <= most < c - 1:
-                known = where.searchsorted(end - self.ends[most])
-                longer, keys, start, size = longer[:known], keys[:known], most + 1, max(64, size // 2)
-            elif most == c - 1:
-                start, done = c - 1, end
-                while done > (tail := int(self.tails[start])):
-                    self._to_tails(*self._ahead(self.sa[tail:done][::-1])[:2])
-                    done = tail
-                longer, keys, _ = self._ahead(self.sa[self.starts[start] : self.heads[start]][::-1])
-            else:
-                size = min(2 * size, 1 << 18)
-            self._to_tails(longer, keys)
-            c = start
-
-
-def _sorted_suffixes(s: np.ndarray, k: int) -> np.ndarray:
-    """The suffix array of ``s`` over symbols below ``k``; the last symbol is 0 and the only one."""
-    n = len(s)
-    if n == 1:
-        return np.zeros(1, np.int32)
-    turns = np.flatnonzero(s[1:] != s[:-1])
-    less = np.append(s[turns] < s[turns + 1], True)
-    is_s = np.repeat(less, np.diff(np.concatenate(([-1], turns, [n - 1]))))
-    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int64 if n >= 1 << 31 else np.int32)
-    buckets = _Buckets(s, k, is_s)
-    del turns, less, is_s
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    found = buckets.induce(lms)
-    found = found[is_lms[found]]
-    # equal neighbours among the sorted substrings from one leftmost smaller suffix to the next get one name
-    length = np.zeros(n, lms.dtype)
-    length[lms] = np.diff(lms, append=lms[-1:])
-    own = length[found]
-    same = own[1:] == own[:-1]
-    live = np.flatnonzero(same)
-    step = 0
-    while len(live):
-        equal = s[found[live] + step] == s[found[live + 1] + step]
-        same[live[~equal]] = False
-        live = live[equal]
-        live = live[own[live] > step]
-        step += 1
-    del length, own, live, is_lms
-    name = np.empty(n, np.int32)
-    name[found] = np.concatenate(([0], np.cumsum(~same)))
-    names = int(name[found[-1]]) + 1
-    if names < len(lms):
-        found = lms[_sorted_suffixes(name[lms], names)]
-    return buckets.induce(found)
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return new
+
+
+def _packed(group: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by group, which ascends, and ``low``, and where equal pairs begin in it; in parts where a pair and a place don't fit 64 bits."""
+    n, first = len(group), group[0]
+    low_bits, place_bits = int(low.max()).bit_length(), (n - 1).bit_length()
+    if int(group[-1] - first).bit_length() + low_bits + place_bits > 64:
+        cut = int(group.searchsorted(group[n // 2])) or int(group.searchsorted(group[n // 2], "right"))
+        (one, begin), (two, later) = _packed(group[:cut], low[:cut]), _packed(group[cut:], low[cut:])
+        return np.concatenate([one, two + cut]), np.concatenate([begin, later])
+    key = (group - first).astype(np.uint64)
+    key <<= np.uint64(low_bits)
+    key |= low.astype(np.uint64)
+    key <<= np.uint64(place_bits)
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+    key >>= np.uint64(place_bits)
+    return order, _starts(key)
+
+
+def _placed(new: np.ndarray, kind: type) -> np.ndarray:
+    """For each place the first of its group."""
+    begin = np.flatnonzero(new).astype(kind)
+    return np.repeat(begin, np.diff(begin, append=kind(len(new))))
+
+
+def suffix_ranks(symbols: np.ndarray, k: int, depth: int, left: np.ndarray | None = None) -> np.ndarray:
+    """For each position the rank of its suffix by the first ``depth`` symbols, from 1, equal ones alike; symbols are 0 to ``k`` - 1.
+
+    A suffix comes before those that it begins.  With ``left``, how many symbols each may use, only
+    positions with ``depth`` of them are ranked; what the others get has no meaning.
+    """
+    n = len(symbols)
+    kind = np.int64 if n >= 1 << 31 else np.int32
+    bits, place_bits = k.bit_length(), max(1, n - 1).bit_length()
+    known = max(1, min((64 - place_bits) // bits, depth))
+    padded = np.zeros(n + known, np.uint64)
+    padded[:n] = symbols
+    padded[:n] += np.uint64(1)
+    key = np.zeros(n, np.uint64)
+    for j in range(known):
+        key <<= np.uint64(bits)
+        key |= padded[j : n + j]
+    del padded
+    key <<= np.uint64(place_bits)
+    key |= np.arange(n, dtype=np.uint64)
+    if left is not None:
+        key = key[left >= known]
+    key.sort()
+    at = (key & np.uint64((1 << place_bits) - 1)).astype(kind)
+    key >>= np.uint64(place_bits)
+    new = _starts(key)
+    del key
+    place = _placed(new, kind) + kind(1)
+    rank = np.zeros(n + 1, kind)  # the last one stands for no suffix
+    rank[at] = place
+    while known < depth:
+        step, known = min(known, depth - known), min(2 * known, depth)
+        shared = ~(new & np.append(new[1:], True))
+        if left is not None:
+            shared &= left[at] >= known
+        at, place = at[shared], place[shared]
+        if not len(at):
+            break
+        first = _starts(place)
+        order, new = _packed(np.cumsum(first, dtype=kind), rank.take(at + kind(step), mode="clip"))
+        at = at[order]
+        # groups keep their stretches, so a place in its group adds to the group's rank
+        place += _placed(new, kind) - _placed(first, kind)
+        rank[at] = place
+    return rank[:-1]
 
 
 def suffix_array(symbols: np.ndarray, k: int) -> np.ndarray:
     """Starts of the suffixes of ``symbols`` (0 to ``k`` - 1) in order; a suffix comes before those that it begins."""
-    s = np.zeros(len(symbols) + 1, np.uint16 if k < 1 << 16 else np.int32)
-    s[:-1] = symbols
-    s[:-1] += 1
-    return _sorted_suffixes(s, k + 1)[1:]
+    sa = np.empty(len(symbols), np.int64)
+    sa[suffix_ranks(symbols, k, len(symbols)) - 1] = np.arange(len(symbols))
+    return sa
+
+
+def span_array(symbols: np.ndarray, k: int, span: int, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array to a depth: starts with ``span`` of ``left`` symbols in the order of these, and a number for each interval of equal ones."""
+    at = np.flatnonzero(left >= span)
+    if not len(at):
+        return at, at
+    order, new = _packed(np.zeros(len(at), np.int64), suffix_ranks(symbols, k, span, left)[at])
+    return at[order], np.cumsum(new) - 1
 
 
 def permuted_common_prefixes(symbols: np.ndarray, sa: np.ndarray, left: np.ndarray) -> np.ndarray:
