@@ -22,8 +22,8 @@ Distribution.  Vocabulary and trie grow with the corpus and are only joined.
    most frequent short tokens are broadcast, 16 bytes an n-gram, 32 a token at
    most.  They only save traffic: all others take step 3, whatever their number.
 3. A second pass over all documents adds up what the broadcast tables know, and
-   writes for each block of ``block_bytes`` its other n-grams and tokens, once
-   each and numbered, with each document's numbers.
+   writes for each block of ``block_bytes`` its other n-grams and tokens,
+   numbered, each token and nearly every n-gram once, with each document's numbers.
 4. These n-grams and tokens meet the trie and the vocabulary by joins; n-grams
    that training has not seen are followed down the contexts, all levels in one
    join.  The answers go back to their blocks and are added up.
@@ -100,6 +100,42 @@ def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[starts], np.add.reduceat(weights, starts) if len(starts) else weights
 
 
+#: An odd number and its inverse modulo 2**64: products with it spread n-grams evenly and give them back.
+_SPREAD = 0x9E3779B97F4A7C15
+_GATHER = pow(_SPREAD, -1, 1 << 64)
+
+
+def spread(grams: np.ndarray) -> np.ndarray:
+    return grams.view(np.uint64) * np.uint64(_SPREAD)
+
+
+def gathered(spreads: np.ndarray) -> np.ndarray:
+    """The n-grams of these spread ones."""
+    return (spreads * np.uint64(_GATHER)).view(np.int64)
+
+
+def numbered(spreads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values nearly in order, and the number of each value among them.
+
+    Upper bits and a place are sorted as one number, much faster than an index by value. Where
+    different values share all these bits, one may be listed more than once.
+    """
+    n = len(spreads)
+    bits = np.uint64(max(1, n - 1).bit_length())
+    key = spreads >> bits
+    key <<= bits
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()
+    key &= (np.uint64(1) << bits) - np.uint64(1)
+    order = key.view(np.int64)
+    ordered = spreads[order]
+    new = np.ones(n, bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    number = np.empty(n, np.int64 if n >= 1 << 31 else np.int32)
+    number[order] = np.cumsum(new, dtype=number.dtype) - 1
+    return ordered[new], number
+
+
 class Tally:
     """Counts of n-grams, merged whenever what is new outgrows what is held."""
 
@@ -329,7 +365,7 @@ def blocks(docs: DataFrame, learn: Column, hot, id_col: str, text_col: str, dept
         def flush() -> Iterator[pa.RecordBatch]:
             m = len(parts)
             gram, owner = coded_grams(leads, bodies, depth)
-            different, inverse = np.unique(gram, return_inverse=True)
+            different, inverse = numbered(spread(gram))
             place = np.minimum(np.searchsorted(hot_gram, different), max(0, len(hot_gram) - 1))
             known = hot_gram[place] == different if len(hot_gram) else np.zeros(len(different), bool)
             lp = np.where(known, hot_lp[place], 0.0) if len(hot_gram) else np.zeros(len(different))
@@ -349,7 +385,7 @@ def blocks(docs: DataFrame, learn: Column, hot, id_col: str, text_col: str, dept
                 m, block=np.full(m, block), row=rows[0], doc_id=rows[1], learn=rows[2], n_tokens=size, n_known=n_known, logs=logs, score=score,
                 cold_tokens=_parts(flat[cold], owner[cold], m), cold_grams=cold_grams,
             )
-            rare = different[~known]
+            rare = gathered(different[~known])
             for a in range(0, len(rare), 1 << 16):
                 part = rare[a : a + (1 << 16)]
                 yield _filled(len(part), block=np.full(len(part), block), number=np.arange(a, a + len(part)), gram=part)
@@ -422,6 +458,7 @@ def ppm_scores(
 
     often = frequent(seen, hot_grams).select("gram", "lp").toArrow()
     gram, lp = often.column("gram").to_numpy(), often.column("lp").to_numpy()
+    gram = spread(gram)  # in the order in which blocks number theirs
     order = np.argsort(gram)
     often_tokens = {bytes(r["token"]): r["n"] for r in frequent(tokens.filter(F.octet_length("token") <= 32), hot_tokens).collect()}
     hot = spark.sparkContext.broadcast((gram[order], lp[order], often_tokens))
