@@ -41,8 +41,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citewell.llm.common import crc32_of_id, table, text_or_empty, written
+from citewell.llm.common import crc32_of_id, lean, table, text_or_empty, written
 
 DEPTH = 6
 _MARK = b"\n"
@@ -73,24 +74,51 @@ def streams(text: bytes, most: int, depth: int) -> Iterator[tuple[list[bytes], b
         tail, at = (tail + body)[-depth:], cut.end()
 
 
-def coded_grams(leads: list[bytes], bodies: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of ``bodies``: its n-gram (a leading 1, the longest context, the byte) and the index of its body."""
-    flat = np.frombuffer(b"".join(x for pair in zip(leads, bodies, strict=True) for x in pair), np.uint8).astype(np.int64)
-    lead = np.fromiter(map(len, leads), np.int64, len(leads))
-    size = np.fromiter(map(len, bodies), np.int64, len(bodies))
-    ends = np.cumsum(lead + size)
-    gram = flat.copy()
-    for back in range(1, depth + 1):
-        gram[back:] |= flat[:-back] << 8 * back
-    gram |= 1 << 8 * (depth + 1)
-    place = np.arange(depth)
-    early = (ends - lead - size)[:, None] + place
-    inside = early < ends[:, None]
-    one = np.broadcast_to(1 << 8 * (place + 1), early.shape)[inside]
-    gram[early[inside]] = gram[early[inside]] & (one - 1) | one
-    coded = np.ones(len(flat), bool)
-    coded[early[place < lead[:, None]]] = False
-    return gram[coded], np.repeat(np.arange(len(bodies)), size)
+#: Bytes or values that are worked on at once: temporary arrays stay small and in the processor's cache.
+_SLICE = 1 << 18
+
+
+def _slices(leads: list[bytes], bodies: list[bytes], depth: int) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    """Leads and bodies in groups of about ``_SLICE`` bytes; longer bodies are cut, and what is before a cut leads on."""
+    before, group, held = [], [], 0
+    for lead, body in zip(leads, bodies, strict=True):
+        for a in range(0, len(body), _SLICE):
+            before.append(body[a - depth : a] if a else lead)
+            group.append(body[a : a + _SLICE])
+            held += len(group[-1])
+            if held >= _SLICE:
+                yield before, group
+                before, group, held = [], [], 0
+    if group:
+        yield before, group
+
+
+def coded_grams(leads: list[bytes], bodies: list[bytes], depth: int) -> np.ndarray:
+    """For every byte of ``bodies``: its n-gram (a leading 1, the longest context, the byte)."""
+    grams = np.empty(sum(map(len, bodies)), np.int64)
+    at = 0
+    for before, group in _slices(leads, bodies, depth):
+        gram = np.frombuffer(b"".join(x for pair in zip(before, group, strict=True) for x in pair), np.uint8).astype(np.int64)
+        lead = np.fromiter(map(len, before), np.int64, len(before))
+        size = np.fromiter(map(len, group), np.int64, len(group))
+        ends = np.cumsum(lead + size)
+        have = 1
+        while have <= depth:
+            more = min(have, depth + 1 - have)
+            gram[more:] |= gram[:-more] << 8 * more
+            have += more
+        gram |= 1 << 8 * (depth + 1)
+        place = np.arange(depth)
+        early = (ends - lead - size)[:, None] + place
+        inside = early < ends[:, None]
+        one = np.broadcast_to(1 << 8 * (place + 1), early.shape)[inside]
+        gram[early[inside]] = gram[early[inside]] & (one - 1) | one
+        coded = np.ones(len(gram), bool)
+        coded[early[place < lead[:, None]]] = False
+        gram = gram[coded]
+        grams[at : at + len(gram)] = gram
+        at += len(gram)
+    return grams
 
 
 def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,20 +152,29 @@ def numbered(spreads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = np.uint64(max(1, n - 1).bit_length())
     key = spreads >> bits
     key <<= bits
-    key |= np.arange(n, dtype=np.uint64)
+    for a in range(0, n, _SLICE):
+        key[a : a + _SLICE] |= np.arange(a, min(n, a + _SLICE), dtype=np.uint64)
     key.sort()
     key &= (np.uint64(1) << bits) - np.uint64(1)
     order = key.view(np.int64)
     ordered = spreads[order]
+    del spreads  # here and below: arrays of a block are few at a time
     new = np.ones(n, bool)
     np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    different = ordered[new]
+    del ordered
     number = np.empty(n, np.int64 if n >= 1 << 31 else np.int32)
-    number[order] = np.cumsum(new, dtype=number.dtype) - 1
-    return ordered[new], number
+    many = 0
+    for a in range(0, n, _SLICE):
+        part = np.cumsum(new[a : a + _SLICE], dtype=number.dtype)
+        part += many - 1
+        number[order[a : a + _SLICE]] = part
+        many = int(part[-1]) + 1
+    return different, number
 
 
 class Tally:
-    """Counts of n-grams, merged whenever what is new outgrows what is held."""
+    """Counts of n-grams in sorted runs, merged whenever what is new outgrows what is held."""
 
     def __init__(self):
         self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -147,14 +184,31 @@ class Tally:
     def add(self, grams: np.ndarray) -> None:
         grams.sort()
         at = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-        self.new.append((grams[at], np.diff(at, append=len(grams))))
+        n = np.diff(at, append=len(grams))
+        self.new.append((grams[at], n.astype(np.int32) if len(grams) < 1 << 31 else n))
         self.waiting += len(at)
-        if self.waiting > max(1 << 20, len(self.keys)):
+        if self.waiting > max(1 << 20, len(self.keys) // 2):
             self.merge()
 
+    def merged(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All n-grams in order with their counts, a range at a time, so that no array holds all runs."""
+        runs = [(self.keys, self.counts), *self.new] if len(self.keys) else self.new
+        if not runs:
+            return
+        longest = max((k for k, _ in runs), key=len)
+        bounds = longest[:: max(1, len(longest) * _SLICE // sum(len(k) for k, _ in runs))][1:]
+        cuts = [[0, *np.searchsorted(k, bounds).tolist(), len(k)] for k, _ in runs]
+        for i in range(len(bounds) + 1):
+            parts = [slice(c[i], c[i + 1]) for c in cuts]
+            yield summed(
+                np.concatenate([k[p] for (k, _), p in zip(runs, parts, strict=True)]),
+                np.concatenate([n[p] for (_, n), p in zip(runs, parts, strict=True)], dtype=np.int64),
+            )
+
     def merge(self) -> None:
-        self.keys, self.counts = summed(np.concatenate([self.keys, *(k for k, _ in self.new)]), np.concatenate([self.counts, *(c for _, c in self.new)]))
+        made = list(self.merged())
         self.new, self.waiting = [], 0
+        self.keys, self.counts = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (self.keys, self.counts)
 
 
 def counts(docs: DataFrame, text_col: str, depth: int, chunk_bytes: int, held_grams: int, held_tokens: int) -> DataFrame:
@@ -163,6 +217,7 @@ def counts(docs: DataFrame, text_col: str, depth: int, chunk_bytes: int, held_gr
     A row of a token has a negative hash in place of the n-gram, so one shuffle spreads both.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, tokens = Tally(), Counter()
         leads: list[bytes] = []
@@ -175,15 +230,15 @@ def counts(docs: DataFrame, text_col: str, depth: int, chunk_bytes: int, held_gr
                 words = pa.nulls(len(gram[part]), pa.binary()) if token is None else pa.array(token[part], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(gram[part]), words, pa.array(n[part], pa.int64())], ["gram", "token", "n"])
 
-        def count() -> None:
+        def tally_up() -> None:
             if leads:
-                tally.add(coded_grams(leads, bodies, depth)[0])
+                tally.add(coded_grams(leads, bodies, depth))
             leads.clear()
             bodies.clear()
 
         def grams_out() -> Iterator[pa.RecordBatch]:
-            tally.merge()
-            yield from rows(tally.keys, None, tally.counts)
+            for gram, n in tally.merged():
+                yield from rows(gram, None, n)
             tally.__init__()
 
         def tokens_out() -> Iterator[pa.RecordBatch]:
@@ -199,13 +254,13 @@ def counts(docs: DataFrame, text_col: str, depth: int, chunk_bytes: int, held_gr
                     bodies.append(body)
                     held += len(body)
                     if held >= chunk_bytes:
-                        count()
+                        tally_up()
                         held = 0
                     if len(tally.keys) > held_grams:
                         yield from grams_out()
                     if len(tokens) > held_tokens:
                         yield from tokens_out()
-        count()
+        tally_up()
         yield from grams_out()
         yield from tokens_out()
 
@@ -226,6 +281,7 @@ def trie(grams: DataFrame, depth: int, held: int = 1 << 20) -> DataFrame:
     N-grams with equal last bytes meet in a task first, where most shorter ones become complete.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         n: list[np.ndarray] = []
@@ -322,12 +378,9 @@ def frequent(rows: DataFrame, most: int) -> DataFrame:
     return rows.filter(step >= least)
 
 
-class Numbers(dict):
+def numbering() -> defaultdict:
     """Numbers for tokens in the order met."""
-
-    def __missing__(self, token: bytes) -> int:
-        self[token] = n = len(self)
-        return n
+    return defaultdict(count().__next__)
 
 
 _BLOCKS = (
@@ -344,68 +397,102 @@ def _filled(size: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, list(_BLOCK_TYPES))
 
 
-def _parts(values: np.ndarray, owner: np.ndarray, owners: int) -> list[bytes]:
-    """The values of each owner as little-endian unsigned 32-bit integers; owners come in order."""
-    cuts = np.cumsum(np.bincount(owner, minlength=owners))[:-1]
-    return [x.tobytes() for x in np.split(values.astype("<u4"), cuts)]
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of ``sizes`` values each as little-endian unsigned 32-bit integers."""
+    ends = np.concatenate(([0], np.cumsum(4 * sizes)))
+    if ends[-1] >= 1 << 31:
+        return pa.array([x.tobytes() for x in np.split(values.astype("<u4", copy=False), ends[1:-1] // 4)], pa.binary())
+    data = pa.py_buffer(np.ascontiguousarray(values, "<u4"))
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), data])
+
+
+def _found(different: np.ndarray, hot_gram: np.ndarray, hot_lp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the n-grams: its log10 probability, 0 if not among the hot ones, and its number among those that are not, else -1."""
+    lp, cold = np.zeros(len(different)), np.arange(len(different), dtype=np.int32)
+    if len(hot_gram):
+        colds = 0
+        for a in range(0, len(different), _SLICE):
+            part = different[a : a + _SLICE]
+            place = np.minimum(np.searchsorted(hot_gram, part), len(hot_gram) - 1)
+            known = hot_gram[place] == part
+            lp[a : a + _SLICE] = np.where(known, hot_lp[place], 0.0)
+            number = np.cumsum(~known, dtype=np.int32)
+            cold[a : a + _SLICE] = np.where(known, -1, number + (colds - 1))
+            colds += int(number[-1])
+    return lp, cold
+
+
+def _shares(sizes: np.ndarray, number: np.ndarray, lp: np.ndarray, cold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For owners of ``sizes`` n-grams each: their sums, how many of their n-grams are cold, and the numbers of these one after another."""
+    m, ends = len(sizes), np.cumsum(sizes)
+    score, colds, numbers = np.zeros(m), np.zeros(m, np.int64), []
+    for a in range(0, len(number), _SLICE):
+        part = number[a : a + _SLICE]
+        first = int(np.searchsorted(ends, a, "right"))
+        last = int(np.searchsorted(ends, a + len(part), "left")) + 1
+        owner = np.repeat(np.arange(last - first), np.diff(np.clip(ends[first:last], a, a + len(part)), prepend=a))
+        at = cold[part]
+        is_cold = at >= 0
+        score[first:last] += np.bincount(owner, lp[part], last - first)
+        colds[first:last] += np.bincount(owner[is_cold], minlength=last - first)
+        numbers.append(at[is_cold])
+    return score, colds, np.concatenate(numbers) if numbers else np.empty(0, np.int32)
 
 
 def blocks(docs: DataFrame, learn: Column, hot, id_col: str, text_col: str, depth: int, block_bytes: int) -> DataFrame:
     """Rows of document parts (``row`` set), with sums over hot n-grams and tokens and the numbers of others, and rows of these (``number`` set)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_gram, hot_lp, hot_token = hot.value
         block = row = TaskContext.get().partitionId() << 32
         parts: list[tuple] = []
         leads: list[bytes] = []
         bodies: list[bytes] = []
-        numbers, at = Numbers(), []
+        numbers, at = numbering(), []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             m = len(parts)
-            gram, owner = coded_grams(leads, bodies, depth)
-            different, inverse = numbered(spread(gram))
-            place = np.minimum(np.searchsorted(hot_gram, different), max(0, len(hot_gram) - 1))
-            known = hot_gram[place] == different if len(hot_gram) else np.zeros(len(different), bool)
-            lp = np.where(known, hot_lp[place], 0.0) if len(hot_gram) else np.zeros(len(different))
-            score = np.bincount(owner, lp[inverse], m)
-            cold = ~known[inverse]
-            cold_grams = _parts((np.cumsum(~known) - 1)[inverse[cold]], owner[cold], m)
-            del gram, inverse, lp
-            c = np.array([hot_token.get(t, -1) for t in numbers], np.int64)
+            different, number = numbered(spread(coded_grams(leads, bodies, depth)))
+            lp, cold = _found(different, hot_gram, hot_lp)
+            score, colds, cold_grams = _shares(np.fromiter(map(len, bodies), np.int64, m), number, lp, cold)
+            rare = gathered(different[cold >= 0])
+            del different, number, lp, cold
+            c = np.fromiter(map(hot_token.get, numbers, repeat(-1)), np.int64, len(numbers))
             flat = np.concatenate(at)
             size = np.fromiter(map(len, at), np.int64, m)
             owner = np.repeat(np.arange(m), size)
             logs = np.bincount(owner, np.log10(np.maximum(c, 0) + 1.0)[flat], m)
             n_known = np.bincount(owner, (c > 0)[flat], m).astype(np.int64)
-            cold = (c < 0)[flat]
+            is_cold = (c < 0)[flat]
             rows = list(zip(*parts, strict=True))
             yield _filled(
                 m, block=np.full(m, block), row=rows[0], doc_id=rows[1], learn=rows[2], n_tokens=size, n_known=n_known, logs=logs, score=score,
-                cold_tokens=_parts(flat[cold], owner[cold], m), cold_grams=cold_grams,
+                cold_tokens=_binary(flat[is_cold], np.bincount(owner[is_cold], minlength=m)), cold_grams=_binary(cold_grams, colds),
             )
-            rare = gathered(different[~known])
+            del flat, owner, is_cold, cold_grams, rows
             for a in range(0, len(rare), 1 << 16):
                 part = rare[a : a + (1 << 16)]
                 yield _filled(len(part), block=np.full(len(part), block), number=np.arange(a, a + len(part)), gram=part)
             words = [(t, i) for i, t in enumerate(numbers) if c[i] < 0]
-            if words:
-                yield _filled(len(words), block=np.full(len(words), block), number=[i for _, i in words], token=[t for t, _ in words])
+            for a in range(0, len(words), 1 << 16):
+                part = words[a : a + (1 << 16)]
+                yield _filled(len(part), block=np.full(len(part), block), number=[i for _, i in part], token=[t for t, _ in part])
 
         for batch in batches:
             for key, text, learns in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 for words, lead, body in streams(text.as_py().encode("utf-8", "surrogatepass").lower(), block_bytes, depth):
                     parts.append((row, key, learns))
-                    at.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+                    at.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                     leads.append(lead)
                     bodies.append(body)
                     held += len(body)
                     if held >= block_bytes:
                         yield from flush()
-                        for x in (parts, at, leads, bodies, numbers):
+                        for x in (parts, at, leads, bodies):
                             x.clear()
-                        block, held = block + 1, 0
+                        numbers, block, held = numbering(), block + 1, 0
                 row += 1
         if parts:
             yield from flush()
